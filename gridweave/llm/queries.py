@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, packing, wavelet
 
 QUERIES = {
+    "op1_wavelet_tokens": wavelet.op1,
     "op4_exact_dedup": exact_dedup.op4,
+    "op7_best_fit_packing": packing.op7,
 }
 ORACLES = {
     "op4_exact_dedup": exact_dedup.SQL,
