@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, wavelet
+from . import decontamination, exact_dedup, packing, warc, wavelet
 
 QUERIES = {
     "op1_wavelet_tokens": wavelet.op1,
     "op4_exact_dedup": exact_dedup.op4,
+    "op6_warc": warc.op6,
     "op7_best_fit_packing": packing.op7,
+    "op9_decontamination": decontamination.op9,
 }
 ORACLES = {
     "op4_exact_dedup": exact_dedup.SQL,
+    "op6_warc": warc.SQL,
+    "op9_decontamination": decontamination.SQL,
 }
