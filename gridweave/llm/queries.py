@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, packing, warc, wavelet
+from . import decontamination, exact_dedup, packing, url_filter, warc, wavelet
 
 QUERIES = {
     "op1_wavelet_tokens": wavelet.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_warc": warc.op6,
     "op7_best_fit_packing": packing.op7,
     "op9_decontamination": decontamination.op9,
+    "op10_url_filter": url_filter.op10,
 }
 ORACLES = {
     "op4_exact_dedup": exact_dedup.SQL,
