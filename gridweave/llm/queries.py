@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, packing, url_filter, warc, wavelet
+from . import decontamination, exact_dedup, language, packing, url_filter, warc, wavelet
 
 QUERIES = {
     "op1_wavelet_tokens": wavelet.op1,
     "op4_exact_dedup": exact_dedup.op4,
     "op6_warc": warc.op6,
     "op7_best_fit_packing": packing.op7,
+    "op8_language": language.op8,
     "op9_decontamination": decontamination.op9,
     "op10_url_filter": url_filter.op10,
 }
