@@ -21,17 +21,19 @@ import numpy as np
 from tokenizers import Tokenizer
 
 #: Bounds of the caches: entries, not bytes; entries are short (a word and its ids).
-MAX_PIECES, MAX_TOKENS, MAX_LENGTH = 250_000, 400_000, 64
+MAX_PIECES, MAX_TOKENS, MAX_LENGTH = 500_000, 800_000, 64
 
 _ASCII_SPACE = re.compile(r"[ \t\n\x0b\x0c\r]+")
 _ODD_SPACE = re.compile(r"\s\s|^\s|\s$")
 _SINGLE_BLANK = re.compile(r"(?<=\S) (?=\S)")
 #: Latin letters without those whose lower case or normal form is not one character, digits, ASCII marks but "<".
 _LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
-_PLAIN = re.compile(rf"[{_LATIN}0-9!-/:;=>?@\[-`{{-~]+")
+_PLAIN = re.compile(rf"[{_LATIN}0-9!-/:;=>?@\[-`{{-~\n]+")
+#: White space, or what Python takes for it, other than blanks and line feeds.
+_RARE_SPACE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 # The pre-token patterns of the two vocabularies, on plain pieces.
 _DROPPED_PATTERN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LATIN}]+|[0-9]|[^\s{_LATIN}0-9]+")
-_JOINED_PATTERN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LATIN}]+| ?[0-9]+| ?[^\s{_LATIN}0-9]+")
+_JOINED_PATTERN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LATIN}]+| ?[0-9]+| ?[^\s{_LATIN}0-9]+|\s+(?!\S)|\s+")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -68,31 +70,42 @@ class PieceEncoder:
         return found
 
     def _piece(self, piece: str) -> bytes:
-        bare = piece[1:] if self.joined and piece[:1] == " " else piece
-        if _PLAIN.fullmatch(bare):
-            ids = b"".join(map(self._token, self.pattern.findall(piece if self.joined else piece.lower())))
-        else:
-            ids = self._whole(piece)
-        if len(piece) <= MAX_LENGTH:
+        if not _PLAIN.fullmatch(piece[1:] if self.joined and piece[:1] == " " else piece):
+            return self._whole(piece)
+        return b"".join(map(self._token, self.pattern.findall(piece if self.joined else piece.lower())))
+
+    def _known(self, part: str) -> bytes:
+        """Ids of a part, which a blank precedes if the vocabulary joins blanks to words."""
+        ids = self._piece(" " + part if self.joined else part)
+        if len(part) <= MAX_LENGTH:
             if len(self.pieces) >= MAX_PIECES:
                 self.pieces.clear()
-            self.pieces[piece] = ids
+            self.pieces[part] = ids
         return ids
 
     def split(self, text: str) -> list[str]:
+        """The parts of a text between safe places."""
+        rare = _RARE_SPACE.search(text)
         if not self.joined:
-            return [p for p in _ASCII_SPACE.split(text) if p]
-        parts = _SINGLE_BLANK.split(text) if _ODD_SPACE.search(text) else text.split(" ")
-        return parts[:1] + [" " + p for p in parts[1:]] if parts != [""] else []
+            return [p for p in _ASCII_SPACE.split(text) if p] if rare else text.split()
+        odd = rare or "  " in text or "\n " in text or " \n" in text or "\n\n" in text or text[:1] in " \n" or text[-1:] in " \n"
+        return _SINGLE_BLANK.split(text) if odd else text.split(" ")
 
     def encode(self, text: str) -> bytes:
+        if not text:
+            return b""
         if "<|" in text:
             return self._whole(text)
-        known, out = self.pieces, []
-        for piece in self.split(text):
-            ids = known.get(piece)
-            out.append(self._piece(piece) if ids is None else ids)
-        return b"".join(out)
+        parts = self.split(text)
+        first = self._piece(parts.pop(0)) if self.joined else b""
+        out = list(map(self.pieces.get, parts))
+        if None in out:
+            known = self.pieces
+            for k, ids in enumerate(out):
+                if ids is None:
+                    ids = known.get(parts[k])
+                    out[k] = self._known(parts[k]) if ids is None else ids
+        return first + b"".join(out)
 
 
 @functools.lru_cache(maxsize=2)
