@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, language, near_dedup, packing, url_filter, warc, wavelet
+from . import decontamination, exact_dedup, language, near_dedup, packing, substring_dedup, url_filter, warc, wavelet
 
 QUERIES = {
     "op1_wavelet_tokens": wavelet.op1,
     "op3_near_dedup": near_dedup.op3,
     "op4_exact_dedup": exact_dedup.op4,
+    "op5_substring_dedup": substring_dedup.op5,
     "op6_warc": warc.op6,
     "op7_best_fit_packing": packing.op7,
     "op8_language": language.op8,
