@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 SPACES = b" \t\n\x0b\x0c\r"
 
 _written: list[tuple[SparkSession, str]] = []
+_pinned: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,29 +30,30 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and returns a reader of it: lineage ends here."""
+def materialise(df: DataFrame, label: str, pinned: bool = False) -> DataFrame:
+    """Writes df as Parquet in the shared folder and returns a reader of it: lineage ends here. pinned: kept until the end."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/gridweave/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append((spark, path))
+    (_pinned if pinned else _written).append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release() -> None:
-    """Deletes every table that materialise() has written so far."""
-    while _written:
-        spark, path = _written.pop()
+def release(tables: list | None = None) -> None:
+    """Deletes every table that materialise() has written so far, but for pinned ones."""
+    tables = _written if tables is None else tables
+    while tables:
+        spark, path = tables.pop()
         jvm = spark.sparkContext._jvm
-        if jvm is None:
-            continue
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        if jvm is not None:
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def _at_exit() -> None:
     try:
         release()
+        release(_pinned)
     except Exception:  # the JVM may have gone first
         _written.clear()
 

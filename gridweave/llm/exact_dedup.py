@@ -55,9 +55,9 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", supp
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
-    kept = groups(docs, id_col, text_col).where(F.col("id") == F.col("keep_id")).select(F.col("id").alias("__kept_id")).distinct()
-    return docs.join(kept, docs[id_col] == kept["__kept_id"], "left_semi")
+    """The rows of docs that stay, with all their columns; a row without an id always stays."""
+    gone = groups(docs, id_col, text_col).where(F.col("id") != F.col("keep_id")).select(F.col("id").alias("__gone")).distinct()
+    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -215,26 +215,29 @@ def _predictor(shared):
     return run
 
 
-def predict(docs: DataFrame, model: ByteGru | None, keep: dict[str, Column], text_col: str = "text") -> DataFrame:
-    """The columns `keep` of docs, then lang_pred and score."""
+def predict(docs: DataFrame, model: ByteGru | None, keep: dict[str, Column], text_col: str = "text", out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns `keep` of docs, then the predicted language and its probability, named by `out`."""
     text = F.col(text_col)
     names = list(keep)
     rows = docs.select(*(c.alias(f"k{i}") for i, c in enumerate(keep.values())), text.alias("__text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("__letters"))
     if model is None:
-        return rows.select(*(F.col(f"k{i}").alias(n) for i, n in enumerate(names)), F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+        return rows.select(*(F.col(f"k{i}").alias(n) for i, n in enumerate(names)), F.lit(UNKNOWN).alias(out[0]), F.lit(0.0).alias(out[1]))
     kept = [f"k{i}" for i in range(len(names))]
     rows = rows.select(*kept[:1], "__text", "__letters", *kept[1:])
     schema = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in kept) + ", lang_pred string, score double"
     found = rows.mapInArrow(_predictor(docs.sparkSession.sparkContext.broadcast(model)), schema)
-    return found.select(*(F.col(k).alias(n) for k, n in zip(kept, names, strict=True)), "lang_pred", "score")
+    return found.select(*(F.col(k).alias(n) for k, n in zip(kept, names, strict=True)), F.col("lang_pred").alias(out[0]), F.col("score").alias(out[1]))
+
+
+def training_fold(id_col: str = "doc_id") -> Column:
+    return F.coalesce(crc_of_id(F.col(id_col)) % 3 != 1, F.lit(True))
 
 
 def identify(docs: DataFrame, labelled: DataFrame | None = None, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(doc_id, held_out, lang_pred, score). Learns from `labelled`, else from docs of the training folds: crc32(id) mod 3 is not 1."""
-    held_out = crc_of_id(F.col(id_col)) % 3 == 1
-    source = docs.where(~F.coalesce(held_out, F.lit(False))) if labelled is None else labelled
+    source = docs.where(training_fold(id_col)) if labelled is None else labelled
     model = train(source.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")), sample)
-    return predict(docs, model, {"doc_id": F.col(id_col), "held_out": F.coalesce(held_out, F.lit(False))}, text_col)
+    return predict(docs, model, {"doc_id": F.col(id_col), "held_out": ~training_fold(id_col)}, text_col)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

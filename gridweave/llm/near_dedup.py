@@ -13,7 +13,7 @@
 
 Words are runs of characters other than ASCII white space, A-Z lower-cased. A set: distinct shingles of SIZE words; of fewer words the whole
 sequence; without words (or null) empty, linked with nothing, a component of its own. Repeated rows and ties are copies: the smallest id stays.
-Rows that share an id are one node. A null id is a component without a number, and never kept. An empty table gives an empty result.
+Rows that share an id are one node. A null id is a component without a number. An empty table gives an empty result.
 Sets hold 64-bit hashes; two of n shingles collide with probability n*n/2**65.
 """
 
@@ -235,9 +235,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SIZE, k
 
 
 def dedup(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, one document of each component, with all their columns."""
-    kept = near_duplicates(docs, percent, id_col=id_col, text_col=text_col).where("doc_id = component_id").select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(kept, docs[id_col] == kept["__kept_id"], "left_semi")
+    """The rows of docs that stay, one document of each component, with all their columns; a row without an id always stays."""
+    gone = near_duplicates(docs, percent, id_col=id_col, text_col=text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

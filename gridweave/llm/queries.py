@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, language, near_dedup, packing, substring_dedup, url_filter, warc, wavelet
+from . import decontamination, exact_dedup, language, near_dedup, ngram_trie, packing, substring_dedup, url_filter, warc, wavelet
 
 QUERIES = {
     "op1_wavelet_tokens": wavelet.op1,
+    "op2_ngram_trie": ngram_trie.op2,
     "op3_near_dedup": near_dedup.op3,
     "op4_exact_dedup": exact_dedup.op4,
     "op5_substring_dedup": substring_dedup.op5,
