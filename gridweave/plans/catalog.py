@@ -30,7 +30,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 @query("""
-SELECT event_type AS header, count(*) AS files, sum(CAST(round(value * 1000000) AS BIGINT)) AS total_us
+SELECT event_type AS header, count(*) AS files, CAST(sum(CAST(round(value * 1000000) AS BIGINT)) AS BIGINT) AS total_us
 FROM events GROUP BY event_type
 """)
 def header_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,3 +38,6 @@ def header_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy(F.col("event_type").alias("header")).agg(
         F.count("*").alias("files"), F.sum(F.round(F.col("value") * 1000000).cast("bigint")).alias("total_us")
     )
+
+
+from . import trace_queries  # noqa: E402, F401  registers its queries
