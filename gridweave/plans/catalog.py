@@ -40,4 +40,4 @@ def header_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-from . import image_queries, trace_queries  # noqa: E402, F401  they register their queries
+from . import image_queries, relation_queries, trace_queries  # noqa: E402, F401  they register their queries
