@@ -6,6 +6,7 @@ import zlib
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The 64-bit prime and offset of the Fowler-Noll-Vo hashes.
 PRIME, OFFSET = 0x100000001B3, 0xCBF29CE484222325
@@ -19,11 +20,11 @@ def fnv1(data: bytes) -> int:
     return h - 2**64 if h >> 63 else h
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def fnv1_udf(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else fnv1(t.encode())).astype("Int64")
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def adler32(data: pd.Series) -> pd.Series:
     return data.map(lambda x: None if x is None else zlib.adler32(x)).astype("Int64")

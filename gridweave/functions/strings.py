@@ -47,7 +47,7 @@ def short_directory(path: Column) -> Column:
     return F.concat_ws("/", F.slice(parts, F.greatest(F.size(parts) - 2, F.lit(1)), F.least(F.size(parts) - 1, F.lit(2))))
 
 
-def strip_namespaces(name: Column, namespaces: tuple[str, ...] = ("std::", "kram::", "eastl::")) -> Column:
+def strip_namespaces(name: Column, namespaces: tuple[str, ...] = ("std::", "eastl::")) -> Column:
     return functools.reduce(lambda c, n: F.replace(c, F.lit(n), F.lit("")), namespaces, name)
 
 

@@ -119,7 +119,7 @@ def template_cost(events: DataFrame, top: int = LIMITS["templates"]) -> DataFram
 
 def header_cost(events: DataFrame, top: int = LIMITS["headers"], chains: int = LIMITS["chains"] + 1, only_roots: bool = True) -> DataFrame:
     """Costliest headers with their costliest include chains (nearest includer first); needs `ancestors`."""
-    headers = events.where(is_header(F.col("detail")))
+    headers = events.where((F.col("name") == "Source") & is_header(F.col("detail")))
     chain = F.transform(F.filter("ancestors", lambda a: a["name"] == "Source"), lambda a: a["detail"])
     headers = headers.withColumn("chain", chain).withColumn("root", ~F.exists("chain", lambda c: is_header(c)))
     cost = headers.groupBy("detail").agg(F.sum("dur").alias("us"), F.count("*").alias("count"), F.bool_or("root").alias("root"))
