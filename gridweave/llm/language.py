@@ -162,18 +162,12 @@ def rows_of(texts: list[bytes], length: int, block: int = BLOCK):
         yield codes, owner[i : i + block]
 
 
-def sample_pieces(texts: list[bytes], labels: list[int], pieces: int = PIECES, length: int = LENGTH, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Up to `pieces` random runs of `length` bytes of each text."""
-    r, rows, target = np.random.default_rng(seed), [], []
-    for text, label in zip(texts, labels, strict=True):
-        for _ in range(min(pieces, -(-len(text) // length))):
-            at = int(r.integers(0, max(1, len(text) - length + 1)))
-            row = np.full(length, 256, np.int64)
-            part = np.frombuffer(text[at : at + length], np.uint8)
-            row[: len(part)] = part
-            rows.append(row)
-            target.append(label)
-    return np.array(rows).reshape(-1, length), np.array(target, np.int64)
+def pieces(text: Column, most: int = PIECES, length: int = LENGTH) -> Column:
+    """Up to `most` runs of `length` bytes of a text, at places that its hash chooses."""
+    size, raw = F.octet_length(text), F.encode(text, "utf-8")
+    start = lambda k: (F.pmod(F.xxhash64(text, F.lit(k)), F.greatest(size - length + 1, F.lit(1)).cast("bigint")) + 1).cast("int")
+    runs = F.array(*(F.substring(raw, start(k), F.lit(length)) for k in range(most)))
+    return F.slice(runs, F.lit(1), F.least(F.lit(most), F.ceil(size / length).cast("int")))
 
 
 def train(labelled: DataFrame, sample: int = SAMPLE) -> ByteGru | None:
@@ -188,9 +182,12 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> ByteGru | None:
     limit = F.lit(0.0)
     for k, n in counts.items():
         limit = F.when(F.col("lang") == k, min(1.0, 0.95 * sample * share[k] / whole / n)).otherwise(limit)
-    chosen = usable.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) <= limit * (1 << 30)).select("text", "lang").limit(sample).collect()
-    rows = sorted({(r["lang"], r["text"]) for r in chosen})  # an order that does not depend on tasks
-    codes, target = sample_pieces([t.encode() for _, t in rows], [labels.index(k) for k, _ in rows])
+    chosen = usable.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) <= limit * (1 << 30)).select("lang", pieces(F.col("text")).alias("p")).limit(sample).collect()
+    rows = sorted((r["lang"], bytes(x)) for r in chosen for x in r["p"])  # an order that does not depend on tasks
+    codes = np.full((len(rows), LENGTH), 256, np.int64)
+    for k, (_, x) in enumerate(rows):
+        codes[k, : len(x)] = np.frombuffer(x, np.uint8)
+    target = np.array([labels.index(k) for k, _ in rows], np.int64)
     return ByteGru(labels).fit(codes, target)
 
 
