@@ -17,7 +17,9 @@ QUERIES = {
     "op10_url_filter": url_filter.op10,
 }
 ORACLES = {
+    "op3_near_dedup": near_dedup.SQL,
     "op4_exact_dedup": exact_dedup.SQL,
+    "op5_substring_dedup": substring_dedup.SQL,
     "op6_warc": warc.SQL,
     "op9_decontamination": decontamination.SQL,
 }

@@ -321,3 +321,16 @@ def remove_known(docs: DataFrame, reference: DataFrame, window: int = WINDOW, id
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedup(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i : i + 19], ' ') AS t FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)),
+r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY t ORDER BY doc_id, i) AS place FROM win),
+hit AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM r WHERE place > 1),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (SELECT words.doc_id, string_agg(word, ' ' ORDER BY words.p) AS s FROM words LEFT JOIN hit ON words.doc_id = hit.doc_id AND words.p = hit.p WHERE hit.p IS NULL GROUP BY 1),
+gone AS (SELECT doc_id, count(*) AS n FROM hit GROUP BY 1)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(gone.n, 0) AS n_removed, sha256(coalesce(kept.s, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id LEFT JOIN gone ON d.doc_id = gone.doc_id
+"""
