@@ -201,3 +201,37 @@ def distance_field(pixels: DataFrame, channel: str, threshold: float = 127.5, sp
 
     kinds = dict(pixels.dtypes)
     return pixels.select(key, "y", "x", channel).groupBy(key).applyInPandas(one, f"{key} {kinds[key]}, y {kinds['y']}, x {kinds['x']}, distance int")
+
+
+def linearize(pixels: DataFrame, premultiplied: bool = True, prezero: bool = False) -> DataFrame:
+    """sRGB bytes to linear 0..1, multiplied by alpha or zeroed where alpha is 0."""
+    from ..functions.colors import srgb_to_linear
+
+    a = F.col("a") / 255.0
+    channel = lambda c: srgb_to_linear(F.col(c) / 255.0)
+    if premultiplied:
+        out = lambda c: channel(c) * a
+    else:
+        out = (lambda c: F.when(F.col("a") == 0, 0.0).otherwise(channel(c))) if prezero else channel
+    rest = [c for c in pixels.columns if c not in "rgba"]
+    return pixels.select(*rest, *(out(c).alias(c) for c in "rgb"), a.alias("a"))
+
+
+def kept_levels(plan: DataFrame, smallest: int = 1, largest: int = 32768, skip: int = 0) -> DataFrame:
+    """Levels of mip_plan() between two sizes, without the first `skip`; numbered anew."""
+    rows = plan.where((F.greatest("mip_width", "mip_height") >= smallest) & (F.greatest("mip_width", "mip_height") <= largest))
+    w = Window.partitionBy("image_id").orderBy("mip")
+    return rows.withColumn("level", F.row_number().over(w) - 1 - skip).where("level >= 0")
+
+
+def isolate(pixels: DataFrame, channel: str) -> DataFrame:
+    """One channel alone; alpha shows as gray."""
+    rest = [c for c in pixels.columns if c not in "rgba"]
+    pick = (lambda c: F.col("a")) if channel == "a" else (lambda c: F.col(c) if c == channel else F.lit(0))
+    return pixels.select(*rest, *(pick(c).alias(c) for c in "rgb"), (F.lit(255) if channel == "a" else F.col("a")).alias("a"))
+
+
+def probe(pixels: DataFrame, u: float, v: float, width: int, height: int) -> DataFrame:
+    """The pixel at a texture coordinate."""
+    x, y = min(width - 1, max(0, int(u * width))), min(height - 1, max(0, int(v * height)))
+    return pixels.where((F.col("x") == x) & (F.col("y") == y))

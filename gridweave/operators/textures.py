@@ -103,3 +103,66 @@ def info(textures: DataFrame, levels: str = "levels") -> DataFrame:
 def bc7_mode(first_byte: Column) -> Column:
     """Mode of a BC7 block: place of the lowest set bit of its first byte; 8 if none."""
     return F.when(first_byte == 0, 8).otherwise(F.bit_count(first_byte.bitwiseXOR(first_byte - 1)) - 1)
+
+
+def parse_format(name: Column, signed: Column, srgb: Column, hdr: Column) -> Column:
+    """Format of a command's name and flags, e.g. ("bc7", srgb) -> BC7s; Invalid if there is none."""
+    known = {}
+    for f in FORMATS[1:]:
+        base = f[0].lower()
+        for suffix, kind in (("sn", "snorm"), ("s", "srgb"), ("h", "half"), ("uh", "half")):
+            if f[6] == kind and base.endswith(suffix):
+                base = base[: -len(suffix)]
+                break
+        base = base.replace("srgb", "rgb") if f[6] == "srgb" else base
+        known.setdefault(f"{base}/{f[6]}", f[0])
+    table = F.create_map(*(F.lit(x) for p in sorted(known.items()) for x in p))
+    kind = F.when(signed, "snorm").when(srgb, "srgb").when(hdr, "half").otherwise("unorm")
+    key = F.lower(name)
+    return F.coalesce(F.try_element_at(table, F.concat_ws("/", key, kind)), F.try_element_at(table, F.concat_ws("/", key, F.lit("unorm"))), F.try_element_at(table, F.concat_ws("/", key, F.lit("half"))), F.try_element_at(table, F.concat_ws("/", key, F.lit("float"))), F.lit("Invalid"))
+
+
+def kind_of_texture(height: Column, depth: Column, layers: Column, faces: Column) -> Column:
+    """Type from a container's header."""
+    return (
+        F.when((faces > 1) & (layers > 0), "cubearray").when(faces > 1, "cube").when(depth > 0, "3d")
+        .when((layers > 0) & (height > 0), "2darray").when((layers > 0) | (height == 0), "1darray").otherwise("2d")
+    )
+
+
+def total_chunks(depth: Column, layers: Column, faces: Column) -> Column:
+    return F.greatest(depth, F.lit(1)) * F.greatest(layers, F.lit(1)) * F.greatest(faces, F.lit(1))
+
+
+def valid_levels(textures: DataFrame) -> DataFrame:
+    """Adds `valid`: every level (mip, length) of a texture with its format's columns has the length that its size asks for."""
+    side = lambda n, mip: F.greatest(F.lit(1), F.shiftright(n, 0) / F.pow(F.lit(2), mip)).cast("int")
+    size = lambda m: F.ceil(side(F.col("width"), m) / F.col("block_x")) * F.ceil(side(F.col("height"), m) / F.col("block_y")) * F.col("block_size")
+    return textures.withColumn("valid", F.forall("levels", lambda v: v["length"] == size(v["mip"])))
+
+
+def base_props(rows: DataFrame) -> Column:
+    """Properties written into containers: swizzle, channel meaning, addressing and filter, from content and format columns."""
+    normal = F.col("content") == "normal"
+    return F.create_map(
+        F.lit("swizzle"), F.when(normal, "rg01").when(F.col("channels") == 1, "r001").otherwise("rgba"),
+        F.lit("channels"), F.when(normal, "Normal.x,Normal.y,X,X").when(F.col("content") == "height", "Height.x,X,X,X").otherwise("Albedo.r,Albedo.g,Albedo.b,Albedo.a"),
+        F.lit("address"), F.when(F.col("content") == "sdf", "Clamp").otherwise("Wrap"), F.lit("filter"), F.lit("Lin"),
+    )
+
+
+def info_lines(rows: DataFrame) -> DataFrame:
+    """One line per texture of `info` and `with_format` columns."""
+    return rows.select(F.format_string("%s: %s %dx%d, %d levels, %d bytes (%d%%)", "path", "format", "width", "height", F.size("levels"), "bytes", "percent").alias("value"))
+
+
+def encode_line() -> Column:
+    """Command of a row (source, target, format, is_srgb, content)."""
+    flag = F.when(F.col("is_srgb"), " -srgb").otherwise("")
+    normal = F.when(F.col("content") == "normal", " -normal").otherwise("")
+    return F.concat(F.lit("encode -f "), F.lower("format"), flag, normal, F.lit(" -i "), "source", F.lit(" -o "), "target")
+
+
+def encode_script(rows: DataFrame) -> DataFrame:
+    """One command a line."""
+    return rows.select(encode_line().alias("value"))

@@ -147,3 +147,16 @@ def search(rows: DataFrame, column: str, text: str, files: int = 2) -> DataFrame
         return rows
     name = F.lower(column)
     return rows.where(name.startswith(text.lower()) if len(text) == 1 else name.contains(text.lower()))
+
+
+def viewer_names(events: DataFrame) -> DataFrame:
+    """Names for a viewer: source events show their file, symbol events their detail; the process id goes."""
+    file = F.substring_index("detail", "/", -1)
+    shown = F.when(F.col("name").isin("Source", "OptModule"), file).when(F.col("name").isin("InstantiateClass", "InstantiateFunction", "OptFunction"), F.col("detail")).otherwise(F.col("name"))
+    return events.withColumn("name", F.coalesce(F.when(F.col("detail") != "", shown), F.col("name"))).drop("pid")
+
+
+def refreshed(files: DataFrame, cached: DataFrame) -> DataFrame:
+    """Files (path, modified) whose stamp differs from the cached one, or that are new."""
+    old = cached.select("path", F.col("modified").alias("__old"))
+    return files.join(old, "path", "left").where(~F.col("modified").eqNullSafe(F.col("__old"))).drop("__old")

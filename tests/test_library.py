@@ -220,3 +220,29 @@ def test_report_sink(spark, events, tmp_path):
     assert spark.read.text(str(tmp_path / "r")).count() == 2
     reports.write_events(events.select(F.lit("X").alias("ph"), "name", "ts", "dur"), str(tmp_path / "e"))
     assert spark.read.json(str(tmp_path / "e")).count() == 6
+
+
+def test_block_codecs(spark):
+    from gridweave.operators import codecs
+
+    flat = np.zeros((5, 6, 4), np.uint8)
+    flat[..., :] = (255, 0, 0, 255)
+    assert (codecs.decode("BC1", codecs.ENCODERS["BC1"](flat), 6, 5) == flat).all()
+    ramp = np.zeros((8, 8, 4), np.int64)
+    ramp[..., 0], ramp[..., 1], ramp[..., 3] = np.arange(8) * 30, np.arange(8)[:, None] * 20, 255
+    got = codecs.decode("BC5", codecs.ENCODERS["BC5"](ramp), 8, 8).astype(int)
+    assert np.abs(got - ramp).max() <= 8
+    half = np.random.default_rng(2).random((3, 2, 4)).astype(np.float16)
+    assert (codecs.decode("EXPrgba16f", codecs.ENCODERS["EXPrgba16f"](half), 2, 3) == half.astype(np.float32)).all()
+    data = containers.write_ktx2("BC1", 6, 5, [codecs.ENCODERS["BC1"](flat)], (), 3)
+    rows = codecs.texture_pixels(spark.createDataFrame([("t", bytearray(data))], "path string, content binary"))
+    assert rows.count() == 30 and rows.where("r <> 255 or g <> 0 or a <> 255").count() == 0
+    with pytest.raises(ValueError):
+        codecs.decode("ASTC4x4", b"", 4, 4)
+
+
+def test_level_validation(spark):
+    from gridweave.operators import textures
+
+    rows = spark.createDataFrame([("a", "BC1", 8, 8, [(0, 32), (1, 8), (2, 8)]), ("b", "BC1", 8, 8, [(0, 31)])], "path string, format string, width int, height int, levels array<struct<mip:int,length:bigint>>")
+    assert {r["path"]: r["valid"] for r in textures.valid_levels(textures.with_format(rows)).collect()} == {"a": True, "b": False}
