@@ -5,7 +5,9 @@ Events are rows (event_id, track..., name, ts, dur, detail); times are integer m
 
 from __future__ import annotations
 
-import pandas as pd
+import itertools
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,40 +42,73 @@ def decode(events: DataFrame) -> DataFrame:
     return typed.withColumn("detail", detail).drop("args")
 
 
-def islands(events: DataFrame, tracks: list[str]) -> DataFrame:
-    """Adds `island`: events of a track between two moments that no event spans. Nesting never crosses one, so each can be swept by itself."""
-    order = Window.partitionBy(*tracks).orderBy("ts", F.desc("dur"))
+#: Rows of a track after which the next island may go to another task.
+STRETCH = 50_000
+
+
+def stretches(events: DataFrame, tracks: list[str]) -> DataFrame:
+    """Adds `stretch` and `island`. An island is a run of events of a track between two moments that no event spans; nesting never
+    crosses one. A stretch is a run of islands, about STRETCH events or one island long, so a busy track is swept by many tasks.
+    """
+    order = Window.partitionBy(*tracks).orderBy("ts", F.desc("dur"), F.desc("event_id"))
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
     reach = F.max(F.col("ts") + F.col("dur")).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    marked = events.withColumn("__new", F.coalesce((F.col("ts") > reach).cast("int"), F.lit(1)))
-    return marked.withColumn("island", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
-
-
-def _sweep(group: pd.DataFrame) -> pd.DataFrame:
-    group = group.sort_values(["ts", "dur", "event_id"], ascending=[True, False, False], kind="stable")
-    stack: list[tuple[int, int]] = []  # (end, place)
-    ids, ends = group["event_id"].tolist(), (group["ts"] + group["dur"]).tolist()
-    names, details = group["name"].tolist(), group["detail"].tolist()
-    parents, depths, lines = [], [], []
-    for k, end in enumerate(ends):
-        while stack and stack[-1][0] < end:
-            stack.pop()
-        parents.append(ids[stack[-1][1]] if stack else None)
-        depths.append(len(stack))
-        lines.append([{"id": ids[p], "name": names[p], "detail": details[p]} for _, p in reversed(stack)])
-        stack.append((end, k))
-    return group.assign(parent_id=pd.array(parents, "Int64"), depth=depths, ancestors=lines)
+    marked = events.withColumn("__row", F.row_number().over(order)).withColumn("__new", F.coalesce(F.col("ts") > reach, F.lit(True)))
+    marked = marked.withColumn("island", F.max(F.when(F.col("__new"), F.col("__row"))).over(so_far).cast("bigint"))
+    return marked.withColumn("stretch", F.expr(f"island div {STRETCH}")).drop("__row", "__new")
+
+
+class Sweep:
+    """Finds for events (group, end, item), in order of group, start, longest first and latest id first, the items that hold them."""
+
+    def __init__(self):
+        self.stack, self.group = [], None
+
+    def holders(self, group, end, item) -> list:
+        """Outermost first."""
+        if group != self.group:
+            self.stack, self.group = [], group
+        while self.stack and self.stack[-1][0] < end:
+            self.stack.pop()
+        found = [x for _, x in self.stack]
+        self.stack.append((end, item))
+        return found
+
+
+_HOLDER = pa.struct([("id", pa.int64()), ("name", pa.string()), ("detail", pa.string())])
+
+
+def _sweeper(tracks: int):
+    def run(batches):
+        state = Sweep()  # goes from batch to batch
+        for batch in batches:
+            columns = [batch.column(k).to_pylist() for k in range(tracks + 6)]
+            groups = list(zip(*columns[:tracks], columns[tracks + 5], strict=True))
+            ids, names, details, ts, dur = columns[tracks : tracks + 5]
+            lines = [state.holders(g, t + d, item) for g, t, d, item in zip(groups, ts, dur, zip(ids, names, details, strict=True), strict=True)]
+            flat = [x for line in lines for x in reversed(line)]  # nearest first
+            part = list(zip(*flat, strict=True)) if flat else [[], [], []]
+            holders = pa.StructArray.from_arrays([pa.array(part[0], pa.int64()), pa.array(part[1], pa.string()), pa.array(part[2], pa.string())], fields=list(_HOLDER))
+            depth = [len(x) for x in lines]
+            offsets = pa.array([0, *itertools.accumulate(depth)], pa.int32())
+            parents = pa.array([x[-1][0] if x else None for x in lines], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(tracks + 5)), parents, pa.array(depth, pa.int32()), pa.ListArray.from_arrays(offsets, holders)], [*batch.schema.names[: tracks + 5], "parent_id", "depth", "ancestors"])
+
+    return run
 
 
 def nest(events: DataFrame, tracks: list[str]) -> DataFrame:
     """Adds parent_id, depth and ancestors (nearest first) by containment, inclusive at both ends.
 
-    Siblings are ordered by start, then longest, then latest id. An event's parent is the innermost earlier event that holds it.
+    Siblings are ordered by start, then longest, then latest id. An event's parent is the innermost earlier event that holds it. Rows
+    stream through the sweep in order; it keeps the open events only.
     """
     columns = [*tracks, "event_id", "name", "detail", "ts", "dur"]
     schema = ", ".join(f"`{c}` {events.schema[c].dataType.simpleString()}" for c in columns)
-    schema += ", island bigint, parent_id bigint, depth int, ancestors array<struct<id:bigint,name:string,detail:string>>"
-    found = islands(events.select(*columns), tracks).groupBy(*tracks, "island").applyInPandas(_sweep, schema)
-    return found.drop("island")
+    schema += ", parent_id bigint, depth int, ancestors array<struct<id:bigint,name:string,detail:string>>"
+    rows = stretches(events.select(*columns).withColumn("event_id", F.col("event_id").cast("bigint")), tracks)
+    ordered = rows.repartition(*tracks, "stretch").sortWithinPartitions(*tracks, "island", "ts", F.desc("dur"), F.desc("event_id"))
+    return ordered.select(*columns, "island").mapInArrow(_sweeper(len(tracks)), schema.replace(f"`event_id` {events.schema['event_id'].dataType.simpleString()}", "`event_id` bigint"))
 
 
 def nest_by_join(events: DataFrame, tracks: list[str]) -> DataFrame:

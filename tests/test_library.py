@@ -54,16 +54,13 @@ def test_header_report(spark, events):
 @settings(max_examples=15, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 12), st.integers(0, 8)), min_size=1, max_size=12))
 def test_sweep_gives_innermost_container(intervals):
-    import pandas as pd
-
-    group = pd.DataFrame({"event_id": range(len(intervals)), "name": "n", "detail": "", "ts": [a for a, _ in intervals], "dur": [b for _, b in intervals]})
-    out = trace._sweep(group)
-    order = out["event_id"].tolist()
-    rank = {e: k for k, e in enumerate(order)}
-    for e, parent in zip(out["event_id"], out["parent_id"], strict=True):
+    order = sorted(range(len(intervals)), key=lambda e: (intervals[e][0], -intervals[e][1], -e))
+    state = trace.Sweep()
+    for k, e in enumerate(order):
         ts, dur = intervals[e]
-        holders = [p for p in order if rank[p] < rank[e] and intervals[p][0] <= ts and ts + dur <= sum(intervals[p])]
-        assert (None if pd.isna(parent) else parent) == (max(holders, key=rank.get) if holders else None)
+        found = state.holders(0, ts + dur, e)
+        holders = [p for p in order[:k] if intervals[p][0] <= ts and ts + dur <= sum(intervals[p])]
+        assert (found[-1] if found else None) == (holders[-1] if holders else None)
 
 
 @pytest.mark.parametrize("name, expected", [("f<int>", "f<$>"), ("f<v<int>>::g<a>", "f<$>::g<$>"), ("operator<", "operator<"), ("a<b", "a<b"), ("a>b<", "a>b<"), ("plain", "plain"), ("", "")])
