@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridweave.llm import decontamination, exact_dedup, language, near_dedup, packing
-from gridweave.llm._common import materialise, read_table, release
+from gridweave.llm._common import materialise, read_table, stage_tables
 
 #: With four languages, a pooled probability below this is close to no answer at all.
 MIN_SCORE = 0.3
@@ -26,32 +26,32 @@ TOKENIZER = "byte_bpe_50k.json"
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    release()  # what earlier stages wrote for themselves is no longer read
-    model = language.train(docs.where(language.training_fold()).select("text", "lang"))
-    judged = language.predict(docs, model, {c: F.col(c) for c in docs.columns}, out=("__lang", "__score"))
-    return judged.where((F.col("__lang") != language.UNKNOWN) & (F.col("__score") >= MIN_SCORE)).select(*docs.columns)
+    with stage_tables(first=True):
+        model = language.train(docs.where(language.training_fold()).select("text", "lang"))
+        judged = language.predict(docs, model, {c: F.col(c) for c in docs.columns}, out=("__lang", "__score"))
+        return judged.where((F.col("__lang") != language.UNKNOWN) & (F.col("__score") >= MIN_SCORE)).select(*docs.columns)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    release()
-    return exact_dedup.dedup(docs)
+    with stage_tables():
+        return exact_dedup.dedup(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    release()
-    return near_dedup.dedup(docs, NEAR_PERCENT)
+    with stage_tables():
+        return near_dedup.dedup(docs, NEAR_PERCENT)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    release()
-    found = decontamination.contamination(docs, read_table(spark, sf_dir, "benchmark"))
-    gone = found.where("n_hit > 0 and doc_id is not null").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    with stage_tables():
+        found = decontamination.contamination(docs, read_table(spark, sf_dir, "benchmark"))
+        gone = found.where("n_hit > 0 and doc_id is not null").select(F.col("doc_id").alias("__gone")).distinct()
+        return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    release()
-    return packing.pack(docs, public_tokenizers.path(TOKENIZER))
+    with stage_tables():
+        return packing.pack(docs, public_tokenizers.path(TOKENIZER))
 
 
 STAGES = [

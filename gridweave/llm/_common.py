@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -16,6 +17,8 @@ SPACES = b" \t\n\x0b\x0c\r"
 
 _written: list[tuple[SparkSession, str]] = []
 _pinned: list[tuple[SparkSession, str]] = []
+_stage: list[tuple[SparkSession, str]] = []
+_current = _written
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,13 +38,12 @@ def materialise(df: DataFrame, label: str, pinned: bool = False) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/gridweave/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    (_pinned if pinned else _written).append((spark, path))
+    (_pinned if pinned else _current).append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(tables: list | None = None) -> None:
-    """Deletes every table that materialise() has written so far, but for pinned ones."""
-    tables = _written if tables is None else tables
+def release(tables: list) -> None:
+    """Deletes tables that materialise() has written."""
     while tables:
         spark, path = tables.pop()
         jvm = spark.sparkContext._jvm
@@ -50,10 +52,26 @@ def release(tables: list | None = None) -> None:
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+@contextlib.contextmanager
+def stage_tables(first: bool = False):
+    """For a stage of a pipeline: drops what the stage before wrote for itself, as its result is written by now; a first stage drops nothing."""
+    global _current
+    if first:
+        _pinned.extend(_stage)
+        _stage.clear()
+    else:
+        release(_stage)
+    _current = _stage
+    try:
+        yield
+    finally:
+        _current = _written
+
+
 def _at_exit() -> None:
     try:
-        release()
-        release(_pinned)
+        for tables in (_written, _pinned, _stage):
+            release(tables)
     except Exception:  # the JVM may have gone first
         _written.clear()
 
