@@ -191,7 +191,9 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> ByteGru | None:
     return ByteGru(labels).fit(codes, target)
 
 
-def _predictor(shared):
+def _predictor(shared, drop: tuple[int, ...]):
+    """Columns 1 and 2 are the text and whether it has letters; those in `drop` are not returned."""
+
     def run(batches):
         model = shared.value
         for batch in batches:
@@ -207,23 +209,25 @@ def _predictor(shared):
                 names += [model.labels[k] if t else UNKNOWN for k, t in zip(best.tolist(), texts[i:j], strict=True)]
                 scores += [float(p[k]) if t else 0.0 for p, k, t in zip(found, best, texts[i:j], strict=True)]
                 i = j
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(batch.columns)) if k not in (1, 2)), pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*(n for k, n in enumerate(batch.schema.names) if k not in (1, 2)), "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(batch.columns)) if k not in drop), pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*(n for k, n in enumerate(batch.schema.names) if k not in drop), "lang_pred", "score"])
 
     return run
 
 
 def predict(docs: DataFrame, model: ByteGru | None, keep: dict[str, Column], text_col: str = "text", out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """The columns `keep` of docs, then the predicted language and its probability, named by `out`."""
+    """The columns `keep` of docs, then the predicted language and its probability, named by `out`. keep[text_col], if given, is the text itself."""
     text = F.col(text_col)
-    names = list(keep)
-    rows = docs.select(*(c.alias(f"k{i}") for i, c in enumerate(keep.values())), text.alias("__text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("__letters"))
+    at = {n: "__text" if n == text_col else f"k{i}" for i, n in enumerate(keep)}
+    others = [(at[n], c) for n, c in keep.items() if n != text_col]
+    first, rest = (others[:1] or [("__none", F.lit(None).cast("int"))])[0], others[1:]
+    letters = F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
+    rows = docs.select(first[1].alias(first[0]), text.alias("__text"), letters.alias("__letters"), *(c.alias(k) for k, c in rest))
     if model is None:
-        return rows.select(*(F.col(f"k{i}").alias(n) for i, n in enumerate(names)), F.lit(UNKNOWN).alias(out[0]), F.lit(0.0).alias(out[1]))
-    kept = [f"k{i}" for i in range(len(names))]
-    rows = rows.select(*kept[:1], "__text", "__letters", *kept[1:])
-    schema = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in kept) + ", lang_pred string, score double"
-    found = rows.mapInArrow(_predictor(docs.sparkSession.sparkContext.broadcast(model)), schema)
-    return found.select(*(F.col(k).alias(n) for k, n in zip(kept, names, strict=True)), F.col("lang_pred").alias(out[0]), F.col("score").alias(out[1]))
+        return rows.select(*(F.col(at[n]).alias(n) for n in keep), F.lit(UNKNOWN).alias(out[0]), F.lit(0.0).alias(out[1]))
+    drop = (2,) if text_col in keep else (1, 2)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for k, f in enumerate(rows.schema.fields) if k not in drop) + ", lang_pred string, score double"
+    found = rows.mapInArrow(_predictor(docs.sparkSession.sparkContext.broadcast(model), drop), schema)
+    return found.select(*(F.col(at[n]).alias(n) for n in keep), F.col("lang_pred").alias(out[0]), F.col("score").alias(out[1]))
 
 
 def training_fold(id_col: str = "doc_id") -> Column:
