@@ -161,11 +161,13 @@ def powers_of_two(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", "p_size", (s.bitwiseAND(s - 1) == 0).alias("pow2"), F.pow(F.lit(2.0), F.ceil(F.log2(s.cast("double")))).cast("bigint").alias("next"))
 
 
-@query(None)
+@query(f"""WITH p AS {_P}, d AS (SELECT a.image_id, a.y, a.x, coalesce(min(CASE WHEN b.r > 127 THEN (a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x) END), 516) AS near, coalesce(min(CASE WHEN b.r <= 127 THEN (a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x) END), 516) AS far
+FROM p a JOIN p b ON a.image_id = b.image_id GROUP BY 1, 2, 3)
+SELECT image_id, y, x, CAST(least(greatest(round_even(128 - 127 * least(greatest((sqrt(near) - sqrt(far)) / 4, -1), 1), 0), 0), 255) AS INTEGER) AS distance FROM d""")
 def distance_field(spark, sf_dir):
     return image.distance_field(pixels(spark, sf_dir), "r")
 
 
-@query(None)
+@query(f"SELECT image_id, y, x, CAST((x & 1) | ((y & 1) << 1) | ((x & 2) << 1) | ((y & 2) << 2) | ((x & 4) << 2) | ((y & 4) << 3) AS BIGINT) AS at FROM {_P}")
 def morton_order(spark, sf_dir):
     return pixels(spark, sf_dir).select("image_id", "y", "x", image.morton(F.col("x"), F.col("y"), 3).alias("at"))
