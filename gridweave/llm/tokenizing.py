@@ -21,7 +21,7 @@ import numpy as np
 from tokenizers import Tokenizer
 
 #: Bounds of the caches: entries, not bytes; entries are short (a word and its ids).
-MAX_PIECES, MAX_TOKENS, MAX_LENGTH = 500_000, 800_000, 64
+MAX_PIECES, MAX_TOKENS, MAX_LENGTH = 300_000, 450_000, 64
 
 _ASCII_SPACE = re.compile(r"[ \t\n\x0b\x0c\r]+")
 _ODD_SPACE = re.compile(r"\s\s|^\s|\s$")
