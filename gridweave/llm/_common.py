@@ -1,84 +1,17 @@
-"""Shared pieces: the scratch folder that all executors see, and a vectorised word lexer."""
+"""Shared pieces: reading of tables, and a vectorised word lexer."""
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import materialise, release, shared_dir, stage_tables  # noqa: F401  the operators take them from here
+
 #: White space of the contracts: blank, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = b" \t\n\x0b\x0c\r"
 
-_written: list[tuple[SparkSession, str]] = []
-_pinned: list[tuple[SparkSession, str]] = []
-_stage: list[tuple[SparkSession, str]] = []
-_current = _written
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset (local runs)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        context = spark.sparkContext
-        found = context.getCheckpointDir()
-        if not found:
-            found = "file://" + tempfile.mkdtemp(prefix="gridweave-")
-            context.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def materialise(df: DataFrame, label: str, pinned: bool = False) -> DataFrame:
-    """Writes df as Parquet in the shared folder and returns a reader of it: lineage ends here. pinned: kept until the end."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/gridweave/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    (_pinned if pinned else _current).append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(tables: list) -> None:
-    """Deletes tables that materialise() has written."""
-    while tables:
-        spark, path = tables.pop()
-        jvm = spark.sparkContext._jvm
-        if jvm is not None:
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-@contextlib.contextmanager
-def stage_tables(first: bool = False):
-    """For a stage of a pipeline: drops what the stage before wrote for itself, as its result is written by now; a first stage drops nothing."""
-    global _current
-    if first:
-        _pinned.extend(_stage)
-        _stage.clear()
-    else:
-        release(_stage)
-    _current = _stage
-    try:
-        yield
-    finally:
-        _current = _written
-
-
-def _at_exit() -> None:
-    try:
-        for tables in (_written, _pinned, _stage):
-            release(tables)
-    except Exception:  # the JVM may have gone first
-        _written.clear()
-
-
-atexit.register(_at_exit)
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

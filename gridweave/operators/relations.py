@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import materialise
+
 
 def changes(old: DataFrame, new: DataFrame, key: str, stamp: str) -> DataFrame:
     """(key, state): same, changed, missing (only old) or added (only new)."""
@@ -69,16 +71,24 @@ def steps(rows: DataFrame, group: list[str], order: list[str], name: str, circul
 
 
 def ancestors(nodes: DataFrame, node: str, parent: str) -> DataFrame:
-    """(node, ancestor, steps) along parent links, level by level; levels are the depth of the tree."""
-    spark = nodes.sparkSession
-    links = nodes.select(F.col(node).alias("node"), F.col(parent).alias("parent")).where("parent is not null")
-    links.createOrReplaceTempView("__links")
-    return spark.sql("""
-        WITH RECURSIVE up(node, ancestor, steps) AS (
-            SELECT node, parent, 1 FROM __links
-            UNION ALL
-            SELECT up.node, l.parent, up.steps + 1 FROM up JOIN __links l ON up.ancestor = l.node)
-        SELECT node, ancestor, steps FROM up""")
+    """(node, ancestor, steps) along parent links, over written tables; neither rows nor depth have a cap. A cycle is an error.
+
+    Round k knows all walks of at most 2^k steps, and those of exactly 2^k as pointers. Following a pointer from the end of each
+    known walk gives the walks of up to twice the steps, each once, so rounds grow with the logarithm of the depth.
+    """
+    links = nodes.select(F.col(node).alias("node"), F.col(parent).alias("ancestor")).where("ancestor is not null")
+    pointers = materialise(links, "links")
+    known, more, reach = pointers.withColumn("steps", F.lit(1)), pointers, 1
+    while True:
+        if more.where("node = ancestor").limit(1).count():  # every cycle leads a node back to itself
+            raise ValueError("the parent links hold a cycle")
+        ends = pointers.select(F.col("node").alias("end"), F.col("ancestor").alias("above"))
+        more = known.join(ends, F.col("ancestor") == F.col("end")).select("node", F.col("above").alias("ancestor"), (F.col("steps") + reach).alias("steps"))
+        more = materialise(more, "walks")
+        pointers = more.where(F.col("steps") == 2 * reach).select("node", "ancestor")
+        known, reach = known.unionByName(more), 2 * reach
+        if not more.limit(1).count():
+            return known
 
 
 def relink(edges: DataFrame, nodes: DataFrame, children: str, node: str) -> DataFrame:

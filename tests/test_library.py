@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from gridweave.functions import hashing, strings, vectors
-from gridweave.operators import image, memory, trace
+from gridweave.operators import image, memory, relations, trace
 from gridweave.sinks import reports
 from gridweave.sources import archives, containers, documents
 from gridweave.streaming import traces
@@ -243,3 +243,25 @@ def test_level_validation(spark):
 
     rows = spark.createDataFrame([("a", "BC1", 8, 8, [(0, 32), (1, 8), (2, 8)]), ("b", "BC1", 8, 8, [(0, 31)])], "path string, format string, width int, height int, levels array<struct<mip:int,length:bigint>>")
     assert {r["path"]: r["valid"] for r in textures.valid_levels(textures.with_format(rows)).collect()} == {"a": True, "b": False}
+
+
+def test_ancestors_of_deep_and_wide_trees(spark):
+    chain = spark.range(150).selectExpr("id as node", "case when id > 0 then id - 1 end as parent")
+    got = relations.ancestors(chain, "node", "parent")
+    assert got.count() == got.distinct().count() == 150 * 149 // 2
+    assert not got.where("node - ancestor <> steps").limit(1).count()
+    n, depth = 120_000, lambda i: 0 if i == 0 else 1 + depth((i - 1) // 3)
+    wide = spark.range(n).selectExpr("id as node", "case when id > 0 then (id - 1) div 3 end as parent")
+    assert relations.ancestors(wide, "node", "parent").count() == sum(map(depth, range(n))) > 1_000_000
+
+
+def test_ancestors_of_several_parents_and_cycles(spark):
+    rows = lambda *x: spark.createDataFrame(list(x), "node bigint, parent bigint")
+    diamond = relations.ancestors(rows((1, None), (2, 1), (3, 1), (4, 2), (4, 3), (None, 4), (5, 99)), "node", "parent")
+    named = sorted(map(tuple, diamond.where("node is not null").collect()))
+    assert named == [(2, 1, 1), (3, 1, 1), (4, 1, 2), (4, 1, 2), (4, 2, 1), (4, 3, 1), (5, 99, 1)]
+    assert sorted(map(tuple, diamond.where("node is null").select("ancestor", "steps").collect())) == [(1, 3), (1, 3), (2, 2), (3, 2), (4, 1)]
+    assert not relations.ancestors(rows((1, None)), "node", "parent").count()
+    for cycle in ([(7, 7)], [(1, 2), (2, 3), (3, 1), (4, 1)]):
+        with pytest.raises(ValueError, match="cycle"):
+            relations.ancestors(rows(*cycle), "node", "parent")
