@@ -4,9 +4,9 @@ Each stage is (spark, docs, sf_dir) -> DataFrame. It works on all that its prede
 `documents`. Nulls, empty texts, repeated rows, extra columns and empty tables follow the operators' own docstrings:
 
 - language: documents without any letter (null included) are rejected, and those whose pooled probability is below MIN_SCORE; clean texts stay.
-- exact: of equal texts the row with the smallest id stays.
-- near: of each component of similarity NEAR_PERCENT or more over five-word shingles the smallest id stays.
-- decontaminate: documents that hold a benchmark window are dropped; rows without an id are never dropped by id.
+- exact: of equal texts the row with the smallest id stays; of rows that repeat it too, one.
+- near: of each component of similarity NEAR_PERCENT or more over five-word shingles one row stays, that with the smallest id.
+- decontaminate: rows that hold a benchmark window are dropped, with or without an id; other rows of the same id stay.
 - pack: one row per piece of a document, with its sequence and place.
 """
 
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridweave.llm import decontamination, exact_dedup, language, near_dedup, packing
-from gridweave.llm._common import materialise, read_table, stage_tables
+from gridweave.llm._common import materialise, numbered, read_table, stage_tables
 
 #: With four languages, a pooled probability below this is close to no answer at all.
 MIN_SCORE = 0.3
@@ -44,9 +44,9 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     with stage_tables():
-        found = decontamination.contamination(docs, read_table(spark, sf_dir, "benchmark"))
-        gone = found.where("n_hit > 0 and doc_id is not null").select(F.col("doc_id").alias("__gone")).distinct()
-        return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+        rows, row = numbered(docs)
+        found = decontamination.contamination(rows, read_table(spark, sf_dir, "benchmark"), id_col=row)
+        return rows.join(found.where("n_hit > 0").select(F.col("doc_id").alias(row)), row, "left_anti").select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,8 +9,8 @@
    Those with two rows or more are broadcast (at most 1/support rows) and resolve their rows on the map side.
 4. All other rows are shuffled by digest; none of these groups exceeds `support` of the rows.
 
-Ties: the smallest id stays. Rows that repeat an id are kept as rows of their own, and the one
-that stays is named by the id alone. A null id counts as the largest. An empty table gives an empty result.
+Ties: the smallest id stays. Rows that repeat an id are rows of their own; groups() names the one
+that stays by the id alone, dedup() keeps one row of each digest. A null id counts as the largest. An empty table gives an empty result.
 Columns of the input other than the id and the text are not touched.
 """
 
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import materialise, read_table
+from ._common import materialise, numbered, read_table
 
 #: Share of the rows from which a group of copies is resolved on the map side.
 SUPPORT = 1 / 1000
@@ -55,9 +55,11 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", supp
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns; a row without an id always stays."""
-    gone = groups(docs, id_col, text_col).where(F.col("id") != F.col("keep_id")).select(F.col("id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    """The rows of docs that stay, one of each digest, with all their columns: that of the smallest id, of equal ids any one."""
+    rows, row = numbered(docs)
+    keyed = rows.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(row).alias("row")).alias("key"), F.col(text_col).alias("text"))
+    gone = groups(keyed, "key", "text").where("id.row <> keep_id.row").select(F.col("id.row").alias(row))
+    return rows.join(gone, row, "left_anti").select(*docs.columns)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

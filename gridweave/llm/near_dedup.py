@@ -13,7 +13,7 @@
 
 Words are runs of characters other than ASCII white space, A-Z lower-cased. A set: distinct shingles of SIZE words; of fewer words the whole
 sequence; without words (or null) empty, linked with nothing, a component of its own. Repeated rows and ties are copies: the smallest id stays.
-Rows that share an id are one node. A null id is a component without a number. An empty table gives an empty result.
+In near_duplicates() rows that share an id are one node, and a null id is a component without a number; dedup() decides by row. An empty table gives an empty result.
 Sets hold 64-bit hashes; two of n shingles collide with probability n*n/2**65.
 """
 
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import PLACE, SPACES, Lexer, materialise, mix, read_table, text_bytes, windows
+from ._common import PLACE, SPACES, Lexer, materialise, mix, numbered, read_table, text_bytes, windows
 from .components import components
 
 SIZE = 5
@@ -235,9 +235,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SIZE, k
 
 
 def dedup(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, one document of each component, with all their columns; a row without an id always stays."""
-    gone = near_duplicates(docs, percent, id_col=id_col, text_col=text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    """The rows of docs that stay, one of each component of rows, with all their columns: that of the smallest id (null is the largest), of equal ids any one."""
+    rows, row = numbered(docs)
+    found = near_duplicates(rows, percent, id_col=row, text_col=text_col).select(F.col("doc_id").alias("row"), "component_id")
+    ids = rows.select(F.col(row).alias("row"), F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"))
+    kept = found.join(ids, "row").groupBy("component_id").agg(F.min(F.struct("none", "id", "row")).alias("kept")).select(F.col("kept.row").alias(row))
+    return rows.join(kept, row, "left_semi").select(*docs.columns)
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

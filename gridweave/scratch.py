@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
 _pinned: list[tuple[SparkSession, str]] = []
@@ -36,6 +37,14 @@ def materialise(df: DataFrame, label: str, pinned: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, str]:
+    """df, written, with a number of each row, and the name of that column: decisions about rows that an id need not tell apart."""
+    name = "__row"
+    while name in df.columns:
+        name += "_"
+    return materialise(df.withColumn(name, F.monotonically_increasing_id()), "rows"), name
+
+
 def release(tables: list) -> None:
     """Deletes tables that materialise() has written."""
     while tables:
