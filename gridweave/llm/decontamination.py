@@ -6,7 +6,7 @@ phrase in the shard, shift its list by the term's place, and intersect it with t
 other terms, rarest first; the same lists answer proximity queries. Nothing is shuffled: a shard answers all phrases.
 
 The test items are a stated query set. They are read in blocks of at most BLOCK_BYTES of text, so a broadcast has
-that bound whatever the set's size.
+that bound whatever the set's size; a single item longer than that is a block of its own.
 
 A window is `window` consecutive item words; an item of fewer words, but not none, is one window. Null or wordless documents
 have no words and no hits; null or wordless items match nothing; repeated rows are judged one by one; an item without an id is named by the empty string.
@@ -216,16 +216,30 @@ def _union(batches):
         yield pa.RecordBatch.from_pydict(rows, batch.schema)
 
 
+def _dealt(rows: DataFrame, salt: int = 0):
+    """Lists of (item, text) of at most BLOCK_BYTES, or of one item; every size is known before its rows are collected."""
+    size = F.octet_length("item") + F.octet_length("text") + 16
+    n = max(1, ceil((rows.agg(F.sum(size)).first()[0] or 0) / (BLOCK_BYTES / 2)))
+    group = F.pmod(F.xxhash64("item", "text", F.lit(salt)), F.lit(n))
+    for k, count, total in sorted(map(tuple, rows.groupBy(group.alias("k")).agg(F.count("*"), F.sum(size)).collect())):
+        own = rows.where(group == k)
+        if total > BLOCK_BYTES and count > 1:
+            yield from _dealt(own, salt + 1)
+        else:
+            yield [(r["item"], r["text"]) for r in own.collect()]
+
+
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Per document: (doc_id, n_words, n_hit, items, starts, ends); starts and ends are disjoint spans of hit words."""
     spark, index = docs.sparkSession, build_index(docs, id_col, text_col)
     chosen = items.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
-    size = chosen.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    n, found = max(1, ceil(size / (BLOCK_BYTES / 2))), None
-    for k in range(n):
-        block = [(r["item"], r["text"]) for r in chosen.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).collect()]
+    n, found = 0, None
+    for block in _dealt(materialise(chosen.distinct(), "items")):
+        n += 1
         answers = index.mapInArrow(_query(spark.sparkContext.broadcast((block, item_windows(block, window)))), _MATCHES)
         found = answers if found is None else found.unionByName(answers)
+    if found is None:  # no items
+        found = index.mapInArrow(_query(spark.sparkContext.broadcast(([], []))), _MATCHES)
     if n > 1:
         found = found.groupBy("shard", "ordinal").agg(
             F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.max("n_hit").alias("n_hit"),
