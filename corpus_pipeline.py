@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridweave.llm import decontamination, exact_dedup, language, near_dedup, packing
-from gridweave.llm._common import materialise, numbered, read_table, stage_tables
+from gridweave.llm._common import free_name, materialise, numbered, quoted, quotes, read_table, stage_tables
 
 #: With four languages, a pooled probability below this is close to no answer at all.
 MIN_SCORE = 0.3
@@ -28,9 +28,10 @@ TOKENIZER = "byte_bpe_50k.json"
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     with stage_tables(first=True):
-        model = language.train(docs.where(language.training_fold()).select("text", "lang"))
-        judged = language.predict(docs, model, {c: F.col(c) for c in docs.columns}, out=("__lang", "__score"))
-        return judged.where((F.col("__lang") != language.UNKNOWN) & (F.col("__score") >= MIN_SCORE)).select(*docs.columns)
+        model = language.train(docs.where(language.training_fold()).select("text", "lang", F.col("doc_id").alias("id")))
+        lang, score = free_name(docs, "__lang"), free_name(docs, "__score")
+        judged = language.predict(docs, model, {c: F.col(quoted(c)) for c in docs.columns}, out=(lang, score))
+        return judged.where((F.col(lang) != language.UNKNOWN) & (F.col(score) >= MIN_SCORE)).select(*quotes(docs))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +48,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     with stage_tables():
         rows, row = numbered(docs)
         found = decontamination.contamination(rows, read_table(spark, sf_dir, "benchmark"), id_col=row)
-        return rows.join(found.where("n_hit > 0").select(F.col("doc_id").alias(row)), row, "left_anti").select(*docs.columns)
+        return rows.join(found.where("n_hit > 0").select(F.col("doc_id").alias(row)), row, "left_anti").select(*quotes(docs))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
