@@ -3,7 +3,7 @@
 1. Each text is normalised (runs of white space become one blank; null counts as empty) and hashed
    with SHA-256; (id, digest) is written once, so the texts are scanned once.
 2. Misra-Gries counters find candidate digests of frequent texts: Spark's freqItems is that
-   algorithm, with mergeable counters per partition. Every digest with more than `support` of the rows is
+   algorithm, with mergeable counters per partition, here over 64-bit hashes of digests. Every digest with more than `support` of the rows is
    among its at most 1/support candidates, whatever the input's size.
 3. Candidates are verified: their exact counts and smallest ids come from one map-side aggregate.
    Those with two rows or more are broadcast (at most 1/support rows) and resolve their rows on the map side.
@@ -19,7 +19,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import materialise, numbered, read_table
+from ._common import materialise, numbered, quoted, quotes, read_table
+from .heavy import heavy_hashes
 
 #: Share of the rows from which a group of copies is resolved on the map side.
 SUPPORT = 1 / 1000
@@ -38,9 +39,9 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: float = SUPPORT) -> DataFrame:
     """(id, digest, keep_id, group_size): one row per input row."""
     rows = materialise(digests(docs, id_col, text_col).withColumn("digest", F.unhex("digest")), "digests")
-    candidates = rows.freqItems(["digest"], support).select(F.explode("digest_freqItems").alias("digest"))
+    candidates = heavy_hashes(rows, "digest", "h", support)
     heavy = (
-        rows.join(F.broadcast(candidates), "digest", "left_semi")
+        rows.join(F.broadcast(candidates), F.xxhash64("digest") == F.col("h"), "left_semi")
         .groupBy("digest")
         .agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size"))
         .where("group_size > 1")
@@ -57,9 +58,9 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", supp
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, one of each digest, with all their columns: that of the smallest id, of equal ids any one."""
     rows, row = numbered(docs)
-    keyed = rows.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(row).alias("row")).alias("key"), F.col(text_col).alias("text"))
+    keyed = rows.select(F.struct(F.col(quoted(id_col)).isNull().alias("none"), F.col(quoted(id_col)).alias("id"), F.col(row).alias("row")).alias("key"), F.col(quoted(text_col)).alias("text"))
     gone = groups(keyed, "key", "text").where("id.row <> keep_id.row").select(F.col("id.row").alias(row))
-    return rows.join(gone, row, "left_anti").select(*docs.columns)
+    return rows.join(gone, row, "left_anti").select(*quotes(docs))
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +68,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"),
         "keep_id",
         "group_size",
-        (F.col("id") == F.col("keep_id")).alias("kept"),
+        F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
 

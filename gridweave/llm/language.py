@@ -1,13 +1,15 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
 The network reads the UTF-8 bytes of a text in both directions, labels every position with language probabilities, and pools
-them over the document. It is trained in numpy by backpropagation through time, on the driver, on at most
-SAMPLE labelled documents with PIECES pieces of LENGTH bytes each, taken at random places. Prediction covers every byte of every text:
-texts are cut into rows of LENGTH bytes, which share the recurrent state of nothing outside the row, and all
-positions' log-probabilities are averaged into the document's.
+them over the document. Texts are read in rows of up to CORE bytes with CONTEXT more on either side, from which the state of both directions comes; each
+byte is labelled once, in the row whose core it is in, and every byte of every text is read. The positions' log-probabilities are averaged.
+
+It is trained in numpy by backpropagation through time, on the driver, on at most SAMPLE labelled documents of at most SAMPLE_BYTES in all,
+those of the smallest hash of text and id. Sampled texts are read whole (of texts above WHOLE bytes, runs of WHOLE bytes in all). One in five
+of them is kept from the fit: with pieces of these, of many lengths, the score is calibrated, as softmax(slope * min(bytes, reach) * mean log-probability).
 
 A text that is null or has no letter is `und` with score 0. Without labelled documents every text is `und`. Repeated rows get the same answer;
-an empty table gives an empty result. Very long texts are read in bounded blocks of rows.
+an empty table gives an empty result. Very long texts are read in bounded blocks of rows. Columns may have any names.
 """
 
 from __future__ import annotations
@@ -17,21 +19,24 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import crc_of_id, read_table
+from ._common import crc_of_id, quoted, read_table
 
 UNKNOWN = "und"
-#: Bounds of the fit and size of the network.
-SAMPLE, PIECES, LENGTH, HIDDEN, EMBED, EPOCHS, BATCH = 4_000, 4, 48, 8, 8, 6, 128
-#: Rows that prediction reads at once.
-BLOCK = 2048
-
-
-def sigmoid(x):
-    return 1 / (1 + np.exp(-x))
+#: Bounds of the fit: documents, bytes of all, bytes of one text that is read whole.
+SAMPLE, SAMPLE_BYTES, WHOLE = 1_500, 6 << 20, 256 << 10
+#: Size of the network, passes over the sample, rows of a step.
+HIDDEN, EMBED, EPOCHS, BATCH = 12, 12, 2, 128
+#: Bytes that a row labels, and bytes of context on either side of them.
+CORE, CONTEXT = 192, 32
+#: Rows that prediction reads at once, and the lengths that rows are filled up to.
+BLOCK, LENGTHS = 1024, (16, 32, 64, 128, CORE + 2 * CONTEXT)
 
 
 class ByteGru:
-    """Parameters and both passes. Directions are the first axis of all recurrent arrays: 0 forwards, 1 backwards."""
+    """Parameters and both passes. Directions are the first axis of all recurrent arrays: 0 forwards, 1 backwards.
+
+    Gates z, q and candidate c: s' = s + z * (c - s), c = tanh(x_c + q * (s @ u_c)), z and q = sigmoid(x + s @ u).
+    """
 
     def __init__(self, labels: list[str], hidden: int = HIDDEN, embed: int = EMBED, seed: int = 7):
         r = np.random.default_rng(seed)
@@ -39,11 +44,10 @@ class ByteGru:
         scale = lambda *s: (r.standard_normal(s) / np.sqrt(s[-2])).astype(np.float32)
         self.p = {
             "e": (r.standard_normal((257, embed)) * 0.5).astype(np.float32),  # row 256: no byte
-            "w": scale(2, embed, 3 * h), "b": np.zeros((2, 1, 3 * h), np.float32),
-            "u": scale(2, h, 2 * h), "v": scale(2, h, h),
+            "w": scale(2, embed, 3 * h), "b": np.zeros((2, 1, 3 * h), np.float32), "u": scale(2, h, 3 * h),
             "o": scale(2 * h, n), "c": np.zeros(n, np.float32),
         }
-        self.h = h
+        self.h, self.slope, self.reach = h, 1.0, 32
 
     def table(self) -> np.ndarray:
         """Input part of the gates for each byte, in each direction: (2, 257, 3h)."""
@@ -51,26 +55,30 @@ class ByteGru:
 
     def states(self, codes: np.ndarray, keep: bool = False):
         """codes: (rows, length) bytes or 256. States (2, length, rows, h); steps of direction 1 run from the end."""
-        rows, length = codes.shape
-        table, h, u, v = self.table(), self.h, self.p["u"], self.p["v"]
-        out = np.zeros((2, length, rows, h), np.float32)
+        (rows, length), h, u, table = codes.shape, self.h, self.p["u"], self.table()
+        steps = np.ascontiguousarray(codes.T)
+        out = np.empty((2, length, rows, h), np.float32)
         state, saved = np.zeros((2, rows, h), np.float32), []
-        for t in range(length):
-            x = np.stack((table[0].take(codes[:, t], 0), table[1].take(codes[:, length - 1 - t], 0)))
-            g = state @ u
-            g += x[..., : 2 * h]
-            np.negative(g, out=g)
-            np.exp(g, out=g)
-            g += 1
-            np.reciprocal(g, out=g)
-            z, q = g[..., :h], g[..., h:]
-            c = (q * state) @ v
-            c += x[..., 2 * h :]
-            np.tanh(c, out=c)
-            if keep:
-                saved.append((state, z, q, c))
-            state = state + z * (c - state)
-            out[:, t] = state
+        x, g = np.empty((2, rows, 3 * h), np.float32), np.empty((2, rows, 3 * h), np.float32)
+        gates, c = np.empty((2, rows, 2 * h), np.float32), np.empty((2, rows, h), np.float32)
+        with np.errstate(over="ignore"):
+            for t in range(length):
+                np.take(table[0], steps[t], 0, mode="clip", out=x[0])
+                np.take(table[1], steps[length - 1 - t], 0, mode="clip", out=x[1])
+                np.matmul(state, u, out=g)
+                np.add(x[..., : 2 * h], g[..., : 2 * h], out=gates)
+                np.negative(gates, out=gates)
+                np.exp(gates, out=gates)
+                gates += 1
+                np.reciprocal(gates, out=gates)
+                np.multiply(g[..., 2 * h :], gates[..., h:], out=c)
+                c += x[..., 2 * h :]
+                np.tanh(c, out=c)
+                if keep:
+                    saved.append((state, gates.copy(), g[..., 2 * h :].copy(), c.copy()))
+                c -= state
+                c *= gates[..., :h]
+                state = np.add(state, c, out=out[:, t])
         return (out, saved) if keep else out
 
     def log_probabilities(self, out: np.ndarray) -> np.ndarray:
@@ -80,10 +88,10 @@ class ByteGru:
         logits -= logits.max(-1, keepdims=True)
         return logits - np.log(np.exp(logits).sum(-1, keepdims=True))
 
-    def gradients(self, codes: np.ndarray, target: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean cross-entropy over positions that hold a byte, and its gradients by backpropagation through time."""
+    def gradients(self, codes: np.ndarray, target: np.ndarray, core: np.ndarray | None = None) -> tuple[float, dict[str, np.ndarray]]:
+        """Mean cross-entropy over positions that hold a byte, of the core if it is given as (rows, length) flags, and its gradients by backpropagation through time."""
         (out, saved), (rows, length), h, p = self.states(codes, keep=True), codes.shape, self.h, self.p
-        held = (codes.T < 256)[..., None].astype(np.float32)
+        held = ((codes.T < 256) if core is None else core.T)[..., None].astype(np.float32)
         logp = self.log_probabilities(out)
         n = max(held.sum(), 1.0)
         hot = np.eye(len(self.labels), dtype=np.float32)[target]
@@ -94,35 +102,40 @@ class ByteGru:
         g["o"][:h], g["o"][h:] = out[0].reshape(-1, h).T @ flat, out[1, ::-1].reshape(-1, h).T @ flat
         g["c"] = flat.sum(0)
         into = np.stack((d @ p["o"][:h].T, (d @ p["o"][h:].T)[::-1]))
-        table = np.zeros((2, 257, 3 * h), np.float32)
-        carry = np.zeros((2, rows, h), np.float32)
-        ut, vt = p["u"].transpose(0, 2, 1), p["v"].transpose(0, 2, 1)
+        inputs = np.empty((2, length, rows, 3 * h), np.float32)
+        carry, ut = np.zeros((2, rows, h), np.float32), np.ascontiguousarray(p["u"].transpose(0, 2, 1))
+        dg = np.empty((2, rows, 3 * h), np.float32)
         for t in range(length - 1, -1, -1):
-            state, z, q, c = saved[t]
+            state, gates, gc, c = saved[t]
+            z, q = gates[..., :h], gates[..., h:]
             ds = into[:, t] + carry
             dc = ds * z * (1 - c * c)
-            dqs = dc @ vt
-            dg = np.concatenate((ds * (c - state) * z * (1 - z), dqs * state * q * (1 - q)), -1)
-            g["v"] += (q * state).transpose(0, 2, 1) @ dc
+            inputs[:, t, :, :h] = dg[..., :h] = ds * (c - state) * z * (1 - z)
+            inputs[:, t, :, h : 2 * h] = dg[..., h : 2 * h] = dc * gc * q * (1 - q)
+            inputs[:, t, :, 2 * h :] = dc
+            dg[..., 2 * h :] = dc * q
             g["u"] += state.transpose(0, 2, 1) @ dg
-            carry = ds * (1 - z) + dqs * q + dg @ ut
-            full = np.concatenate((dg, dc), -1)
-            np.add.at(table[0], codes[:, t], full[0])
-            np.add.at(table[1], codes[:, length - 1 - t], full[1])
+            carry = ds * (1 - z) + dg @ ut
+        table = np.zeros((2, 257, 3 * h), np.float32)
+        for k, at in enumerate((codes.T, codes.T[::-1])):
+            order = np.argsort(at.ravel(), kind="stable")
+            byte, first = np.unique(at.ravel()[order], return_index=True)
+            table[k, byte] = np.add.reduceat(inputs[k].reshape(-1, 3 * h)[order], first)
         g["b"] = table.sum(1, keepdims=True)
         g["w"] = p["e"].T @ table
         g["e"] = (table @ p["w"].transpose(0, 2, 1)).sum(0)
         return float(loss), g
 
-    def fit(self, codes: np.ndarray, target: np.ndarray, epochs: int = EPOCHS, rate: float = 0.02, seed: int = 11) -> ByteGru:
-        """Adam; the order of pieces is fixed by the seed."""
+    def fit(self, texts: list[bytes], target: np.ndarray, epochs: int = EPOCHS, rate: float = 0.02, seed: int = 11) -> ByteGru:
+        """Adam over rows of all texts; the order of steps is fixed by the seed."""
         r, step = np.random.default_rng(seed), 0
         m, s = ({k: np.zeros_like(x) for k, x in self.p.items()} for _ in range(2))
-        total = epochs * max(1, len(codes) // BATCH)
+        batches = [x for x in rows_of(texts, BATCH, r.permutation(len(texts)))]
+        total = epochs * len(batches)
         for _ in range(epochs):
-            order = r.permutation(len(codes))
-            for i in range(0, len(codes), BATCH):
-                _, g = self.gradients(codes[order[i : i + BATCH]], target[order[i : i + BATCH]])
+            for i in r.permutation(len(batches)).tolist():
+                codes, owner, core = batches[i]
+                _, g = self.gradients(codes, target[owner], core)
                 step += 1
                 norm = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
                 for k, x in g.items():
@@ -133,62 +146,113 @@ class ByteGru:
                     self.p[k] -= (now * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
         return self
 
-    def documents(self, texts: list[bytes]) -> np.ndarray:
-        """Pooled probabilities of each text (texts, labels): softmax of the mean log-probability over all positions."""
+    def means(self, texts: list[bytes]) -> np.ndarray:
+        """Mean log-probability of each language over all positions: (texts, labels)."""
         sums, sizes = np.zeros((len(texts), len(self.labels))), np.array([len(x) for x in texts])
-        for codes, owner in rows_of(texts, LENGTH):
+        for codes, owner, core in rows_of(texts, BLOCK):
             logp = self.log_probabilities(self.states(codes))
-            logp *= (codes.T < 256)[..., None]
+            logp *= core.T[..., None]
             np.add.at(sums, owner, logp.sum(0))
-        mean = sums / np.maximum(sizes, 1)[:, None]
-        mean = np.exp((mean - mean.max(1, keepdims=True)) * np.minimum(sizes, 60)[:, None] / 3)
-        return mean / mean.sum(1, keepdims=True)
+        return sums / np.maximum(sizes, 1)[:, None]
+
+    def probabilities(self, means: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        x = (means - means.max(1, keepdims=True)) * (self.slope * np.minimum(sizes, self.reach))[:, None]
+        x = np.exp(x)
+        return x / x.sum(1, keepdims=True)
+
+    def calibrate(self, texts: list[bytes], target: np.ndarray, seed: int = 13) -> ByteGru:
+        """Slope and reach of the least log loss over texts that the fit has not seen and pieces of them, 8 to 256 bytes long."""
+        r, parts, owner = np.random.default_rng(seed), [], []
+        for k, text in enumerate(texts):
+            for size in (8, 16, 32, 64, 128, 256):
+                at = int(r.integers(0, max(len(text) - size, 0) + 1))
+                parts.append(text[at : at + size])
+                owner.append(k)
+        if not parts:
+            return self
+        means, sizes, best = self.means(parts), np.array([len(x) for x in parts]), np.inf
+        want = target[owner]
+        for reach in (8, 16, 32, 64, 128, 256):
+            for slope in 2.0 ** np.arange(-6, 2, 0.5):
+                self.slope, self.reach = float(slope), reach
+                loss = -np.log(np.maximum(self.probabilities(means, sizes)[np.arange(len(want)), want], 1e-9)).mean()
+                if loss < best - 1e-6:
+                    best, found = loss, (float(slope), reach)
+        self.slope, self.reach = found
+        return self
+
+    def documents(self, texts: list[bytes]) -> np.ndarray:
+        """Calibrated probabilities of each text: (texts, labels)."""
+        return self.probabilities(self.means(texts), np.array([len(x) for x in texts], np.int64))
+
 
+def rows_of(texts: list[bytes], block: int = BLOCK, order: np.ndarray | None = None):
+    """Yields (codes, text of each row, flags of the row's core), every byte of every text in one core, at most `block` rows at a time.
 
-def rows_of(texts: list[bytes], length: int, block: int = BLOCK):
-    """Yields (rows of `length` bytes, text of each row), every byte of every text once, at most `block` rows at a time."""
+    Rows are grouped by the length that they are filled up to, which depends on the row alone, so what a text gives does not depend on its neighbours.
+    """
     data = np.frombuffer(b"".join(texts), np.uint8)
     sizes = np.array([len(x) for x in texts], np.int64)
     starts = np.cumsum(sizes) - sizes
-    counts = -(-sizes // length)
+    counts = -(-sizes // CORE)
     owner = np.repeat(np.arange(len(texts)), counts)
-    first = (np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)) * length
-    at, left = starts[owner] + first, np.minimum(sizes[owner] - first, length)
-    step = np.arange(length)
-    for i in range(0, len(owner), block):
-        place = at[i : i + block, None] + step
-        codes = data[np.minimum(place, max(len(data) - 1, 0))].astype(np.int64)
-        codes[step >= left[i : i + block, None]] = 256
-        yield codes, owner[i : i + block]
-
-
-def pieces(text: Column, most: int = PIECES, length: int = LENGTH) -> Column:
-    """Up to `most` runs of `length` bytes of a text, at places that its hash chooses."""
-    size, raw = F.octet_length(text), F.encode(text, "utf-8")
+    first = (np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)) * CORE
+    low, high = np.maximum(first - CONTEXT, 0), np.minimum(first + CORE + CONTEXT, sizes[owner])
+    lengths = np.array(LENGTHS)
+    width = np.searchsorted(lengths, high - low)
+    for k, length in enumerate(LENGTHS):
+        rows, step = np.flatnonzero(width == k), np.arange(length)
+        if order is not None and len(rows):
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            rows = rows[np.argsort(place[owner[rows]], kind="stable")]
+        for i in range(0, len(rows), block):
+            own = rows[i : i + block]
+            at = low[own, None] + step
+            codes = data[np.minimum(starts[owner[own], None] + at, max(len(data) - 1, 0))].astype(np.int64)
+            codes[at >= high[own, None]] = 256
+            core = (at >= first[own, None]) & (at < np.minimum(first[own] + CORE, high[own])[:, None])
+            yield codes, owner[own], core
+
+
+def whole(text: Column, most: int = WHOLE) -> Column:
+    """The bytes of a text; of one longer than `most`, four runs of most / 4 bytes at places that its hash chooses, end to end."""
+    size, raw, length = F.octet_length(text), F.encode(text, "utf-8"), most // 4
     start = lambda k: (F.pmod(F.xxhash64(text, F.lit(k)), F.greatest(size - length + 1, F.lit(1)).cast("bigint")) + 1).cast("int")
-    runs = F.array(*(F.substring(raw, start(k), F.lit(length)) for k in range(most)))
-    return F.slice(runs, F.lit(1), F.least(F.lit(most), F.ceil(size / length).cast("int")))
+    return F.when(size <= most, raw).otherwise(F.concat(*(F.substring(raw, start(k), F.lit(length)) for k in range(4))))
+
 
+def train(labelled: DataFrame, sample: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> ByteGru | None:
+    """labelled: (text, lang[, id]). At most `sample` rows in all, each language in its share or 1/(2 languages), whichever is more.
 
-def train(labelled: DataFrame, sample: int = SAMPLE) -> ByteGru | None:
-    """labelled: (text, lang). At most `sample` rows in all, each language in its share or 1/(2 languages), whichever is more."""
+    First only hashes and sizes of a few more rows than wanted come to the driver, which picks; then the texts that it has picked.
+    """
     usable = labelled.where("text is not null and lang is not null and text rlike '\\\\p{L}'")
     counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
     labels, total = sorted(counts), sum(counts.values())
     share = {k: max(n / total, 0.5 / len(counts)) for k, n in counts.items()}
-    whole = sum(share.values())
+    quota = {k: max(1, int(sample * x / sum(share.values()))) for k, x in share.items()}
     limit = F.lit(0.0)
     for k, n in counts.items():
-        limit = F.when(F.col("lang") == k, min(1.0, 0.95 * sample * share[k] / whole / n)).otherwise(limit)
-    chosen = usable.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) <= limit * (1 << 30)).select("lang", pieces(F.col("text")).alias("p")).limit(sample).collect()
-    rows = sorted((r["lang"], bytes(x)) for r in chosen for x in r["p"])  # an order that does not depend on tasks
-    codes = np.full((len(rows), LENGTH), 256, np.int64)
-    for k, (_, x) in enumerate(rows):
-        codes[k, : len(x)] = np.frombuffer(x, np.uint8)
-    target = np.array([labels.index(k) for k, _ in rows], np.int64)
-    return ByteGru(labels).fit(codes, target)
+        limit = F.when(F.col("lang") == k, min(1.0, 1.5 * quota[k] / n + 50 / n)).otherwise(limit)
+    usable = usable.withColumn("h", F.xxhash64("text", *(["id"] if "id" in labelled.columns else [])))
+    near = usable.where(F.pmod("h", F.lit(1 << 30)) <= limit * (1 << 30)).select("lang", "h", F.least(F.octet_length("text"), F.lit(WHOLE)).alias("size")).distinct()
+    picked, size = [], 0
+    seen = dict.fromkeys(labels, 0)
+    for r in sorted(near.collect(), key=lambda r: (r["h"] % (1 << 30), r["h"], r["lang"])):
+        if seen[r["lang"]] < quota[r["lang"]] and size + r["size"] <= most_bytes:
+            picked.append(r["h"])
+            seen[r["lang"]] += 1
+            size += r["size"]
+    found = usable.where(F.col("h").isin(picked)).select("lang", whole(F.col("text")).alias("text")).distinct().collect()
+    rows = sorted((bytes(r["text"]), r["lang"]) for r in found)  # an order that does not depend on tasks
+    texts, target = [x for x, _ in rows], np.array([labels.index(k) for _, k in rows], np.int64)
+    rest = np.random.default_rng(5).permutation(len(rows))
+    kept, held = rest[len(rows) // 5 :], rest[: len(rows) // 5]
+    model = ByteGru(labels).fit([texts[k] for k in kept], target[kept])
+    return model.calibrate([texts[k] for k in held], target[held])
 
 
 def _predictor(shared, drop: tuple[int, ...]):
@@ -216,8 +280,8 @@ def _predictor(shared, drop: tuple[int, ...]):
 
 def predict(docs: DataFrame, model: ByteGru | None, keep: dict[str, Column], text_col: str = "text", out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """The columns `keep` of docs, then the predicted language and its probability, named by `out`. keep[text_col], if given, is the text itself."""
-    text = F.col(text_col)
-    at = {n: "__text" if n == text_col else f"k{i}" for i, n in enumerate(keep)}
+    text = F.col(quoted(text_col))
+    at = {n: "__text" if n == text_col else f"k{i}" for i, n in enumerate(keep)}  # inside, columns have names of their own
     others = [(at[n], c) for n, c in keep.items() if n != text_col]
     first, rest = (others[:1] or [("__none", F.lit(None).cast("int"))])[0], others[1:]
     letters = F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
@@ -237,7 +301,7 @@ def training_fold(id_col: str = "doc_id") -> Column:
 def identify(docs: DataFrame, labelled: DataFrame | None = None, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(doc_id, held_out, lang_pred, score). Learns from `labelled`, else from docs of the training folds: crc32(id) mod 3 is not 1."""
     source = docs.where(training_fold(id_col)) if labelled is None else labelled
-    model = train(source.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")), sample)
+    model = train(source.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(id_col).alias("id")), sample)
     return predict(docs, model, {"doc_id": F.col(id_col), "held_out": ~training_fold(id_col)}, text_col)
 
 

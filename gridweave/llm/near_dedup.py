@@ -8,12 +8,16 @@
 3. In each list the smallest class is compared with every other: links as stars, not as all pairs. Components follow.
 4. Lists that still hold several components, if longer than two, are compared in blocks of bounded size: inside a task all
    overlaps of two blocks come from matrix products over set values, and only a spanning forest of new links leaves it. Long lists that share
-   members are first merged into clusters, so each class goes to one cluster only.
-5. The estimate from the union's sketch filters pairs, exact Jaccard over full sets verifies them.
+   members are merged into clusters, so each class goes to one cluster only; where that would make more pairs than the lists themselves, the lists stay.
+5. The estimate from the union's sketch filters pairs, exact Jaccard over full sets verifies them. In blocks, sets of more than `cut` values are first
+   compared by their `cut` smallest ones, as in step 5; cut=None compares whole sets there. At cut 512 a link is missed with probability below 1e-9.
+
+No join meets a frequent value, hub or group of copies in one task (heavy.py).
 
 Words are runs of characters other than ASCII white space, A-Z lower-cased. A set: distinct shingles of SIZE words; of fewer words the whole
 sequence; without words (or null) empty, linked with nothing, a component of its own. Repeated rows and ties are copies: the smallest id stays.
-In near_duplicates() rows that share an id are one node, and a null id is a component without a number; dedup() decides by row. An empty table gives an empty result.
+In near_duplicates() each row belongs to the class of its own text and a component has the name of its smallest id, also where different texts share an id; a null id is
+a component without a number; dedup() decides by row. An empty table gives an empty result. Other columns are not read.
 Sets hold 64-bit hashes; two of n shingles collide with probability n*n/2**65.
 """
 
@@ -26,8 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import PLACE, SPACES, Lexer, materialise, mix, numbered, read_table, text_bytes, windows
+from ._common import PLACE, SPACES, Lexer, materialise, mix, numbered, quoted, quotes, read_table, text_bytes, windows
 from .components import components
+from .heavy import lookup
 
 SIZE = 5
 PERCENT = 85
@@ -58,7 +63,7 @@ def _signer(size: int, k: int):
             counts, digests, sketches = [], [], []
             for found in _sets(text_bytes(batch.column(1)), size):
                 counts.append(len(found))
-                digests.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
+                digests.append(_digest(found) if len(found) else None)
                 sketches.append(found[:k].view(np.int64))
             lengths = np.array([len(x) for x in sketches])
             flat = np.concatenate(sketches) if sketches else np.empty(0, np.int64)
@@ -68,10 +73,18 @@ def _signer(size: int, k: int):
     return run
 
 
+def _digest(found: np.ndarray) -> bytes:
+    return hashlib.blake2b(found.tobytes(), digest_size=16).digest()
+
+
 def _set_writer(size: int):
+    """Sets of the texts that are their class's: another text may have the same id."""
+
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in _sets(text_bytes(batch.column(1)), size)], pa.binary())], ["class_id", "set"])
+            sets = list(_sets(text_bytes(batch.column(1)), size))
+            own = pa.array([_digest(x) == d for x, d in zip(sets, batch.column(2).to_pylist(), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in sets], pa.binary())], ["class_id", "set"]).filter(own)
 
     return run
 
@@ -112,9 +125,9 @@ def _verifier(percent: int):
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are linked."""
+    """The pairs (a, b), a written table, whose full sets are linked. Many pairs may share their a."""
     left, right = sets.select(F.col("class_id").alias("a"), F.col("set").alias("sa")), sets.select(F.col("class_id").alias("b"), F.col("set").alias("sb"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(_verifier(percent), "a long, b long")
+    return lookup(pairs.select("a", "b"), left, "a", salts=16).join(right, "b").select("a", "b", "sa", "sb").mapInArrow(_verifier(percent), "a long, b long")
 
 
 def _products(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -142,7 +155,7 @@ def _products(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _blocks(percent: int):
+def _blocks(percent: int, most: int | None):
     """One pair of blocks: links between components, as a forest; verified is false where sets were cut and only estimated."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -160,8 +173,8 @@ def _blocks(percent: int):
         fits = (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & (comps[left][:, None] != comps[right][None, :])
         if first == second:
             fits &= left[:, None] < right[None, :]
-        whole = (na <= CUT) & (nb <= CUT)
-        cut = np.minimum(np.minimum(na, nb), CUT)
+        whole = (na <= most) & (nb <= most) if most else np.ones(both.shape, bool)
+        cut = np.minimum(np.minimum(na, nb), most or 0)
         good = fits & np.where(whole, 100 * both >= percent * (na + nb - both), both >= (percent / 100 - UNION_SLACK) * cut)
         parent = {}
 
@@ -189,13 +202,30 @@ def _candidates(classes: DataFrame, percent: int, k: int) -> DataFrame:
     """(value, class_id, n): for each class its rarest retained values, as many as an overlap cannot miss."""
     postings = classes.select("class_id", "n", F.size("sketch").alias("s"), F.explode("sketch").alias("value"))
     common = postings.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
-    shared = postings.join(common, "value").groupBy("class_id", "n", "s").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("v"))
+    shared = lookup(postings, common, "value").groupBy("class_id", "n", "s").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("v"))
     sure = F.least(F.lit(int(k * (percent / 100 - SLACK))), F.ceil(F.col("n") * percent / 100).cast("int"))
     slots = F.col("s") - sure + 1 - (F.col("s") - F.size("v"))
     return shared.withColumn("slots", slots).where("slots > 0").select("class_id", "n", F.explode(F.expr("slice(v, 1, slots)")).alias("x")).select("x.value", "class_id", "n")
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SIZE, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _dealt(rest: DataFrame) -> DataFrame:
+    """(class_id, n, comp, g, i, j): copies of the members of lists (value, class_id, n, c, comp, pivot) for every pair of blocks that they take part in."""
+    clusters = components(rest.where(F.col("c") > LONG).select(F.col("class_id").alias("a"), F.col("pivot").alias("b")))
+    long = rest.where(F.col("c") > LONG).join(clusters, F.col("class_id") == F.col("node")).select("value", "class_id", "n", rest["comp"], clusters["comp"].alias("cluster"))
+    long = materialise(long, "long")
+    members = long.groupBy("cluster", "class_id").agg(F.lit(1).alias("one")).groupBy("cluster").agg(F.count("*").alias("m"))
+    lists = long.groupBy("cluster", "value").agg(F.count("*").alias("m")).groupBy("cluster").agg(F.sum(F.col("m") * F.col("m")).alias("pairs"))
+    apart = members.join(lists, "cluster").select("cluster", (F.col("m") * F.col("m") > F.col("pairs")).alias("apart"))
+    named = lookup(long, apart, "cluster").select("class_id", "n", "comp", F.when(F.col("apart"), F.concat(F.lit("v"), F.col("value"))).otherwise(F.concat(F.lit("c"), F.col("cluster"))).alias("g"))
+    short = rest.where(F.col("c") <= LONG).select("class_id", "n", "comp", F.concat(F.lit("v"), F.col("value")).alias("g"))
+    grouped = materialise(short.unionByName(named.distinct()), "groups")
+    sizes = grouped.groupBy("g").agg(F.count("*").alias("m")).where("m > 1").select("g", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    dealt = lookup(grouped, sizes, "g").withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.select("class_id", "n", "comp", "g", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SIZE, k: int = K, cut: int | None = CUT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id): one row per document."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = materialise(texts.mapInArrow(_signer(size, k), "doc_id long, n long, digest binary, sketch array<long>"), "signed")
@@ -203,49 +233,44 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SIZE, k
     classes = materialise(classes.where("class_id is not null"), "classes")
     posts = materialise(_candidates(classes, percent, k), "posts")
     lists = posts.groupBy("value").agg(F.count("*").alias("c"), F.min(F.struct("class_id", "n")).alias("pivot")).where("c > 1")
-    posts = materialise(posts.join(lists, "value").select("value", "class_id", "n", "c", "pivot"), "lists")
-    wanted = posts.select("class_id").distinct()
-    sets = texts.join(wanted, texts["doc_id"] == wanted["class_id"]).select("class_id", "text").mapInArrow(_set_writer(size), "class_id long, set binary")
+    posts = materialise(lookup(posts, lists, "value").select("value", "class_id", "n", "c", "pivot"), "lists")
+    wanted = posts.select("class_id").distinct().join(classes.select("class_id", "digest"), "class_id")
+    sets = texts.join(wanted, texts["doc_id"] == wanted["class_id"]).select("class_id", "text", "digest").mapInArrow(_set_writer(size), "class_id long, set binary")
     sets = materialise(sets, "sets")
 
     fits = F.expr(f"100 * least(n, pivot.n) >= {percent} * greatest(n, pivot.n)")
     stars = posts.where("class_id <> pivot.class_id").where(fits).select(F.col("pivot.class_id").alias("a"), F.col("class_id").alias("b")).distinct()
-    edges = materialise(verify(stars, sets, percent), "edges")
+    edges = materialise(verify(materialise(stars, "stars"), sets, percent), "edges")
     labels = components(edges)
 
     rest = posts.where("c > 2").join(labels, F.col("class_id") == F.col("node"), "left").select("value", "class_id", "n", "c", F.coalesce("comp", "class_id").alias("comp"))
+    rest = materialise(rest, "rest")
     mixed = rest.groupBy("value").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("class_id").alias("pivot")).where("low < high").select("value", "pivot")
-    rest = materialise(rest.join(mixed, "value"), "rest")
-    clusters = components(rest.where(F.col("c") > LONG).select(F.col("class_id").alias("a"), F.col("pivot").alias("b")))
-    grouped = rest.where(F.col("c") <= LONG).select("class_id", "n", "comp", F.concat(F.lit("v"), F.col("value")).alias("g"))
-    long = rest.where(F.col("c") > LONG).select("class_id", "n", "comp").distinct().join(clusters.withColumnRenamed("comp", "cluster"), F.col("class_id") == F.col("node"))
-    grouped = materialise(grouped.unionByName(long.select("class_id", "n", "comp", F.concat(F.lit("c"), F.col("cluster")).alias("g"))), "groups")
-    sizes = grouped.groupBy("g").agg(F.count("*").alias("m")).where("m > 1").select("g", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    dealt = grouped.join(sizes, "g").withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("class_id", "n", "comp", "g", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    held = sets.select("class_id", F.substring("set", 1, 8 * CUT).alias("set"))
-    found = dealt.join(held, "class_id").groupBy("g", "i", "j").applyInArrow(_blocks(percent), "a long, b long, verified boolean")
+    rest = materialise(lookup(rest, mixed, "value"), "rest")
+    held = sets.select("class_id", F.substring("set", 1, 8 * cut).alias("set") if cut else "set")
+    found = _dealt(rest).join(held, "class_id").groupBy("g", "i", "j").applyInArrow(_blocks(percent, cut), "a long, b long, verified boolean")
     found = materialise(found, "found")
-    more = found.where("verified").select("a", "b").union(verify(found.where("not verified").select("a", "b").distinct(), sets, percent))
+    doubtful = materialise(found.where("not verified").select("a", "b").distinct(), "doubtful")
+    more = found.where("verified").select("a", "b").union(verify(doubtful, sets, percent))
     labels = components(materialise(edges.union(more), "edges"))
 
-    known = signed.select("doc_id", "n", "digest").join(classes.select("digest", "class_id"), "digest", "left").join(labels, F.col("class_id") == F.col("node"), "left")
-    return known.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "class_id", "doc_id").alias("component_id"))
+    named = classes.select("digest", "class_id").join(labels, F.col("class_id") == F.col("node"), "left").select("digest", F.coalesce("comp", "class_id").alias("comp"))
+    known = lookup(signed.select("doc_id", "n", "digest"), named, "digest", "left")
+    return known.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id"))
 
 
 def dedup(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, one of each component of rows, with all their columns: that of the smallest id (null is the largest), of equal ids any one."""
     rows, row = numbered(docs)
     found = near_duplicates(rows, percent, id_col=row, text_col=text_col).select(F.col("doc_id").alias("row"), "component_id")
-    ids = rows.select(F.col(row).alias("row"), F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"))
+    ids = rows.select(F.col(row).alias("row"), F.col(quoted(id_col)).isNull().alias("none"), F.col(quoted(id_col)).alias("id"))
     kept = found.join(ids, "row").groupBy("component_id").agg(F.min(F.struct("none", "id", "row")).alias("kept")).select(F.col("kept.row").alias(row))
-    return rows.join(kept, row, "left_semi").select(*docs.columns)
+    return rows.join(kept, row, "left_semi").select(*quotes(docs))
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(read_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 SQL = r"""

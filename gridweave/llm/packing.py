@@ -1,9 +1,14 @@
 """Hierarchical residual packing of tokenised documents into sequences of bounded length.
 
 Leaf level: every input partition encodes its documents, cuts only those longer than the capacity, and packs its
-pieces by best fit, longest first. Sequences that are nearly full are final. The others travel up as
-items of their own: each round deals them into groups of at most GROUP items, packs each
-group by best fit again and keeps nearly full results, until one group is left or a round gains nothing (no two items fit together).
+pieces by best fit, longest first. A sequence is final once its free places are fewer than the fill of the emptiest
+sequence anywhere, as nothing can be added to it. The others travel up the tree as items of their own: each round deals
+them to nodes of about GROUP items, anew each time, and packs each node by best fit.
+
+After a node's pass no two of its sequences fit together, so at most one of them is half full or less, and two that are more than
+half full never fit. The rounds end when one node has seen all that can still move, or when a round merges nothing; then the
+sequences at most half full, one a node at most, meet in a last node. So all that can be missed are merges of those few
+with sequences of other nodes that no round dealt to them.
 A round moves (sequence, fill) pairs only; tokens and pieces stay where the leaves wrote them.
 
 Null texts count as empty: the document is its end token alone. Repeated rows are packed as rows
@@ -26,9 +31,7 @@ from .tokenizing import encoder
 
 CAPACITY = 1024
 END_ID = 2
-#: A sequence with at most this many free places is final.
-SLACK = 2
-#: Items that a leaf or one group of a round packs at once.
+#: Items that a leaf or one node of a round packs at once, about.
 LEAF, GROUP = 200_000, 100_000
 
 
@@ -115,28 +118,43 @@ def _merge(capacity: int):
     return run
 
 
+def _round(bins: DataFrame, nodes: int, level: int, capacity: int) -> DataFrame:
+    """(bin, into, base, total): where each sequence goes. The level salts the dealing, so other sequences meet in each round."""
+    node = F.pmod(F.xxhash64("bin", F.lit(level)), F.lit(nodes)).alias("node")
+    return materialise(bins.groupBy(node).applyInArrow(_merge(capacity), "bin long, into long, base long, total long"), "moves")
+
+
+def _followed(moves: DataFrame, step: DataFrame) -> DataFrame:
+    """The moves so far, then those of a round; what moves in a round could move in the rounds before, so it is known."""
+    new = step.select(F.col("bin").alias("from"), F.col("into").alias("next"), F.col("base").alias("more"))
+    joined = moves.join(new, F.col("into") == F.col("from"), "left")
+    return materialise(joined.select("bin", F.coalesce("next", "into").alias("into"), (F.col("base") + F.coalesce("more", F.lit(0))).alias("base")), "moves")
+
+
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset[, ids]): one row per piece."""
     schema = _PIECES + (", ids binary" if keep_ids else "")
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     pieces = materialise(chosen.mapInArrow(_leaves(tokenizer, capacity, end_id, keep_ids), schema), "pieces")
-    open_bins = pieces.where((F.col("offset") == 0) & (F.col("fill") < capacity - SLACK)).select("bin", "fill")
-    moves, count, gained = None, open_bins.count(), True
-    while count > 1 and gained:
-        n = ceil(count / GROUP)
-        step = open_bins.groupBy(F.pmod(F.xxhash64("bin"), F.lit(n)).alias("group")).applyInArrow(
-            _merge(capacity), "bin long, into long, base long, total long"
-        )
-        step = materialise(step, "moves")
-        moves = step.select("bin", "into", "base") if moves is None else materialise(
-            moves.alias("a").join(step.alias("b"), F.col("a.into") == F.col("b.bin"), "left").select(
-                "a.bin", F.coalesce("b.into", "a.into").alias("into"), (F.col("a.base") + F.coalesce("b.base", F.lit(0))).alias("base")
-            ),
-            "moves",
-        )
-        open_bins = step.where((F.col("base") == 0) & (F.col("total") < capacity - SLACK)).select(F.col("into").alias("bin"), F.col("total").alias("fill"))
-        left = open_bins.count()
-        gained, count = n > 1 and left < 0.98 * count, left
+    open_bins, moves, level = pieces.where("offset = 0").select("bin", "fill"), None, 0
+    while True:
+        least, count = open_bins.agg(F.min("fill"), F.count("*")).first()
+        if not count or 2 * least > capacity:  # no two fit together
+            break
+        movable = open_bins.where(F.col("fill") <= capacity - least)
+        many = movable.count()
+        if many < 2:
+            break
+        nodes = ceil(many / GROUP)
+        step = _round(movable, nodes, level, capacity)
+        left = step.where("base = 0").count()
+        if left == many and nodes > 1:
+            step = _round(movable.where(F.col("fill") <= capacity // 2), 1, level, capacity)
+            nodes = 1
+        moves = step.select("bin", "into", "base") if moves is None else _followed(moves, step)
+        if nodes == 1:
+            break
+        open_bins, level = step.where("base = 0").select(F.col("into").alias("bin"), F.col("total").alias("fill")), level + 1
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *(["ids"] if keep_ids else [])]
     if moves is None:
         return pieces.withColumnRenamed("bin", "sequence_id").select(*columns)

@@ -1,15 +1,20 @@
 """URL filter: rules first, else gradient-boosted trees on lexical features. DataFrame operations only.
 
 Rules are (host, path, verdict): a rule fits its host and all subdomains if the url's path starts with the rule's;
-of several the longest wins. Urls that a rule decides are the labelled set. The trees are fitted on at most SAMPLE of them, chosen
-by hash; each level of each tree is one grouped aggregate of gradients over (node, feature, bin), whose result has
+of several the longest wins. Urls that a rule decides are the labelled set. The trees are fitted on at most SAMPLE of them, those of the
+smallest hash of url and id; each level of each tree is one grouped aggregate of gradients over (node, feature, bin), whose result has
 at most nodes x features x bins rows. The trees become one SQL expression, so scoring is a plain projection.
 
-Features: length, depth, digit ratio, entropy of the characters, parameter count, host depth, hyphens, and the smoothed block rate
-of the host's last label (suffix statistics, from the labelled set, at most SUFFIXES of them).
+Features: length, depth, digit ratio, entropy of the characters, parameter count, host depth, hyphens, and suffix statistics: the smoothed
+block rate of the host's last label among labelled urls, at most SUFFIXES of them.
+
+What rules alone say must not come back as a feature: a suffix all of whose labels are the same verdict (every label under net is a block rule's) tells
+nothing of how its blocked and allowed urls differ, and any feature that names it would only repeat the rule. Its labelled urls are left out of the fit, and it
+gets the prior rate, as does a suffix without labels. So urls of such suffixes are judged by their form. held_out() measures a fit on hosts that it has not seen.
 
 A null url, or one without "://", has an empty host and path and is judged by the trees like any other.
-Without labelled urls of both verdicts everything undecided is allowed. Repeated rows get the same verdict. An empty table gives an empty result.
+Without a suffix that has labels of both verdicts everything undecided is allowed. Repeated rows get the same verdict. An empty table gives an empty result.
+Columns other than the id and the url are not read, so their names may clash with those used here.
 """
 
 from __future__ import annotations
@@ -115,17 +120,23 @@ def with_features(rows: DataFrame, model: UrlModel) -> DataFrame:
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE, trees: int = TREES, depth: int = DEPTH) -> UrlModel | None:
-    """Fits on (url, host, path, query, block) with block 0 or 1; at most `sample` rows, those of the smallest hash."""
-    size = labelled.count()
-    chosen = labelled if size <= sample else labelled.where(F.pmod(F.xxhash64("url"), F.lit(1 << 30)) < int((1 << 30) * sample / size)).limit(sample)
-    chosen = materialise(chosen, "labelled")
+    """Fits on (url, host, path, query, block[, id]) with block 0 or 1; at most `sample` rows, those of the smallest hash of url and id."""
+    tail = suffix(F.col("host"))
+    said = labelled.groupBy(tail.alias("s")).agg(F.count("*").alias("n"), F.sum("block").alias("b")).where("b > 0 and b < n").orderBy(F.desc("n"), "s").limit(SUFFIXES).collect()
+    if not said:
+        return None
+    size = sum(r["n"] for r in said)
+    rank = F.xxhash64("url", *(["id"] if "id" in labelled.columns else []))
+    usable = labelled.where(tail.isin([r["s"] for r in said])).select("url", "host", "path", "query", "block", rank.alias("rank"))
+    if size > sample:  # a little more than asked for, then exactly the first
+        usable = usable.where(F.pmod("rank", F.lit(1 << 30)) < int((1 << 30) * min(1.0, 1.1 * sample / size))).orderBy(F.pmod("rank", F.lit(1 << 30)), "rank").limit(sample)
+    chosen = materialise(usable.drop("rank"), "labelled")
     total, ones = chosen.agg(F.count("*"), F.sum("block")).first()
     if not total or not ones or ones == total:
         return None
     mean = ones / total
-    rates = chosen.groupBy(suffix(F.col("host")).alias("s")).agg(F.count("*").alias("n"), F.sum("block").alias("b")).orderBy(F.desc("n"), "s").limit(SUFFIXES).collect()
-    known = {r["s"]: (r["b"] + 2 * mean) / (r["n"] + 2) for r in rates}
-    model = UrlModel(0.0, known, min(known.values()), [])  # a suffix without labels counts as the least blocked one
+    known = {r["s"]: (r["b"] + 2 * mean) / (r["n"] + 2) for r in said}
+    model = UrlModel(0.0, known, mean, [])
     names = [*features(*[F.lit("")] * 4), "suffix_rate"]
     rows = with_features(chosen, model)
     edges = rows.agg(*(F.percentile_approx(n, [i / BINS for i in range(1, BINS)]).alias(n) for n in names)).first()
@@ -175,13 +186,22 @@ def _split(at: dict, own: dict[tuple[int, int], tuple[float, float]], names: lis
     return [low, high]
 
 
-def judge(pages: DataFrame, rules=RULES, sample: int = SAMPLE, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """(page_id, host, path, rule, verdict, block_probability): one row per input row."""
+def _ruled(pages: DataFrame, rules, id_col: str, url_col: str) -> DataFrame:
+    """(page_id, url, host, path, query, rule, said)."""
     host, path, query = url_parts(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host.alias("host"), path.alias("path"), query.alias("query"))
     rule, said = rule_of(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumn("rule", rule).withColumn("said", said)
-    model = fit(rows.where("rule is not null").select("url", "host", "path", "query", (F.col("said") == "block").cast("int").alias("block")), sample)
+    return rows.withColumn("rule", rule).withColumn("said", said)
+
+
+def _labelled(rows: DataFrame) -> DataFrame:
+    return rows.where("rule is not null").select(F.col("page_id").alias("id"), "url", "host", "path", "query", (F.col("said") == "block").cast("int").alias("block"))
+
+
+def judge(pages: DataFrame, rules=RULES, sample: int = SAMPLE, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """(page_id, host, path, rule, verdict, block_probability): one row per input row."""
+    rows = _ruled(pages, rules, id_col, url_col)
+    model = fit(_labelled(rows), sample)
     if model is None:
         return rows.select("page_id", "host", "path", "rule", F.coalesce("said", F.lit("allow")).alias("verdict"), F.lit(None).cast("double").alias("block_probability"))
     scored = with_features(rows, model).withColumn("block_probability", 1 / (1 + F.exp(-model.score())))
@@ -189,5 +209,15 @@ def judge(pages: DataFrame, rules=RULES, sample: int = SAMPLE, id_col: str = "pa
     return scored.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "block_probability")
 
 
+def held_out(pages: DataFrame, rules=RULES, folds: int = 5, sample: int = SAMPLE, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """(block, urls, blocked, probability) of labelled urls whose hosts the fit has not seen: one host in `folds`, by hash. probability is the mean."""
+    rows = _labelled(_ruled(pages, rules, id_col, url_col)).withColumn("fold", F.pmod(F.xxhash64("host"), F.lit(folds)))
+    model = fit(rows.where("fold <> 0"), sample)
+    said = F.lit(0.0) if model is None else 1 / (1 + F.exp(-model.score()))
+    rest = rows.where("fold = 0")
+    scored = (rest if model is None else with_features(rest, model)).withColumn("p", said)
+    return scored.groupBy("block").agg(F.count("*").alias("urls"), F.count_if(F.col("p") > BLOCK_ABOVE).alias("blocked"), F.avg("p").alias("probability"))
+
+
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(read_table(spark, sf_dir, "pages"))

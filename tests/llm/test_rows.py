@@ -45,3 +45,11 @@ def test_decontamination(spark, docs, tmp_path):
     got = corpus_pipeline.decontamination_stage(spark, docs, str(tmp_path))
     want = [(r["doc_id"], r["text"]) for r in docs.collect() if r["text"] not in (TEXT["a"], TEXT["c"])]
     assert got.columns == docs.columns and of(got) == collections.Counter(want)
+
+
+def test_heavy_digests_are_found(spark):
+    from gridweave.llm.heavy import heavy_hashes
+
+    rows = spark.createDataFrame([(bytes([7]) if i % 3 == 0 else i.to_bytes(4, "big"),) for i in range(3000)], "digest binary").repartition(4)
+    found = {r["h"] for r in heavy_hashes(rows, "digest", "h", 0.01).collect()}
+    assert len(found) <= 100 and rows.where("digest = X'07'").selectExpr("xxhash64(digest) h").first()["h"] in found
