@@ -2,26 +2,28 @@
 
 Two ways in:
 
-- remove_known(docs, reference): automata over blocks of a reference table, each of at most BLOCK_WORDS words, are
-  broadcast one after another; documents stream through them for matching statistics, and maximal matching spans of
-  WINDOW words or more are removed.
+- remove_known(docs, reference): executors build automata over blocks of a reference table, each of at most BLOCK_WORDS words; passes over
+  the documents broadcast at most PASS_BYTES of them, whose sizes are known before they are collected; documents stream through them for matching statistics, and
+  maximal matching spans of WINDOW words or more are removed. Words go by 64-bit hashes there.
 - repeated_words(docs): the corpus is its own reference. Broadcasting automata of all shards to all documents would
-  be quadratic, so the reference is cut down and the shards stay where they are:
+  be quadratic (README has figures), so the reference is cut down and the shards stay where they are:
   1. Each window of WINDOW words picks the run of GRAM words with the smallest hash inside it, its anchor. Equal windows have equal
      anchors, so a window whose anchor occurs once in the corpus repeats nothing. Counting anchors moves 16 bytes for about
      every seventh word; anchors met twice in a batch are settled there.
   2. Windows with a repeated anchor become segments of consecutive windows with that anchor and go to the anchor's shard. Equal segments
-     of a batch are settled there: the first goes on, the others repeat it. Anchors found most often are dealt by window instead.
+     of a batch are combined before the shuffle: the first goes on, the others repeat it. Anchors with more than OFTEN occurrences, or more where
+     there would be over OFTEN_MOST of them (a broadcast of 8 MB), are dealt by window instead.
   3. A shard takes an anchor's segments in order of (document, start), gets their matching statistics against the automaton of all earlier ones,
-     and then adds them to it. Windows matched at full length start earlier elsewhere. Words are compared themselves, hashes only route.
+     and then adds what they have of new windows to it. Windows matched at full length start earlier elsewhere. Words are compared themselves, hashes only route.
 
 Words are runs of characters other than ASCII white space. Null or wordless texts have no words. Rows that share an id and a
-start are one place and don't remove each other; a null id counts as the largest. An empty table gives an empty result.
+start are one place and don't remove each other; a null id counts as the largest. An empty table gives an empty result. Columns other than the id and the text are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +34,12 @@ from ._common import SPACES, Lexer, materialise, mix, read_table, text_bytes, wi
 from .automaton import SuffixAutomaton
 
 WINDOW, GRAM = 20, 8
-#: Buckets for each input partition; occurrences above which an anchor is dealt by window, and how many such anchors at most.
-BUCKETS, OFTEN, OFTEN_MOST = 8, 2048, 100_000
-#: Words of one broadcast automaton.
-BLOCK_WORDS = 200_000
+#: Buckets for each shuffle partition; words whose anchors are combined before they are sent.
+BUCKETS, FLUSH_WORDS = 4, 4_000_000
+#: Occurrences above which an anchor is dealt by window, and how many such anchors at most.
+OFTEN, OFTEN_MOST = 2048, 1_000_000
+#: Words of one automaton; bytes of automata that are broadcast at once.
+BLOCK_WORDS, PASS_BYTES = 50_000, 64 << 20
 _LAST = np.iinfo(np.int64).max
 
 
@@ -62,68 +66,79 @@ def _groups(values: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(new, [*new[1:], len(values)], strict=True))
 
 
-def _anchor_rows(buckets: int):
+def _anchor_rows(buckets: int, flush_words: int):
+    """Rows (bucket, doc, hashes): anchors settled here; rows (bucket, hashes, docs, counts): one occurrence of each anchor for its bucket. As many rows for `flush_words` words, whatever the input's size."""
     lex = Lexer(SPACES, lower=False)
 
+    def flush(hashes, docs):
+        hashes, docs = np.concatenate(hashes), np.concatenate(docs)
+        order = np.argsort(hashes, kind="stable")
+        hashes, docs = hashes[order], docs[order]
+        new = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1]))) if len(hashes) else np.empty(0, np.int64)
+        counts = np.diff(np.append(new, len(hashes))).astype(np.int64)
+        again = np.repeat(counts > 1, counts)
+        rows = []
+        # settled here: all occurrences of an anchor that occurs twice, by document
+        mine, known = docs[again], hashes[again]
+        by = np.argsort(mine, kind="stable")
+        mine, known = mine[by], known[by]
+        for a, b in _groups(mine):
+            doc = int(mine[a])
+            rows.append((int(doc % buckets), doc, known[a:b].tobytes(), None, None))
+        reps, heads = hashes[new], docs[new]
+        to = (mix(reps) % np.uint64(buckets)).astype(np.int64)
+        by = np.argsort(to, kind="stable")
+        for a, b in _groups(to[by]):
+            own = by[a:b]
+            rows.append((int(to[own[0]]), None, reps[own].tobytes(), heads[own].astype(np.int64).tobytes(), counts[own].astype(np.int32).tobytes()))
+        for i in range(0, len(rows), 2000):
+            bucket, doc, h, d, c = zip(*rows[i : i + 2000], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(doc, pa.int64()), pa.array(h, pa.binary()), pa.array(d, pa.binary()), pa.array(c, pa.binary())], ["bucket", "doc", "hashes", "docs", "counts"])
+
     def run(batches):
+        hashes, docs, held = [], [], 0
         for batch in batches:
-            ids, hashes, owners = batch.column(0).to_numpy(), [], []
+            ids = batch.column(0).to_numpy()
             for first, _, _, _, edge, words in lex.chunks(text_bytes(batch.column(1))):
                 _, anchor, grams = _anchors(words, edge)
                 anchor = np.unique(anchor)
                 hashes.append(grams[anchor])
-                owners.append(first + np.searchsorted(edge, anchor, side="right") - 1)
-            if not hashes:
-                continue
-            hashes, owners = np.concatenate(hashes), np.concatenate(owners)
-            order = np.argsort(hashes, kind="stable")
-            hashes, owners = hashes[order], owners[order]
-            new = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1]))) if len(hashes) else np.empty(0, np.int64)
-            counts = np.diff(np.append(new, len(hashes))).astype(np.int64)
-            again = np.repeat(counts > 1, counts)
-            rows = []
-            # settled here: all occurrences of an anchor that the batch holds twice, by document
-            mine, known = owners[again], hashes[again]
-            by = np.argsort(mine, kind="stable")
-            mine, known = mine[by], known[by]
-            for a, b in _groups(mine):
-                doc = int(ids[mine[a]])
-                rows.append((int(doc % buckets), doc, known[a:b].tobytes(), None, None))
-            # one occurrence of every anchor goes to its bucket
-            reps, heads = hashes[new], ids[owners[new]]
-            to = (mix(reps) % np.uint64(buckets)).astype(np.int64)
-            by = np.argsort(to, kind="stable")
-            for a, b in _groups(to[by]):
-                own = by[a:b]
-                rows.append((int(to[own[0]]), None, reps[own].tobytes(), heads[own].astype(np.int64).tobytes(), counts[own].astype(np.int32).tobytes()))
-            for i in range(0, len(rows), 2000):
-                bucket, doc, h, d, c = zip(*rows[i : i + 2000], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(doc, pa.int64()), pa.array(h, pa.binary()), pa.array(d, pa.binary()), pa.array(c, pa.binary())], ["bucket", "doc", "hashes", "docs", "counts"])
+                docs.append(ids[first + np.searchsorted(edge, anchor, side="right") - 1])
+                held += len(words)
+                if held >= flush_words:
+                    yield from flush(hashes, docs)
+                    hashes, docs, held = [], [], 0
+        if hashes:
+            yield from flush(hashes, docs)
 
     return run
 
 
-def _repeated(table: pa.Table) -> pa.Table:
+def _repeated(often: int):
     """Rows (doc, hashes) of anchors that occur twice or more; rows (null, hash, count) of those that occur often."""
-    table = table.combine_chunks()
-    local = table.filter(table["docs"].is_null())
-    rest = table.filter(table["docs"].is_valid())
-    doc, found, n = local["doc"].to_pylist(), local["hashes"].to_pylist(), [0] * len(local)
-    if len(rest):
-        h, d, c = (np.concatenate([np.frombuffer(x, kind) for x in rest[k].to_pylist()]) for k, kind in (("hashes", np.uint64), ("docs", np.int64), ("counts", np.int32)))
-        order = np.argsort(h, kind="stable")
-        h, d, c = h[order], d[order], c[order].astype(np.int64)
-        new = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-        batches, totals = np.diff(np.append(new, len(h))), np.add.reduceat(c, new)
-        keep = np.repeat(batches > 1, batches) & (c == 1)  # others are settled in their batch
-        mine, known = d[keep], h[keep]
-        by = np.argsort(mine, kind="stable")
-        mine, known = mine[by], known[by]
-        for a, b in _groups(mine):
-            doc.append(int(mine[a])), found.append(known[a:b].tobytes()), n.append(0)
-        for k in np.flatnonzero(totals > OFTEN):
-            doc.append(None), found.append(h[new[k]].tobytes()), n.append(int(totals[k]))
-    return pa.table({"doc": pa.array(doc, pa.int64()), "hashes": pa.array(found, pa.binary()), "n": pa.array(n, pa.int64())})
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        local = table.filter(table["docs"].is_null())
+        rest = table.filter(table["docs"].is_valid())
+        doc, found, n = local["doc"].to_pylist(), local["hashes"].to_pylist(), [0] * len(local)
+        if len(rest):
+            h, d, c = (np.concatenate([np.frombuffer(x, kind) for x in rest[k].to_pylist()]) for k, kind in (("hashes", np.uint64), ("docs", np.int64), ("counts", np.int32)))
+            order = np.argsort(h, kind="stable")
+            h, d, c = h[order], d[order], c[order].astype(np.int64)
+            new = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+            parts, totals = np.diff(np.append(new, len(h))), np.add.reduceat(c, new)
+            keep = np.repeat(parts > 1, parts) & (c == 1)  # others are settled where they were found
+            mine, known = d[keep], h[keep]
+            by = np.argsort(mine, kind="stable")
+            mine, known = mine[by], known[by]
+            for a, b in _groups(mine):
+                doc.append(int(mine[a])), found.append(known[a:b].tobytes()), n.append(0)
+            for k in np.flatnonzero(totals > often):
+                doc.append(None), found.append(h[new[k]].tobytes()), n.append(int(totals[k]))
+        return pa.table({"doc": pa.array(doc, pa.int64()), "hashes": pa.array(found, pa.binary()), "n": pa.array(n, pa.int64())})
+
+    return run
 
 
 _SEGMENTS = "bucket long, anchor long, doc long, low int, high int, words binary"
@@ -202,23 +217,16 @@ def _shard(table: pa.Table) -> pa.Table:
     for a, b in _groups(np.array(columns[0], np.int64)):
         if b - a < 2:
             continue
-        automaton, seen, waiting = None, {}, []
-        for k in range(a, b):
-            doc, low, high, text = (c[k] for c in columns[1:])
-            first = seen.setdefault(text, (doc, low))
-            if first != (doc, low):
-                out.append((doc, low, high))
-                continue
-            words = text.split(b" ")
-            if waiting:
-                automaton = automaton or SuffixAutomaton()
-                for earlier in waiting:
-                    automaton.add(earlier)
-                waiting = []
-            if automaton:
-                sizes = automaton.matches(words)
-                out += [(doc, x, y) for x, y in _runs([n >= WINDOW for n in sizes[WINDOW - 1 :]], low)]
-            waiting.append(words)
+        automaton = SuffixAutomaton()
+        automaton.add(columns[4][a].split(b" "))
+        for k in range(a + 1, b):
+            doc, low, words = columns[1][k], columns[2][k], columns[4][k].split(b" ")
+            same = columns[1][k - 1] == doc and columns[2][k - 1] == low
+            full = [n >= WINDOW for n in automaton.matches(words)[WINDOW - 1 :]]
+            if not same:  # a row that repeats another one is the same place
+                out += [(doc, x, y) for x, y in _runs(full, low)]
+            if not all(full):
+                automaton.add(words)
     doc, low, high = zip(*out, strict=True) if out else ((), (), ())
     return pa.table({"doc": pa.array(doc, pa.int64()), "low": pa.array(low, pa.int32()), "high": pa.array(high, pa.int32())})
 
@@ -230,10 +238,12 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, low, high): windows starting at words low..high of a document whose words also start earlier."""
     rows, spark = _rows(docs, id_col, text_col), docs.sparkSession
-    buckets = BUCKETS * max(1, docs.select(id_col).rdd.getNumPartitions())
-    anchors = rows.mapInArrow(_anchor_rows(buckets), "bucket long, doc long, hashes binary, docs binary, counts binary")
-    repeats = materialise(anchors.groupBy("bucket").applyInArrow(_repeated, "doc long, hashes binary, n long"), "repeats")
-    hot = repeats.where("doc is null").orderBy(F.desc("n"), "hashes").limit(OFTEN_MOST).select("hashes").collect()
+    buckets = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    anchors = rows.mapInArrow(_anchor_rows(buckets, FLUSH_WORDS), "bucket long, doc long, hashes binary, docs binary, counts binary")
+    repeats = materialise(anchors.groupBy("bucket").applyInArrow(_repeated(OFTEN), "doc long, hashes binary, n long"), "repeats")
+    hot = repeats.where("doc is null")
+    total = hot.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = hot.where(F.col("n") > total // OFTEN_MOST).select("hashes").collect()  # fewer than OFTEN_MOST, by their sum
     often = spark.sparkContext.broadcast(np.sort(np.frombuffer(b"".join(r["hashes"] for r in hot), np.uint64)))
     wanted = repeats.where("doc is not null").groupBy("doc").agg(F.collect_list("hashes").alias("hashes"))
     segments = rows.join(wanted, "doc").select("doc", "text", "hashes").mapInArrow(_segments(buckets, often), _SEGMENTS)
@@ -279,14 +289,42 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return _apply(docs, repeated_words(docs, id_col, text_col), WINDOW, id_col, text_col)
 
 
+def _automata(block_words: int, window: int):
+    """Pickled automata over blocks of texts; the pieces of a long text overlap, so no span of `window` words is lost."""
+    lex = Lexer(SPACES, lower=False)
+
+    def run(batches):
+        automaton, held = SuffixAutomaton(), 0
+        row = lambda: pa.RecordBatch.from_pydict({"automaton": [pickle.dumps(automaton)]})
+        for batch in batches:
+            for _, _, _, _, edge, hashes in lex.chunks(text_bytes(batch.column(0))):
+                for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                    for i in range(a, b, block_words):
+                        part = hashes[i : min(b, i + block_words + window - 1)].tolist()
+                        automaton.add(part)
+                        held += len(part)
+                        if held >= block_words:
+                            yield row()
+                            automaton, held = SuffixAutomaton(), 0
+        if held:
+            yield row()
+
+    return run
+
+
 def _known(shared, window: int):
+    lex = Lexer(SPACES, lower=False)
+
     def run(batches):
-        automaton = shared.value
+        automata = [pickle.loads(x) for x in shared.value]
         for batch in batches:
-            out = []
-            for doc, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True):
-                sizes = automaton.matches(text.split())
-                out += [(doc, x, y) for x, y in _runs([n >= window for n in sizes[window - 1 :]], 0)]
+            docs, out = batch.column(0).to_pylist(), []
+            for first, _, _, _, edge, hashes in lex.chunks(text_bytes(batch.column(1))):
+                for k, (a, b) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)):
+                    if b - a >= window:
+                        words = hashes[a:b].tolist()
+                        for automaton in automata:
+                            out += [(docs[first + k], x, y) for x, y in _runs([n >= window for n in automaton.matches(words)[window - 1 :]], 0)]
             doc, low, high = zip(*out, strict=True) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(low, pa.int32()), pa.array(high, pa.int32())], ["doc", "low", "high"])
 
@@ -295,24 +333,19 @@ def _known(shared, window: int):
 
 def remove_known(docs: DataFrame, reference: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", reference_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_removed, kept_text) after removing spans of `window` words or more that the reference holds."""
-    spark, spans, automaton, held = docs.sparkSession, [], SuffixAutomaton(), 0
-    rows = _rows(docs, id_col, text_col)
-
-    def stream():
-        spans.append(rows.mapInArrow(_known(spark.sparkContext.broadcast(automaton), window), "doc long, low int, high int"))
-
-    for row in reference.select(reference_col).toLocalIterator():  # one partition at a time
-        words = (row[0] or "").encode().split()
-        for i in range(0, len(words), BLOCK_WORDS):  # pieces overlap, so no span of `window` words is lost
-            part = words[i : i + BLOCK_WORDS + window - 1]
-            automaton.add(part)
-            held += len(part)
-            if held >= BLOCK_WORDS:
-                stream()
-                automaton, held = SuffixAutomaton(), 0
-    if held or not spans:
-        stream()
-    merged = spans[0]
+    spark, rows, spans = docs.sparkSession, _rows(docs, id_col, text_col), []
+    built = materialise(reference.select(reference_col).mapInArrow(_automata(BLOCK_WORDS, window), "automaton binary"), "automata").withColumn("id", F.monotonically_increasing_id())
+    sizes = sorted((r["id"], r["size"]) for r in built.select("id", F.length("automaton").alias("size")).collect())
+    passes: list[tuple[list[int], int]] = []
+    for number, size in sizes:
+        if not passes or passes[-1][1] + size > PASS_BYTES:
+            passes.append(([], 0))
+        passes[-1] = [*passes[-1][0], number], passes[-1][1] + size
+    for numbers, _ in passes:
+        shared = spark.sparkContext.broadcast([bytes(r["automaton"]) for r in built.where(F.col("id").isin(numbers)).collect()])
+        spans.append(materialise(rows.mapInArrow(_known(shared, window), "doc long, low int, high int"), "spans"))
+        shared.destroy()
+    merged = spans[0] if spans else spark.createDataFrame([], "doc long, low int, high int")
     for more in spans[1:]:
         merged = merged.union(more)
     return _apply(docs, merged, window, id_col, text_col)

@@ -14,14 +14,15 @@ library's model. Ids are the same as those of encode(text, add_special_tokens=Fa
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import re
 
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Bounds of the caches: entries, not bytes; entries are short (a word and its ids).
-MAX_PIECES, MAX_TOKENS, MAX_LENGTH = 300_000, 450_000, 64
+#: Bounds of the caches: entries, not bytes; entries are short (a word and its ids). Pieces have two generations of that size.
+MAX_PIECES, MAX_TOKENS, MAX_LENGTH = 250_000, 150_000, 64
 
 _ASCII_SPACE = re.compile(r"[ \t\n\x0b\x0c\r]+")
 _ODD_SPACE = re.compile(r"\s\s|^\s|\s$")
@@ -51,18 +52,24 @@ class PieceEncoder:
         self.model = self.tokenizer.model
         self.joined = self.tokenizer.normalizer is None
         self.pieces: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.coded = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.tokens: dict[str, bytes] = {}
         self.letters = _byte_letters()
+        self.blank = self.letters[32]
         self.pattern = _JOINED_PATTERN if self.joined else _DROPPED_PATTERN
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _model(self, token: str) -> bytes:
+        written = token.encode().decode("latin-1").translate(self.letters)
+        return b"".join([self.coded[x.id] for x in self.model.tokenize(written)])
+
     def _token(self, token: str) -> bytes:
         found = self.tokens.get(token)
         if found is None:
-            written = token.encode().decode("latin-1").translate(self.letters)
-            found = np.array([x.id for x in self.model.tokenize(written)], "<u4").tobytes()
+            found = self._model(token)
             if len(token) <= MAX_LENGTH:
                 if len(self.tokens) >= MAX_TOKENS:
                     self.tokens.clear()
@@ -75,11 +82,17 @@ class PieceEncoder:
         return b"".join(map(self._token, self.pattern.findall(piece if self.joined else piece.lower())))
 
     def _known(self, part: str) -> bytes:
-        """Ids of a part, which a blank precedes if the vocabulary joins blanks to words."""
-        ids = self._piece(" " + part if self.joined else part)
+        """Ids of a part, which a blank precedes if the vocabulary joins blanks to words. A full cache becomes the older one, so words in use survive."""
+        ids = self.older.get(part)
+        if ids is None:
+            if part.isascii() and part.isalpha():  # one pre-token, whose letters are written as themselves
+                coded = self.coded
+                ids = b"".join([coded[x.id] for x in self.model.tokenize(self.blank + part if self.joined else part.lower())])
+            else:
+                ids = self._piece(" " + part if self.joined else part)
         if len(part) <= MAX_LENGTH:
             if len(self.pieces) >= MAX_PIECES:
-                self.pieces.clear()
+                self.older, self.pieces = self.pieces, {}
             self.pieces[part] = ids
         return ids
 
@@ -99,12 +112,12 @@ class PieceEncoder:
         parts = self.split(text)
         first = self._piece(parts.pop(0)) if self.joined else b""
         out = list(map(self.pieces.get, parts))
-        if None in out:
-            known = self.pieces
-            for k, ids in enumerate(out):
-                if ids is None:
-                    ids = known.get(parts[k])
-                    out[k] = self._known(parts[k]) if ids is None else ids
+        with contextlib.suppress(ValueError):  # no more of them
+            k = -1
+            while True:
+                k = out.index(None, k + 1)
+                ids = self.pieces.get(parts[k])
+                out[k] = self._known(parts[k]) if ids is None else ids
         return first + b"".join(out)
 
 

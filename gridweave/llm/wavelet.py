@@ -32,7 +32,7 @@ from .tokenizing import encoder
 MAGIC = b"GWWM2\0"
 END_ID = 2
 #: Tokens after which a shard is closed; positions that reading back looks up at once.
-SHARD_TOKENS, BLOCK = 1 << 21, 1 << 16
+SHARD_TOKENS, BLOCK = 1 << 21, 1 << 17
 #: Bits of a directory's large step; ones or zeros between samples for select.
 LARGE, SAMPLE = 4096, 2048
 _NULL = np.iinfo(np.int64).min
@@ -54,10 +54,11 @@ _SELECT8 = _byte_selects()
 class Plane:
     """Packed bits with directories for rank and select. All lookups are vectorised over positions."""
 
-    __slots__ = ("words", "large", "small", "ones_at", "zeros_at")
+    __slots__ = ("words", "large", "small", "ones_at", "zeros_at", "_upto")
 
     def __init__(self, words, large, small, ones_at, zeros_at):
         self.words, self.large, self.small, self.ones_at, self.zeros_at = words, large, small, ones_at, zeros_at
+        self._upto = None
 
     @classmethod
     def build(cls, bits: np.ndarray) -> Plane:
@@ -75,12 +76,21 @@ class Plane:
     def parts(self) -> tuple[np.ndarray, ...]:
         return self.words, self.large, self.small, self.ones_at, self.zeros_at
 
+    def upto(self) -> np.ndarray:
+        """Ones up to each word's end, from both steps of the directory; kept once asked for, for runs of many ranks."""
+        if self._upto is None:
+            before = np.repeat(self.large, _WORDS)[: len(self.words)].astype(np.int32)
+            before += self.small
+            before += np.bitwise_count(self.words)
+            self._upto = before
+        return self._upto
+
     def bit_and_rank(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Bit at each position, and the ones before it."""
+        """Bit at each position, and the ones before it: those up to its word's end without those from it on."""
         word = at >> 6
-        own, shift = self.words[word], (at & 63).astype(np.uint64)
-        below = np.bitwise_count(own & ((np.uint64(1) << shift) - np.uint64(1)))
-        return ((own >> shift) & np.uint64(1)).astype(bool), self.large[word >> 6].astype(np.int64) + self.small[word] + below
+        rest = self.words.take(word)
+        rest >>= (at & 63).astype(np.uint64)
+        return (rest & np.uint64(1)).astype(bool), self.upto().take(word) - np.bitwise_count(rest)
 
     def rank(self, at) -> np.ndarray:
         return self.bit_and_rank(np.asarray(at, np.int64))[1]
@@ -121,19 +131,20 @@ class WaveletMatrix:
         for plane in range(planes - 1, -1, -1):
             ones = ((rows >> plane) & 1).astype(bool)
             levels.append(Plane.build(ones))
-            low = rows[~ones]
-            zeros.append(len(low))
-            rows = np.concatenate((low, rows[ones]))
+            order = np.flatnonzero(~ones), np.flatnonzero(ones)
+            zeros.append(len(order[0]))
+            rows = rows.take(np.concatenate(order), mode="clip")
         return cls(len(ids), zeros, levels)
 
     def access(self, at) -> np.ndarray:
         """Tokens at the given positions: one rank a plane."""
-        at = np.asarray(at, np.int64)
+        at = np.asarray(at).astype(np.int32 if self.n < 1 << 31 else np.int64)
         out = np.zeros(np.shape(at), np.uint32)
         for zeros, level in zip(self.zeros, self.levels, strict=True):
             one, rank = level.bit_and_rank(at)
-            out = (out << np.uint32(1)) | one
-            at = np.where(one, zeros + rank, at - rank)
+            out += out
+            out += one
+            at = np.where(one, rank + at.dtype.type(zeros), at - rank)
         return out
 
     def blocks(self, size: int | None = None):

@@ -12,6 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gridweave import scratch
 from gridweave.llm import automaton, components, decontamination, exact_dedup, heavy, language, near_dedup, ngram_trie, packing, substring_dedup, tokenizing, url_filter, warc, wavelet
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -155,44 +156,92 @@ def test_packing_merges_over_many_rounds(spark, monkeypatch, group):
 # --- 2
 
 
-def test_elias_fano_and_trie(tmp_path):
+@pytest.mark.parametrize("top", [3, 2**20, 2**64 - 1])
+def test_elias_fano(top):
     r = np.random.default_rng(1)
-    v = np.sort(r.integers(0, 2**40, 500).astype(np.uint64))
-    e, _ = ngram_trie.EliasFano.load(ngram_trie.EliasFano.build(v).dump(), 0)
-    assert (e.values() == v).all() and [e.access(i) for i in range(0, 500, 37)] == v[::37].tolist()
-    assert e.search(int(v[300]), 0, 500) == np.searchsorted(v, v[300])
-    c, s = r.integers(0, 40, 2000).astype(np.uint64) << np.uint64(50), r.integers(0, 90, 2000).astype(np.uint64) * np.uint64(7**12)
-    (tmp_path / "t").write_bytes(ngram_trie.build_trie(c, s, np.ones(2000, np.uint32), {}).dump())
-    t = ngram_trie.BigramTrie.map(str(tmp_path / "t"))
-    codes = t.answers(c, s)
-    assert (codes > 0).all() and all(t.code(int(c[i]), int(s[i])) == codes[i] for i in range(0, 2000, 41))
-    assert t.code(5, 5) == 0 and t.answers(np.array([5], np.uint64), np.array([5], np.uint64))[0] == 0
-
-
-@pytest.mark.parametrize("batch", [200, 10**6])
-def test_scores_match_brute_force(docs, empty, monkeypatch, batch):
-    monkeypatch.setattr(ngram_trie, "BATCH_TOKENS", batch)
-    monkeypatch.setattr(ngram_trie, "HOT", 30)
-    one, two, seqs = collections.Counter(), collections.Counter(), []
-    for i, t in ROWS:
+    for n in (1, 2, 500, 9000):
+        v = np.sort(r.integers(0, top, n, dtype=np.uint64, endpoint=True))
+        e, _ = ngram_trie.EliasFano.load(ngram_trie.EliasFano.build(v).dump(), 0)
+        assert (e.access(np.arange(n)) == v).all()
+        q = np.concatenate((v, r.integers(0, top, 300, dtype=np.uint64, endpoint=True)))
+        begin, end = r.integers(0, n // 2 + 1, len(q)), r.integers(n // 2, n + 1, len(q))
+        assert (e.search(q, begin, end) == np.clip(np.searchsorted(v, q), begin, end)).all()
+    none = ngram_trie.EliasFano.load(ngram_trie.EliasFano.build(v[:0]).dump(), 0)[0]
+    assert none.find(np.array([5], np.uint64)).tolist() == [-1]
+
+
+def brute_model(rows):
+    """Counts of words, pairs and triples in training texts, and all texts as (id, held out, sequence)."""
+    counts, seqs = [collections.Counter() for _ in range(3)], []
+    for i, t in rows:
         seq = ["</s>", *words(lowered(t)), "</s>"]
         held = i is not None and zlib.crc32(str(i).encode()) % 10 == 0
         seqs.append((i, held, seq))
         if not held:
-            one.update(seq[1:])
-            two.update(zip(seq, seq[1:]))
-    n, v, mu = sum(one.values()), len(one), ngram_trie.MU
-    p = lambda w: (one[w] + 0.1) / (n + 0.1 * (v + 1))
-    share = lambda x: 2 ** (-math.ceil(-8 * math.log2(x) - 1e-9) / 8) if x else 0
-    want = sorted((i is None, i or 0, held, len(s) - 1, sum(one[w] > 0 for w in s[1:]), n, round(sum(math.log10(p(w)) for w in s[1:]), 5),
-                   round(sum(math.log10(share(two[a, b] / (one[a] + mu)) + mu / (one[a] + mu) * p(b)) for a, b in zip(s, s[1:])), 5)) for i, held, s in seqs)
-    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 5), round(r["score"], 5)) for r in ngram_trie.score(docs).collect())
+            counts[0].update(seq[1:])
+            counts[1].update(zip(seq, seq[1:]))
+            counts[2].update(zip(seq, seq[1:], seq[2:]))
+    return *counts, seqs
+
+
+def floored(x):
+    return 2 ** (-math.ceil(-8 * math.log2(x) - 1e-9) / 8) if x else 0
+
+
+@pytest.mark.parametrize("batch,shard", [(200, 100), (10**6, 10**6)])
+def test_scores_match_brute_force(docs, empty, monkeypatch, batch, shard):
+    monkeypatch.setattr(ngram_trie, "BATCH_TOKENS", batch)
+    monkeypatch.setattr(ngram_trie, "SHARD_TOKENS", shard)
+    monkeypatch.setattr(ngram_trie, "HOT", 30)
+    one, two, three, seqs = brute_model(ROWS)
+    n, v, mu2, mu3 = sum(one.values()), len(one), ngram_trie.MU2, ngram_trie.MU3
+    p1 = lambda w: (one[w] + 0.1) / (n + 0.1 * (v + 1))
+    p2 = lambda a, b: floored(two[a, b] / (one[a] + mu2)) + mu2 / (one[a] + mu2) * p1(b)
+    p3 = lambda a, b, c: floored(three[a, b, c] / (two[a, b] + mu3)) + floored(mu3 / (two[a, b] + mu3)) * p2(b, c)
+    want = sorted((i is None, i or 0, held, len(s) - 1, sum(one[w] > 0 for w in s[1:]), n, sum(math.log10(p1(w)) for w in s[1:]),
+                   math.log10(p2(s[0], s[1])) + sum(math.log10(p3(*x)) for x in zip(s, s[1:], s[2:]))) for i, held, s in seqs)
+    found = ngram_trie.fit_and_score(docs)
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in found.scores.collect())
     assert len(got) == len(want)
     for a, b in zip(got, want, strict=True):
-        assert a[:6] == b[:6] and a[6] == pytest.approx(b[6], abs=1e-4) and a[7] == pytest.approx(b[7], abs=1e-4)
+        assert a[:6] == b[:6] and a[6] == pytest.approx(b[6], abs=1e-6) and a[7] == pytest.approx(b[7], abs=1e-6)
+    # the stored model alone gives the same counts and codes
+    lex = ngram_trie.Lexer(ngram_trie.SPACES, lower=True)
+    key = lambda w: ngram_trie.END if w == "</s>" else lex.words([w.encode()])[4][0]
+    levels, tries = ([bytes(r["data"]) for r in t.collect()] for t in (found.words, found.tries))
+    for w in [*list(one)[:60], "absent"]:
+        assert sum(int(ngram_trie.word_counts(x, np.array([key(w)], np.uint64))[0]) for x in levels) == one[w]
+    loaded = [ngram_trie.NgramTrie.load(ngram_trie._mapped(x)) for x in tries]
+    for a, b, c in list(three)[:60]:
+        codes = [t.codes(key(a), key(b), key(c)) for t in loaded]
+        held = [x for x in codes if x[0]]
+        assert len(held) == 1 and ngram_trie.SHARES[held[0][2]] == floored(three[a, b, c] / (two[a, b] + mu3)) and ngram_trie.SHARES[held[0][0]] == floored(two[a, b] / (one[a] + mu2))
     assert ngram_trie.score(empty).count() == 0
 
 
+def test_probabilities_sum_to_at_most_one(spark):
+    texts = ["a b a c", "a b b", "c a b", "b"]
+    one, *_ = brute_model([(1 + 10 * k, t) for k, t in enumerate(texts)])
+    asked = [(1000 + k, f"a b {w}" if w != "</s>" else "a b") for k, w in enumerate([*one, "zz"])]
+    train = F.col("doc_id") < 1000
+    table = spark.createDataFrame([(10 * k + 1, t) for k, t in enumerate(texts)] + asked + [(2000, "a b")], "doc_id bigint, text string")
+    score = {r["doc_id"]: r["score"] for r in ngram_trie.score(table, train).collect()}
+    ends = {w: ngram_trie.score(table, train).where(f"doc_id = {i}").first() for i, w in [(1000, "x")]}
+    assert ends["x"] and all(s < 0 for s in score.values())
+
+
+def test_messages_of_a_batch_depend_on_shards_alone(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, prose(i, 30)) for i in range(200)], "doc_id bigint, text string")
+    found = []
+    for parts in (3, 30):  # a batch a partition
+        written = {}
+        monkeypatch.setattr(ngram_trie, "materialise", lambda df, label, to=written: to.setdefault(label, scratch.materialise(df, label)))
+        ngram_trie.fit_and_score(rows.repartition(parts))
+        sent = written["codes"].where("batch >= 0").groupBy("batch").count().collect()
+        found.append((len(sent), max(r["count"] for r in sent)))
+    assert [n for n, _ in found] == [3, 30] and max(m for _, m in found) <= 2 * 8  # kinds x shards
+
+
 # --- 3 and components
 
 
@@ -304,9 +353,11 @@ def test_suffix_automaton():
         assert n == max((j for j in range(k + 1) if j == 0 or text[k - j : k] in held))
 
 
-@pytest.mark.parametrize("often", [2048, 1])
-def test_repeated_words(spark, docs, empty, monkeypatch, often):
+@pytest.mark.parametrize("often,most,flush", [(2048, 10**6, 10**6), (1, 10**6, 50), (1, 20, 10**6)])
+def test_repeated_words(spark, docs, empty, monkeypatch, often, most, flush):
     monkeypatch.setattr(substring_dedup, "OFTEN", often)
+    monkeypatch.setattr(substring_dedup, "OFTEN_MOST", most)
+    monkeypatch.setattr(substring_dedup, "FLUSH_WORDS", flush)
     passage = prose(20, 35)
     rows = [r for r in ROWS if r[0] is not None and r[0] != 5] + [(30 + i, prose(40 + i, i) + " " + passage + " " + prose(60 + i, 5)) for i in range(8)] + [(60, passage + " " + passage)]
     seen, want = set(), {}
@@ -325,10 +376,14 @@ def test_repeated_words(spark, docs, empty, monkeypatch, often):
     assert substring_dedup.dedup(empty).count() == 0
 
 
-def test_remove_known(spark, docs, empty):
+def test_remove_known(spark, docs, empty, monkeypatch):
     reference = spark.createDataFrame([(BASE,), (None,)], "text string")
     got = {r["doc_id"]: r for r in substring_dedup.remove_known(docs, reference).collect()}
     assert got[5]["n_removed"] == 120 and got[9]["kept_text"] == "extra" and got[7]["n_removed"] == 0 and got[4]["n_words"] == 0
+    monkeypatch.setattr(substring_dedup, "BLOCK_WORDS", 30)  # many blocks, in many passes
+    monkeypatch.setattr(substring_dedup, "PASS_BYTES", 20_000)
+    again = {r["doc_id"]: r for r in substring_dedup.remove_known(docs, reference).collect()}
+    assert again[5]["n_removed"] == 120 and again[9]["kept_text"] == "extra" and again[7]["n_removed"] == 0
     assert substring_dedup.remove_known(docs, reference.where("false")).agg(F.sum("n_removed")).first()[0] == 0
     assert substring_dedup.remove_known(empty, reference).count() == 0
 
