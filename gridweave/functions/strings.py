@@ -60,23 +60,23 @@ def bytes_text(n: Column) -> Column:
 def collapse_name(name: Column) -> Column:
     """Each outermost <...> becomes <$>. Names with "operator" in them, or with unbalanced brackets, stay.
 
-    One fold over the characters, so it stays in the JVM: state is (depth, text, broken).
+    One fold over the runs between brackets, so it stays in the JVM: state is (depth, text, broken). Text grows at outermost brackets only.
     """
     zero = F.struct(F.lit(0).alias("d"), F.lit("").alias("t"), F.lit(False).alias("x"))
 
-    def step(s, c):
-        opens, closes = c == "<", c == ">"
+    def step(s, part):
+        opens, closes = part.startswith("<"), part.startswith(">")
         depth = s["d"] + F.when(opens, 1).when(closes, -1).otherwise(0)
-        text = F.when(opens & (s["d"] == 0), F.concat(s["t"], F.lit("<$"))).when(closes & (s["d"] == 1), F.concat(s["t"], F.lit(">"))).when((s["d"] > 0) | opens | closes, s["t"]).otherwise(F.concat(s["t"], c))
+        text = F.when(opens & (s["d"] == 0), F.concat(s["t"], F.lit("<$"))).when(closes & (s["d"] == 1), F.concat(s["t"], part)).when((depth > 0) | opens | (s["d"] > 0), s["t"]).otherwise(F.concat(s["t"], part))
         return F.struct(depth.alias("d"), text.alias("t"), (s["x"] | (depth < 0)).alias("x"))
 
-    folded = F.aggregate(F.split(name, ""), zero, step)
+    folded = F.aggregate(F.split(name, "(?=[<>])"), zero, step)
     plain = name.contains("operator") | ~name.contains("<")
     return F.when(plain, name).otherwise(F.when((folded["d"] != 0) | folded["x"], name).otherwise(folded["t"]))
 
 
 def fnv1(text: Column) -> Column:
-    """64-bit hash that multiplies, then xors each byte taken as signed. Wraps around."""
+    """32-bit hash that multiplies, then xors each byte taken as signed; 0 to 2^32 - 1."""
     from .hashing import fnv1_udf
 
     return fnv1_udf(text)
@@ -94,3 +94,16 @@ def percent_text(part: Column, whole: Column) -> Column:
 def duration_text(seconds: Column, memory: Column) -> Column:
     """Three decimals and a unit; nothing for zero."""
     return F.when(seconds == 0, F.lit("")).otherwise(F.concat(F.format_string("%.3f", seconds), F.when(memory, "m").otherwise("s")))
+
+
+def ends_with(text: Column, end: str, ignore_case: bool = False) -> Column:
+    return F.lower(text).endswith(end.lower()) if ignore_case else text.endswith(end)
+
+
+def count_text(n: Column) -> Column:
+    """Groups of three digits."""
+    return F.format_number(n, 0)
+
+
+def hex_text(n: Column) -> Column:
+    return F.concat(F.lit("0x"), F.lower(F.hex(n)))

@@ -146,14 +146,16 @@ def trace(m, n: int):
     return functools.reduce(lambda x, y: x + y, [_at(m, i, i) for i in range(n)])
 
 
-def determinant(m, n: int):
-    def minor(rows, columns):
-        if len(rows) == 1:
-            return _at(m, rows[0], columns[0])
-        terms = [_at(m, rows[0], c) * minor(rows[1:], [x for x in columns if x != c]) * (1.0 if k % 2 == 0 else -1.0) for k, c in enumerate(columns)]
-        return functools.reduce(lambda x, y: x + y, terms)
+def _minor(m: Column, rows: list[int], columns: list[int]) -> Column:
+    """Determinant of some rows and columns."""
+    if len(rows) == 1:
+        return _at(m, rows[0], columns[0])
+    terms = [_at(m, rows[0], c) * _minor(m, rows[1:], [x for x in columns if x != c]) * (1.0 if k % 2 == 0 else -1.0) for k, c in enumerate(columns)]
+    return functools.reduce(lambda x, y: x + y, terms)
+
 
-    return minor(list(range(n)), list(range(n)))
+def determinant(m, n: int):
+    return _minor(m, list(range(n)), list(range(n)))
 
 
 def inverse3(m):
@@ -190,3 +192,117 @@ def slerp(a, b, t):
     wa = F.when(d > 0.9995, F.lit(1.0) - t).otherwise(F.sin((F.lit(1.0) - t) * angle) / F.sin(angle))
     wb = F.when(d > 0.9995, t).otherwise(F.sin(t * angle) / F.sin(angle)) * sign
     return normalize(F.zip_with(a, b, lambda x, y: x * wa + y * wb))
+
+
+def quaternion_inverse(q):
+    """Of a unit quaternion."""
+    return F.array(*(-F.element_at(q, i) for i in (1, 2, 3)), F.element_at(q, 4))
+
+
+def quaternion_lerp(a, b, t):
+    return normalize(lerp_vector(a, b, t))
+
+
+def bezier(a, b, c, d, t):
+    """Cubic curve through a and d with the control points b and c; columns or vectors' components."""
+    s = F.lit(1.0) - t
+    return a * s * s * s + b * s * s * t * 3.0 + c * s * t * t * 3.0 + d * t * t * t
+
+
+# --- more scalars
+
+
+def frexp(x):
+    """(mantissa in [0.5, 1), exponent) with x = mantissa * 2^exponent; zero gives zeros."""
+    exponent = F.when(x == 0, F.lit(0)).otherwise(F.floor(F.log2(F.abs(x))).cast("int") + 1)
+    return F.struct((x / F.pow(F.lit(2.0), exponent)).alias("mantissa"), exponent.alias("exponent"))
+
+
+def fmod(x, y):
+    """Remainder with the sign of x."""
+    return x - y * trunc(x / y)
+
+
+def trunc(x):
+    return F.when(x < 0, F.ceil(x)).otherwise(F.floor(x))
+
+
+def min3(a, b, c):
+    return F.least(a, b, c)
+
+
+def max3(a, b, c):
+    return F.greatest(a, b, c)
+
+
+def select(a, b, condition):
+    """b where the condition holds, else a."""
+    return F.when(condition, b).otherwise(a)
+
+
+def bitselect(a, b, mask):
+    """Bits of b where the mask has ones, of a elsewhere."""
+    return a.bitwiseAND(F.bitwise_not(mask)).bitwiseOR(b.bitwiseAND(mask))
+
+
+def refract(v, n, eta):
+    """Direction v refracted at the normal n; zeros on total reflection."""
+    d = dot(v, n)
+    k = F.lit(1.0) - eta * eta * (F.lit(1.0) - d * d)
+    return F.zip_with(v, n, lambda x, y: F.when(k < 0, 0.0).otherwise(eta * x - (eta * d + F.sqrt(F.greatest(k, F.lit(0.0)))) * y))
+
+
+# --- more matrices
+
+
+def add(a, b):
+    return F.zip_with(a, b, lambda x, y: F.zip_with(x, y, lambda p, q: p + q))
+
+
+def subtract(a, b):
+    return F.zip_with(a, b, lambda x, y: F.zip_with(x, y, lambda p, q: p - q))
+
+
+def inverse(m, n: int):
+    """Inverse by cofactors; entries are null where there is none. m had better be a column: it is named many times."""
+    rest = lambda i: [x for x in range(n) if x != i]
+    cofactors = F.array(*(F.array(*(_minor(m, rest(j), rest(i)) * (1.0 if (i + j) % 2 == 0 else -1.0) for j in range(n))) for i in range(n)))
+    d = determinant(m, n)
+    return F.transform(cofactors, lambda row: F.transform(row, lambda x: F.try_divide(x, d)))
+
+
+def matrix(rows: list) -> Column:
+    """A matrix of numbers and columns."""
+    return F.array(*(F.array(*(x if isinstance(x, Column) else F.lit(float(x)) for x in r)) for r in rows))
+
+
+def translation(x, y, z):
+    return matrix([[1, 0, 0, x], [0, 1, 0, y], [0, 0, 1, z], [0, 0, 0, 1]])
+
+
+def scaling(x, y, z):
+    return matrix([[x, 0, 0, 0], [0, y, 0, 0], [0, 0, z, 0], [0, 0, 0, 1]])
+
+
+def rotation_z(angle):
+    c, s = F.cos(angle), F.sin(angle)
+    return matrix([[c, -s, 0, 0], [s, c, 0, 0], [0, 0, 1, 0], [0, 0, 0, 1]])
+
+
+def orthographic(width, height, near, far):
+    """View box to -1..1 in x and y, 0..1 in depth; the view looks along -z."""
+    depth = far - near
+    return matrix([[F.lit(2.0) / width, 0, 0, 0], [0, F.lit(2.0) / height, 0, 0], [0, 0, F.lit(-1.0) / depth, -near / depth], [0, 0, 0, 1]])
+
+
+def perspective(fov_y, aspect, near, far):
+    """Right-handed projection to depth 0..1; fov_y in radians."""
+    h = F.lit(1.0) / F.tan(fov_y / 2)
+    z = far / (near - far)
+    return matrix([[h / aspect, 0, 0, 0], [0, h, 0, 0], [0, 0, z, z * near], [0, 0, -1, 0]])
+
+
+def decompose(m) -> Column:
+    """(translation, scale) of an affine 4 x 4 matrix: the last column, and the lengths of the first three."""
+    column = lambda j: F.array(*(_at(m, i, j) for i in range(3)))
+    return F.struct(column(3).alias("translation"), F.array(*(length(column(j)) for j in range(3))).alias("scale"))

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import struct
+import zlib
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..sources.containers import read_dds, read_ktx1, read_ktx2, read_level
+from ..sources.containers import read_dds, read_ktx1, read_ktx2, read_level, write_ktx1
 
 #: format -> function (bytes, width, height) -> uint8 or float array (height, width, 4)
 DECODERS: dict[str, Callable] = {}
@@ -163,23 +167,83 @@ def decode(name: str, data: bytes, width: int, height: int) -> np.ndarray:
     return DECODERS[name](data, width, height)
 
 
+def _level(data: bytes, mip: int):
+    """(width, height, pixels) of a level; None if there is none."""
+    read = {b"\xabKTX 11\xbb": read_ktx1, b"\xabKTX 20\xbb": read_ktx2}.get(data[:8], read_dds)
+    t = read(data)
+    if mip >= len(t["levels"]):
+        return None
+    w, h = max(1, t["width"] >> mip), max(1, t["height"] >> mip)
+    return w, h, decode(t["format"], read_level(data, t["scheme"], t["levels"][mip]), w, h)
+
+
+_PIXELS = "path string, mip int, y int, x int, r double, g double, b double, a double, error string"
+
+
 def _pixels(mip: int):
     def run(batches):
         for batch in batches:
             for path, data in zip(batch["path"], batch["content"], strict=True):
-                read = {b"\xabKTX 11\xbb": read_ktx1, b"\xabKTX 20\xbb": read_ktx2}.get(data[:8], read_dds)
-                t = read(data)
-                if mip >= len(t["levels"]):
+                try:
+                    found = _level(data, mip)
+                except (ValueError, RuntimeError, struct.error, zlib.error) as e:  # a bad file or unknown format becomes a row that says so
+                    yield pd.DataFrame([(path, mip, *[None] * 6, str(e))], columns=[x.split()[0] for x in _PIXELS.split(", ")], dtype=object)
                     continue
-                w, h = max(1, t["width"] >> mip), max(1, t["height"] >> mip)
-                grid = decode(t["format"], read_level(data, t["scheme"], t["levels"][mip]), w, h).astype(float)
-                y, x = np.divmod(np.arange(w * h), w)
-                flat = grid.reshape(-1, 4)
-                yield pd.DataFrame({"path": path, "mip": mip, "y": y.astype(np.int32), "x": x.astype(np.int32)} | {c: flat[:, k] for k, c in enumerate("rgba")})
+                if found:
+                    w, h, grid = found
+                    y, x = np.divmod(np.arange(w * h), w)
+                    flat = grid.astype(float).reshape(-1, 4)
+                    yield pd.DataFrame({"path": path, "mip": mip, "y": y.astype(np.int32), "x": x.astype(np.int32)} | {c: flat[:, k] for k, c in enumerate("rgba")} | {"error": None})
 
     return run
 
 
 def texture_pixels(containers: DataFrame, mip: int = 0) -> DataFrame:
-    """containers (path, content) -> (path, mip, y, x, r, g, b, a): missing channels are 0, missing alpha is opaque."""
-    return containers.select("path", "content").mapInPandas(_pixels(mip), "path string, mip int, y int, x int, r double, g double, b double, a double")
+    """containers (path, content) -> (path, mip, y, x, r, g, b, a, error): missing channels are 0, missing alpha is opaque."""
+    return containers.select("path", "content").mapInPandas(_pixels(mip), _PIXELS)
+
+
+def thumbnails(containers: DataFrame, largest: int = 256) -> DataFrame:
+    """containers (path, content) -> (path, width, height, rgba): the largest level of at most `largest` a side; the smallest if all are larger. 8-bit formats."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for path, data in zip(batch["path"], batch["content"], strict=True):
+                mip, level = 0, _level(data, 0)
+                while max(level[:2]) > largest and (smaller := _level(data, mip + 1)):
+                    mip, level = mip + 1, smaller
+                rows.append((path, level[0], level[1], level[2].astype(np.uint8).tobytes()))
+            yield pd.DataFrame(rows, columns=["path", "width", "height", "rgba"])
+
+    return containers.select("path", "content").mapInPandas(run, "path string, width int, height int, rgba binary")
+
+
+def decoded(containers: DataFrame, format: str = "EXPrgba8") -> DataFrame:
+    """containers (path, content) -> (path, content): KTX files of an explicit format with all levels decoded."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for path, data in zip(batch["path"], batch["content"], strict=True):
+                levels, mip = [], 0
+                while found := _level(data, mip):
+                    levels.append(found)
+                    mip += 1
+                rows.append((path, write_ktx1(format, levels[0][0], levels[0][1], [ENCODERS[format](x[2]) for x in levels])))
+            yield pd.DataFrame(rows, columns=["path", "content"])
+
+    return containers.select("path", "content").mapInPandas(run, "path string, content binary")
+
+
+def encoded(images: DataFrame, format: str) -> DataFrame:
+    """images (path, width, height, rgba: bytes of one level) -> (path, format, width, height, levels): textures for a container sink, by the registered encoder."""
+
+    @F.pandas_udf(T.ArrayType(T.BinaryType()))
+    def encode(width: pd.Series, height: pd.Series, rgba: pd.Series) -> pd.Series:
+        grid = lambda w, h, x: np.frombuffer(x, np.uint8).reshape(int(h), int(w), 4)
+        return pd.Series([[ENCODERS[format](grid(w, h, x))] for w, h, x in zip(width, height, rgba, strict=True)])
+
+    if format not in ENCODERS:
+        raise ValueError(f"no encoder for {format}; add one with register()")
+    return images.select("path", F.lit(format).alias("format"), "width", "height", encode("width", "height", "rgba").alias("levels"))

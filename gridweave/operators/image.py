@@ -21,10 +21,27 @@ def traits(pixels: DataFrame, key: str = "image_id", opaque=255) -> DataFrame:
     return pixels.groupBy(key).agg(F.bool_or((F.col("r") != F.col("g")) | (F.col("r") != F.col("b"))).alias("has_color"), F.bool_or(F.col("a") != opaque).alias("has_alpha"))
 
 
-def box_mip(pixels: DataFrame, channels: list[str], key: str = "image_id", integers: bool = True) -> DataFrame:
-    """Half size by 2 x 2 boxes: integers (sum + 2) div 4, else the mean. Even sizes."""
+def sizes_of(pixels: DataFrame, key: str = "image_id") -> DataFrame:
+    """(key, width, height) of images that have all their pixels."""
+    return pixels.groupBy(key).agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"))
+
+
+def box_mip(pixels: DataFrame, channels: list[str], key: str = "image_id", integers: bool = True, even: bool = False) -> DataFrame:
+    """Half size, rounded down: 2 x 2 boxes where both sides are even, integers (sum + 2) div 4, else the mean; other images by weighted_mip(), rounded half up for integers.
+
+    even: the caller knows that all sides are even, which saves a pass over the pixels.
+    """
     mean = (lambda c: F.expr(f"(sum({c}) + 2) div 4")) if integers else F.avg
-    return pixels.groupBy(key, F.expr("y div 2").alias("y"), F.expr("x div 2").alias("x")).agg(*(mean(c).alias(c) for c in channels))
+    boxes = lambda p: p.groupBy(key, F.expr("y div 2").alias("y"), F.expr("x div 2").alias("x")).agg(*(mean(c).alias(c) for c in channels))
+    if even:
+        return boxes(pixels)
+    sizes = sizes_of(pixels, key)
+    plain = sizes.where("width % 2 = 0 and height % 2 = 0").select(key)
+    rest = sizes.where("width % 2 = 1 or height % 2 = 1")
+    odd = weighted_mip(pixels, rest, channels, key)
+    if integers:
+        odd = odd.withColumns({c: F.floor(F.round(F.col(c), 6) + 0.5).cast("bigint") for c in channels})
+    return boxes(pixels.join(plain, key, "left_semi")).unionByName(odd.select(key, F.col("y").cast("bigint").alias("y"), F.col("x").cast("bigint").alias("x"), *channels))
 
 
 def _taps(size: str, at: str) -> Column:
@@ -89,18 +106,18 @@ def height_to_normal(pixels: DataFrame, channel: str, scale: float, wrap: bool,
 
 
 def mip_flood(levels: DataFrame, count: int, key: str = "image_id") -> DataFrame:
-    """levels: (key, mip, y, x, r, g, b, a). Pixels without alpha take the color of the next smaller level, smallest first."""
-    done = levels.where(F.col("mip") == count - 1)
-    out = [done]
-    for mip in range(count - 2, -1, -1):
-        above = done.select(key, F.col("y").alias("py"), F.col("x").alias("px"), *(F.col(c).alias(f"p{c}") for c in "rgb"))
-        own = levels.where(F.col("mip") == mip).withColumn("py", F.expr("y div 2")).withColumn("px", F.expr("x div 2")).join(above, [key, "py", "px"], "left")
-        done = own.select(key, "mip", "y", "x", *(F.when(F.col("a") == 0, F.coalesce(f"p{c}", c)).otherwise(F.col(c)).alias(c) for c in "rgb"), "a")
-        out.append(done)
-    flooded = out[0]
-    for part in out[1:]:
-        flooded = flooded.unionByName(part)
-    return flooded
+    """levels: (key, mip, y, x, r, g, b, a). Pixels without alpha take the color of the next smaller level that has alpha there, else of the smallest.
+
+    Each such pixel asks all smaller levels (at most `count`) in one join, so the plan does not grow with the levels.
+    """
+    last = F.lit(count - 1)
+    asked = levels.where((F.col("a") == 0) & (F.col("mip") < last)).select(key, F.col("mip").alias("m"), F.col("y").alias("y0"), F.col("x").alias("x0"), F.explode(F.sequence(F.col("mip") + 1, last)).alias("mip"))
+    asked = asked.withColumns({"y": F.expr("shiftright(y0, mip - m)"), "x": F.expr("shiftright(x0, mip - m)")})
+    found = asked.join(levels, [key, "mip", "y", "x"]).where((F.col("a") != 0) | (F.col("mip") == last))
+    best = found.groupBy(key, "m", "y0", "x0").agg(F.min_by(F.struct("r", "g", "b"), "mip").alias("p"))
+    best = best.select(key, F.col("m").alias("mip"), F.col("y0").alias("y"), F.col("x0").alias("x"), "p")
+    joined = levels.join(best, [key, "mip", "y", "x"], "left")
+    return joined.select(key, "mip", "y", "x", *(F.coalesce(F.col("p")[c], F.col(c)).alias(c) for c in "rgb"), "a")
 
 
 def resize_point(pixels: DataFrame, sizes: DataFrame, width: int, height: int, key: str = "image_id") -> DataFrame:
@@ -190,19 +207,44 @@ def signed_distance(grid: np.ndarray, threshold: float, spread: float) -> np.nda
     return np.clip(np.rint(128 - 127 * np.clip(d / spread, -1, 1)), 0, 255).astype(np.int32)
 
 
-def distance_field(pixels: DataFrame, channel: str, threshold: float = 127.5, spread: float = 4.0, key: str = "image_id") -> DataFrame:
-    """(key, y, x, distance) of each image; an image must fit one task."""
+def distance_field(pixels: DataFrame, channel: str, threshold: float = 127.5, spread: float = 4.0, key: str = "image_id", scale: int = 1) -> DataFrame:
+    """(key, y, x, distance) of each image, every `scale`-th pixel of each row and column, from the middle of its cell; an image must fit one task."""
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
         grid = np.zeros((group["y"].max() + 1, group["x"].max() + 1))
         grid[group["y"], group["x"]] = group[channel]
         found = signed_distance(grid, threshold, spread)
-        return pd.DataFrame({key: group[key], "y": group["y"], "x": group["x"], "distance": found[group["y"], group["x"]]})
+        if scale == 1:
+            return pd.DataFrame({key: group[key], "y": group["y"], "x": group["x"], "distance": found[group["y"], group["x"]]})
+        found = found[scale // 2 :: scale, scale // 2 :: scale]
+        y, x = np.divmod(np.arange(found.size), max(found.shape[1], 1))
+        return pd.DataFrame({key: group[key].iloc[0], "y": y, "x": x, "distance": found.ravel()})
 
     kinds = dict(pixels.dtypes)
     return pixels.select(key, "y", "x", channel).groupBy(key).applyInPandas(one, f"{key} {kinds[key]}, y {kinds['y']}, x {kinds['x']}, distance int")
 
 
+def is_power_of_two(n: Column) -> Column:
+    return (n > 0) & (n.bitwiseAND(n - 1) == 0)
+
+
+def next_power_of_two(n: Column) -> Column:
+    """The least power of two that is not below n; 1 for n below 2."""
+    return F.when(n <= 1, F.lit(1).cast("bigint")).otherwise(F.expr("1L").cast("bigint") * F.pow(F.lit(2.0), F.length(F.bin((n - 1).cast("bigint")))).cast("bigint"))
+
+
+def premultiply_float(pixels: DataFrame, prezero: bool = False) -> DataFrame:
+    """Float colors times alpha; prezero: zero where alpha is 0, else as they are."""
+    out = (lambda c: F.when(F.col("a") == 0, 0.0).otherwise(F.col(c))) if prezero else (lambda c: F.col(c) * F.col("a"))
+    rest = [c for c in pixels.columns if c not in "rgba"]
+    return pixels.select(*rest, *(out(c).alias(c) for c in "rgb"), "a")
+
+
+def chunk(pixels: DataFrame, number: int, chunk_width: int, chunk_height: int, columns: int) -> DataFrame:
+    """One chunk of a strip or atlas, with its own coordinates."""
+    return chunks(pixels, chunk_width, chunk_height, columns).where(F.col("chunk") == number).drop("chunk")
+
+
 def linearize(pixels: DataFrame, premultiplied: bool = True, prezero: bool = False) -> DataFrame:
     """sRGB bytes to linear 0..1, multiplied by alpha or zeroed where alpha is 0."""
     from ..functions.colors import srgb_to_linear
@@ -231,7 +273,10 @@ def isolate(pixels: DataFrame, channel: str) -> DataFrame:
     return pixels.select(*rest, *(pick(c).alias(c) for c in "rgb"), (F.lit(255) if channel == "a" else F.col("a")).alias("a"))
 
 
-def probe(pixels: DataFrame, u: float, v: float, width: int, height: int) -> DataFrame:
-    """The pixel at a texture coordinate."""
-    x, y = min(width - 1, max(0, int(u * width))), min(height - 1, max(0, int(v * height)))
-    return pixels.where((F.col("x") == x) & (F.col("y") == y))
+def probe(pixels: DataFrame, u: float, v: float, width: int, height: int, mip: int | None = None, block: tuple[int, int] | None = None) -> DataFrame:
+    """The pixel at a texture coordinate; of a level if mip is given; with the block that it is in if a block size is."""
+    w, h = (max(1, n >> (mip or 0)) for n in (width, height))
+    x, y = min(w - 1, max(0, int(u * w))), min(h - 1, max(0, int(v * h)))
+    rows = pixels.where((F.col("x") == x) & (F.col("y") == y))
+    rows = rows if mip is None else rows.where(F.col("mip") == mip)
+    return rows.withColumns({"block_x": F.lit(x // block[0]), "block_y": F.lit(y // block[1])}) if block else rows

@@ -29,14 +29,16 @@ FORMATS = [
 # Format numbers of the Vulkan and Direct3D headers, for the formats that the containers here read and write.
 VULKAN = {"BC1": 131, "BC1s": 132, "BC3": 137, "BC3s": 138, "BC4": 139, "BC4sn": 140, "BC5": 141, "BC5sn": 142, "BC7": 145, "BC7s": 146, "ETCrgb": 147, "ETCsrgb": 148, "ETCrgba": 151, "ETCsrgba": 152, "ETCr": 153, "ETCrsn": 154, "ETCrg": 155, "ETCrgsn": 156, "ASTC4x4": 157, "ASTC4x4s": 158, "ASTC5x5": 161, "ASTC5x5s": 162, "ASTC6x6": 165, "ASTC6x6s": 166, "ASTC8x8": 171, "ASTC8x8s": 172, "EXPr8": 9, "EXPrg8": 16, "EXPrgba8": 37, "EXPsrgba8": 43, "EXPr16f": 76, "EXPrg16f": 83, "EXPrgba16f": 97, "EXPr32f": 100, "EXPrg32f": 103, "EXPrgba32f": 109}
 DIRECTX = {"BC1": 71, "BC1s": 72, "BC3": 77, "BC3s": 78, "BC4": 80, "BC4sn": 81, "BC5": 83, "BC5sn": 84, "BC7": 98, "BC7s": 99, "EXPr8": 61, "EXPrg8": 49, "EXPrgba8": 28, "EXPsrgba8": 29, "EXPr16f": 54, "EXPrg16f": 34, "EXPrgba16f": 10, "EXPr32f": 41, "EXPrg32f": 16, "EXPrgba32f": 2}
+# Pixel format numbers of the Metal headers.
+METAL = {"BC1": 130, "BC1s": 131, "BC3": 134, "BC3s": 135, "BC4": 140, "BC4sn": 141, "BC5": 142, "BC5sn": 143, "BC6h": 150, "BC6uh": 151, "BC7": 152, "BC7s": 153, "ETCr": 170, "ETCrsn": 172, "ETCrg": 174, "ETCrgsn": 176, "ETCrgba": 178, "ETCsrgba": 179, "ETCrgb": 180, "ETCsrgb": 181, "ASTC4x4s": 186, "ASTC5x5s": 188, "ASTC6x6s": 190, "ASTC8x8s": 194, "ASTC4x4": 204, "ASTC5x5": 206, "ASTC6x6": 208, "ASTC8x8": 212, "ASTC4x4h": 222, "ASTC5x5h": 224, "ASTC6x6h": 226, "ASTC8x8h": 230, "EXPr8": 10, "EXPrg8": 30, "EXPrgba8": 70, "EXPsrgba8": 71, "EXPr16f": 25, "EXPrg16f": 65, "EXPrgba16f": 115, "EXPr32f": 55, "EXPrg32f": 105, "EXPrgba32f": 125}
 #: Encoders by priority and the families they take.
 ENCODERS = [("squish", 0, "bc"), ("bcenc", 1, "bc"), ("etcenc", 0, "etc"), ("astcenc", 0, "astc"), ("explicit", 0, "explicit")]
 
 
 def formats(spark: SparkSession) -> DataFrame:
     """The dimension table: fixed size, so it may be broadcast."""
-    rows = [(*f, VULKAN.get(f[0]), DIRECTX.get(f[0])) for f in FORMATS]
-    df = spark.createDataFrame(rows, "format string, block_x int, block_y int, block_size int, channels int, family string, kind string, vulkan int, directx int")
+    rows = [(*f, VULKAN.get(f[0]), DIRECTX.get(f[0]), METAL.get(f[0])) for f in FORMATS]
+    df = spark.createDataFrame(rows, "format string, block_x int, block_y int, block_size int, channels int, family string, kind string, vulkan int, directx int, metal int")
     return df.selectExpr("*", "kind = 'srgb' as is_srgb", "kind = 'snorm' as is_signed", "kind in ('half', 'float') as is_float", "kind in ('half', 'float') as is_hdr", "channels = 4 as has_alpha", "block_x > 1 as is_block")
 
 
@@ -83,6 +85,23 @@ def content_type(name: Column) -> Column:
     return F.when(name.rlike("-(n|normal)$"), "normal").when(name.rlike("-(h|height)$"), "height").when(name.rlike("-(sdf)$"), "sdf").when(name.rlike("-(ao)$"), "ao").when(name.rlike("-(mr|metalroughness)$"), "metal_rough").otherwise("albedo")
 
 
+# Endings of a file's stem and what it holds, tried in this order.
+LIBRARY_ENDS = [
+    ("sdf", ["-sdf"]), ("height", ["-h"]), ("normal", ["-n", "_normal", "_Normal"]), ("albedo", ["-a", "-d", "_baseColor", "_Color"]), ("ao", ["-ao", "_AO"]),
+    ("metal_rough", ["-mr", "_Metallic", "_Roughness", "_MetaliicRoughness"]),
+]
+
+
+def library_content_type(file: Column) -> Column:
+    """From a file name with an extension, by the library's rules, which know other endings than content_type(); without extension unknown, else albedo."""
+    stem = F.regexp_replace(file, r"\.[^.]*\z", "")
+    out = F.when(~file.contains("."), "unknown")
+    for content, ends in LIBRARY_ENDS:
+        for end in ends:
+            out = out.when(stem.endswith(end), content)
+    return out.otherwise("albedo")
+
+
 def texture_type(name: Column) -> Column:
     """In this order, so that -cubearray is a cube: it contains -cube."""
     return F.when(name.contains("-3d"), "3d").when(name.contains("-cube"), "cube").when(name.contains("-2darray"), "2darray").when(name.contains("-1darray"), "1darray").otherwise("2d")
@@ -95,8 +114,10 @@ def atlas_grid(name: Column) -> tuple[Column, Column]:
 
 
 def info(textures: DataFrame, levels: str = "levels") -> DataFrame:
-    """Totals over an array of levels (length, compressed): bytes, compressed bytes, whole percent."""
+    """Totals over an array of levels (length, compressed): bytes, compressed bytes, whole percent; megapixels of the largest level, from width and height if there."""
     total = lambda f: F.aggregate(F.col(levels), F.lit(0).cast("bigint"), lambda a, x: a + x[f])
+    if {"width", "height"} <= {*textures.columns}:
+        textures = textures.withColumn("megapixels", F.col("width").cast("double") * F.col("height") / 1e6)
     return textures.withColumn("bytes", total("length")).withColumn("compressed_bytes", total("compressed")).withColumn("percent", F.expr("coalesce(100 * compressed_bytes div nullif(bytes, 0), 0)"))
 
 

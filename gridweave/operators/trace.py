@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.strings import collapse_name, is_header, truncate
+from ..scratch import materialise
+from . import relations
 
 # The event names that carry build cost.
 BUILD_NAMES = {
@@ -30,14 +32,14 @@ BUILD_NAMES = {
 LIMITS = {"files": 10, "templates": 30, "functions": 30, "headers": 10, "chains": 5, "name": 70, "min_us": 10_000}
 
 
-def event_type(name: Column) -> Column:
-    kinds = F.create_map(*(F.lit(x) for pair in BUILD_NAMES.items() for x in pair))
-    return F.element_at(kinds, name)
+def event_type(name: Column, names: dict[str, str] = BUILD_NAMES) -> Column:
+    """Kind of an event by its name; null for other names."""
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in names.items() for x in pair)), name)
 
 
-def decode(events: DataFrame) -> DataFrame:
+def decode(events: DataFrame, names: dict[str, str] = BUILD_NAMES) -> DataFrame:
     """Complete events ("X") with a known name, a start and a duration; args.detail becomes detail, else args.name, else empty."""
-    typed = events.where("ph = 'X' and ts is not null and dur is not null").withColumn("type", event_type(F.col("name"))).where("type is not null")
+    typed = events.where("ph = 'X' and ts is not null and dur is not null").withColumn("type", event_type(F.col("name"), names)).where("type is not null")
     detail = F.coalesce(F.try_element_at("args", F.lit("detail")), F.try_element_at("args", F.lit("name")), F.try_element_at(F.map_values("args"), F.lit(1)), F.lit(""))
     return typed.withColumn("detail", detail).drop("args")
 
@@ -49,13 +51,34 @@ STRETCH = 50_000
 def stretches(events: DataFrame, tracks: list[str]) -> DataFrame:
     """Adds `stretch` and `island`. An island is a run of events of a track between two moments that no event spans; nesting never
     crosses one. A stretch is a run of islands, about STRETCH events or one island long, so a busy track is swept by many tasks.
+
+    No task sees a whole track for this: rows are range-partitioned by (track, start) and written; what a partition needs to know of those before it is
+    the furthest end and the number of rows of its tracks, and then the last island's number: one row for each track in a partition.
     """
-    order = Window.partitionBy(*tracks).orderBy("ts", F.desc("dur"), F.desc("event_id"))
-    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
-    reach = F.max(F.col("ts") + F.col("dur")).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    marked = events.withColumn("__row", F.row_number().over(order)).withColumn("__new", F.coalesce(F.col("ts") > reach, F.lit(True)))
-    marked = marked.withColumn("island", F.max(F.when(F.col("__new"), F.col("__row"))).over(so_far).cast("bigint"))
-    return marked.withColumn("stretch", F.expr(f"island div {STRETCH}")).drop("__row", "__new")
+    order = [F.col("ts"), F.desc("dur"), F.desc("event_id")]
+    rows = materialise(events.repartitionByRange(*tracks, "ts").withColumn("__part", F.spark_partition_id()), "ranges")
+    before = Window.partitionBy(*tracks).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("__part", *tracks).orderBy(*order)
+    earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.groupBy("__part", *tracks).agg(F.max(F.col("ts") + F.col("dur")).alias("e"), F.count("*").alias("n"))
+    ends = ends.select("__part", *tracks, F.max("e").over(before).alias("__reach"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))
+    reach = F.greatest(F.col("__reach"), F.max(F.col("ts") + F.col("dur")).over(earlier))
+    marked = _with_earlier(rows, ends, ["__part", *tracks])
+    marked = marked.withColumn("__row", (F.col("__start") + F.row_number().over(inside)).cast("bigint")).withColumn("__new", F.when(F.coalesce(F.col("ts") > reach, F.lit(True)), F.col("__row")))
+    marked = materialise(marked, "islands")
+    last = marked.groupBy("__part", *tracks).agg(F.max("__new").alias("i"))
+    last = last.select("__part", *tracks, F.max("i").over(before).alias("__island"))
+    numbered = _with_earlier(marked, last, ["__part", *tracks])
+    own = F.max("__new").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    numbered = numbered.withColumn("island", F.coalesce(own, F.col("__island")).cast("bigint"))
+    return numbered.select(*events.columns, "island").withColumn("stretch", F.expr(f"island div {STRETCH}"))
+
+
+def _with_earlier(rows: DataFrame, earlier: DataFrame, key: list[str]) -> DataFrame:
+    """Rows with the columns of `earlier`, which has one row of each key; null tracks are a track."""
+    named = earlier.withColumnsRenamed({c: f"__k{i}" for i, c in enumerate(key)})
+    same = [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(key)]
+    return rows.join(named, same).drop(*(f"__k{i}" for i in range(len(key))))
 
 
 class Sweep:
@@ -111,16 +134,6 @@ def nest(events: DataFrame, tracks: list[str]) -> DataFrame:
     return ordered.select(*columns, "island").mapInArrow(_sweeper(len(tracks)), schema.replace(f"`event_id` {events.schema['event_id'].dataType.simpleString()}", "`event_id` bigint"))
 
 
-def nest_by_join(events: DataFrame, tracks: list[str]) -> DataFrame:
-    """(event_id, parent_id) by a range self-join: quadratic in a track, for small tracks and checks."""
-    rank = F.row_number().over(Window.partitionBy(*tracks).orderBy("ts", F.desc("dur"), F.desc("event_id")))
-    e = events.withColumn("rank", rank)
-    p = e.select(*tracks, F.col("event_id").alias("p_id"), F.col("ts").alias("p_ts"), F.col("dur").alias("p_dur"), F.col("rank").alias("p_rank"))
-    holds = (F.col("p_ts") <= F.col("ts")) & (F.col("ts") + F.col("dur") <= F.col("p_ts") + F.col("p_dur")) & (F.col("p_rank") < F.col("rank"))
-    found = e.join(p, tracks).where(holds).groupBy("event_id").agg(F.max_by("p_id", "p_rank").alias("parent_id"))
-    return events.select("event_id").join(found, "event_id", "left")
-
-
 def self_time(nested: DataFrame) -> DataFrame:
     """Adds dur_sub, the time of direct children with the same name, and dur_self."""
     children = nested.where("parent_id is not null").groupBy(F.col("parent_id").alias("event_id"), "name").agg(F.sum("dur").alias("dur_sub"))
@@ -195,3 +208,157 @@ def refreshed(files: DataFrame, cached: DataFrame) -> DataFrame:
     """Files (path, modified) whose stamp differs from the cached one, or that are new."""
     old = cached.select("path", F.col("modified").alias("__old"))
     return files.join(old, "path", "left").where(~F.col("modified").eqNullSafe(F.col("__old"))).drop("__old")
+
+
+# --- filters, totals and layouts
+
+
+def at_least(events: DataFrame, least_us: int = LIMITS["min_us"], names: list[str] | None = None) -> DataFrame:
+    """Events of at least a duration, of some names only if they are given."""
+    found = events.where(F.col("dur") >= least_us)
+    return found if names is None else found.where(F.col("name").isin(names))
+
+
+def nearest_ancestor(nested: DataFrame, condition) -> Column:
+    """The innermost ancestor (id, name, detail) that meets the condition, a function of it; null without one."""
+    return F.try_element_at(F.filter("ancestors", condition), F.lit(1))
+
+
+def outermost(nested: DataFrame, field: str = "name") -> DataFrame:
+    """Events without an ancestor that has the same name, or detail."""
+    return nested.where(~F.exists("ancestors", lambda a: a[field] == F.col(field)))
+
+
+def other_parent(nested: DataFrame) -> DataFrame:
+    """Events whose direct parent has another name, with parent_name; those without a parent are dropped."""
+    parent = F.try_element_at("ancestors", F.lit(1))["name"]
+    return nested.withColumn("parent_name", parent).where("parent_name <> name")
+
+
+def chain_costs(nested: DataFrame, by: list[str], field: str = "name") -> DataFrame:
+    """Count and time of each ordered chain of ancestors, innermost first."""
+    return nested.groupBy(*by, F.transform("ancestors", lambda a: a[field]).alias("chain")).agg(F.count("*").alias("n"), F.sum("dur").alias("us"))
+
+
+def cost(events: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., us, n)."""
+    return events.groupBy(*by).agg(F.sum("dur").alias("us"), F.count("*").alias("n"))
+
+
+def averages(costs: DataFrame) -> DataFrame:
+    """Adds whole milliseconds, in all and per event, to (us, n)."""
+    return costs.selectExpr("*", "us div 1000 as ms", "us div 1000 div n as avg_ms")
+
+
+def kind_totals(events: DataFrame, kinds: dict[str, str], by: list[str] = ()) -> DataFrame:
+    """(by..., one column of time for each entry {column: name}, n: events of any of these names)."""
+    sums = [F.sum(F.when(F.col("name") == name, F.col("dur")).otherwise(0)).alias(column) for column, name in kinds.items()]
+    return events.groupBy(*by).agg(*sums, F.count_if(F.col("name").isin(list(kinds.values()))).alias("n"))
+
+
+def pivot(events: DataFrame, by: list[str], last: dict[str, str], first: dict[str, str]) -> DataFrame:
+    """One row of each group: columns {column: name}; `last`: the largest duration of a name, `first`: the least start."""
+    value = lambda name, c: F.when(F.col("name") == name, F.col(c))
+    return events.groupBy(*by).agg(*(F.max(value(n, "dur")).alias(c) for c, n in last.items()), *(F.min(value(n, "ts")).alias(c) for c, n in first.items()))
+
+
+def add_and_divide(rows: DataFrame, columns: list[str], by: int) -> DataFrame:
+    """Sums of the columns over all rows, each divided as a whole number."""
+    return rows.agg(*(F.sum(c).alias(c) for c in columns)).selectExpr(*(f"{c} div {by} as {c}" for c in columns))
+
+
+def span(events: DataFrame) -> DataFrame:
+    """(n, us, first_ts, last_ts, span): span in seconds."""
+    end = F.col("ts") + F.col("dur")
+    return events.agg(F.count("*").alias("n"), F.sum("dur").alias("us"), F.min("ts").alias("first_ts"), F.max(end).alias("last_ts"), ((F.max(end) - F.min("ts")) * F.lit(1e-6)).alias("span"))
+
+
+def percent_used(events: DataFrame, track: str, free: Column) -> DataFrame:
+    """(track, percent): share of a track's time that is not free; 0 where there is none."""
+    t = events.groupBy(track).agg(F.sum("dur").alias("used"), F.sum(F.when(free, F.col("dur")).otherwise(0)).alias("free"))
+    return t.select(track, F.coalesce(F.try_divide((F.col("used") - F.col("free")) * 100.0, F.col("used").cast("double")), F.lit(0.0)).alias("percent"))
+
+
+def top(costs: DataFrame, order: list[Column], n: int) -> DataFrame:
+    return costs.orderBy(*order).limit(n)
+
+
+def top_of_each(costs: DataFrame, by: str, order: list[Column], n: int) -> DataFrame:
+    """The first n rows of each group, with their place."""
+    return costs.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("place") <= n)
+
+
+# The totals of a build trace, column by name, and the two starts.
+TOTALS = {
+    "compiler": "Total ExecuteCompiler", "frontend": "Total Frontend", "source": "Total Source", "functions": "Total InstantiateFunction", "classes": "Total InstantiateClass",
+    "codegen": "Total CodeGen Function", "debug": "Total DebugType", "backend": "Total Backend", "optimizer": "Total Optimizer", "passes": "Total CodeGenPasses", "opt_functions": "Total OptFunction",
+}
+STARTS = {"front": "Frontend", "back": "Backend"}
+
+
+def build_totals(events: DataFrame, by: list[str], totals: dict[str, str] = TOTALS, starts: dict[str, str] = STARTS) -> DataFrame:
+    """One row of each group: all totals (0 without), front (0 without) and back, which is not before the front end's end."""
+    p = pivot(events, by, totals, starts)
+    p = p.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in totals}).withColumn("front", F.coalesce("front", F.lit(0)))
+    return p.withColumn("back", F.greatest(F.coalesce("back", F.lit(0)), F.col("front") + F.col("frontend")))
+
+
+def totals_track(stats: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., place, ph, name, label, ts, dur, percent): a name row and eleven positioned rows for each row of build_totals(); parts are clamped to what holds them."""
+    c = F.col
+    classes = F.least(c("classes"), c("functions"))
+    at_codegen = c("front") + c("source") + c("functions")
+    codegen = F.when(at_codegen + c("codegen") > c("back"), c("back") - at_codegen).otherwise(c("codegen"))
+    at_debug = at_codegen + codegen
+    debug = F.when(c("debug") * 2 > c("back"), c("back") - at_debug).otherwise(c("debug"))
+    after = c("back") + c("optimizer")
+    rows = [
+        ("ExecuteCompiler", F.lit(0), c("compiler")), ("Frontend", c("front"), c("frontend")), ("Source", c("front"), c("source")), ("InstantiateFunction", c("front") + c("source"), c("functions")),
+        ("InstantiateClass", c("front") + c("source"), classes), ("CodeGen Function", at_codegen, codegen), ("Debug", at_debug, debug), ("Backend", c("back"), c("backend")),
+        ("Optimizer", c("back"), c("optimizer")), ("CodeGenPasses", after, c("passes")), ("OptFunction", after, c("opt_functions")),
+    ]
+    kind = lambda x: x.cast("bigint")
+    percent = lambda d: F.coalesce(F.try_divide(d * F.lit(100.0), c("compiler").cast("double")), F.lit(0.0))
+    row = lambda k, ph, name, ts, dur, p: F.struct(F.lit(k).alias("place"), F.lit(ph).alias("ph"), F.lit(name).alias("name"), kind(ts).alias("ts"), kind(dur).alias("dur"), p.alias("percent"))
+    head = row(0, "M", "thread_name", F.lit(None), F.lit(None), F.lit(None).cast("double"))
+    every = F.array(head, *(row(k, "X", name, ts, dur, percent(dur)) for k, (name, ts, dur) in enumerate(rows, 1)))
+    out = stats.select(*by, F.explode(every).alias("r")).select(*by, "r.*")
+    label = F.when(c("ph") == "M", "Build Totals").otherwise(F.concat(F.format_string("%.0f%% ", "percent"), c("name")))
+    return out.withColumn("label", label)
+
+
+def with_totals(events: DataFrame, totals: DataFrame) -> DataFrame:
+    """Report events with the totals track appended."""
+    return relations.append([events, totals])
+
+
+def report_order(events: DataFrame) -> list[Column]:
+    """Order of a written report: phase, track, longest first, name."""
+    return [F.col("ph"), F.col("tid"), F.desc("dur"), F.col("name")]
+
+
+def catalog_order(by_duration: bool) -> list[Column]:
+    """Order of a catalog: by id, or by folder, longest first, id."""
+    return [F.col("folder"), F.desc("duration"), F.col("id")] if by_duration else [F.col("id")]
+
+
+def track_ordinals(events: DataFrame, track: str) -> DataFrame:
+    """(track, ordinal): tracks numbered from 1 by where each is first seen."""
+    first = events.groupBy(track).agg(F.min("ts").alias("__first"))
+    return relations.ordinals(first, ["__first", track]).select(track, (F.col("ordinal") + 1).cast("int").alias("ordinal"))
+
+
+def repacked(events: DataFrame, track: str) -> DataFrame:
+    """Events of each track laid end to end from 0, by name, then duration: a running sum of what comes before."""
+    w = Window.partitionBy(track).orderBy("name", "dur", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    return events.withColumn("ts", F.coalesce(F.sum("dur").over(w), F.lit(0)))
+
+
+def largest_id(events: DataFrame, id_col: str) -> DataFrame:
+    return events.agg(F.max(id_col).alias("largest"))
+
+
+def time_range(file: Column, seconds: Column) -> Column:
+    """Script that sets a viewer's range from 0 to some seconds, in whole nanoseconds; null for 0."""
+    nanos = (seconds * F.lit(1e9)).cast("bigint")
+    return F.when(seconds != 0, F.concat(F.lit("var objTime = {perfetto:{keepApiOpen:true,timeStart:0n,timeEnd:"), nanos.cast("string"), F.lit("n}};")))

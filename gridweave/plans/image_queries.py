@@ -37,12 +37,12 @@ def image_traits(spark, sf_dir):
 
 @query(f"SELECT image_id, CAST(y // 2 AS BIGINT) AS y, CAST(x // 2 AS BIGINT) AS x, CAST((sum(r) + 2) // 4 AS BIGINT) AS r, CAST((sum(g) + 2) // 4 AS BIGINT) AS g FROM {_C} GROUP BY image_id, y // 2, x // 2")
 def mip_box(spark, sf_dir):
-    return image.box_mip(rgba(spark, sf_dir), ["r", "g"])
+    return image.box_mip(rgba(spark, sf_dir), ["r", "g"], even=True)
 
 
 @query(f"SELECT image_id, CAST(y // 2 AS BIGINT) AS y, CAST(x // 2 AS BIGINT) AS x, avg(r) AS r FROM {_P} GROUP BY image_id, y // 2, x // 2")
 def mip_box_float(spark, sf_dir):
-    return image.box_mip(pixels(spark, sf_dir), ["r"], integers=False)
+    return image.box_mip(pixels(spark, sf_dir), ["r"], integers=False, even=True)
 
 
 _TAP = """(SELECT * FROM (VALUES (0,0,3.0/7),(0,1,3.0/7),(0,2,1.0/7),(1,2,2.0/7),(1,3,3.0/7),(1,4,2.0/7),(2,4,1.0/7),(2,5,3.0/7),(2,6,3.0/7)) t(o, p, w))"""
@@ -158,7 +158,7 @@ def mip_plan(spark, sf_dir):
 @query("SELECT p_partkey, p_size, (p_size & (p_size - 1)) = 0 AS pow2, CAST(pow(2, ceil(log2(p_size))) AS BIGINT) AS next FROM part")
 def powers_of_two(spark, sf_dir):
     s = F.col("p_size")
-    return table(spark, sf_dir, "part").select("p_partkey", "p_size", (s.bitwiseAND(s - 1) == 0).alias("pow2"), F.pow(F.lit(2.0), F.ceil(F.log2(s.cast("double")))).cast("bigint").alias("next"))
+    return table(spark, sf_dir, "part").select("p_partkey", "p_size", image.is_power_of_two(s).alias("pow2"), image.next_power_of_two(s).alias("next"))
 
 
 @query(f"""WITH p AS {_P}, d AS (SELECT a.image_id, a.y, a.x, coalesce(min(CASE WHEN b.r > 127 THEN (a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x) END), 516) AS near, coalesce(min(CASE WHEN b.r <= 127 THEN (a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x) END), 516) AS far

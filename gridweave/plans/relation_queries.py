@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import memory, relations, textures
@@ -25,14 +24,14 @@ def stale_sources(spark, sf_dir):
     return relations.stale(c, o, "k", "t").select(F.col("k").alias("c_custkey"))
 
 
-@query("SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem)")
+@query("SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 25 AND l_discount < 0.05)")
 def never_shipped(spark, sf_dir):
-    return table(spark, sf_dir, "part").join(table(spark, sf_dir, "lineitem"), F.col("p_partkey") == F.col("l_partkey"), "left_anti").select("p_partkey")
+    return relations.not_members(table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem").where("l_quantity > 25 and l_discount < 0.05"), "p_partkey", "l_partkey").select("p_partkey")
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
 def membership(spark, sf_dir):
-    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
+    return relations.members(table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders"), "c_custkey", "o_custkey").select("c_custkey")
 
 
 @query("""WITH r AS (SELECT * FROM (VALUES ('red', 0, 0.0, 0.0, 0.25, 0.25), ('green', 1, 0.5, 0.25, 0.25, 0.25), ('blue', 2, 0.0, 0.0, 1.0, 0.5)) t(name, ordinal, x, y, w, h)),
@@ -77,14 +76,12 @@ def running_addresses(spark, sf_dir):
 
 @query("SELECT l_orderkey, l_linenumber, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, l_partkey, l_suppkey) - 1 AS INTEGER) AS ordinal FROM lineitem")
 def block_ordinals(spark, sf_dir):
-    w = Window.partitionBy("l_orderkey").orderBy("l_shipdate", "l_linenumber", "l_partkey", "l_suppkey")
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.row_number().over(w) - 1).alias("ordinal"))
+    return relations.row_ordinals(table(spark, sf_dir, "lineitem"), ["l_orderkey"], ["l_shipdate", "l_linenumber", "l_partkey", "l_suppkey"]).select("l_orderkey", "l_linenumber", "ordinal")
 
 
 @query("SELECT l_orderkey, l_linenumber, l_quantity / sum(l_quantity) OVER (PARTITION BY l_orderkey) AS share FROM lineitem")
 def share_of_total(spark, sf_dir):
-    w = Window.partitionBy("l_orderkey")
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") / F.sum("l_quantity").over(w)).alias("share"))
+    return relations.shares(table(spark, sf_dir, "lineitem"), ["l_orderkey"], "l_quantity").select("l_orderkey", "l_linenumber", "share")
 
 
 @query("SELECT o_orderkey, coalesce(lag(o_orderkey) OVER w, o_orderkey) AS previous, coalesce(lead(o_orderkey) OVER w, o_orderkey) AS next FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)")
@@ -99,8 +96,7 @@ def steps_circular(spark, sf_dir):
 
 @query("SELECT o_orderkey, coalesce(lead(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) <> o_orderstatus, false) AS separator FROM orders")
 def group_separators(spark, sf_dir):
-    following = F.lead("o_orderstatus").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.coalesce(following != F.col("o_orderstatus"), F.lit(False)).alias("separator"))
+    return relations.changes_to_next(table(spark, sf_dir, "orders"), ["o_custkey"], ["o_orderkey"], "o_orderstatus", "separator").select("o_orderkey", "separator")
 
 
 @query("""WITH RECURSIVE p AS (SELECT p_partkey AS node, CASE WHEN p_partkey > 0 THEN (p_partkey - 1) // 3 END AS parent FROM part),
@@ -138,18 +134,19 @@ def frustum_cull(spark, sf_dir):
 @query("SELECT o_orderkey AS k, o_totalprice AS v FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 200000")
 def append_rows(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("v"), "o_orderstatus")
-    return o.where("o_orderstatus = 'F'").select("k", "v").unionByName(o.where("v > 200000").select("k", "v"))
+    return relations.append([o.where("o_orderstatus = 'F'").select("k", "v"), o.where("v > 200000").select("v", "k")])
 
 
 @query("SELECT o_orderkey AS k FROM orders WHERE o_orderstatus = 'F' UNION SELECT o_orderkey FROM orders WHERE o_totalprice > 200000")
 def distinct_union(spark, sf_dir):
-    o = table(spark, sf_dir, "orders")
-    return o.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("k")).union(o.where("o_totalprice > 200000").select("o_orderkey")).dropDuplicates(["k"])
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), "o_orderstatus", "o_totalprice")
+    return relations.distinct_by([o.where("o_orderstatus = 'F'").select("k"), o.where("o_totalprice > 200000").select("k")], ["k"])
 
 
 @query("SELECT c_nationkey, sum(CASE WHEN c_acctbal < 0 THEN 1 ELSE 0 END) AS errors, sum(CASE WHEN c_acctbal = 0 THEN 1 ELSE 0 END) AS skipped, count(*) AS commands FROM customer GROUP BY 1".replace("sum(CASE", "CAST(sum(CASE").replace("END)", "END) AS BIGINT)"))
 def command_counters(spark, sf_dir):
-    return table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count_if(F.col("c_acctbal") < 0).alias("errors"), F.count_if(F.col("c_acctbal") == 0).alias("skipped"), F.count("*").alias("commands"))
+    c = F.col("c_acctbal")
+    return relations.counters(table(spark, sf_dir, "customer"), ["c_nationkey"], {"errors": c < 0, "skipped": c == 0, "commands": F.lit(True)})
 
 
 @query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey & 128 <> 0 THEN 'VB' WHEN l_partkey & 64 <> 0 THEN 'IB' WHEN l_partkey & 20 <> 0 THEN 'UB' WHEN l_partkey & 256 <> 0 THEN 'DB' WHEN l_partkey & 40 <> 0 THEN 'SB' WHEN l_partkey & 3 <> 0 THEN 'MB' ELSE '?B' END AS category FROM lineitem""")
@@ -159,7 +156,7 @@ def allocation_category(spark, sf_dir):
 
 @query("SELECT max(l_quantity) AS largest, count(*) AS n, 1000.0 / max(l_quantity) AS scale FROM lineitem")
 def chart_parameters(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").agg(F.max("l_quantity").alias("largest"), F.count("*").alias("n"), (F.lit(1000.0) / F.max("l_quantity")).alias("scale"))
+    return relations.extent(table(spark, sf_dir, "lineitem"), "l_quantity", 1000)
 
 
 @query("""WITH a AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, coalesce(sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS addr FROM lineitem)
@@ -167,7 +164,7 @@ SELECT l_orderkey, l_linenumber, CAST(floor(addr * 2.5) AS INTEGER) AS x0, CAST(
 def bar_positions(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").withColumn("pos", F.struct("l_linenumber", "l_partkey", "l_suppkey"))
     a = memory.addresses(rows, ["l_orderkey"], "pos", "l_quantity")
-    return a.select("l_orderkey", "l_linenumber", F.floor(F.col("addr") * 2.5).cast("int").alias("x0"), F.floor((F.col("addr") + F.col("l_quantity")) * 2.5).cast("int").alias("x1"))
+    return relations.bar_positions(a, "addr", "l_quantity", 2.5).select("l_orderkey", "l_linenumber", "x0", "x1")
 
 
 _FORMAT = "CASE p_partkey % 4 WHEN 0 THEN 'BC1' WHEN 1 THEN 'ASTC6x6s' WHEN 2 THEN 'EXPrgba8' ELSE 'nope' END"

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import strings
 from ..operators import trace
+from ..streaming import traces
 from .catalog import query, table
 
 _TS = "ts - timestamp_ntz'1970-01-01 00:00:00'"
@@ -34,8 +35,7 @@ anc AS (SELECT event_id, parent_id AS anc, 1 AS steps FROM par UNION ALL SELECT
 
 @query("SELECT count(*) AS n, CAST(sum(dur) AS BIGINT) AS us, min(ts) AS first_ts, max(ts + dur) AS last_ts, (max(ts + dur) - min(ts)) * 1e-6 AS span FROM " + sql_events(), "span_totals")
 def span_totals(spark, sf_dir):
-    e = events(spark, sf_dir)
-    return e.agg(F.count("*").alias("n"), F.sum("dur").alias("us"), F.min("ts").alias("first_ts"), F.max(F.col("ts") + F.col("dur")).alias("last_ts"), ((F.max(F.col("ts") + F.col("dur")) - F.min("ts")) * F.lit(1e-6)).alias("span"))
+    return trace.span(events(spark, sf_dir))
 
 
 @query(_PARENTS + ", d AS (SELECT event_id, max(steps) AS depth FROM anc GROUP BY event_id) SELECT e.event_id, par.parent_id, CAST(coalesce(d.depth, 0) AS INTEGER) AS depth FROM e LEFT JOIN par ON e.event_id = par.event_id LEFT JOIN d ON e.event_id = d.event_id")
@@ -51,49 +51,40 @@ def self_time(spark, sf_dir):
 
 @query(_PARENTS + """SELECT e.event_id, pe.event_id AS parent_id, pe.name AS parent_name FROM e JOIN par ON e.event_id = par.event_id JOIN e pe ON par.parent_id = pe.event_id WHERE pe.name <> e.name""")
 def parent_with_other_name(spark, sf_dir):
-    n = trace.nest(events(spark, sf_dir, WIDE), ["tid"])
-    first = F.try_element_at("ancestors", F.lit(1))
-    return n.select("event_id", "parent_id", first["name"].alias("parent_name"), "name").where("parent_name <> name").drop("name")
+    return trace.other_parent(trace.nest(events(spark, sf_dir, WIDE), ["tid"])).select("event_id", "parent_id", "parent_name")
 
 
 @query(_PARENTS + "SELECT anc.event_id, min_by(anc.anc, steps) AS holder FROM anc JOIN e ON anc.anc = e.event_id WHERE e.name = 'purchase' GROUP BY anc.event_id")
 def nearest_ancestor_of_kind(spark, sf_dir):
     n = trace.nest(events(spark, sf_dir, WIDE), ["tid"])
-    holder = F.try_element_at(F.filter("ancestors", lambda a: a["name"] == "purchase"), F.lit(1))["id"]
-    return n.select("event_id", holder.alias("holder")).where("holder is not null")
+    return n.select("event_id", trace.nearest_ancestor(n, lambda a: a["name"] == "purchase")["id"].alias("holder")).where("holder is not null")
 
 
 @query(_PARENTS + """, a AS (SELECT DISTINCT e.event_id FROM anc JOIN e ON anc.event_id = e.event_id JOIN e h ON anc.anc = h.event_id WHERE h.name = e.name)
 SELECT name, CAST(sum(dur) AS BIGINT) AS us, count(*) AS n FROM e WHERE event_id NOT IN (SELECT event_id FROM a) GROUP BY name""")
 def outermost_of_name(spark, sf_dir):
-    n = trace.nest(events(spark, sf_dir, WIDE), ["tid"])
-    outer = n.where(~F.exists("ancestors", lambda a: a["name"] == F.col("name")))
-    return outer.groupBy("name").agg(F.sum("dur").alias("us"), F.count("*").alias("n"))
+    return trace.cost(trace.outermost(trace.nest(events(spark, sf_dir, WIDE), ["tid"])), ["name"])
 
 
 @query(_PARENTS + """, c AS (SELECT anc.event_id, string_agg(h.name, '>' ORDER BY steps) AS chain FROM anc JOIN e h ON anc.anc = h.event_id GROUP BY anc.event_id)
 SELECT name, coalesce(chain, '') AS chain, count(*) AS n, CAST(sum(dur) AS BIGINT) AS us FROM e LEFT JOIN c ON e.event_id = c.event_id GROUP BY 1, 2""")
 def ordered_path_groups(spark, sf_dir):
-    n = trace.nest(events(spark, sf_dir, WIDE), ["tid"])
-    chain = F.transform("ancestors", lambda a: a["name"])
-    return n.groupBy("name", chain.alias("path")).agg(F.count("*").alias("n"), F.sum("dur").alias("us")).select("name", F.array_join("path", ">").alias("chain"), "n", "us")
+    return trace.chain_costs(trace.nest(events(spark, sf_dir, WIDE), ["tid"]), ["name"]).select("name", F.array_join("chain", ">").alias("chain"), "n", "us")
 
 
 @query("SELECT detail, name, CAST(sum(dur) AS BIGINT) AS us FROM " + sql_events() + " GROUP BY 1, 2")
 def cost_by_function_and_path(spark, sf_dir):
-    return events(spark, sf_dir).groupBy("detail", "name").agg(F.sum("dur").alias("us"))
+    return trace.cost(events(spark, sf_dir), ["detail", "name"]).drop("n")
 
 
 @query("SELECT detail, count(*) AS n, CAST(sum(dur) AS BIGINT) AS us, CAST(sum(dur) // 1000 AS BIGINT) AS ms, CAST(sum(dur) // 1000 // count(*) AS BIGINT) AS avg_ms FROM " + sql_events() + " GROUP BY 1")
 def instantiation_average(spark, sf_dir):
-    g = events(spark, sf_dir).groupBy("detail").agg(F.count("*").alias("n"), F.sum("dur").alias("us"))
-    return g.selectExpr("detail", "n", "us", "us div 1000 as ms", "us div 1000 div n as avg_ms")
+    return trace.averages(trace.cost(events(spark, sf_dir), ["detail"])).select("detail", "n", "us", "ms", "avg_ms")
 
 
 @query("SELECT CAST(sum(CASE WHEN name = 'view' THEN dur ELSE 0 END) AS BIGINT) AS parse_us, CAST(sum(CASE WHEN name = 'click' THEN dur ELSE 0 END) AS BIGINT) AS codegen_us, count(CASE WHEN name IN ('view', 'click') THEN 1 END) AS n FROM " + sql_events())
 def conditional_totals(spark, sf_dir):
-    part = lambda n: F.sum(F.when(F.col("name") == n, F.col("dur")).otherwise(0))
-    return events(spark, sf_dir).agg(part("view").alias("parse_us"), part("click").alias("codegen_us"), F.count_if(F.col("name").isin("view", "click")).alias("n"))
+    return trace.kind_totals(events(spark, sf_dir), {"parse_us": "view", "codegen_us": "click"})
 
 
 @query("SELECT tid, name, count(*) AS n, CAST(sum(dur) AS BIGINT) AS us, bool_or(dur > 100000000) AS slow FROM " + sql_events() + " GROUP BY 1, 2")
@@ -101,29 +92,27 @@ def header_flags(spark, sf_dir):
     return events(spark, sf_dir).groupBy("tid", "name").agg(F.count("*").alias("n"), F.sum("dur").alias("us"), F.bool_or(F.col("dur") > 100_000_000).alias("slow"))
 
 
-@query(f"WITH p AS (SELECT tid, name, count(*) AS c, CAST(sum(dur) AS BIGINT) AS d FROM {sql_events()} GROUP BY 1, 2) SELECT name, CAST(sum(c) AS BIGINT) AS count, CAST(sum(d) AS BIGINT) AS duration FROM p GROUP BY name")
+@query(_PARENTS + """, s AS (SELECT par.parent_id AS id, e.name, sum(e.dur) AS sub FROM e JOIN par ON e.event_id = par.event_id GROUP BY 1, 2)
+SELECT e.name, count(*) AS count, CAST(sum(e.dur) AS BIGINT) AS duration, CAST(coalesce(sum(s.sub), 0) AS BIGINT) AS duration_sub, CAST(greatest(0, sum(e.dur) - coalesce(sum(s.sub), 0)) AS BIGINT) AS duration_self FROM e LEFT JOIN s ON e.event_id = s.id AND e.name = s.name GROUP BY e.name""")
 def partial_then_final(spark, sf_dir):
-    parts = trace.timings(events(spark, sf_dir).withColumn("dur_sub", F.lit(0)), ["tid", "name"])
-    return trace.merge_timings(parts, ["name"]).select("name", "count", "duration")
+    timed = trace.self_time(trace.nest(events(spark, sf_dir, WIDE), ["tid"]))
+    return trace.merge_timings(trace.timings(timed, ["tid", "name"]), ["name"])
 
 
 @query("SELECT tid, max(CASE WHEN name = 'view' THEN dur END) AS view_us, max(CASE WHEN name = 'click' THEN dur END) AS click_us, min(CASE WHEN name = 'purchase' THEN ts END) AS first_purchase, greatest(coalesce(max(CASE WHEN name = 'error' THEN dur END), 0), 0) AS error_us FROM " + sql_events() + " GROUP BY tid")
 def pivot_totals(spark, sf_dir):
-    of = lambda n, c: F.when(F.col("name") == n, F.col(c))
-    return events(spark, sf_dir).groupBy("tid").agg(F.max(of("view", "dur")).alias("view_us"), F.max(of("click", "dur")).alias("click_us"), F.min(of("purchase", "ts")).alias("first_purchase"), F.greatest(F.coalesce(F.max(of("error", "dur")), F.lit(0)), F.lit(0)).alias("error_us"))
+    p = trace.pivot(events(spark, sf_dir), ["tid"], {"view_us": "view", "click_us": "click", "error_us": "error"}, {"first_purchase": "purchase"})
+    return p.withColumn("error_us", F.greatest(F.coalesce("error_us", F.lit(0)), F.lit(0)))
 
 
 @query("WITH p AS (SELECT tid, CAST(sum(CASE WHEN name = 'view' THEN dur ELSE 0 END) AS BIGINT) AS v, CAST(sum(CASE WHEN name = 'click' THEN dur ELSE 0 END) AS BIGINT) AS c FROM " + sql_events() + " GROUP BY tid) SELECT CAST(sum(v) // 10 AS BIGINT) AS v, CAST(sum(c) // 10 AS BIGINT) AS c FROM p")
 def add_and_divide(spark, sf_dir):
-    part = lambda n: F.sum(F.when(F.col("name") == n, F.col("dur")).otherwise(0))
-    p = events(spark, sf_dir).groupBy("tid").agg(part("view").alias("v"), part("click").alias("c"))
-    return p.agg(F.sum("v").alias("v"), F.sum("c").alias("c")).selectExpr("v div 10 as v", "c div 10 as c")
+    return trace.add_and_divide(trace.kind_totals(events(spark, sf_dir), {"v": "view", "c": "click"}, ["tid"]), ["v", "c"], 10)
 
 
 @query("WITH p AS (SELECT tid, max(CASE WHEN name = 'view' THEN dur END) AS view, max(CASE WHEN name = 'click' THEN dur END) AS click FROM " + sql_events() + " GROUP BY tid) SELECT tid, 'view' AS name, view AS us FROM p WHERE view IS NOT NULL UNION ALL SELECT tid, 'click', click FROM p WHERE click IS NOT NULL")
 def unpivot_totals(spark, sf_dir):
-    of = lambda n: F.max(F.when(F.col("name") == n, F.col("dur")))
-    p = events(spark, sf_dir).groupBy("tid").agg(of("view").alias("view"), of("click").alias("click"))
+    p = trace.pivot(events(spark, sf_dir), ["tid"], {"view": "view", "click": "click"}, {})
     return p.unpivot(["tid"], ["view", "click"], "name", "us").where("us is not null")
 
 
@@ -134,47 +123,44 @@ def track_stats(spark, sf_dir):
 
 @query("WITH t AS (SELECT tid, CAST(sum(dur) AS BIGINT) AS used, CAST(sum(CASE WHEN name = 'error' THEN dur ELSE 0 END) AS BIGINT) AS free FROM " + sql_events() + " GROUP BY tid) SELECT tid, CASE WHEN used = 0 THEN 0 ELSE 100.0 * (used - free) / used END AS percent FROM t")
 def percent_used(spark, sf_dir):
-    t = events(spark, sf_dir).groupBy("tid").agg(F.sum("dur").alias("used"), F.sum(F.when(F.col("name") == "error", F.col("dur")).otherwise(0)).alias("free"))
-    return t.select("tid", F.coalesce(F.try_divide((F.col("used") - F.col("free")) * 100.0, F.col("used").cast("double")), F.lit(0.0)).alias("percent"))
+    return trace.percent_used(events(spark, sf_dir), "tid", F.col("name") == "error")
 
 
 @query(f"WITH g AS (SELECT name, tid, CAST(sum(dur) AS BIGINT) AS us FROM {sql_events()} GROUP BY 1, 2), t AS (SELECT *, sum(us) OVER (PARTITION BY name) AS total FROM g) SELECT name, tid, us FROM t WHERE us / total >= 0.01")
 def share_filter(spark, sf_dir):
-    g = events(spark, sf_dir).groupBy("name", "tid").agg(F.sum("dur").alias("us"))
-    return trace.share_filter(g, "us", ["name"])
+    return trace.share_filter(trace.cost(events(spark, sf_dir), ["name", "tid"]).drop("n"), "us", ["name"])
 
 
 @query("SELECT tid, CAST(sum(dur) AS BIGINT) AS us, count(*) AS n FROM " + sql_events() + " GROUP BY tid ORDER BY us DESC, tid LIMIT 10")
 def top_files(spark, sf_dir):
-    return events(spark, sf_dir).groupBy("tid").agg(F.sum("dur").alias("us"), F.count("*").alias("n")).orderBy(F.desc("us"), "tid").limit(10)
+    return trace.top(trace.cost(events(spark, sf_dir), ["tid"]), [F.desc("us"), F.col("tid")], trace.LIMITS["files"])
 
 
 @query("SELECT detail, CAST(sum(dur) AS BIGINT) AS us, count(*) AS n FROM " + sql_events() + " GROUP BY detail ORDER BY us DESC, n DESC, detail DESC LIMIT 30")
 def top_templates(spark, sf_dir):
-    return events(spark, sf_dir).groupBy("detail").agg(F.sum("dur").alias("us"), F.count("*").alias("n")).orderBy(F.desc("us"), F.desc("n"), F.desc("detail")).limit(30)
+    return trace.top(trace.cost(events(spark, sf_dir), ["detail"]), [F.desc("us"), F.desc("n"), F.desc("detail")], trace.LIMITS["templates"])
 
 
 @query(f"WITH g AS (SELECT name, detail, CAST(sum(dur) AS BIGINT) AS us FROM {sql_events()} GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY us DESC, detail) AS place FROM g) SELECT name, detail, us, CAST(place AS INTEGER) AS place FROM r WHERE place <= 6")
 def top_chains_of_header(spark, sf_dir):
-    g = events(spark, sf_dir).groupBy("name", "detail").agg(F.sum("dur").alias("us"))
-    return g.withColumn("place", F.row_number().over(Window.partitionBy("name").orderBy(F.desc("us"), "detail"))).where("place <= 6")
+    return trace.top_of_each(trace.cost(events(spark, sf_dir), ["name", "detail"]).drop("n"), "name", [F.desc("us"), F.col("detail")], trace.LIMITS["chains"] + 1)
 
 
 @query("SELECT event_id, name, dur FROM " + sql_events() + " WHERE dur >= 10000 AND name IN ('view', 'click')")
 def minimum_duration(spark, sf_dir):
-    return events(spark, sf_dir).where("dur >= 10000 and name in ('view', 'click')").select("event_id", "name", "dur")
+    return trace.at_least(events(spark, sf_dir), names=["view", "click"]).select("event_id", "name", "dur")
 
 
 @query("SELECT event_id, CASE name WHEN 'view' THEN 'ParseFile' WHEN 'click' THEN 'OptFunction' WHEN 'error' THEN 'Free' END AS kind FROM " + sql_events() + " WHERE name IN ('view', 'click', 'error')")
 def name_to_type(spark, sf_dir):
-    kinds = F.create_map(*(F.lit(x) for x in ("view", "ParseFile", "click", "OptFunction", "error", "Free")))
-    return events(spark, sf_dir).select("event_id", F.element_at(kinds, F.col("name")).alias("kind")).where("kind is not null")
+    kinds = {"view": "ParseFile", "click": "OptFunction", "error": "Free"}
+    return events(spark, sf_dir).select("event_id", trace.event_type(F.col("name"), kinds).alias("kind")).where("kind is not null")
 
 
 @query("SELECT event_id, greatest(ts - 1704200000000000, 0) AS ts, dur + least(ts - 1704200000000000, 0) AS dur FROM " + sql_events() + " WHERE dur + least(ts - 1704200000000000, 0) > 0")
 def start_clamp(spark, sf_dir):
-    e = events(spark, sf_dir).withColumn("t", F.col("ts") - 1704200000000000)
-    return e.select("event_id", F.greatest(F.col("t"), F.lit(0)).alias("ts"), (F.col("dur") + F.least(F.col("t"), F.lit(0))).alias("dur")).where("dur > 0")
+    e = events(spark, sf_dir).select("event_id", F.lit("X").alias("ph"), (F.col("ts") - 1704200000000000).alias("ts"), "dur", F.lit(0).alias("depth"))
+    return traces.admitted(e, 0).select("event_id", "ts", "dur")
 
 
 @query("SELECT event_id, CAST(json_extract(detail, '$.k') AS BIGINT) AS k FROM " + sql_events())
@@ -184,8 +170,7 @@ def json_args(spark, sf_dir):
 
 @query("SELECT DISTINCT tid, CAST(dense_rank() OVER (ORDER BY first_ts, tid) AS INTEGER) AS track FROM (SELECT tid, min(ts) AS first_ts FROM " + sql_events() + " GROUP BY tid)")
 def track_ordinals(spark, sf_dir):
-    first = events(spark, sf_dir).groupBy("tid").agg(F.min("ts").alias("first_ts"))
-    return first.select("tid", F.dense_rank().over(Window.orderBy("first_ts", "tid")).alias("track"))
+    return trace.track_ordinals(events(spark, sf_dir), "tid").select("tid", F.col("ordinal").alias("track"))
 
 
 @query("SELECT doc_id FROM documents WHERE contains(lower(text), 'tion') ", "search_contains")

@@ -127,3 +127,11 @@ def _at_exit() -> None:
 
 
 atexit.register(_at_exit)
+
+
+def fresh_path(spark: SparkSession, label: str) -> str:
+    """A new folder's path in the shared folder, deleted with the session's tables; it does not exist yet."""
+    path = f"{shared_dir(spark)}/gridweave/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    tables = _open.get()
+    (_session if tables is None else tables).append((spark, path))
+    return path

@@ -49,47 +49,84 @@ def files(spark: SparkSession, path: str, hidden: bool = False) -> DataFrame:
     return rows if hidden else rows.where(~F.col("name").startswith("."))
 
 
-def same_group(catalog: DataFrame, selected: str) -> DataFrame:
-    """Files in the folder of the selected path."""
-    chosen = catalog.where(F.col("path") == selected).select("folder").distinct()
-    return catalog.join(chosen, "folder", "left_semi")
-
+def listing(catalog: DataFrame, entries: DataFrame | None = None) -> DataFrame:
+    """(path, name, folder, archive, length): files of a catalog, then entries of zip_entries(), whose path is archive/name."""
+    out = catalog.select("path", "name", "folder", F.lit(None).cast("string").alias("archive"), "length")
+    if entries is None:
+        return out
+    whole = F.concat_ws("/", "path", "filename")
+    inside = entries.where("filename is not null").select(whole.alias("path"), F.substring_index("filename", "/", -1).alias("name"), F.regexp_replace(whole, "/[^/]*$", "").alias("folder"), F.col("path").alias("archive"), F.col("uncompressed_size").alias("length"))
+    return out.unionByName(inside)
 
-_ENTRIES = "path string, filename string, file_index int, uncompressed_size long, compressed_size long, modified long, crc32 long, content binary"
 
+def same_group(catalog: DataFrame, selected: str) -> DataFrame:
+    """Rows of the selected path's archive, if it is in one and the catalog is a listing(), else of its folder."""
+    chosen = catalog.where(F.col("path") == selected)
+    if "archive" not in catalog.columns:
+        return catalog.join(chosen.select("folder").distinct(), "folder", "left_semi")
+    key = F.when(F.col("archive").isNotNull(), F.concat(F.lit("a"), "archive")).otherwise(F.concat(F.lit("f"), "folder"))
+    return catalog.withColumn("__key", key).join(chosen.select(key.alias("__key")).distinct(), "__key", "left_semi").drop("__key")
+
+
+_ENTRIES = "path string, filename string, file_index int, uncompressed_size long, compressed_size long, modified long, crc32 long, content binary, error string"
+
+
+def _list(with_content: bool, head: int | None, wanted: str | None, extensions: list[str] | None):
+    def of(path, data):
+        with zipfile.ZipFile(io.BytesIO(data)) as z:
+            found = {e.filename: k for k, e in enumerate(z.infolist())}
+            names = sorted(found) if wanted is None else [wanted] if wanted in found else []
+            for name in names:
+                e = z.getinfo(name)
+                if e.is_dir() or name.endswith(".zip") or (extensions and not name.endswith(tuple(extensions))):
+                    continue
+                stamp = int(pd.Timestamp(*e.date_time).timestamp())
+                content = None
+                if with_content:
+                    with z.open(e) as f:
+                        content = f.read() if head is None else f.read(head)
+                yield path, name, found[name], e.file_size, e.compress_size, stamp, e.CRC, content, None
 
-def _list(with_content: bool, head: int | None):
     def run(batches):
         for batch in batches:
             for path, data in zip(batch["path"], batch["content"], strict=True):
                 rows = []
-                with zipfile.ZipFile(io.BytesIO(data)) as z:
-                    for k, e in enumerate(z.infolist()):
-                        if e.is_dir() or e.filename.endswith(".zip"):
-                            continue
-                        y, mo, d, h, mi, s = e.date_time
-                        stamp = int(pd.Timestamp(y, mo, d, h, mi, s).timestamp())
-                        content = None
-                        if with_content:
-                            with z.open(e) as f:
-                                content = f.read() if head is None else f.read(head)
-                        rows.append((path, e.filename, k, e.file_size, e.compress_size, stamp, e.CRC, content))
-                yield pd.DataFrame(rows, columns=[x.split()[0] for x in _ENTRIES.split(", ")])
+                try:
+                    rows += of(path, data)
+                except (zipfile.BadZipFile, zlib.error, ValueError) as e:  # a bad archive becomes a row that says so
+                    rows.append((path, *[None] * 7, str(e)))
+                frame = pd.DataFrame(rows, columns=[x.split()[0] for x in _ENTRIES.split(", ")], dtype=object)
+                yield frame
 
     return run
 
 
-def zip_entries(archives: DataFrame, content: bool = False, head: int | None = None) -> DataFrame:
-    """archives (path, content) -> one row per entry, sorted by name within an archive by the reader if needed; folders and inner archives are skipped.
+def zip_entries(archives: DataFrame, content: bool = False, head: int | None = None, extensions: list[str] | None = None, name: str | None = None) -> DataFrame:
+    """archives (path, content) -> one row per entry, in name order within an archive; folders and inner archives are skipped.
 
-    content: also the bytes, or their first `head`.
+    content: also the bytes, or their first `head`. extensions: only entries with one of these endings. name: only that entry; no other is inflated.
     """
-    found = archives.select("path", "content").mapInPandas(_list(content, head), _ENTRIES)
+    found = archives.select("path", "content").mapInPandas(_list(content, head, name, extensions), _ENTRIES)
     return found if content else found.drop("content")
 
 
 def zip_lookup(archives: DataFrame, name: str) -> DataFrame:
-    return zip_entries(archives, content=True).where(F.col("filename") == name)
+    """The entry of that name in each archive, found in its directory."""
+    return zip_entries(archives, content=True, name=name)
+
+
+def little_endian(content: Column, at: int, size: int) -> Column:
+    """Unsigned integer of up to 7 bytes at an offset of a binary column."""
+    part = lambda k: F.conv(F.hex(F.substring(content, at + k + 1, 1)), 16, 10).cast("bigint") * F.lit(256**k)
+    out = part(0)
+    for k in range(1, size):
+        out = out + part(k)
+    return out
+
+
+def padded(n: Column, to: int = 4) -> Column:
+    """n rounded up to a multiple of `to`, as typed reads skip."""
+    return (F.ceil(n / to) * to).cast("bigint")
 
 
 @F.pandas_udf(T.BinaryType())

@@ -5,9 +5,11 @@ from __future__ import annotations
 import struct
 import zlib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.textures import DIRECTX, FORMATS, VULKAN
 
@@ -86,9 +88,9 @@ def read_ktx1(data: bytes) -> dict:
 def descriptor(name: str) -> bytes:
     """Basic data format descriptor: enough to name block size and channels."""
     bx, by, size = _SHAPE[name]
-    channels = next(f[4] for f in FORMATS if f[0] == name)
+    channels, kind = next((f[4], f[6]) for f in FORMATS if f[0] == name)
     samples = b"".join(struct.pack("<HBBIII", 8 * k * max(1, size // max(channels, 1)), max(8 * size // max(channels, 1) - 1, 0) & 0xFF, k, 0, 0, 0xFFFFFFFF) for k in range(channels))
-    body = struct.pack("<HHHHBBBB4B8B", 0, 0, 2, 24 + len(samples), 1, 1, 2 if "s" in name.replace("ASTC", "")[:4] else 1, 0, bx - 1, by - 1, 0, 0, size, 0, 0, 0, 0, 0, 0, 0) + samples
+    body = struct.pack("<HHHHBBBB4B8B", 0, 0, 2, 24 + len(samples), 1, 1, 2 if kind == "srgb" else 1, 0, bx - 1, by - 1, 0, 0, size, 0, 0, 0, 0, 0, 0, 0) + samples
     return struct.pack("<I", len(body) + 4) + body
 
 
@@ -191,26 +193,40 @@ def read_png(data: bytes) -> tuple[int, int, bool, bytes]:
     n = {0: 1, 2: 3, 4: 2, 6: 4}.get(color)
     if depth != 8 or n is None or lace:
         raise ValueError("only plain 8-bit images are supported")
-    raw, stride, before, out = zlib.decompress(body), width * n, bytearray(width * n), bytearray()
+    stride = width * n
+    raw = np.frombuffer(zlib.decompress(body), np.uint8, height * (stride + 1)).reshape(height, stride + 1)
+    rows, before = np.empty((height, width, n), np.uint8), np.zeros((width, n), np.uint8)
     for y in range(height):
-        kind, row = raw[y * (stride + 1)], bytearray(raw[y * (stride + 1) + 1 : (y + 1) * (stride + 1)])
-        for i in range(stride):
-            left, up, corner = row[i - n] if i >= n else 0, before[i], before[i - n] if i >= n else 0
-            if kind == 1:
-                row[i] = (row[i] + left) & 255
-            elif kind == 2:
-                row[i] = (row[i] + up) & 255
-            elif kind == 3:
-                row[i] = (row[i] + (left + up) // 2) & 255
-            elif kind == 4:
-                p = left + up - corner
-                near = min((abs(p - left), 0, left), (abs(p - up), 1, up), (abs(p - corner), 2, corner))[2]
-                row[i] = (row[i] + near) & 255
-        before = row
-        for x in range(width):
-            px = row[x * n : x * n + n]
-            out += bytes(px) if n == 4 else bytes(px) + b"\xff" if n == 3 else bytes([px[0]] * 3 + [px[1] if n == 2 else 255])
-    return width, height, srgb, bytes(out)
+        before = rows[y] = _unfiltered(int(raw[y, 0]), raw[y, 1:].reshape(width, n), before)
+    rgba = np.full((height, width, 4), 255, np.uint8)
+    rgba[..., :3] = rows[..., :3] if n > 2 else rows[..., :1]
+    if n in (2, 4):
+        rgba[..., 3] = rows[..., -1]
+    return width, height, srgb, rgba.tobytes()
+
+
+def _unfiltered(kind: int, row: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """A row (width, channels) without its filter. Two of the filters need the pixel to the left, so they go pixel by pixel."""
+    if kind == 1:
+        return np.cumsum(row, 0, dtype=np.uint8)
+    if kind == 2:
+        return row + before
+    if kind not in (3, 4):
+        return row
+    out = []
+    for own, ups in zip(row.T.tolist(), before.T.tolist(), strict=True):
+        left = corner = 0
+        line = []
+        for value, up in zip(own, ups, strict=True):
+            if kind == 3:
+                left = (value + (left + up) // 2) & 255
+            else:
+                a, b, c = abs(up - corner), abs(left - corner), abs(left + up - 2 * corner)
+                left = (value + (left if a <= b and a <= c else up if b <= c else corner)) & 255
+            corner = up
+            line.append(left)
+        out.append(line)
+    return np.array(out, np.uint8).T
 
 
 _READERS = {KTX1: read_ktx1, KTX2: read_ktx2}
@@ -234,20 +250,61 @@ def textures(containers: DataFrame) -> DataFrame:
     return containers.select("path", "content").mapInPandas(_read, _TEXTURES)
 
 
+_PIXELS = "path string, y int, x int, srgb boolean, r int, g int, b int, a int, error string"
+
+
 def _pixels(batches):
     for batch in batches:
         for path, data in zip(batch["path"], batch["content"], strict=True):
-            width, height, srgb, rgba = read_png(data)
-            n = width * height
-            flat = pd.DataFrame({"path": [path] * n, "y": [i // width for i in range(n)], "x": [i % width for i in range(n)], "srgb": srgb})
-            for k, c in enumerate("rgba"):
-                flat[c] = list(rgba[k::4])
-            yield flat
+            try:
+                width, height, srgb, rgba = read_png(data)
+            except (ValueError, struct.error, zlib.error) as e:  # a bad file becomes a row that says so
+                yield pd.DataFrame([(path, *[None] * 7, str(e))], columns=[x.split()[0] for x in _PIXELS.split(", ")], dtype=object)
+                continue
+            y, x = np.divmod(np.arange(width * height, dtype=np.int32), width)
+            flat = np.frombuffer(rgba, np.uint8).reshape(-1, 4)
+            yield pd.DataFrame({"path": path, "y": y, "x": x, "srgb": srgb} | {c: flat[:, k] for k, c in enumerate("rgba")} | {"error": None})
 
 
 def png_pixels(images: DataFrame) -> DataFrame:
-    """images (path, content) -> (path, y, x, srgb, r, g, b, a)."""
-    return images.select("path", "content").mapInPandas(_pixels, "path string, y int, x int, srgb boolean, r int, g int, b int, a int")
+    """images (path, content) -> (path, y, x, srgb, r, g, b, a, error)."""
+    return images.select("path", "content").mapInPandas(_pixels, _PIXELS)
+
+
+def png_files(pixels: DataFrame, key: str = "path", srgb: bool = False) -> DataFrame:
+    """pixels (key, y, x, r, g, b, a) -> (key, content): PNG files; an image must fit one task."""
+
+    def one(group: pd.DataFrame) -> pd.DataFrame:
+        grid = np.zeros((int(group["y"].max()) + 1, int(group["x"].max()) + 1, 4), np.uint8)
+        grid[group["y"], group["x"]] = group[list("rgba")].to_numpy()
+        return pd.DataFrame({key: [group[key].iloc[0]], "content": [write_png(grid.shape[1], grid.shape[0], grid.tobytes(), srgb)]})
+
+    return pixels.select(key, "y", "x", *"rgba").groupBy(key).applyInPandas(one, f"{key} {dict(pixels.dtypes)[key]}, content binary")
+
+
+@F.pandas_udf(T.BinaryType())
+def png_with_srgb(content: pd.Series) -> pd.Series:
+    """The same images, marked as sRGB."""
+
+    def one(data):
+        width, height, _, rgba = read_png(data)
+        return write_png(width, height, rgba, srgb=True)
+
+    return content.map(lambda x: None if x is None else one(bytes(x)))
+
+
+def level_payloads(containers: DataFrame) -> DataFrame:
+    """containers (path, content) -> (path, mip, payload): levels, inflated."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for path, data in zip(batch["path"], batch["content"], strict=True):
+                t = _READERS.get(data[:12], read_dds)(data)
+                rows += [(path, k, read_level(data, t["scheme"], level)) for k, level in enumerate(t["levels"])]
+            yield pd.DataFrame(rows, columns=["path", "mip", "payload"])
+
+    return containers.select("path", "content").mapInPandas(run, "path string, mip int, payload binary")
 
 
 def png_header(content):

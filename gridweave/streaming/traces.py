@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.relations import ordinals
+
 EVENT = "tid bigint, name string, ph string, ts bigint, dur bigint, depth int, value bigint"
 
 
@@ -39,3 +41,22 @@ def keep_totals(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery
         batch.write.mode("overwrite").parquet(path)
 
     return totals(events).writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(replace).trigger(availableNow=True).start()
+
+
+def track_ids(events: DataFrame, path: str, checkpoint: str, track: str = "thread") -> StreamingQuery:
+    """Keeps a table (track, tid): every track gets the next number when it is first seen, and keeps it. The table is versioned by batch, so a batch that runs again gives the same."""
+
+    def grow(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        known = spark.read.parquet(f"{path}/batch={number - 1}") if number else spark.createDataFrame([], f"{track} {dict(batch.dtypes)[track]}, tid bigint")
+        new = batch.select(track).where(F.col(track).isNotNull()).distinct().join(known, track, "left_anti")
+        start = known.agg(F.coalesce(F.max("tid"), F.lit(0))).first()[0]
+        numbered = ordinals(new, [track], "tid").withColumn("tid", F.col("tid") + start + 1)
+        known.unionByName(numbered).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return events.writeStream.option("checkpointLocation", checkpoint).foreachBatch(grow).trigger(availableNow=True).start()
+
+
+def flush(events: DataFrame, path: str, checkpoint: str, every: str = "10 seconds") -> StreamingQuery:
+    """Like append(), for a source that does not end: what has arrived is written at every interval, and at stop()."""
+    return events.writeStream.format("json").option("compression", "gzip").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(processingTime=every).start()

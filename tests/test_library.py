@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gridweave.functions import hashing, strings, vectors
@@ -33,8 +34,30 @@ def events(spark):
 def test_nesting_of_the_small_trace(spark, events):
     got = {r["event_id"]: (r["parent_id"], r["depth"]) for r in trace.nest(events, ["file"]).collect()}
     assert got == {0: (1, 3), 1: (4, 2), 2: (3, 3), 3: (4, 2), 4: (5, 1), 5: (None, 0)}
-    by_join = {r["event_id"]: r["parent_id"] for r in trace.nest_by_join(events, ["file"]).collect()}
-    assert by_join == {k: v[0] for k, v in got.items()}
+    assert {r["event_id"]: r["parent_id"] for r in nest_by_join(events, ["file"]).collect()} == {k: v[0] for k, v in got.items()}
+
+
+def nest_by_join(events, tracks):
+    """Parents by a range self-join: quadratic, for checks."""
+    rank = F.row_number().over(Window.partitionBy(*tracks).orderBy("ts", F.desc("dur"), F.desc("event_id")))
+    e = events.withColumn("rank", rank)
+    p = e.select(*tracks, F.col("event_id").alias("p_id"), F.col("ts").alias("p_ts"), F.col("dur").alias("p_dur"), F.col("rank").alias("p_rank"))
+    holds = (F.col("p_ts") <= F.col("ts")) & (F.col("ts") + F.col("dur") <= F.col("p_ts") + F.col("p_dur")) & (F.col("p_rank") < F.col("rank"))
+    found = e.join(p, tracks).where(holds).groupBy("event_id").agg(F.max_by("p_id", "p_rank").alias("parent_id"))
+    return events.select("event_id").join(found, "event_id", "left")
+
+
+def test_a_busy_track_is_cut_over_many_partitions(spark):
+    rows = [("busy" if i % 4 else None, i, "n", "", (i * 7919) % 5000, (i * 31) % 60) for i in range(3000)]
+    table = spark.createDataFrame(rows, "file string, event_id bigint, name string, detail string, ts bigint, dur bigint")
+    busy = table.where("file is not null")
+    got = {r["event_id"]: r["parent_id"] for r in trace.nest(table, ["file"]).where("file is not null").collect()}
+    assert got == {r["event_id"]: r["parent_id"] for r in nest_by_join(busy, ["file"]).collect()}
+    cut = trace.stretches(table, ["file"])
+    spans = cut.groupBy("file", "island").agg(F.min("ts").alias("a"), F.max(F.col("ts") + F.col("dur")).alias("b"), F.count("*").alias("n")).orderBy("file", "a").collect()
+    assert sum(r["n"] for r in spans) == 3000 and len(spans) > 2
+    for x, y in zip(spans, spans[1:]):
+        assert x["file"] != y["file"] or x["b"] < y["a"]
 
 
 def test_self_time_and_templates(spark, events):
@@ -75,7 +98,7 @@ def test_string_functions(spark):
     ).first()
     assert list(row) == [True, True, False, False, "b/c", "1 KiB", "x.o"]
     h = spark.createDataFrame([("ab",), (None,)], "t string").select(strings.fnv1(F.col("t")), hashing.adler32(F.col("t").cast("binary"))).collect()
-    assert h[0][0] == hashing.fnv1(b"ab") and h[1][0] is None and h[0][1] == 0x012600C4
+    assert h[0][0] == (((0x811C9DC5 * 0x01000193 % 2**32) ^ 97) * 0x01000193 % 2**32) ^ 98 and h[1][0] is None and h[0][1] == 0x012600C4
 
 
 def test_quaternions_and_matrices(spark):
@@ -265,3 +288,142 @@ def test_ancestors_of_several_parents_and_cycles(spark):
     for cycle in ([(7, 7)], [(1, 2), (2, 3), (3, 1), (4, 1)]):
         with pytest.raises(ValueError, match="cycle"):
             relations.ancestors(rows(*cycle), "node", "parent")
+
+
+def test_hashes_of_a_batch(spark):
+    def one(data):
+        h = 0x811C9DC5
+        for b in data.partition(b"\0")[0]:
+            h = (h * 0x01000193 & 0xFFFFFFFF) ^ ((b - 256 if b > 127 else b) & 0xFFFFFFFF)
+        return h
+
+    texts = [b"", b"a", "é\u4e2d".encode(), b"longer text", b"cut\0here", b"zz"]
+    assert hashing.fnv1(texts).tolist() == [one(t) for t in texts]
+
+
+def test_names_of_any_length_collapse_in_time(spark):
+    long = "a<" + "b," * 20_000 + "c<d>>::e<f>"
+    names = ["vector<int>", "a<b<c>>::d<e>", "operator<", "a<b", "a>b<", "plain", long]
+    table = spark.createDataFrame([(n,) for n in names], "n string")
+    got = [r[0] for r in table.select(strings.collapse_name(F.col("n"))).collect()]
+    assert got == ["vector<$>", "a<$>::d<$>", "operator<", "a<b", "a>b<", "plain", "a<$>::e<$>"]
+
+
+def test_odd_mips_keep_a_constant(spark):
+    pixels = spark.createDataFrame([(i, y, x, 10) for i, n in ((1, 5), (2, 4), (3, 1)) for y in range(n) for x in range(n)], "image_id bigint, y int, x int, r int")
+    got = image.box_mip(pixels, ["r"]).collect()
+    assert {r["r"] for r in got} == {10} and {i: sum(r["image_id"] == i for r in got) for i in (1, 2, 3)} == {1: 4, 2: 4, 3: 1}
+
+
+def test_bad_files_are_rows(spark):
+    from gridweave.operators import codecs
+
+    bad = spark.createDataFrame([("x", bytearray(b"no file")), ("y", bytearray(b"DDS short"))], "path string, content binary")
+    for found in (containers.png_pixels(bad), codecs.texture_pixels(bad), containers.textures(bad), archives.zip_entries(bad)):
+        assert [r["error"] is not None for r in found.collect()] == [True, True]
+
+
+@pytest.mark.parametrize("color,channels", [(0, 1), (2, 3), (4, 2), (6, 4)])
+def test_every_png_filter(color, channels):
+    import zlib
+
+    r = np.random.default_rng(color)
+    grid = r.integers(0, 256, (6, 5, channels), dtype=np.uint8)
+    rows, before = b"", np.zeros((5, channels), np.int64)
+    for y, row in enumerate(grid.astype(np.int64)):
+        left, corner = np.vstack((np.zeros((1, channels), np.int64), row[:-1])), np.vstack((np.zeros((1, channels), np.int64), before[:-1]))
+        p = left + before - corner
+        a, b, c = abs(p - left), abs(p - before), abs(p - corner)
+        paeth = np.where((a <= b) & (a <= c), left, np.where(b <= c, before, corner))
+        kind = y % 5
+        rows += bytes([kind]) + ((row - [0 * row, left, before, (left + before) // 2, paeth][kind]) % 256).astype(np.uint8).tobytes()
+        before = row
+    chunk = lambda k, body: struct.pack(">I", len(body)) + k + body + struct.pack(">I", zlib.crc32(k + body))
+    data = containers.PNG + chunk(b"IHDR", struct.pack(">2I5B", 5, 6, 8, color, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+    width, height, _, rgba = containers.read_png(data)
+    got = np.frombuffer(rgba, np.uint8).reshape(height, width, 4)
+    want = np.full((6, 5, 4), 255, np.uint8)
+    want[..., :3] = grid[..., :3] if channels > 2 else grid[..., :1]
+    if channels in (2, 4):
+        want[..., 3] = grid[..., -1]
+    assert (width, height) == (5, 6) and (got == want).all()
+
+
+def test_scratch_tables_belong_to_their_call(spark):
+    import threading
+
+    from gridweave import scratch
+
+    df = spark.range(3)
+    with scratch.scope():
+        inner = scratch.materialise(df, "inner")
+        assert inner.count() == 3
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|FILE_NOT_EXIST|FileNotFound"):
+        inner.collect()
+    held = {}
+
+    def pipeline(name):
+        with scratch.stage_tables(first=True):
+            held[name] = scratch.materialise(df, name)
+        barrier.wait()
+        with scratch.stage_tables():  # drops this thread's stage before, no other one
+            pass
+        barrier.wait()
+
+    def other():
+        with scratch.stage_tables(first=True):
+            held["other"] = scratch.materialise(df, "other")
+        barrier.wait()
+        barrier.wait()
+
+    barrier = threading.Barrier(2)
+    threads = [threading.Thread(target=pipeline, args=("one",)), threading.Thread(target=other)]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    assert held["other"].count() == 3
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|FILE_NOT_EXIST|FileNotFound"):
+        held["one"].collect()
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from gridweave import scratch
+
+    class Context:
+        def __init__(self, master):
+            self.master, self.set = master, None
+
+        def getCheckpointDir(self):
+            return None
+
+        def setCheckpointDir(self, path):
+            self.set = path
+
+    class Session:
+        class conf:
+            @staticmethod
+            def get(key, default):
+                return default
+
+        def __init__(self, master):
+            self.sparkContext = Context(master)
+
+    assert scratch.shared_dir(Session("local[4]")).startswith("file:///")
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]", "k8s://x"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            scratch.shared_dir(Session(master))
+
+
+def test_ancestors_have_no_cap(spark):
+    chain = spark.range(150).selectExpr("id as node", "case when id > 0 then id - 1 end as parent")
+    got = relations.ancestors(chain, "node", "parent")
+    assert got.count() == 150 * 149 // 2 and got.agg(F.max("steps")).first()[0] == 149
+    loop = spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "node bigint, parent bigint")
+    with pytest.raises(ValueError, match="cycle"):
+        relations.ancestors(loop, "node", "parent")
+
+
+def test_a_long_gap_between_keys_is_one_row(spark):
+    keys = spark.createDataFrame([("a", 0, 0.0), ("a", 10**12, 1.0), ("b", 5, 2.0)], "channel string, ts bigint, value double")
+    asked = spark.createDataFrame([("a", 5 * 10**11), ("a", 10**12), ("a", 10**12 + 1), ("a", 0), ("b", 4), ("b", 5), ("c", 1)], "channel string, t bigint")
+    got = sorted((r["channel"], r["t"], r["value"]) for r in relations.between_keys(asked, keys, "channel", 10.0).collect())
+    assert got == [("a", 0, 0.0), ("a", 5 * 10**11, 0.5), ("a", 10**12, 1.0), ("b", 5, 2.0)]
