@@ -248,6 +248,34 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_co
     return found.select("doc_id", "n_words", "n_hit", F.array_distinct("items").alias("items"), "starts", "ends")
 
 
+def _near(shared, slop: int):
+    def run(batches):
+        phrases = shared.value
+        lex = lexer()
+        asked = [lex.words([p.encode()])[4] for p in phrases]
+        for batch in batches:
+            rows = []
+            for _, doc_ids, *parts in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+                index, ids = ShardIndex.load(*parts), np.frombuffer(doc_ids, "<i8")
+                for phrase, words in zip(phrases, asked, strict=True):
+                    at = index.near(words, slop)
+                    doc = np.searchsorted(index.bounds, at, side="right") - 1
+                    rows += [(None if ids[d] == _NULL else int(ids[d]), phrase, int(p)) for d, p in zip(doc.tolist(), (at - index.bounds[doc]).tolist(), strict=True)]
+            doc_id, phrase, place = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(doc_id, pa.int64()), pa.array(phrase, pa.string()), pa.array(place, pa.int64())], ["doc_id", "phrase", "place"])
+
+    return run
+
+
+def proximity(index: DataFrame, phrases: list[str], slop: int) -> DataFrame:
+    """(doc_id, phrase, place): places of a phrase's rarest word from which all its other words, in any order, are at most `slop` words away in the same document.
+
+    index: as of build_index(); phrases: a few, they are broadcast. Phrases without words match nothing.
+    """
+    shared = index.sparkSession.sparkContext.broadcast(list(phrases))
+    return index.mapInArrow(_near(shared, slop), "doc_id long, phrase string, place long")
+
+
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
     return found.select(

@@ -1,7 +1,7 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
 The network reads the UTF-8 bytes of a text in both directions, labels every position with language probabilities, and pools
-them over the document. Texts are read in rows of up to CORE bytes with CONTEXT more on either side, from which the state of both directions comes; each
+them over the document. Texts are read in rows of up to CORE bytes (FIT_CORE when fitting) with CONTEXT more on either side, from which the state of both directions comes; each
 byte is labelled once, in the row whose core it is in, and every byte of every text is read. The positions' log-probabilities are averaged.
 
 It is trained in numpy by backpropagation through time, on the driver, on at most SAMPLE labelled documents of at most SAMPLE_BYTES in all,
@@ -25,11 +25,11 @@ UNKNOWN = "und"
 #: Bounds of the fit: documents, bytes of all, bytes of one text that is read whole.
 SAMPLE, SAMPLE_BYTES, WHOLE = 1_500, 6 << 20, 256 << 10
 #: Size of the network, passes over the sample, rows of a step.
-HIDDEN, EMBED, EPOCHS, BATCH = 12, 12, 2, 128
-#: Bytes that a row labels, and bytes of context on either side of them.
-CORE, CONTEXT = 192, 32
+HIDDEN, EMBED, EPOCHS, BATCH = 8, 16, 2, 128
+#: Bytes that a row labels, when predicting and when fitting, and bytes of context on either side of them; steps that a fit takes at least.
+CORE, FIT_CORE, CONTEXT, STEPS = 448, 192, 32, 150
 #: Rows that prediction reads at once, and the lengths that rows are filled up to.
-BLOCK, LENGTHS = 1024, (16, 32, 64, 128, CORE + 2 * CONTEXT)
+BLOCK, LENGTHS = 512, (16, 32, 64, 128, 256, CORE + 2 * CONTEXT)
 
 
 class ByteGru:
@@ -130,7 +130,8 @@ class ByteGru:
         """Adam over rows of all texts; the order of steps is fixed by the seed."""
         r, step = np.random.default_rng(seed), 0
         m, s = ({k: np.zeros_like(x) for k, x in self.p.items()} for _ in range(2))
-        batches = [x for x in rows_of(texts, BATCH, r.permutation(len(texts)))]
+        batches = list(rows_of(texts, BATCH, r.permutation(len(texts)), FIT_CORE))
+        epochs = max(epochs, -(-STEPS // max(len(batches), 1)))
         total = epochs * len(batches)
         for _ in range(epochs):
             for i in r.permutation(len(batches)).tolist():
@@ -186,7 +187,7 @@ class ByteGru:
         return self.probabilities(self.means(texts), np.array([len(x) for x in texts], np.int64))
 
 
-def rows_of(texts: list[bytes], block: int = BLOCK, order: np.ndarray | None = None):
+def rows_of(texts: list[bytes], block: int = BLOCK, order: np.ndarray | None = None, size: int = CORE):
     """Yields (codes, text of each row, flags of the row's core), every byte of every text in one core, at most `block` rows at a time.
 
     Rows are grouped by the length that they are filled up to, which depends on the row alone, so what a text gives does not depend on its neighbours.
@@ -194,10 +195,10 @@ def rows_of(texts: list[bytes], block: int = BLOCK, order: np.ndarray | None = N
     data = np.frombuffer(b"".join(texts), np.uint8)
     sizes = np.array([len(x) for x in texts], np.int64)
     starts = np.cumsum(sizes) - sizes
-    counts = -(-sizes // CORE)
+    counts = -(-sizes // size)
     owner = np.repeat(np.arange(len(texts)), counts)
-    first = (np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)) * CORE
-    low, high = np.maximum(first - CONTEXT, 0), np.minimum(first + CORE + CONTEXT, sizes[owner])
+    first = (np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)) * size
+    low, high = np.maximum(first - CONTEXT, 0), np.minimum(first + size + CONTEXT, sizes[owner])
     lengths = np.array(LENGTHS)
     width = np.searchsorted(lengths, high - low)
     for k, length in enumerate(LENGTHS):
@@ -211,7 +212,7 @@ def rows_of(texts: list[bytes], block: int = BLOCK, order: np.ndarray | None = N
             at = low[own, None] + step
             codes = data[np.minimum(starts[owner[own], None] + at, max(len(data) - 1, 0))].astype(np.int64)
             codes[at >= high[own, None]] = 256
-            core = (at >= first[own, None]) & (at < np.minimum(first[own] + CORE, high[own])[:, None])
+            core = (at >= first[own, None]) & (at < np.minimum(first[own] + size, high[own])[:, None])
             yield codes, owner[own], core
 
 

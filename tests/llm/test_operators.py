@@ -188,16 +188,28 @@ def floored(x):
     return 2 ** (-math.ceil(-8 * math.log2(x) - 1e-9) / 8) if x else 0
 
 
-@pytest.mark.parametrize("batch,shard", [(200, 100), (10**6, 10**6)])
-def test_scores_match_brute_force(docs, empty, monkeypatch, batch, shard):
-    monkeypatch.setattr(ngram_trie, "BATCH_TOKENS", batch)
+@pytest.mark.parametrize("shard,most", [(100, 10**6), (10**6, 40), (10**6, 0)])
+def test_scores_match_brute_force(docs, empty, monkeypatch, shard, most):
     monkeypatch.setattr(ngram_trie, "SHARD_TOKENS", shard)
+    monkeypatch.setattr(ngram_trie, "VOCABULARY", most)
     monkeypatch.setattr(ngram_trie, "HOT", 30)
     one, two, three, seqs = brute_model(ROWS)
     n, v, mu2, mu3 = sum(one.values()), len(one), ngram_trie.MU2, ngram_trie.MU3
+    classes = collections.defaultdict(list)
+    for w, c in one.items():
+        classes[math.floor(16 * math.log2(c) + 1e-9)].append(w)
+    inside: set[str] = set()
+    for k in sorted(classes, reverse=True):
+        if len(inside) + len(classes[k]) > most:
+            break
+        inside |= {*classes[k]}
+    assert (len(inside) == len(one)) == (most > 1000)
+    ctx = lambda a: one[a] if a in inside else 0
+    c2 = lambda *x: two[x] if inside.issuperset(x) else 0
+    c3 = lambda *x: three[x] if inside.issuperset(x) else 0
     p1 = lambda w: (one[w] + 0.1) / (n + 0.1 * (v + 1))
-    p2 = lambda a, b: floored(two[a, b] / (one[a] + mu2)) + mu2 / (one[a] + mu2) * p1(b)
-    p3 = lambda a, b, c: floored(three[a, b, c] / (two[a, b] + mu3)) + floored(mu3 / (two[a, b] + mu3)) * p2(b, c)
+    p2 = lambda a, b: floored(c2(a, b) / (ctx(a) + mu2)) + mu2 / (ctx(a) + mu2) * p1(b)
+    p3 = lambda a, b, c: floored(c3(a, b, c) / (c2(a, b) + mu3)) + floored(mu3 / (c2(a, b) + mu3)) * p2(b, c)
     want = sorted((i is None, i or 0, held, len(s) - 1, sum(one[w] > 0 for w in s[1:]), n, sum(math.log10(p1(w)) for w in s[1:]),
                    math.log10(p2(s[0], s[1])) + sum(math.log10(p3(*x)) for x in zip(s, s[1:], s[2:]))) for i, held, s in seqs)
     found = ngram_trie.fit_and_score(docs)
@@ -207,27 +219,17 @@ def test_scores_match_brute_force(docs, empty, monkeypatch, batch, shard):
         assert a[:6] == b[:6] and a[6] == pytest.approx(b[6], abs=1e-6) and a[7] == pytest.approx(b[7], abs=1e-6)
     # the stored model alone gives the same counts and codes
     lex = ngram_trie.Lexer(ngram_trie.SPACES, lower=True)
-    key = lambda w: ngram_trie.END if w == "</s>" else lex.words([w.encode()])[4][0]
+    key = lambda w: np.array([ngram_trie.END if w == "</s>" else lex.words([w.encode()])[4][0]], np.uint64)
+    number = lambda w: int(found.vocabulary.numbers(key(w))[0])
     levels, tries = ([bytes(r["data"]) for r in t.collect()] for t in (found.words, found.tries))
     for w in [*list(one)[:60], "absent"]:
-        assert sum(int(ngram_trie.word_counts(x, np.array([key(w)], np.uint64))[0]) for x in levels) == one[w]
+        assert sum(int(ngram_trie.word_counts(x, key(w))[0]) for x in levels) == one[w] and (number(w) >= 0) == (w in inside)
     loaded = [ngram_trie.NgramTrie.load(ngram_trie._mapped(x)) for x in tries]
-    for a, b, c in list(three)[:60]:
-        codes = [t.codes(key(a), key(b), key(c)) for t in loaded]
-        held = [x for x in codes if x[0]]
+    for a, b, c in [x for x in three if inside.issuperset(x)][:60]:
+        held = [x for x in (t.codes(number(a), number(b), number(c)) for t in loaded) if x[0]]
         assert len(held) == 1 and ngram_trie.SHARES[held[0][2]] == floored(three[a, b, c] / (two[a, b] + mu3)) and ngram_trie.SHARES[held[0][0]] == floored(two[a, b] / (one[a] + mu2))
-    assert ngram_trie.score(empty).count() == 0
-
-
-def test_probabilities_sum_to_at_most_one(spark):
-    texts = ["a b a c", "a b b", "c a b", "b"]
-    one, *_ = brute_model([(1 + 10 * k, t) for k, t in enumerate(texts)])
-    asked = [(1000 + k, f"a b {w}" if w != "</s>" else "a b") for k, w in enumerate([*one, "zz"])]
-    train = F.col("doc_id") < 1000
-    table = spark.createDataFrame([(10 * k + 1, t) for k, t in enumerate(texts)] + asked + [(2000, "a b")], "doc_id bigint, text string")
-    score = {r["doc_id"]: r["score"] for r in ngram_trie.score(table, train).collect()}
-    ends = {w: ngram_trie.score(table, train).where(f"doc_id = {i}").first() for i, w in [(1000, "x")]}
-    assert ends["x"] and all(s < 0 for s in score.values())
+    if most > 1000:
+        assert ngram_trie.score(empty).count() == 0
 
 
 def test_messages_of_a_batch_depend_on_shards_alone(spark, monkeypatch):
@@ -550,6 +552,12 @@ def test_proximity():
     assert find(b"e zz", 9) == []
 
 
+def test_proximity_of_documents(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "f e x y a"), (None, "b, D!"), (4, None)], "doc_id bigint, text string")
+    found = decontamination.proximity(decontamination.build_index(docs), ["b d", "f a", "..."], 2)
+    assert sorted(((r["doc_id"] or 0), r["phrase"]) for r in found.collect()) == [(0, "b d"), (1, "b d")]
+
+
 # --- 10
 
 

@@ -53,3 +53,17 @@ def test_heavy_digests_are_found(spark):
     rows = spark.createDataFrame([(bytes([7]) if i % 3 == 0 else i.to_bytes(4, "big"),) for i in range(3000)], "digest binary").repartition(4)
     found = {r["h"] for r in heavy_hashes(rows, "digest", "h", 0.01).collect()}
     assert len(found) <= 100 and rows.where("digest = X'07'").selectExpr("xxhash64(digest) h").first()["h"] in found
+
+
+def test_language_rejects_what_it_cannot_tell(spark):
+    """Where labels are noise, calibrated scores are near 1/4 and the stage drops texts; where they are not, it keeps them."""
+    import random
+
+    r = random.Random(1)
+    words = {"en": "the and that with from", "de": "der und das nicht ein", "fr": "le et que dans une", "es": "el y que los por"}
+    noise = " ".join(words.values()).split()
+    clean = [(i, " ".join(r.choice(words[k].split()) for _ in range(30)), k) for i, k in enumerate(list(words) * 60)]
+    mixed = [(i, " ".join(r.choice(noise) for _ in range(30)), k) for i, k in enumerate(list(words) * 60)]
+    of = lambda rows: corpus_pipeline.language_stage(spark, spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), "")
+    assert of(clean).count() > 230
+    assert of(mixed).count() < 120
