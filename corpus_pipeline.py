@@ -3,8 +3,8 @@
 Each stage is (spark, docs, sf_dir) -> DataFrame. It works on all that its predecessor kept, and all but the last return the columns of
 `documents`. Nulls, empty texts, repeated rows, extra columns and empty tables follow the operators' own docstrings:
 
-- language: documents without any letter (null included) are rejected, and those whose pooled probability is below MIN_SCORE, in practice
-  hardly any: texts of letters in no learned language stay. Clean texts stay.
+- language: documents without any letter (null included) are rejected, and those whose calibrated probability is below MIN_SCORE, which could be of
+  any learned language: texts of a few letters, or all texts where labels tell nothing. Clean texts stay; so do texts of letters in no learned language that look like one.
 - exact: of equal texts the row with the smallest id stays; of rows that repeat it too, one.
 - near: of each component of similarity NEAR_PERCENT or more over five-word shingles one row stays, that with the smallest id.
 - decontaminate: rows that hold a benchmark window are dropped, with or without an id; other rows of the same id stay.
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from gridweave.llm import decontamination, exact_dedup, language, near_dedup, packing
 from gridweave.llm._common import free_name, materialise, numbered, quoted, quotes, read_table, stage_tables
 
-#: With four languages, a pooled probability below this is close to no answer at all.
+#: With four languages, a calibrated probability below this is close to no answer at all.
 MIN_SCORE = 0.3
 NEAR_PERCENT = 80
 TOKENIZER = "byte_bpe_50k.json"
