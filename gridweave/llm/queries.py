@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, language, near_dedup, ngram_trie, packing, substring_dedup, url_filter, warc, wavelet
+from . import cost_packing, decontamination, exact_dedup, language, merkle, near_dedup, ngram_trie, packing, substring_dedup, url_filter, warc, wavelet
 
 QUERIES = {
     "op1_wavelet_tokens": wavelet.op1,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_language": language.op8,
     "op9_decontamination": decontamination.op9,
     "op10_url_filter": url_filter.op10,
+    "op11_merkle_manifest": merkle.op11,
+    "op13_cost_packing": cost_packing.op13,
 }
 ORACLES = {
     "op3_near_dedup": near_dedup.SQL,
@@ -22,4 +24,5 @@ ORACLES = {
     "op5_substring_dedup": substring_dedup.SQL,
     "op6_warc": warc.SQL,
     "op9_decontamination": decontamination.SQL,
+    "op11_merkle_manifest": merkle.SQL,
 }
