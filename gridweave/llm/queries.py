@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import cost_packing, decontamination, exact_dedup, language, merkle, near_dedup, ngram_trie, packing, substring_dedup, url_filter, warc, wavelet
+from . import cost_packing, decontamination, exact_dedup, language, merkle, near_dedup, ngram_trie, packing, substring_dedup, url_filter, variants, warc, wavelet
 
 QUERIES = {
     "op1_wavelet_tokens": wavelet.op1,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_decontamination": decontamination.op9,
     "op10_url_filter": url_filter.op10,
     "op11_merkle_manifest": merkle.op11,
+    "op12_spelling_variants": variants.op12,
     "op13_cost_packing": cost_packing.op13,
 }
 ORACLES = {
@@ -25,4 +26,5 @@ ORACLES = {
     "op6_warc": warc.SQL,
     "op9_decontamination": decontamination.SQL,
     "op11_merkle_manifest": merkle.SQL,
+    "op12_spelling_variants": variants.SQL,
 }
