@@ -16,8 +16,9 @@ Two ways in:
   3. A shard takes an anchor's segments in order of (document, start), gets their matching statistics against the automaton of all earlier ones,
      and then adds what they have of new windows to it. Windows matched at full length start earlier elsewhere. Words are compared themselves, hashes only route.
 
-Words are runs of characters other than ASCII white space. Null or wordless texts have no words. Rows that share an id and a
-start are one place and don't remove each other; a null id counts as the largest. An empty table gives an empty result. Columns other than the id and the text are not read.
+Words are runs of characters other than ASCII white space. Null or wordless texts have no words. A null id counts as the largest. Rows that share an id
+are documents of their own, in order of a 64-bit hash of their texts; rows with the same id and text are one place and don't remove each other. An empty table gives
+an empty result. Columns other than the id and the text are not read.
 """
 
 from __future__ import annotations
@@ -141,7 +142,7 @@ def _repeated(often: int):
     return run
 
 
-_SEGMENTS = "bucket long, anchor long, doc long, low int, high int, words binary"
+_SEGMENTS = "bucket long, anchor long, doc long, tie long, low int, high int, words binary"
 
 
 def _segments(buckets: int, often):
@@ -150,14 +151,14 @@ def _segments(buckets: int, often):
     def run(batches):
         hot = often.value
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            order = np.argsort(ids, kind="stable")
-            batch, ids = batch.take(pa.array(order)), ids[order]
-            repeated = [x for blobs in batch.column(2).to_pylist() for x in blobs]
+            ids, ties = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            order = np.lexsort((ties, ids))
+            batch, ids, ties = batch.take(pa.array(order)), ids[order], ties[order]
+            repeated = [x for blobs in batch.column(3).to_pylist() for x in blobs]
             repeated = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in repeated]))
-            seen: dict[bytes, int] = {}
+            seen: dict[bytes, tuple] = {}
             rows = []
-            for first, data, starts, ends, edge, words in lex.chunks(text_bytes(batch.column(1))):
+            for first, data, starts, ends, edge, words in lex.chunks(text_bytes(batch.column(2))):
                 at, anchor, grams = _anchors(words, edge)
                 if not len(at):
                     continue
@@ -173,16 +174,20 @@ def _segments(buckets: int, often):
                 owner = np.searchsorted(edge, at[begin], side="right") - 1
                 signed, whole = h.view(np.int64), data.tobytes()
                 for a, b, o in zip(begin.tolist(), finish.tolist(), owner.tolist(), strict=True):
-                    s, e, doc, base = int(at[a]), int(at[b]), int(ids[first + o]), int(edge[o])
+                    s, e, doc, tie, base = int(at[a]), int(at[b]), int(ids[first + o]), int(ties[first + o]), int(edge[o])
                     text = b" ".join(whole[starts[s] : ends[e + WINDOW - 1]].split())
-                    where = (doc, s - base)
-                    if seen.setdefault(text, where) < where:
-                        rows.append((doc % buckets, 0, doc, s - base, e - base, None))
+                    where = (doc, tie, s - base)
+                    known = seen.get(text)
+                    if known == where:  # a row that repeats another one is the same place
+                        continue
+                    seen.setdefault(text, where)
+                    if known is not None:
+                        rows.append((tie % buckets, 0, doc, tie, s - base, e - base, None))
                     elif single[a]:
                         key = int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True)
-                        rows.append((key % buckets, key, doc, s - base, e - base, text))
+                        rows.append((key % buckets, key, doc, tie, s - base, e - base, text))
                     else:
-                        rows.append((int(signed[a]) % buckets, int(signed[a]), doc, s - base, e - base, text))
+                        rows.append((int(signed[a]) % buckets, int(signed[a]), doc, tie, s - base, e - base, text))
                 if len(rows) > 20_000:
                     yield _segment_batch(rows)
                     rows = []
@@ -193,8 +198,8 @@ def _segments(buckets: int, often):
 
 
 def _segment_batch(rows):
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["bucket", "anchor", "doc", "low", "high", "words"])
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["bucket", "anchor", "doc", "tie", "low", "high", "words"])
 
 
 def _runs(flags: list[bool], low: int):
@@ -210,44 +215,57 @@ def _runs(flags: list[bool], low: int):
 
 
 def _shard(table: pa.Table) -> pa.Table:
-    """Windows (doc, low..high) that start earlier elsewhere."""
-    out = [(r["doc"], r["low"], r["high"]) for r in table.filter(table["words"].is_null()).select(["doc", "low", "high"]).to_pylist()]
-    rest = table.filter(table["words"].is_valid()).sort_by([("anchor", "ascending"), ("doc", "ascending"), ("low", "ascending")])
-    columns = [rest[k].to_pylist() for k in ("anchor", "doc", "low", "high", "words")]
+    """Windows (doc, tie, low..high) that start earlier elsewhere."""
+    known = table.filter(table["words"].is_null())
+    out = list(zip(*(known[k].to_pylist() for k in ("doc", "tie", "low", "high")), strict=True))
+    rest = table.filter(table["words"].is_valid()).sort_by([(k, "ascending") for k in ("anchor", "doc", "tie", "low")])
+    columns = [rest[k].to_pylist() for k in ("anchor", "doc", "tie", "low", "words")]
     for a, b in _groups(np.array(columns[0], np.int64)):
         if b - a < 2:
             continue
         automaton = SuffixAutomaton()
         automaton.add(columns[4][a].split(b" "))
         for k in range(a + 1, b):
-            doc, low, words = columns[1][k], columns[2][k], columns[4][k].split(b" ")
-            same = columns[1][k - 1] == doc and columns[2][k - 1] == low
+            doc, tie, low, words = columns[1][k], columns[2][k], columns[3][k], columns[4][k].split(b" ")
+            same = columns[1][k - 1] == doc and columns[2][k - 1] == tie and columns[3][k - 1] == low
             full = [n >= WINDOW for n in automaton.matches(words)[WINDOW - 1 :]]
             if not same:  # a row that repeats another one is the same place
-                out += [(doc, x, y) for x, y in _runs(full, low)]
+                out += [(doc, tie, x, y) for x, y in _runs(full, low)]
             if not all(full):
                 automaton.add(words)
-    doc, low, high = zip(*out, strict=True) if out else ((), (), ())
-    return pa.table({"doc": pa.array(doc, pa.int64()), "low": pa.array(low, pa.int32()), "high": pa.array(high, pa.int32())})
+    return pa.Table.from_batches([_spans(out)])
+
+
+def _spans(rows: list[tuple[int, int, int, int]]):
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+    columns = zip(*rows, strict=True) if rows else [()] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc", "tie", "low", "high"])
+
+
+_SPANS = "doc long, tie long, low int, high int"
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc"), F.col(text_col).alias("text"))
+    """(doc, tie, text): the place of a document in the order. Texts that share an id are told apart, and ordered, by a 64-bit hash."""
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64(text_col).alias("tie"), F.col(text_col).alias("text"))
 
 
 def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, low, high): windows starting at words low..high of a document whose words also start earlier."""
+    """(doc, tie, low, high): windows starting at words low..high of a document (see _rows) whose words also start earlier."""
     rows, spark = _rows(docs, id_col, text_col), docs.sparkSession
+    name = F.xxhash64("doc", "tie").alias("name")  # routes anchors back to the document; no document loses any by a collision
     buckets = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    anchors = rows.mapInArrow(_anchor_rows(buckets, FLUSH_WORDS), "bucket long, doc long, hashes binary, docs binary, counts binary")
+    anchors = rows.select(name, "text").mapInArrow(_anchor_rows(buckets, FLUSH_WORDS), "bucket long, doc long, hashes binary, docs binary, counts binary")
     repeats = materialise(anchors.groupBy("bucket").applyInArrow(_repeated(OFTEN), "doc long, hashes binary, n long"), "repeats")
     hot = repeats.where("doc is null")
     total = hot.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     hot = hot.where(F.col("n") > total // OFTEN_MOST).select("hashes").collect()  # fewer than OFTEN_MOST, by their sum
     often = spark.sparkContext.broadcast(np.sort(np.frombuffer(b"".join(r["hashes"] for r in hot), np.uint64)))
-    wanted = repeats.where("doc is not null").groupBy("doc").agg(F.collect_list("hashes").alias("hashes"))
-    segments = rows.join(wanted, "doc").select("doc", "text", "hashes").mapInArrow(_segments(buckets, often), _SEGMENTS)
-    return materialise(segments.groupBy("bucket").applyInArrow(_shard, "doc long, low int, high int"), "spans")
+    wanted = repeats.where("doc is not null").groupBy(F.col("doc").alias("name")).agg(F.collect_list("hashes").alias("hashes"))
+    segments = rows.select(name, "*").join(wanted, "name").select("doc", "tie", "text", "hashes").mapInArrow(_segments(buckets, often), _SEGMENTS)
+    spans = materialise(segments.groupBy("bucket").applyInArrow(_shard, _SPANS), "spans")
+    often.destroy()
+    return spans
 
 
 def _keeper(window: int):
@@ -279,8 +297,8 @@ def _keeper(window: int):
 
 
 def _apply(docs: DataFrame, spans: DataFrame, window: int, id_col: str, text_col: str) -> DataFrame:
-    found = spans.groupBy("doc").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
-    rows = _rows(docs, id_col, text_col).join(found, "doc", "left").select(F.when(F.col("doc") != _LAST, F.col("doc")).alias("doc_id"), "text", "spans")
+    found = spans.groupBy("doc", "tie").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
+    rows = _rows(docs, id_col, text_col).join(found, ["doc", "tie"], "left").select(F.when(F.col("doc") != _LAST, F.col("doc")).alias("doc_id"), "text", "spans")
     return rows.mapInArrow(_keeper(window), "doc_id long, n_words long, n_removed long, kept_text string")
 
 
@@ -318,15 +336,14 @@ def _known(shared, window: int):
     def run(batches):
         automata = [pickle.loads(x) for x in shared.value]
         for batch in batches:
-            docs, out = batch.column(0).to_pylist(), []
-            for first, _, _, _, edge, hashes in lex.chunks(text_bytes(batch.column(1))):
+            docs, ties, out = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
+            for first, _, _, _, edge, hashes in lex.chunks(text_bytes(batch.column(2))):
                 for k, (a, b) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)):
                     if b - a >= window:
                         words = hashes[a:b].tolist()
                         for automaton in automata:
-                            out += [(docs[first + k], x, y) for x, y in _runs([n >= window for n in automaton.matches(words)[window - 1 :]], 0)]
-            doc, low, high = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(low, pa.int32()), pa.array(high, pa.int32())], ["doc", "low", "high"])
+                            out += [(docs[first + k], ties[first + k], x, y) for x, y in _runs([n >= window for n in automaton.matches(words)[window - 1 :]], 0)]
+            yield _spans(out)
 
     return run
 
@@ -343,9 +360,9 @@ def remove_known(docs: DataFrame, reference: DataFrame, window: int = WINDOW, id
         passes[-1] = [*passes[-1][0], number], passes[-1][1] + size
     for numbers, _ in passes:
         shared = spark.sparkContext.broadcast([bytes(r["automaton"]) for r in built.where(F.col("id").isin(numbers)).collect()])
-        spans.append(materialise(rows.mapInArrow(_known(shared, window), "doc long, low int, high int"), "spans"))
+        spans.append(materialise(rows.mapInArrow(_known(shared, window), _SPANS), "spans"))
         shared.destroy()
-    merged = spans[0] if spans else spark.createDataFrame([], "doc long, low int, high int")
+    merged = spans[0] if spans else spark.createDataFrame([], _SPANS)
     for more in spans[1:]:
         merged = merged.union(more)
     return _apply(docs, merged, window, id_col, text_col)

@@ -216,7 +216,7 @@ def _meet(hot: int | None, summed: bool):
 
     def passed(rows: pa.RecordBatch):
         none = pa.nulls(len(rows), pa.int64())
-        return pa.RecordBatch.from_arrays([rows.column(3), none, rows.column(4), none.cast(pa.binary()), rows.column(1), rows.column(2)], schema=pa.schema(_FOUND))
+        return pa.RecordBatch.from_arrays([rows.column(3), none, rows.column(4), pa.nulls(len(rows), pa.binary()), rows.column(1), rows.column(2)], schema=pa.schema(_FOUND))
 
     def run(batches):
         held, passing = None, None  # rows of the last value so far; the value whose rows are passed on

@@ -375,11 +375,19 @@ def test_repeated_words(spark, docs, empty, monkeypatch, often, most, flush):
     got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_text"]) for r in substring_dedup.dedup(make(spark, rows).repartition(4)).collect()}
     assert got == want and sum(n for _, n, _ in want.values()) > 250
     assert substring_dedup.dedup(docs).count() == len(ROWS)
+    # rows that share an id, or have none: each keeps what only it has
+    w = lambda a, b: " ".join(f"w{k}" for k in range(a, b))
+    shared = [(1, w(0, 40)), (5, w(0, 40)), (5, w(1000, 1040)), (5, "w1 w2 w3"), (5, w(0, 40)), (None, w(0, 40)), (None, w(2000, 2040)), (None, "w1 w2"), (None, None), (7, w(10, 50))]
+    rows = substring_dedup.dedup(make(spark, shared).repartition(3)).collect()
+    left = {(1, 40, 0, w(0, 40)): 1, (5, 40, 40, ""): 2, (5, 40, 0, w(1000, 1040)): 1, (5, 3, 0, "w1 w2 w3"): 1, (None, 40, 40, ""): 1, (None, 40, 0, w(2000, 2040)): 1, (None, 2, 0, "w1 w2"): 1}
+    assert collections.Counter(tuple(r) for r in rows) == left | {(None, 0, 0, ""): 1, (7, 40, 30, w(40, 50)): 1}
     assert substring_dedup.dedup(empty).count() == 0
 
 
 def test_remove_known(spark, docs, empty, monkeypatch):
     reference = spark.createDataFrame([(BASE,), (None,)], "text string")
+    two = make(spark, [(5, BASE), (5, prose(9, 50)), (None, "a b"), (None, BASE)])
+    assert sorted(r["n_removed"] for r in substring_dedup.remove_known(two, reference).collect()) == [0, 0, 120, 120]
     got = {r["doc_id"]: r for r in substring_dedup.remove_known(docs, reference).collect()}
     assert got[5]["n_removed"] == 120 and got[9]["kept_text"] == "extra" and got[7]["n_removed"] == 0 and got[4]["n_words"] == 0
     monkeypatch.setattr(substring_dedup, "BLOCK_WORDS", 30)  # many blocks, in many passes
