@@ -4,9 +4,9 @@ The network reads the UTF-8 bytes of a text in both directions, labels every pos
 them over the document. Texts are read in rows of up to CORE bytes (FIT_CORE when fitting) with CONTEXT more on either side, from which the state of both directions comes; each
 byte is labelled once, in the row whose core it is in, and every byte of every text is read. The positions' log-probabilities are averaged.
 
-It is trained in numpy by backpropagation through time, on the driver, on at most SAMPLE labelled documents of at most SAMPLE_BYTES in all,
-those of the smallest hash of text and id. Sampled texts are read whole (of texts above WHOLE bytes, runs of WHOLE bytes in all). One in five
-of them is kept from the fit: with pieces of these, of many lengths, the score is calibrated, as softmax(slope * min(bytes, reach) * mean log-probability).
+It is trained in numpy by backpropagation through time, on the driver, on at most SAMPLE labelled documents, those of the smallest hash of text and id, whatever their
+length; each is read whole. At most SAMPLE languages, the most frequent ones, are learned. One in five
+of the sampled documents is kept from the fit: with pieces of these, of many lengths, the score is calibrated, as softmax(slope * min(bytes, reach) * mean log-probability).
 
 A text that is null or has no letter is `und` with score 0. Without labelled documents every text is `und`. Repeated rows get the same answer;
 an empty table gives an empty result. Very long texts are read in bounded blocks of rows. Columns may have any names.
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from ._common import crc_of_id, quoted, read_table
 
 UNKNOWN = "und"
-#: Bounds of the fit: documents, bytes of all, bytes of one text that is read whole.
-SAMPLE, SAMPLE_BYTES, WHOLE = 1_500, 6 << 20, 256 << 10
+#: Documents of the fit, at most.
+SAMPLE = 1_500
 #: Size of the network, passes over the sample, rows of a step.
 HIDDEN, EMBED, EPOCHS, BATCH = 8, 16, 2, 128
 #: Bytes that a row labels, when predicting and when fitting, and bytes of context on either side of them; steps that a fit takes at least.
@@ -216,20 +216,13 @@ def rows_of(texts: list[bytes], block: int = BLOCK, order: np.ndarray | None = N
             yield codes, owner[own], core
 
 
-def whole(text: Column, most: int = WHOLE) -> Column:
-    """The bytes of a text; of one longer than `most`, four runs of most / 4 bytes at places that its hash chooses, end to end."""
-    size, raw, length = F.octet_length(text), F.encode(text, "utf-8"), most // 4
-    start = lambda k: (F.pmod(F.xxhash64(text, F.lit(k)), F.greatest(size - length + 1, F.lit(1)).cast("bigint")) + 1).cast("int")
-    return F.when(size <= most, raw).otherwise(F.concat(*(F.substring(raw, start(k), F.lit(length)) for k in range(4))))
-
-
-def train(labelled: DataFrame, sample: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> ByteGru | None:
+def train(labelled: DataFrame, sample: int = SAMPLE) -> ByteGru | None:
     """labelled: (text, lang[, id]). At most `sample` rows in all, each language in its share or 1/(2 languages), whichever is more.
 
-    First only hashes and sizes of a few more rows than wanted come to the driver, which picks; then the texts that it has picked.
+    First only hashes of a few more rows than wanted come to the driver, which picks; then the texts that it has picked.
     """
     usable = labelled.where("text is not null and lang is not null and text rlike '\\\\p{L}'")
-    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(sample).collect()}
     if not counts:
         return None
     labels, total = sorted(counts), sum(counts.values())
@@ -239,16 +232,15 @@ def train(labelled: DataFrame, sample: int = SAMPLE, most_bytes: int = SAMPLE_BY
     for k, n in counts.items():
         limit = F.when(F.col("lang") == k, min(1.0, 1.5 * quota[k] / n + 50 / n)).otherwise(limit)
     usable = usable.withColumn("h", F.xxhash64("text", *(["id"] if "id" in labelled.columns else [])))
-    near = usable.where(F.pmod("h", F.lit(1 << 30)) <= limit * (1 << 30)).select("lang", "h", F.least(F.octet_length("text"), F.lit(WHOLE)).alias("size")).distinct()
-    picked, size = [], 0
+    near = usable.where(F.pmod("h", F.lit(1 << 30)) <= limit * (1 << 30)).select("lang", "h").distinct()
+    picked = []
     seen = dict.fromkeys(labels, 0)
     for r in sorted(near.collect(), key=lambda r: (r["h"] % (1 << 30), r["h"], r["lang"])):
-        if seen[r["lang"]] < quota[r["lang"]] and size + r["size"] <= most_bytes:
+        if r["lang"] in seen and seen[r["lang"]] < quota[r["lang"]]:
             picked.append(r["h"])
             seen[r["lang"]] += 1
-            size += r["size"]
-    found = usable.where(F.col("h").isin(picked)).select("lang", whole(F.col("text")).alias("text")).distinct().collect()
-    rows = sorted((bytes(r["text"]), r["lang"]) for r in found)  # an order that does not depend on tasks
+    found = usable.where(F.col("h").isin(picked)).where(F.col("lang").isin(labels)).select("lang", "text").distinct().collect()
+    rows = sorted((r["text"].encode(), r["lang"]) for r in found)  # an order that does not depend on tasks
     texts, target = [x for x, _ in rows], np.array([labels.index(k) for _, k in rows], np.int64)
     rest = np.random.default_rng(5).permutation(len(rows))
     kept, held = rest[len(rows) // 5 :], rest[: len(rows) // 5]

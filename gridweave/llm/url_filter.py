@@ -6,7 +6,7 @@ smallest hash of url and id; each level of each tree is one grouped aggregate of
 at most nodes x features x bins rows. The trees become one SQL expression, so scoring is a plain projection.
 
 Features: length, depth, digit ratio, entropy of the characters, parameter count, host depth, hyphens, and suffix statistics: the smoothed
-block rate of the host's last label among labelled urls, at most SUFFIXES of them.
+block rate of the host's last label among labelled urls; the SUFFIXES most frequent ones have one of their own, others the prior rate.
 
 What rules alone say must not come back as a feature: a suffix all of whose labels are the same verdict (every label under net is a block rule's) tells
 nothing of how its blocked and allowed urls differ, and any feature that names it would only repeat the rule. Its labelled urls are left out of the fit, and it
@@ -122,12 +122,13 @@ def with_features(rows: DataFrame, model: UrlModel) -> DataFrame:
 def fit(labelled: DataFrame, sample: int = SAMPLE, trees: int = TREES, depth: int = DEPTH) -> UrlModel | None:
     """Fits on (url, host, path, query, block[, id]) with block 0 or 1; at most `sample` rows, those of the smallest hash of url and id."""
     tail = suffix(F.col("host"))
-    said = labelled.groupBy(tail.alias("s")).agg(F.count("*").alias("n"), F.sum("block").alias("b")).where("b > 0 and b < n").orderBy(F.desc("n"), "s").limit(SUFFIXES).collect()
+    mixed = materialise(labelled.groupBy(tail.alias("s")).agg(F.count("*").alias("n"), F.sum("block").alias("b")).where("b > 0 and b < n"), "suffixes")
+    said = mixed.orderBy(F.desc("n"), "s").limit(SUFFIXES).collect()
     if not said:
         return None
-    size = sum(r["n"] for r in said)
+    size = mixed.agg(F.sum("n")).first()[0]
     rank = F.xxhash64("url", *(["id"] if "id" in labelled.columns else []))
-    usable = labelled.where(tail.isin([r["s"] for r in said])).select("url", "host", "path", "query", "block", rank.alias("rank"))
+    usable = labelled.join(mixed.select("s"), tail == F.col("s"), "left_semi").select("url", "host", "path", "query", "block", rank.alias("rank"))
     if size > sample:  # a little more than asked for, then exactly the first
         usable = usable.where(F.pmod("rank", F.lit(1 << 30)) < int((1 << 30) * min(1.0, 1.1 * sample / size))).orderBy(F.pmod("rank", F.lit(1 << 30)), "rank").limit(sample)
     chosen = materialise(usable.drop("rank"), "labelled")

@@ -492,7 +492,7 @@ def test_states_reach_over_rows_and_neighbours_do_not_matter():
 def test_scores_are_calibrated_and_samples_whole(spark):
     r = random.Random(5)
     make_text = lambda k: " ".join(r.choice("der die und ist das" .split() if k else "the and is that of".split()) for _ in range(r.randint(1, 60)))
-    rows = [(i, make_text(i % 2), "de" if i % 2 else "en") for i in range(300)] + [(None, "x" * 70_000 + " end", "en")] * 3
+    rows = [(i, make_text(i % 2), "de" if i % 2 else "en") for i in range(300)] + [(None, "x" * 400_000 + " end", "en")] * 3
     table = spark.createDataFrame(rows, "id bigint, text string, lang string")
     seen, fit = [], language.ByteGru.fit
     language.ByteGru.fit = lambda self, texts, target: seen.append(texts) or fit(self, texts[:50], target[:50])
