@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -171,57 +171,34 @@ def morton(x: Column, y: Column, bits: int = 16) -> Column:
     return out
 
 
-# --- distance fields: one image per group, as an array
-
-
-def squared_distance(inside: np.ndarray) -> np.ndarray:
-    """Exact squared distance of every cell to the nearest true cell, by lower envelopes of parabolas, columns then rows."""
-    far = float(inside.shape[0] ** 2 + inside.shape[1] ** 2 + 1) * 4
-    field = np.where(inside, 0.0, far)
-    for _ in range(2):
-        field = np.apply_along_axis(_envelope, 0, field).T
-    return field
-
-
-def _envelope(f: np.ndarray) -> np.ndarray:
-    n = len(f)
-    hull, cuts = [0], [-np.inf, np.inf]
-    for q in range(1, n):
-        while True:
-            p = hull[-1]
-            s = ((f[q] + q * q) - (f[p] + p * p)) / (2 * q - 2 * p)
-            if s > cuts[len(hull) - 1]:
-                break
-            hull.pop()
-        cuts = cuts[: len(hull)] + [s, np.inf]
-        hull.append(q)
-    at = np.searchsorted(cuts[1:-1], np.arange(n))
-    p = np.array(hull)[at]
-    return (np.arange(n) - p) ** 2 + f[p]
-
-
-def signed_distance(grid: np.ndarray, threshold: float, spread: float) -> np.ndarray:
-    """0..255, 128 at the edge: distance to the other side, clamped to +-spread."""
-    inside = grid > threshold
-    d = np.sqrt(squared_distance(inside)) - np.sqrt(squared_distance(~inside))
-    return np.clip(np.rint(128 - 127 * np.clip(d / spread, -1, 1)), 0, 255).astype(np.int32)
+# --- distance fields: a pass over rows, then one over columns
 
 
 def distance_field(pixels: DataFrame, channel: str, threshold: float = 127.5, spread: float = 4.0, key: str = "image_id", scale: int = 1) -> DataFrame:
-    """(key, y, x, distance) of each image, every `scale`-th pixel of each row and column, from the middle of its cell; an image must fit one task."""
-
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        grid = np.zeros((group["y"].max() + 1, group["x"].max() + 1))
-        grid[group["y"], group["x"]] = group[channel]
-        found = signed_distance(grid, threshold, spread)
-        if scale == 1:
-            return pd.DataFrame({key: group[key], "y": group["y"], "x": group["x"], "distance": found[group["y"], group["x"]]})
-        found = found[scale // 2 :: scale, scale // 2 :: scale]
-        y, x = np.divmod(np.arange(found.size), max(found.shape[1], 1))
-        return pd.DataFrame({key: group[key].iloc[0], "y": y, "x": x, "distance": found.ravel()})
-
-    kinds = dict(pixels.dtypes)
-    return pixels.select(key, "y", "x", channel).groupBy(key).applyInPandas(one, f"{key} {kinds[key]}, y {kinds['y']}, x {kinds['x']}, distance int")
+    """(key, y, x, distance) of each image, every `scale`-th pixel of each row and column, from the middle of its cell: 0..255, 128 at the edge, the distance to the nearest pixel
+    of the other side, up to `spread`. Exact, by two passes: in each row how far the nearest pixel of either side is, then in each column the least sum of squares, within
+    `spread` of the pixel, beyond which nothing counts. A row or a column of an image is the most that meets in a task. Pixels that are not there are on neither side.
+    """
+    inside, most = F.col(channel) > threshold, math.ceil(spread)
+    along = Window.partitionBy(key, "y").orderBy("x")
+    back, ahead = along.rowsBetween(Window.unboundedPreceding, 0), along.rowsBetween(0, Window.unboundedFollowing)
+
+    def in_row(side):
+        x = F.when(side, F.col("x"))
+        return F.least(F.col("x") - F.last(x, ignorenulls=True).over(back), F.first(x, ignorenulls=True).over(ahead) - F.col("x"))
+
+    rows = pixels.select(key, "y", "x", in_row(inside).alias("__in"), in_row(~inside).alias("__out"))
+    near = F.collect_list(F.struct("y", "__in", "__out")).over(Window.partitionBy(key, "x").orderBy("y").rangeBetween(-most, most))
+    square = lambda c: c.cast("double") * c.cast("double")
+    nearest = lambda side: F.coalesce(F.sqrt(F.array_min(F.transform("__near", lambda r: square(r["y"] - F.col("y")) + square(r[side])))), F.lit(float(most + 1)))
+    found = rows.withColumn("__near", near)
+    step = F.least(F.greatest((nearest("__in") - nearest("__out")) / float(spread), F.lit(-1.0)), F.lit(1.0))
+    value = F.least(F.greatest(F.bround(128.0 - 127.0 * step, 0), F.lit(0.0)), F.lit(255.0)).cast("int").alias("distance")
+    found = found.select(key, "y", "x", value)
+    if scale == 1:
+        return found
+    kept = found.where(((F.col("y") - scale // 2) % scale == 0) & ((F.col("x") - scale // 2) % scale == 0))
+    return kept.select(key, *(F.floor((F.col(c) - scale // 2) / scale).cast(dict(pixels.dtypes)[c]).alias(c) for c in "yx"), "distance")
 
 
 def is_power_of_two(n: Column) -> Column:

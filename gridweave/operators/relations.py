@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors
@@ -165,6 +165,38 @@ def ordinals(rows: DataFrame, order: list[str], out: str = "ordinal") -> DataFra
     return held.join(F.broadcast(starts), "__part").withColumn(out, (F.col("__start") + inside - 1).cast("bigint")).drop("__part", "__start")
 
 
+#: Rows of a group up to which one task sums them up.
+SPREAD = 1_000_000
+
+
+def running_sums(rows: DataFrame, group: list[str], order: list[str], value: str, out: str, most: int = SPREAD) -> DataFrame:
+    """Adds the sum of `value` over the rows before each row in its group, 0 at the first. Null groups are a group.
+
+    Where no group has more than `most` rows, a window does it. Otherwise rows are range-partitioned by (group, order) and written; each partition sums up its own rows of a group,
+    and starts from the totals of the partitions before: one row for each group in a partition. So a group of any size is spread, and ties of the order stay together.
+    """
+    w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    largest = rows.groupBy(*group).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest <= most:
+        return rows.withColumn(out, F.coalesce(F.sum(value).over(w), F.lit(0)))
+    held = materialise(rows.repartitionByRange(*group, *order).withColumn("__part", F.spark_partition_id()), "ranges")
+    earlier = Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = held.groupBy("__part", *group).agg(F.sum(value).alias("n"))
+    starts = totals.select(F.col("__part").alias("__p"), *(F.col(c).alias(f"__g{i}") for i, c in enumerate(group)), F.sum("n").over(earlier).alias("__start"))
+    inside = Window.partitionBy("__part", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    summed = held.withColumn("__own", F.sum(value).over(inside))
+    same = [F.col("__part") == F.col("__p"), *(F.col(c).eqNullSafe(F.col(f"__g{i}")) for i, c in enumerate(group))]
+    joined = summed.join(starts, same)
+    return joined.select(*rows.columns, (F.coalesce("__start", F.lit(0)) + F.coalesce("__own", F.lit(0))).alias(out))
+
+
+def counted(rows: DataFrame, conditions: dict[str, Column], write) -> dict[str, int]:
+    """Writes rows with write(rows), and returns how many met each condition: counters are observed in the pass that writes, so nothing is scanned for them."""
+    seen = Observation()
+    write(rows.observe(seen, *(F.count_if(c).alias(k) for k, c in conditions.items())))
+    return {k: int(n) for k, n in seen.get.items()}
+
+
 def shares(rows: DataFrame, group: list[str], value: str, out: str = "share") -> DataFrame:
     """Adds value / its group's total; totals are aggregated, then joined, so no group meets in one task but for the join's rows."""
     totals = rows.groupBy(*group).agg(F.sum(value).alias("__total"))
@@ -239,6 +271,14 @@ def global_transforms(nodes: DataFrame, node: str, parent: str, matrix: str, n:
     return now.select("node", F.col("m").alias("transform"))
 
 
+def world_boxes(boxes: DataFrame, transforms: DataFrame, node: str) -> DataFrame:
+    """(node, min_x.., max_x..): the box around each box's eight corners after its node's transform, 4 x 4."""
+    corners = F.array(*(F.array(*(F.col(f"{'max' if k >> i & 1 else 'min'}_{a}") for i, a in enumerate("xyz")), F.lit(1.0)) for k in range(8)))
+    moved = boxes.join(transforms.withColumnRenamed("node", "__node"), F.col(node) == F.col("__node")).select(F.col(node).alias("node"), F.transform(corners, lambda p: vectors.apply(F.col("transform"), p, 4)).alias("q"))
+    side = lambda f, i: f(F.transform("q", lambda p: F.element_at(p, i + 1)))
+    return moved.select("node", *(side(f, i).alias(f"{n}_{a}") for i, a in enumerate("xyz") for n, f in (("min", F.array_min), ("max", F.array_max))))
+
+
 def scene_bounds(boxes: DataFrame, transforms: DataFrame, node: str) -> DataFrame:
     """Box around all transformed corners of the boxes (node, min_x.., max_x..) of a scene; transforms (node, transform), 4 x 4. Empty scenes give nulls."""
     corners = F.array(*(F.array(*(F.col(f"{'max' if k >> i & 1 else 'min'}_{a}") for i, a in enumerate("xyz")), F.lit(1.0)) for k in range(8)))

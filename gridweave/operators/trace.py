@@ -5,15 +5,12 @@ Events are rows (event_id, track..., name, ts, dur, detail); times are integer m
 
 from __future__ import annotations
 
-import itertools
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.strings import collapse_name, is_header, truncate
 from ..scratch import materialise
-from . import relations
+from . import nesting, relations
 
 # The event names that carry build cost.
 BUILD_NAMES = {
@@ -44,94 +41,9 @@ def decode(events: DataFrame, names: dict[str, str] = BUILD_NAMES) -> DataFrame:
     return typed.withColumn("detail", detail).drop("args")
 
 
-#: Rows of a track after which the next island may go to another task.
-STRETCH = 50_000
-
-
-def stretches(events: DataFrame, tracks: list[str]) -> DataFrame:
-    """Adds `stretch` and `island`. An island is a run of events of a track between two moments that no event spans; nesting never
-    crosses one. A stretch is a run of islands, about STRETCH events or one island long, so a busy track is swept by many tasks.
-
-    No task sees a whole track for this: rows are range-partitioned by (track, start) and written; what a partition needs to know of those before it is
-    the furthest end and the number of rows of its tracks, and then the last island's number: one row for each track in a partition.
-    """
-    order = [F.col("ts"), F.desc("dur"), F.desc("event_id")]
-    rows = materialise(events.repartitionByRange(*tracks, "ts").withColumn("__part", F.spark_partition_id()), "ranges")
-    before = Window.partitionBy(*tracks).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    inside = Window.partitionBy("__part", *tracks).orderBy(*order)
-    earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
-    ends = rows.groupBy("__part", *tracks).agg(F.max(F.col("ts") + F.col("dur")).alias("e"), F.count("*").alias("n"))
-    ends = ends.select("__part", *tracks, F.max("e").over(before).alias("__reach"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))
-    reach = F.greatest(F.col("__reach"), F.max(F.col("ts") + F.col("dur")).over(earlier))
-    marked = _with_earlier(rows, ends, ["__part", *tracks])
-    marked = marked.withColumn("__row", (F.col("__start") + F.row_number().over(inside)).cast("bigint")).withColumn("__new", F.when(F.coalesce(F.col("ts") > reach, F.lit(True)), F.col("__row")))
-    marked = materialise(marked, "islands")
-    last = marked.groupBy("__part", *tracks).agg(F.max("__new").alias("i"))
-    last = last.select("__part", *tracks, F.max("i").over(before).alias("__island"))
-    numbered = _with_earlier(marked, last, ["__part", *tracks])
-    own = F.max("__new").over(inside.rowsBetween(Window.unboundedPreceding, 0))
-    numbered = numbered.withColumn("island", F.coalesce(own, F.col("__island")).cast("bigint"))
-    return numbered.select(*events.columns, "island").withColumn("stretch", F.expr(f"island div {STRETCH}"))
-
-
-def _with_earlier(rows: DataFrame, earlier: DataFrame, key: list[str]) -> DataFrame:
-    """Rows with the columns of `earlier`, which has one row of each key; null tracks are a track."""
-    named = earlier.withColumnsRenamed({c: f"__k{i}" for i, c in enumerate(key)})
-    same = [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(key)]
-    return rows.join(named, same).drop(*(f"__k{i}" for i in range(len(key))))
-
-
-class Sweep:
-    """Finds for events (group, end, item), in order of group, start, longest first and latest id first, the items that hold them."""
-
-    def __init__(self):
-        self.stack, self.group = [], None
-
-    def holders(self, group, end, item) -> list:
-        """Outermost first."""
-        if group != self.group:
-            self.stack, self.group = [], group
-        while self.stack and self.stack[-1][0] < end:
-            self.stack.pop()
-        found = [x for _, x in self.stack]
-        self.stack.append((end, item))
-        return found
-
-
-_HOLDER = pa.struct([("id", pa.int64()), ("name", pa.string()), ("detail", pa.string())])
-
-
-def _sweeper(tracks: int):
-    def run(batches):
-        state = Sweep()  # goes from batch to batch
-        for batch in batches:
-            columns = [batch.column(k).to_pylist() for k in range(tracks + 6)]
-            groups = list(zip(*columns[:tracks], columns[tracks + 5], strict=True))
-            ids, names, details, ts, dur = columns[tracks : tracks + 5]
-            lines = [state.holders(g, t + d, item) for g, t, d, item in zip(groups, ts, dur, zip(ids, names, details, strict=True), strict=True)]
-            flat = [x for line in lines for x in reversed(line)]  # nearest first
-            part = list(zip(*flat, strict=True)) if flat else [[], [], []]
-            holders = pa.StructArray.from_arrays([pa.array(part[0], pa.int64()), pa.array(part[1], pa.string()), pa.array(part[2], pa.string())], fields=list(_HOLDER))
-            depth = [len(x) for x in lines]
-            offsets = pa.array([0, *itertools.accumulate(depth)], pa.int32())
-            parents = pa.array([x[-1][0] if x else None for x in lines], pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(tracks + 5)), parents, pa.array(depth, pa.int32()), pa.ListArray.from_arrays(offsets, holders)], [*batch.schema.names[: tracks + 5], "parent_id", "depth", "ancestors"])
-
-    return run
-
-
-def nest(events: DataFrame, tracks: list[str]) -> DataFrame:
-    """Adds parent_id, depth and ancestors (nearest first) by containment, inclusive at both ends.
-
-    Siblings are ordered by start, then longest, then latest id. An event's parent is the innermost earlier event that holds it. Rows
-    stream through the sweep in order; it keeps the open events only.
-    """
-    columns = [*tracks, "event_id", "name", "detail", "ts", "dur"]
-    schema = ", ".join(f"`{c}` {events.schema[c].dataType.simpleString()}" for c in columns)
-    schema += ", parent_id bigint, depth int, ancestors array<struct<id:bigint,name:string,detail:string>>"
-    rows = stretches(events.select(*columns).withColumn("event_id", F.col("event_id").cast("bigint")), tracks)
-    ordered = rows.repartition(*tracks, "stretch").sortWithinPartitions(*tracks, "island", "ts", F.desc("dur"), F.desc("event_id"))
-    return ordered.select(*columns, "island").mapInArrow(_sweeper(len(tracks)), schema.replace(f"`event_id` {events.schema['event_id'].dataType.simpleString()}", "`event_id` bigint"))
+def nest(events: DataFrame, tracks: list[str], step: Column | None = None, marks: dict[str, Column] | None = None, keys: dict[str, Column] | None = None) -> DataFrame:
+    """Events (tracks..., event_id, name, detail, ts, dur) with their place among the events that hold them, as nesting.nest() gives it."""
+    return nesting.nest(events.select(*tracks, "event_id", "name", "detail", "ts", "dur"), tracks, step, marks, keys)
 
 
 def self_time(nested: DataFrame) -> DataFrame:
@@ -157,24 +69,25 @@ def share_filter(rows: DataFrame, value: str, group: list[str], least: float = 0
     return rows.join(totals, group).where(F.coalesce(F.try_divide(F.col(value).cast("double"), F.col("__total")), F.lit(0.0)) >= least).drop("__total")
 
 
-def template_cost(events: DataFrame, top: int = LIMITS["templates"]) -> DataFrame:
-    """Instantiations by collapsed name, without those inside an ancestor of the same collapsed name (needs `ancestors`)."""
-    named = events.where(F.col("detail").contains("<")).withColumn("collapsed", collapse_name(F.col("detail")))
-    outer = named.where(~F.exists("ancestors", lambda a: collapse_name(a["detail"]) == F.col("collapsed")))
-    cost = outer.groupBy("collapsed").agg(F.sum("dur").alias("us"), F.count("*").alias("count"))
+def template_cost(events: DataFrame, tracks: list[str], top: int = LIMITS["templates"]) -> DataFrame:
+    """Instantiations by collapsed name, without those inside an event of the same collapsed name."""
+    named = F.when(F.col("detail").contains("<"), F.col("detail"))
+    nested = nest(events, tracks, keys={"inside": collapse_name(F.col("detail"))})
+    cost = nested.where("not inside").withColumn("collapsed", collapse_name(named)).where("collapsed is not null").groupBy("collapsed").agg(F.sum("dur").alias("us"), F.count("*").alias("count"))
     return cost.orderBy(F.desc("us"), F.desc("count"), F.desc("collapsed")).limit(top).withColumn("collapsed", truncate(F.col("collapsed")))
 
 
-def header_cost(events: DataFrame, top: int = LIMITS["headers"], chains: int = LIMITS["chains"] + 1, only_roots: bool = True) -> DataFrame:
-    """Costliest headers with their costliest include chains (nearest includer first); needs `ancestors`."""
-    headers = events.where((F.col("name") == "Source") & is_header(F.col("detail")))
-    chain = F.transform(F.filter("ancestors", lambda a: a["name"] == "Source"), lambda a: a["detail"])
-    headers = headers.withColumn("chain", chain).withColumn("root", ~F.exists("chain", lambda c: is_header(c)))
-    cost = headers.groupBy("detail").agg(F.sum("dur").alias("us"), F.count("*").alias("count"), F.bool_or("root").alias("root"))
+def header_cost(events: DataFrame, tracks: list[str], top: int = LIMITS["headers"], chains: int = LIMITS["chains"] + 1, only_roots: bool = True) -> DataFrame:
+    """Costliest headers with their costliest include chains (nearest includer first). A header is a root where no header includes it."""
+    source = F.col("name") == "Source"
+    nested = materialise(nest(events, tracks, F.when(source, F.col("detail")), {"includer": source & is_header(F.col("detail"))}), "nested")
+    headers = nested.where(source & is_header(F.col("detail")))
+    cost = headers.groupBy("detail").agg(F.sum("dur").alias("us"), F.count("*").alias("count"), F.bool_or(F.col("includer").isNull()).alias("root"))
     cost = cost.where("root") if only_roots else cost
     best = cost.orderBy(F.desc("us"), "detail").limit(top)
-    paths = headers.join(best.select("detail"), "detail", "left_semi").groupBy("detail", "chain").agg(F.sum("dur").alias("us"), F.count("*").alias("count"))
-    ranked = paths.withColumn("place", F.row_number().over(Window.partitionBy("detail").orderBy(F.desc("us"), "chain"))).where(F.col("place") <= chains)
+    paths = headers.join(best.select("detail"), "detail", "left_semi").groupBy("detail", "path").agg(F.sum("dur").alias("us"), F.count("*").alias("count"))
+    spelled = paths.join(nesting.chains(nesting.dictionary(nested)), "path", "left").withColumn("chain", F.coalesce("chain", F.array().cast("array<string>")))
+    ranked = spelled.withColumn("place", F.row_number().over(Window.partitionBy("detail").orderBy(F.desc("us"), "chain"))).where(F.col("place") <= chains)
     listed = ranked.groupBy("detail").agg(F.array_sort(F.collect_list(F.struct("place", "chain", "us", "count"))).alias("chains"))
     return best.join(listed, "detail").orderBy(F.desc("us"), "detail")
 
@@ -219,25 +132,29 @@ def at_least(events: DataFrame, least_us: int = LIMITS["min_us"], names: list[st
     return found if names is None else found.where(F.col("name").isin(names))
 
 
-def nearest_ancestor(nested: DataFrame, condition) -> Column:
-    """The innermost ancestor (id, name, detail) that meets the condition, a function of it; null without one."""
-    return F.try_element_at(F.filter("ancestors", condition), F.lit(1))
+def nearest_ancestor(events: DataFrame, tracks: list[str], condition: Column, out: str = "holder") -> DataFrame:
+    """Nested events with the id of the innermost ancestor that meets the condition; null without one."""
+    return nest(events, tracks, marks={out: condition})
 
 
-def outermost(nested: DataFrame, field: str = "name") -> DataFrame:
-    """Events without an ancestor that has the same name, or detail."""
-    return nested.where(~F.exists("ancestors", lambda a: a[field] == F.col(field)))
+def outermost(events: DataFrame, tracks: list[str], field: str = "name") -> DataFrame:
+    """Nested events without an ancestor that has the same name, or detail."""
+    return nest(events, tracks, keys={"__inside": F.col(field)}).where("not __inside").drop("__inside")
 
 
-def other_parent(nested: DataFrame) -> DataFrame:
-    """Events whose direct parent has another name, with parent_name; those without a parent are dropped."""
-    parent = F.try_element_at("ancestors", F.lit(1))["name"]
-    return nested.withColumn("parent_name", parent).where("parent_name <> name")
+def other_parent(events: DataFrame, tracks: list[str]) -> DataFrame:
+    """Nested events whose direct parent has another name, with parent_name; those without a parent, or without a name on either side, are dropped."""
+    nested = nest(events, tracks, F.coalesce(F.concat(F.lit("="), "name"), F.lit("")))
+    parents = nesting.dictionary(nested).select(F.col("own").alias("path"), F.expr("if(step like '=%', substring(step, 2), null)").alias("parent_name"))
+    return nested.drop("own", "step").join(parents, "path").where("parent_name <> name").drop("path")
 
 
-def chain_costs(nested: DataFrame, by: list[str], field: str = "name") -> DataFrame:
-    """Count and time of each ordered chain of ancestors, innermost first."""
-    return nested.groupBy(*by, F.transform("ancestors", lambda a: a[field]).alias("chain")).agg(F.count("*").alias("n"), F.sum("dur").alias("us"))
+def chain_costs(events: DataFrame, tracks: list[str], by: list[str], field: str = "name") -> DataFrame:
+    """(by..., chain, n, us): count and time of each ordered chain of ancestors, innermost first; ancestors without the field are in no chain. Rows are grouped by the path's name; only the groups are spelled out."""
+    nested = materialise(nest(events, tracks, F.col(field)), "nested")
+    costs = nested.groupBy(*by, "path").agg(F.count("*").alias("n"), F.sum("dur").alias("us"))
+    spelled = costs.join(nesting.chains(nesting.dictionary(nested)), "path", "left")
+    return spelled.select(*by, F.coalesce("chain", F.array().cast("array<string>")).alias("chain"), "n", "us")
 
 
 def cost(events: DataFrame, by: list[str]) -> DataFrame:
@@ -350,8 +267,7 @@ def track_ordinals(events: DataFrame, track: str) -> DataFrame:
 
 def repacked(events: DataFrame, track: str) -> DataFrame:
     """Events of each track laid end to end from 0, by name, then duration: a running sum of what comes before."""
-    w = Window.partitionBy(track).orderBy("name", "dur", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    return events.withColumn("ts", F.coalesce(F.sum("dur").over(w), F.lit(0)))
+    return relations.running_sums(events.drop("ts"), [track], ["name", "dur", "event_id"], "dur", "ts").select(*events.columns)
 
 
 def largest_id(events: DataFrame, id_col: str) -> DataFrame:

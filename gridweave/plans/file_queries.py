@@ -392,12 +392,8 @@ def stream_totals(spark, sf_dir):
     return spark.read.parquet(path)
 
 
-@query("SELECT DISTINCT tid AS thread FROM " + sql_events())
+@query(f"SELECT tid AS thread, CAST(dense_rank() OVER (ORDER BY tid) AS BIGINT) AS tid FROM (SELECT DISTINCT tid FROM {sql_events()})")
 def stream_track_ids(spark, sf_dir):
     path = fresh_path(spark, "tracks")
-    q = traces.track_ids(_arrived(spark, sf_dir).select(F.col("tid").alias("thread")), path, fresh_path(spark, "log"))
-    q.awaitTermination()
-    last = max(p["batchId"] for p in q.recentProgress)
-    found = spark.read.parquet(f"{path}/batch={last}")
-    n = found.count()
-    return found.where(F.col("tid").between(1, n)).dropDuplicates(["tid"]).select("thread")
+    traces.track_ids(_arrived(spark, sf_dir).select(F.col("tid").alias("thread")), path, fresh_path(spark, "log")).awaitTermination()
+    return spark.read.parquet(path).select("thread", "tid")

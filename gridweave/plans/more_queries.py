@@ -29,13 +29,13 @@ cost AS (SELECT detail, CAST(sum(dur) AS BIGINT) AS us, count(*) AS count, bool_
 
 @query(_SOURCES + "SELECT detail, us, count, root FROM cost WHERE root ORDER BY us DESC, detail LIMIT 10", "header_cost_report")
 def header_cost_report(spark, sf_dir):
-    return trace.header_cost(trace.nest(_sources(spark, sf_dir), ["tid"])).select("detail", "us", "count", "root")
+    return trace.header_cost(_sources(spark, sf_dir), ["tid"]).select("detail", "us", "count", "root")
 
 
 @query(_SOURCES + """, best AS (SELECT detail FROM cost WHERE root ORDER BY us DESC, detail LIMIT 10), p AS (SELECT detail, chain, CAST(sum(dur) AS BIGINT) AS us, count(*) AS count FROM hd WHERE detail IN (SELECT detail FROM best) GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY detail ORDER BY us DESC, string_split(chain, '>')) AS place FROM p) SELECT detail, CAST(place AS INTEGER) AS place, us, count FROM r WHERE place <= 6""")
 def header_chains(spark, sf_dir):
-    found = trace.header_cost(trace.nest(_sources(spark, sf_dir), ["tid"]))
+    found = trace.header_cost(_sources(spark, sf_dir), ["tid"])
     return found.select("detail", F.explode("chains").alias("c")).select("detail", "c.place", "c.us", "c.count")
 
 
@@ -43,7 +43,7 @@ def header_chains(spark, sf_dir):
 def template_report(spark, sf_dir):
     e = events(spark, sf_dir, WIDE)
     named = e.withColumn("detail", F.concat(F.lit("T"), F.col("event_id") % 5, F.lit("<"), "event_id", F.lit("<x>>")))
-    return trace.template_cost(trace.nest(named, ["tid"]))
+    return trace.template_cost(named, ["tid"])
 
 
 _MAP = {"compiler": "view", "frontend": "click", "source": "purchase", "functions": "error", "classes": "view", "codegen": "click", "debug": "error", "backend": "view", "optimizer": "click", "passes": "purchase", "opt_functions": "error"}

@@ -51,25 +51,24 @@ def self_time(spark, sf_dir):
 
 @query(_PARENTS + """SELECT e.event_id, pe.event_id AS parent_id, pe.name AS parent_name FROM e JOIN par ON e.event_id = par.event_id JOIN e pe ON par.parent_id = pe.event_id WHERE pe.name <> e.name""")
 def parent_with_other_name(spark, sf_dir):
-    return trace.other_parent(trace.nest(events(spark, sf_dir, WIDE), ["tid"])).select("event_id", "parent_id", "parent_name")
+    return trace.other_parent(events(spark, sf_dir, WIDE), ["tid"]).select("event_id", "parent_id", "parent_name")
 
 
 @query(_PARENTS + "SELECT anc.event_id, min_by(anc.anc, steps) AS holder FROM anc JOIN e ON anc.anc = e.event_id WHERE e.name = 'purchase' GROUP BY anc.event_id")
 def nearest_ancestor_of_kind(spark, sf_dir):
-    n = trace.nest(events(spark, sf_dir, WIDE), ["tid"])
-    return n.select("event_id", trace.nearest_ancestor(n, lambda a: a["name"] == "purchase")["id"].alias("holder")).where("holder is not null")
+    return trace.nearest_ancestor(events(spark, sf_dir, WIDE), ["tid"], F.col("name") == "purchase").select("event_id", "holder").where("holder is not null")
 
 
 @query(_PARENTS + """, a AS (SELECT DISTINCT e.event_id FROM anc JOIN e ON anc.event_id = e.event_id JOIN e h ON anc.anc = h.event_id WHERE h.name = e.name)
 SELECT name, CAST(sum(dur) AS BIGINT) AS us, count(*) AS n FROM e WHERE event_id NOT IN (SELECT event_id FROM a) GROUP BY name""")
 def outermost_of_name(spark, sf_dir):
-    return trace.cost(trace.outermost(trace.nest(events(spark, sf_dir, WIDE), ["tid"])), ["name"])
+    return trace.cost(trace.outermost(events(spark, sf_dir, WIDE), ["tid"]), ["name"])
 
 
 @query(_PARENTS + """, c AS (SELECT anc.event_id, string_agg(h.name, '>' ORDER BY steps) AS chain FROM anc JOIN e h ON anc.anc = h.event_id GROUP BY anc.event_id)
 SELECT name, coalesce(chain, '') AS chain, count(*) AS n, CAST(sum(dur) AS BIGINT) AS us FROM e LEFT JOIN c ON e.event_id = c.event_id GROUP BY 1, 2""")
 def ordered_path_groups(spark, sf_dir):
-    return trace.chain_costs(trace.nest(events(spark, sf_dir, WIDE), ["tid"]), ["name"]).select("name", F.array_join("chain", ">").alias("chain"), "n", "us")
+    return trace.chain_costs(events(spark, sf_dir, WIDE), ["tid"], ["name"]).select("name", F.array_join("chain", ">").alias("chain"), "n", "us")
 
 
 @query("SELECT detail, name, CAST(sum(dur) AS BIGINT) AS us FROM " + sql_events() + " GROUP BY 1, 2")

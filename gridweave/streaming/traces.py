@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-
-from ..operators.relations import ordinals
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 EVENT = "tid bigint, name string, ph string, ts bigint, dur bigint, depth int, value bigint"
 
@@ -43,18 +44,42 @@ def keep_totals(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery
     return totals(events).writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(replace).trigger(availableNow=True).start()
 
 
-def track_ids(events: DataFrame, path: str, checkpoint: str, track: str = "thread") -> StreamingQuery:
-    """Keeps a table (track, tid): every track gets the next number when it is first seen, and keeps it. The table is versioned by batch, so a batch that runs again gives the same."""
+class Numbers(StatefulProcessor):
+    """Numbers new threads of a process from where the last batch ended; the state is one number."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "tid bigint")
+
+    def handleInputRows(self, key, rows, timerValues):
+        new = pd.concat(list(rows))
+        if not len(new):
+            return
+        start = self.last.get()[0] if self.last.exists() else 0
+        new = new.sort_values("thread")[["process", "thread"]]
+        new["tid"] = np.arange(start + 1, start + len(new) + 1)
+        self.last.update((start + len(new),))
+        yield new
+
+    def close(self) -> None:
+        pass
+
+
+def track_numbers(events: DataFrame, track: str = "thread", process: str | None = None) -> DataFrame:
+    """A stream (process, thread, tid): every thread of a process gets the next number from 1 when it is first seen, and keeps it; those of one batch in their order.
+
+    Threads already seen are kept as keyed state, spread over the partitions, and stopped there; only new ones reach the process's counter. So the work of a batch is its own
+    rows and its new threads. State is kept in RocksDB, which transformWithState asks for.
+    """
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = events.where(F.col(track).isNotNull()).select((F.lit("") if process is None else F.col(process).cast("string")).alias("process"), F.col(track).alias("thread"))
+    kind = dict(rows.dtypes)["thread"]
+    new = rows.dropDuplicates(["process", "thread"]).groupBy("process")
+    return new.transformWithStateInPandas(Numbers(), f"process string, thread {kind}, tid bigint", "Append", "None")
 
-    def grow(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        known = spark.read.parquet(f"{path}/batch={number - 1}") if number else spark.createDataFrame([], f"{track} {dict(batch.dtypes)[track]}, tid bigint")
-        new = batch.select(track).where(F.col(track).isNotNull()).distinct().join(known, track, "left_anti")
-        start = known.agg(F.coalesce(F.max("tid"), F.lit(0))).first()[0]
-        numbered = ordinals(new, [track], "tid").withColumn("tid", F.col("tid") + start + 1)
-        known.unionByName(numbered).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    return events.writeStream.option("checkpointLocation", checkpoint).foreachBatch(grow).trigger(availableNow=True).start()
+def track_ids(events: DataFrame, path: str, checkpoint: str, track: str = "thread", process: str | None = None) -> StreamingQuery:
+    """Keeps a table of track_numbers(): each batch appends its new threads."""
+    return track_numbers(events, track, process).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
 def flush(events: DataFrame, path: str, checkpoint: str, every: str = "10 seconds") -> StreamingQuery:

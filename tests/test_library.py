@@ -3,6 +3,7 @@
 import gzip
 import io
 import json
+import random
 import struct
 import zipfile
 
@@ -14,7 +15,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gridweave.functions import hashing, strings, vectors
-from gridweave.operators import image, memory, relations, trace
+from gridweave.operators import image, memory, nesting, relations, trace
 from gridweave.sinks import reports
 from gridweave.sources import archives, containers, documents
 from gridweave.streaming import traces
@@ -53,23 +54,59 @@ def test_a_busy_track_is_cut_over_many_partitions(spark):
     busy = table.where("file is not null")
     got = {r["event_id"]: r["parent_id"] for r in trace.nest(table, ["file"]).where("file is not null").collect()}
     assert got == {r["event_id"]: r["parent_id"] for r in nest_by_join(busy, ["file"]).collect()}
-    cut = trace.stretches(table, ["file"])
-    spans = cut.groupBy("file", "island").agg(F.min("ts").alias("a"), F.max(F.col("ts") + F.col("dur")).alias("b"), F.count("*").alias("n")).orderBy("file", "a").collect()
-    assert sum(r["n"] for r in spans) == 3000 and len(spans) > 2
-    for x, y in zip(spans, spans[1:]):
-        assert x["file"] != y["file"] or x["b"] < y["a"]
+
+
+def by_list(rows, tracks=1):
+    """What nesting.nest() gives, by a stack for each track: {id: (parent, depth, steps from the outside in, nearest marked, whether an ancestor has the key)}."""
+    out, stacks = {}, {}
+    for track, number, ts, dur, step, mark, key in sorted((r for r in rows if r[2] is not None and r[3] is not None), key=lambda r: (r[2], -r[3], -r[1])):
+        stack = stacks.setdefault(track, [])
+        while stack and stack[-1][0] < ts + dur:
+            stack.pop()
+        marked = [x[1] for x in stack if x[3]]
+        out[number] = (stack[-1][1] if stack else None, len(stack), tuple(x[2] for x in stack if x[2] is not None), marked[-1] if marked else None, key is not None and any(x[4] == key for x in stack))
+        stack.append((ts + dur, number, step, mark, key))
+    return out | {r[1]: (None, 0, (), None, False) for r in rows if r[2] is None or r[3] is None}
+
+
+@pytest.mark.parametrize("chunk,parts,cover", [(7, 3, True), (64, 8, True), (50_000, 4, True), (10, 5, False), (1, 2, True)])
+def test_nesting_by_merged_stacks(spark, monkeypatch, chunk, parts, cover):
+    monkeypatch.setattr(nesting, "CHUNK", chunk)
+    r = random.Random(chunk)
+    rows = [(r.choice(["busy", "busy", "busy", None, "b"]), k, r.randrange(300), r.choice([0, 1, 3, 9, 40, 150]), r.choice(["a", "b", None]), r.random() < 0.2, r.choice(["x", "y", "z", None])) for k in range(600)]
+    rows += [("busy", 1000 + k, -5, 1000 - k, f"deep{k % 3}", k == 7, None) for k in range(30)] if cover else []
+    rows += [("busy", 2000, None, 5, "n", True, "x"), ("busy", 2001, 5, None, "n", True, "x"), ("lone", 2002, 1, 1, None, False, None)]
+    table = spark.createDataFrame(rows, "track string, event_id bigint, ts bigint, dur bigint, s string, m boolean, k string").repartition(5)
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        nested = nesting.nest(table, ["track"], F.col("s"), {"marked": F.col("m")}, {"again": F.col("k")})
+        chains = {bytes(x["path"]): tuple(reversed(x["chain"])) for x in nesting.chains(nesting.dictionary(nested)).collect()}
+        found = nested.collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+    got = {x["event_id"]: (x["parent_id"], x["depth"], chains[bytes(x["path"])] if x["path"] is not None else (), x["marked"], x["again"]) for x in found}
+    assert got == by_list(rows) and len(found) == len(rows)
+    assert nested.columns == ["track", "event_id", "ts", "dur", "s", "m", "k", "parent_id", "depth", "path", "own", "step", "marked", "again"]
+
+
+def test_a_covered_track_goes_to_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(nesting, "CHUNK", 5000)
+    table = spark.range(120_000).selectExpr("1 as track", "id as event_id", "'n' as name", "'d' as detail", "if(id = 0, 0, id) as ts", "if(id = 0, 1000000, id % 7) as dur")
+    nested = trace.nest(table, ["track"])
+    shares = nested.groupBy(F.spark_partition_id()).count().collect()
+    assert nested.where("parent_id is null").count() == 1 and len(shares) >= 2 and max(s["count"] for s in shares) <= 60_000
 
 
 def test_self_time_and_templates(spark, events):
     nested = trace.nest(events, ["file"])
     own = {r["event_id"]: (r["dur_sub"], r["dur_self"]) for r in trace.self_time(nested).collect()}
     assert own[1] == (30, 30) and own[0] == (0, 30)
-    (top,) = trace.template_cost(nested).collect()
+    (top,) = trace.template_cost(events, ["file"]).collect()
     assert (top["collapsed"], top["us"], top["count"]) == ("f<$>", 8, 1)
 
 
 def test_header_report(spark, events):
-    rows = trace.header_cost(trace.nest(events, ["file"]), only_roots=False).collect()
+    rows = trace.header_cost(events, ["file"], only_roots=False).collect()
     assert [(r["detail"], r["us"], r["root"]) for r in rows] == [("/p/a.h", 60, True), ("/p/b.h", 30, False)]
     assert rows[1]["chains"][0]["chain"] == ["/p/a.h"]
 
@@ -78,12 +115,12 @@ def test_header_report(spark, events):
 @given(st.lists(st.tuples(st.integers(0, 12), st.integers(0, 8)), min_size=1, max_size=12))
 def test_sweep_gives_innermost_container(intervals):
     order = sorted(range(len(intervals)), key=lambda e: (intervals[e][0], -intervals[e][1], -e))
-    state = trace.Sweep()
+    state = nesting.Sweep(0, 0)
     for k, e in enumerate(order):
         ts, dur = intervals[e]
-        found = state.holders(0, ts + dur, e)
+        parent = state.take(ts + dur, e)[0]
         holders = [p for p in order[:k] if intervals[p][0] <= ts and ts + dur <= sum(intervals[p])]
-        assert (found[-1] if found else None) == (holders[-1] if holders else None)
+        assert parent == (holders[-1] if holders else None)
 
 
 @pytest.mark.parametrize("name, expected", [("f<int>", "f<$>"), ("f<v<int>>::g<a>", "f<$>::g<$>"), ("operator<", "operator<"), ("a<b", "a<b"), ("a>b<", "a>b<"), ("plain", "plain"), ("", "")])
@@ -202,15 +239,18 @@ def test_scene_keyframes(spark):
     assert [(r["ts"], r["value"]) for r in rows] == [(0.0, [0.0, 0.0, 0.0]), (2.0, [10.0, 0.0, 0.0])]
 
 
-@pytest.mark.parametrize("shape", [(1, 1), (3, 5), (7, 7)])
-def test_squared_distance_is_exact(shape):
-    rng = np.random.default_rng(3)
-    grid = rng.random(shape) < 0.3
-    grid.flat[0] = True
-    ys, xs = np.nonzero(grid)
+@pytest.mark.parametrize("shape,spread", [((1, 1), 4.0), ((3, 5), 2.0), ((7, 7), 3.5), ((2, 40), 4.0), ((23, 9), 6.0)])
+def test_distance_field_is_exact(spark, shape, spread):
+    rng = np.random.default_rng(shape[1])
+    grid = rng.random(shape) < 0.2
+    rows = [("a", y, x, 200 if grid[y, x] else 10) for y in range(shape[0]) for x in range(shape[1])] + [("one", y, 0, 200) for y in range(3)]
+    got = {(r["image_id"], r["y"], r["x"]): r["distance"] for r in image.distance_field(spark.createDataFrame(rows, "image_id string, y int, x int, v int"), "v", spread=spread).collect()}
+    away = lambda y, x, side: min((np.hypot(y - b, x - a) for b, a in zip(*np.nonzero(grid == side), strict=True)), default=1e9)
     for y in range(shape[0]):
         for x in range(shape[1]):
-            assert image.squared_distance(grid)[y, x] == ((ys - y) ** 2 + (xs - x) ** 2).min()
+            step = np.clip((away(y, x, True) - away(y, x, False)) / spread, -1, 1)
+            assert got["a", y, x] == np.clip(np.rint(128 - 127 * step), 0, 255)
+    assert {got["one", y, 0] for y in range(3)} == {255} and len(got) == len(rows)
 
 
 def test_odd_mip_keeps_the_mean(spark):
@@ -427,3 +467,173 @@ def test_a_long_gap_between_keys_is_one_row(spark):
     asked = spark.createDataFrame([("a", 5 * 10**11), ("a", 10**12), ("a", 10**12 + 1), ("a", 0), ("b", 4), ("b", 5), ("c", 1)], "channel string, t bigint")
     got = sorted((r["channel"], r["t"], r["value"]) for r in relations.between_keys(asked, keys, "channel", 10.0).collect())
     assert got == [("a", 0, 0.0), ("a", 5 * 10**11, 0.5), ("a", 10**12, 1.0), ("b", 5, 2.0)]
+
+
+def test_ranges_of_large_documents(spark, tmp_path):
+    """One document by ranges equals the whole; strings are left alone; bad records are told apart."""
+    r = random.Random(1)
+    texts = ["f(a, ]b, }c", 'x"y', "back\\", '\\"', "}}}{{", "é日", "plain", ", ]", ", }", '"traceEvents":[']
+    made = [{"name": t * r.choice([1, 1, 5, 30]), "ph": "X", "ts": i, "dur": 1, "args": r.choice([{"detail": t}, {}])} for i, t in ((i, r.choice(texts)) for i in range(1200))]
+    text = '{"other":[{"name":"no"}],"meta":{"x":"no"}, "traceEvents" : [' + ",".join(json.dumps(e, ensure_ascii=False) for e in made) + ',\n],"tail":[{"name":"not this"}],"beginningOfTime":5}'
+    (tmp_path / "a.json").write_text(text)
+    (tmp_path / "array.json").write_text(" [" + ",\n".join(json.dumps(e) for e in made[:50]) + "]")
+    with gzip.open(tmp_path / "c.json.gz", "wt") as f:
+        f.write(text)
+    (tmp_path / "torn.json").write_text(text[: len(text) * 2 // 3])
+    (tmp_path / "bad.json").write_text('{"traceEvents":[{"name":"a","ph":"X"},{"name":"b" "ph"},3,[1,{"name":"deep"}],{"name":"c","ts":"x"},{"name":"d","ph":"M"}]}')
+    (tmp_path / "empty.json").write_text("")
+    (tmp_path / "none.json").write_text('{"a":1,"b":[{"name":"x"}]}')
+    (tmp_path / "late.json").write_text('{"o":[' + ",".join('{"name":"}"}' for _ in range(3000)) + '],"traceEvents":[' + ",".join(json.dumps(e) for e in made[:9]) + "]}")
+    for size in (None, 9000):
+        got = {}
+        for row in documents.trace_events(spark, str(tmp_path), "bad", size).collect():
+            got.setdefault(row["path"].rsplit("/", 1)[1], []).append(row)
+        for own in got.values():
+            own.sort(key=lambda x: x["event_id"])
+        for name, n in (("a.json", 1200), ("array.json", 50), ("c.json.gz", 1200), ("late.json", 9)):
+            assert [(x["event_id"], x["name"], x["args"], x["bad"]) for x in got[name]] == [(k, e["name"], e["args"], None) for k, e in enumerate(made[:n])], (size, name)
+        torn = got["torn.json"]
+        assert [x["name"] for x in torn[:-1]] == [e["name"] for e in made[: len(torn) - 1]] and torn[-1]["bad"] and len(torn) > 600
+        assert [(x["name"], x["bad"] is not None) for x in got["bad.json"]] == [("a", False), (got["bad.json"][1]["name"], True), (got["bad.json"][2]["name"], True), ("d", False)]
+        assert set(got) == {"a.json", "array.json", "c.json.gz", "late.json", "torn.json", "bad.json"}
+    assert documents.trace_events(spark, str(tmp_path / "bad.json")).count() == 2
+
+
+def test_committed_documents(spark, tmp_path):
+    from gridweave.sinks import committed
+
+    rows = [(f"f/{i % 3}" if i % 5 else None, i % 4, "X", (i * 7) % 50, 1, f'n"{i}') for i in range(500)]
+    table = spark.createDataFrame(rows, "file string, tid bigint, ph string, ts bigint, dur bigint, name string").repartition(4)
+    for compress in (True, False):
+        path = tmp_path / f"out{compress}"
+        assert committed.write_documents(table, str(path), "file", gzip=compress) == 500
+        read = lambda p: json.loads((gzip.open if compress else open)(p, "rt").read())["traceEvents"]
+        got = {p.name.split(".")[0]: read(p) for p in path.iterdir() if not p.name.startswith(".")}
+        assert set(got) == {"f%2F0", "f%2F1", "f%2F2", "%null"}
+        assert sorted(e["name"] for own in got.values() for e in own) == sorted(r[5] for r in rows)
+        assert all([e["ts"] for e in own] == sorted(e["ts"] for e in own) for own in got.values())
+        assert documents.trace_events(spark, str(path)).count() == 500
+    with pytest.raises(FileExistsError):
+        committed.write_documents(table, str(path))
+    assert committed.write_documents(table.limit(7), str(path), overwrite=True) == 7 and documents.trace_events(spark, str(path)).count() == 7
+    assert committed.write_documents(table.limit(0), str(tmp_path / "nothing")) == 0 and not list((tmp_path / "nothing").iterdir())
+    broken = table.withColumn("name", F.when(F.col("ts") == 33, F.raise_error(F.lit("lost"))).otherwise(F.col("name")))
+    before = sorted(p.name for p in tmp_path.iterdir())
+    with pytest.raises(Exception, match="lost"):
+        committed.write_documents(broken, str(tmp_path / "failed"), "file")
+    assert sorted(p.name for p in tmp_path.iterdir()) == before
+
+
+def test_large_documents_come_from_many_tasks(spark, tmp_path, monkeypatch):
+    from gridweave.sinks import committed
+
+    table = spark.range(4000).selectExpr("'X' ph", "id % 3 tid", "id ts", "1L dur", "concat('n ]', id, ', }') name")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        committed.write_documents(table, str(tmp_path / "one"), gzip=False)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    found = documents.trace_events(spark, str(tmp_path / "one"), range_bytes=40_000)
+    assert found.orderBy("event_id").select("name").collect() == table.orderBy("ts").select("name").collect()
+    pieces = spark.read.text(str(tmp_path / "one"), lineSep="}")
+    assert found.select("event_id").distinct().count() == 4000 and pieces.count() >= 4000
+
+
+@pytest.mark.parametrize("most", [5, 1_000_000])
+def test_running_sums_of_hot_groups(spark, most):
+    r = random.Random(most)
+    rows = [(r.choice(["hot", "hot", "hot", None, "b"]), k, r.choice([None, 1, 2, 5, -3])) for k in range(500)]
+    got = relations.running_sums(spark.createDataFrame(rows, "g string, k int, v bigint").repartition(7), ["g"], ["k"], "v", "sum", most)
+    now, want = {}, set()
+    for g, k, v in rows:
+        want.add((g, k, v, now.get(g, 0)))
+        now[g] = now.get(g, 0) + (v or 0)
+    found = [tuple(x) for x in got.collect()]
+    assert set(found) == want and len(found) == 500 and got.columns == ["g", "k", "v", "sum"]
+    assert relations.running_sums(spark.createDataFrame([], "g string, k int, v bigint"), ["g"], ["k"], "v", "sum", most).count() == 0
+
+
+def test_counters_are_observed(spark, tmp_path):
+    rows = spark.range(100)
+    seen = relations.counted(rows, {"even": F.col("id") % 2 == 0, "none": F.col("id") < 0}, lambda x: x.write.parquet(str(tmp_path / "x")))
+    assert seen == {"even": 50, "none": 0} and spark.read.parquet(str(tmp_path / "x")).count() == 100
+
+
+def test_refresh_reads_what_changed(spark, tmp_path):
+    from gridweave.operators import incremental
+
+    read, store = [], str(tmp_path / "store")
+    content = {f"f{k}": [("a", k), ("b", 1)] for k in range(20)} | {"empty": []}
+    stamps = dict.fromkeys(content, "2024-01-01 00:00:00")
+
+    def reader(paths):
+        read.append(sorted(paths))
+        return spark.createDataFrame([(p, n, d) for p in paths for n, d in content[p]], "path string, name string, dur bigint")
+
+    files = lambda: spark.createDataFrame(list(stamps.items()), "path string, t string").selectExpr("path", "cast(t as timestamp) as modified")
+    result = lambda: {r["name"]: (r["count"], r["duration"]) for r in incremental.report(spark, store).collect()}
+    full = lambda: {n: (sum(x == n for own in content.values() for x, _ in own), sum(d for own in content.values() for x, d in own if x == n)) for n in {x for own in content.values() for x, _ in own}}
+    assert incremental.refresh(files(), store, reader) == {"changed": 21, "gone": 0} and result() == full()
+    assert incremental.refresh(files(), store, reader) == {"changed": 0, "gone": 0} and len(read) == 1
+    content["f3"], stamps["f3"] = [("a", 1000), ("c", 5)], "2024-01-02 00:00:00"
+    del content["f4"], stamps["f4"]
+    content["new"], stamps["new"] = [("a", 7)], "2024-01-02 00:00:00"
+    assert incremental.refresh(files(), store, reader) == {"changed": 2, "gone": 1} and read[1:] == [["f3", "new"]] and result() == full()
+    content["f4"], stamps["f4"] = [("b", 9)], "2024-01-01 00:00:00"  # back again
+    content["f5"], stamps["f5"] = [], "2024-01-03 00:00:00"
+    assert incremental.refresh(files(), store, reader)["changed"] == 2 and read[2] == ["f4", "f5"] and result() == full()
+
+
+def test_table_functions(spark):
+    from gridweave.sources import table_functions
+
+    table_functions.register(spark)
+    docs = ['{"rows":[{"a":1,"b":"x"},3,{"a":"no","b":{"c":[1]},"d":true},{}]}', "[1]", "not json", None, '{"rows":5}']
+    spark.createDataFrame([(k, d) for k, d in enumerate(docs)], "k int, d string").createOrReplaceTempView("docs")
+    got = [tuple(r) for r in spark.sql("SELECT docs.k, r.* FROM docs, LATERAL document_rows(docs.d, 'rows', 'a bigint, b string, d boolean') r ORDER BY 1, 2").collect()]
+    assert got == [(0, 0, 1, "x", None), (0, 2, None, '{"c":[1]}', True), (0, 3, None, None, None)]
+    with pytest.raises(Exception, match="fields are"):
+        spark.sql("SELECT * FROM document_rows('{}', 'rows', 'a int')").collect()
+
+
+def test_track_numbers_go_on_after_a_restart(spark, tmp_path):
+    source, out, log = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "log")
+    source.mkdir()
+    write = lambda k, names: (source / f"{k}.json").write_text("\n".join(json.dumps({"thread": n, "p": p}) for p, n in names))
+    run = lambda: traces.track_ids(traces.arrivals(spark, str(source), "thread string, p string"), out, log, process="p").awaitTermination()
+    found = lambda: {(r["process"], r["thread"]): r["tid"] for r in spark.read.parquet(out).collect()}
+    write(1, [("x", "main"), ("x", "worker"), ("y", "main"), ("x", "main"), ("x", None)])
+    run()
+    first = found()
+    assert first == {("x", "main"): 1, ("x", "worker"): 2, ("y", "main"): 1}
+    write(2, [("x", "alpha"), ("x", "main"), ("y", "zeta"), ("y", "beta")])
+    run()
+    assert found() == first | {("x", "alpha"): 3, ("y", "beta"): 2, ("y", "zeta"): 3} and spark.read.parquet(out).count() == 6
+    write(3, [("x", "main")])
+    run()
+    assert spark.read.parquet(out).count() == 6
+
+
+def test_subtrees(spark):
+    from gridweave.operators import forest
+
+    r = random.Random(4)
+    links = [(k, r.choice([None, r.randrange(k) if k else None, k - 1 if k else None, 9999])) for k in range(150)]
+    values = [(k, r.randrange(-50, 50)) for k in range(150) if k % 5]
+    up = dict(links)
+    below = {k: set() for k in up}
+    for k in up:
+        at = k
+        while at in up:
+            below[at].add(k)
+            at = up[at]
+    found = forest.intervals(spark.createDataFrame(links, "n int, p int"), "n", "p")
+    spans = {x["node"]: (x["first"], x["last"]) for x in found.collect()}
+    assert sorted(a for a, _ in spans.values()) == list(range(150))
+    assert all({m for m in spans if a <= spans[m][0] <= b} == below[k] for k, (a, b) in spans.items())
+    got = forest.over_subtrees(found, spark.createDataFrame(values, "n int, v bigint"), "n", {"low": ("min", "v"), "high": ("max", "v"), "all": ("sum", "v")})
+    own = dict(values)
+    want = {k: [own[m] for m in below[k] if m in own] for k in up}
+    assert {x["node"]: (x["low"], x["high"], x["all"]) for x in got.collect()} == {k: (min(v), max(v), sum(v)) for k, v in want.items() if v}
+    with pytest.raises(ValueError, match="cycle"):
+        forest.intervals(spark.createDataFrame([(1, 2), (2, 1), (3, None)], "n int, p int"), "n", "p")
