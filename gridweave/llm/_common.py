@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import gc
-import time
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -19,15 +16,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Asks the JVM to collect its garbage, so that Spark's cleaner deletes the shuffle files of finished jobs that nothing refers to any more; it would anyway, later.
-    Twice: what Python lets go of first is only then free in the JVM."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(1)
-
-
 def ascii_lower(column):
     """Lower-cases A-Z only, as the contracts ask; lower() would also change other letters."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

@@ -5,8 +5,8 @@ for each term the ascending positions of its occurrences. Queries start from the
 phrase in the shard, shift its list by the term's place, and intersect it with the shifted lists of the
 other terms, rarest first; the same lists answer proximity queries. Nothing is shuffled: a shard answers all phrases.
 
-The test items are a stated query set. They are read in blocks of at most BLOCK_BYTES of text, so a broadcast has
-that bound whatever the set's size; a single item longer than that is a block of its own.
+The test items are a stated query set. They are read in blocks of at most BLOCK_BYTES of text; a single item longer than that is a block of its own. A broadcast
+holds 8 bytes for each word of a block and the items' names, so it is at most four times the block's text and the names, whatever the set's size. Blocks are looked up one after the other.
 
 A window is `window` consecutive item words; an item of fewer words, but not none, is one window. Null or wordless documents
 have no words and no hits; null or wordless items match nothing; repeated rows are judged one by one; an item without an id is named by the empty string.
@@ -15,6 +15,7 @@ Two different words share a hash with probability below 1e-9 for 10^4 test words
 
 from __future__ import annotations
 
+import itertools
 from math import ceil
 
 import numpy as np
@@ -150,16 +151,26 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return materialise(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_build, _INDEX), "postings")
 
 
-def item_windows(items: list[tuple[str, str]], window: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per window length, (item number of each window, words of each window)."""
-    lex, by_length = lexer(), {}
-    for number, (_, text) in enumerate(items):
-        _, _, _, _, words = lex.words([(text or "").encode()])
-        length = min(window, len(words))
-        if length:
-            rows = np.lib.stride_tricks.sliding_window_view(words, length)
-            by_length.setdefault(length, []).append((np.full(len(rows), number), rows))
-    return [(np.concatenate([a for a, _ in x]), np.concatenate([b for _, b in x])) for x in by_length.values()]
+class Items:
+    """Names and words of test items, laid end to end: what is broadcast. Windows are cut from it where they are looked up."""
+
+    def __init__(self, items: list[tuple[str, str]]):
+        self.names, lex = [name for name, _ in items], lexer()
+        words = [lex.words([(text or "").encode()])[4] for _, text in items]
+        self.words = np.concatenate([np.empty(0, np.uint64), *words])
+        self.sizes = np.array([len(x) for x in words], np.int64)
+
+    def windows(self, window: int, most: int = 20_000):
+        """(item number of each window, words of each window), windows of one length at once, at most `most`."""
+        begin, lengths = np.cumsum(self.sizes) - self.sizes, np.minimum(self.sizes, window)
+        for length in np.unique(lengths[lengths > 0]).tolist():
+            items = np.flatnonzero(lengths == length)
+            count = self.sizes[items] - length + 1
+            of = np.repeat(items, count)
+            start = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count) + begin[of]
+            view = np.lib.stride_tricks.sliding_window_view(self.words, length)
+            for at in range(0, len(of), most):
+                yield of[at : at + most], view[start[at : at + most]]
 
 
 _MATCHES = "shard long, ordinal long, doc_id long, n_words long, n_hit long, items array<string>, starts array<int>, ends array<int>"
@@ -173,20 +184,19 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts[new], reach[np.append(np.flatnonzero(new)[1:] - 1, len(reach) - 1)] if len(starts) else reach
 
 
-def _query(block):
+def _query(block, window: int):
     def run(batches):
-        items, groups = block.value
+        items = block.value
         for batch in batches:
             for shard, doc_ids, *parts in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
                 index, doc_ids = ShardIndex.load(*parts), np.frombuffer(doc_ids, "<i8")
                 pairs, spans = [], []
-                for item_of, words in groups:
-                    for at in range(0, len(words), 20_000):
-                        phrase, start = index.phrases(words[at : at + 20_000])
-                        if len(start):
-                            doc = np.searchsorted(index.bounds, start, side="right") - 1
-                            pairs.append(np.stack((doc, item_of[at + phrase]), 1))
-                            spans.append(np.stack((doc, start, start + words.shape[1]), 1))
+                for item_of, words in items.windows(window):
+                    phrase, start = index.phrases(words)
+                    if len(start):
+                        doc = np.searchsorted(index.bounds, start, side="right") - 1
+                        pairs.append(np.stack((doc, item_of[phrase]), 1))
+                        spans.append(np.stack((doc, start, start + words.shape[1]), 1))
                 found: dict[int, tuple] = {}
                 if spans:
                     every, matched = np.concatenate(spans), np.unique(np.concatenate(pairs), axis=0)
@@ -195,7 +205,7 @@ def _query(block):
                         a, b = index.bounds[d], index.bounds[d + 1]
                         i, j = np.searchsorted(high, a, side="right"), np.searchsorted(low, b)
                         own = matched[matched[:, 0].searchsorted(d) : matched[:, 0].searchsorted(d + 1), 1]
-                        found[d] = (sorted(items[k][0] for k in own), np.maximum(low[i:j], a) - a, np.minimum(high[i:j], b) - a)
+                        found[d] = (sorted(items.names[k] for k in own), np.maximum(low[i:j], a) - a, np.minimum(high[i:j], b) - a)
                 none = ([], np.empty(0, np.int64), np.empty(0, np.int64))
                 rows = [found.get(d, none) for d in range(len(doc_ids))]
                 yield pa.RecordBatch.from_pydict({
@@ -234,12 +244,14 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_co
     spark, index = docs.sparkSession, build_index(docs, id_col, text_col)
     chosen = items.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
     n, found = 0, None
-    for block in _dealt(materialise(chosen.distinct(), "items")):
+    for block in itertools.chain(_dealt(materialise(chosen.distinct(), "items")), [None]):
+        if block is None and n:  # the end; without items there is one empty block
+            break
         n += 1
-        answers = index.mapInArrow(_query(spark.sparkContext.broadcast((block, item_windows(block, window)))), _MATCHES)
+        shared = spark.sparkContext.broadcast(Items(block or []))
+        answers = materialise(index.mapInArrow(_query(shared, window), _MATCHES), "matches")
+        shared.destroy()
         found = answers if found is None else found.unionByName(answers)
-    if found is None:  # no items
-        found = index.mapInArrow(_query(spark.sparkContext.broadcast(([], []))), _MATCHES)
     if n > 1:
         found = found.groupBy("shard", "ordinal").agg(
             F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.max("n_hit").alias("n_hit"),
