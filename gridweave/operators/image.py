@@ -17,6 +17,16 @@ def swizzle(pixels: DataFrame, order: str, one=255) -> DataFrame:
     return pixels.select(*rest, *(source[o].alias(c) for c, o in zip("rgba", order, strict=True)))
 
 
+def valid_swizzle(text: Column) -> Column:
+    """Whether a swizzle is four of r, g, b, a, 0, 1, x; null counts as none."""
+    return F.coalesce(text.rlike(r"\A[rgba01x]{4}\z"), F.lit(False))
+
+
+def valid_channels(text: Column) -> Column:
+    """Whether channels are rgba in their places, each of them or x."""
+    return F.coalesce(text.rlike(r"\A[rx][gx][bx][ax]\z"), F.lit(False))
+
+
 def traits(pixels: DataFrame, key: str = "image_id", opaque=255) -> DataFrame:
     return pixels.groupBy(key).agg(F.bool_or((F.col("r") != F.col("g")) | (F.col("r") != F.col("b"))).alias("has_color"), F.bool_or(F.col("a") != opaque).alias("has_alpha"))
 
@@ -237,8 +247,8 @@ def linearize(pixels: DataFrame, premultiplied: bool = True, prezero: bool = Fal
 
 
 def kept_levels(plan: DataFrame, smallest: int = 1, largest: int = 32768, skip: int = 0) -> DataFrame:
-    """Levels of mip_plan() between two sizes, without the first `skip`; numbered anew."""
-    rows = plan.where((F.greatest("mip_width", "mip_height") >= smallest) & (F.greatest("mip_width", "mip_height") <= largest))
+    """Levels of mip_plan() with both sides between two sizes, without the first `skip`; numbered anew."""
+    rows = plan.where((F.least("mip_width", "mip_height") >= smallest) & (F.greatest("mip_width", "mip_height") <= largest))
     w = Window.partitionBy("image_id").orderBy("mip")
     return rows.withColumn("level", F.row_number().over(w) - 1 - skip).where("level >= 0")
 

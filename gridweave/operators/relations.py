@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
@@ -260,9 +262,9 @@ def global_transforms(nodes: DataFrame, node: str, parent: str, matrix: str, n:
     written tables, so rounds grow with the logarithm of the depth.
     """
     now = materialise(nodes.select(F.col(node).alias("node"), F.col(parent).alias("up"), F.col(matrix).alias("m")), "transforms")
-    rounds = 0
+    rounds, most = 0, math.log2(max(now.count(), 1)) + 1  # a chain has no more steps than there are nodes
     while now.where("up is not null").limit(1).count():
-        if rounds > 62:
+        if rounds > most:
             raise ValueError("the parent links hold a cycle")
         above = now.select(F.col("node").alias("a"), F.col("up").alias("a_up"), F.col("m").alias("a_m"))
         joined = now.join(above, F.col("up") == F.col("a"), "left")

@@ -66,7 +66,7 @@ def toggle_srgb(name: Column) -> Column:
     return F.coalesce(F.try_element_at(table, name), name)
 
 
-def opaque_format(name: Column, has_alpha: Column, has_color: Column) -> Column:
+def opaque_format(name: Column, has_alpha: Column) -> Column:
     """Cheaper formats for images without alpha."""
     down = F.create_map(*(F.lit(x) for x in ("BC7", "BC1", "BC7s", "BC1s", "BC3", "BC1", "BC3s", "BC1s", "ETCrgba", "ETCrgb", "ETCsrgba", "ETCsrgb")))
     return F.when(~has_alpha, F.coalesce(F.try_element_at(down, name), name)).otherwise(name)
@@ -162,14 +162,22 @@ def valid_levels(textures: DataFrame) -> DataFrame:
     return textures.withColumn("valid", F.forall("levels", lambda v: v["length"] == size(v["mip"])))
 
 
-def base_props(rows: DataFrame) -> Column:
-    """Properties written into containers: swizzle, channel meaning, addressing and filter, from content and format columns."""
-    normal = F.col("content") == "normal"
-    return F.create_map(
-        F.lit("swizzle"), F.when(normal, "rg01").when(F.col("channels") == 1, "r001").otherwise("rgba"),
-        F.lit("channels"), F.when(normal, "Normal.x,Normal.y,X,X").when(F.col("content") == "height", "Height.x,X,X,X").otherwise("Albedo.r,Albedo.g,Albedo.b,Albedo.a"),
-        F.lit("address"), F.when(F.col("content") == "sdf", "Clamp").otherwise("Wrap"), F.lit("filter"), F.lit("Lin"),
+# What a viewer does to show a stored swizzle, channel names, addressing and filter of containers.
+POST_SWIZZLES = {"gggr": "ag01", "rrrg": "ga01", "rrr1": "r001"}
+CHANNELS = {"normal": "Nrm.x,Nrm.y,X,X", "premultiplied": "Alb.ra,Alb.ga,Alb.ba,Alb.a", "plain": "Alb.r,Alb.g,Alb.b,Alb.a"}
+ADDRESSES = {"1darray": "Rep,X,X", "3d": "Rep,Rep,Rep", "other": "Rep,Rep,X"}
+FILTERS = {"mips": "Lin,Lin,Lin", "one": "Lin,Lin,X"}
+
+
+def base_props(swizzle: Column, normal: Column, srgb: Column, premultiplied: Column, kind: Column, mips: Column) -> Column:
+    """Properties written into containers, as a map: swizzle and what undoes it, channels, address, filter. Linear colors that are not premultiplied have no channels."""
+    post = F.try_element_at(F.create_map(*(F.lit(x) for p in POST_SWIZZLES.items() for x in p)), swizzle)
+    channels = F.when(normal, CHANNELS["normal"]).when(premultiplied, CHANNELS["premultiplied"]).when(srgb, CHANNELS["plain"])
+    address = F.when(kind == "1darray", ADDRESSES["1darray"]).when(kind == "3d", ADDRESSES["3d"]).otherwise(ADDRESSES["other"])
+    every = F.create_map(
+        F.lit("swizzle"), swizzle, F.lit("post_swizzle"), post, F.lit("channels"), channels, F.lit("address"), address, F.lit("filter"), F.when(mips, FILTERS["mips"]).otherwise(FILTERS["one"]),
     )
+    return F.map_filter(every, lambda _, v: v.isNotNull())
 
 
 def info_lines(rows: DataFrame) -> DataFrame:

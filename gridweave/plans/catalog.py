@@ -40,4 +40,4 @@ def header_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-from . import file_queries, image_queries, more_queries, relation_queries, scale_queries, texture_queries, trace_queries  # noqa: E402, F401  they register their queries
+from . import file_queries, image_queries, more_queries, relation_queries, scale_queries, small_queries, texture_queries, trace_queries  # noqa: E402, F401  they register their queries

@@ -79,8 +79,8 @@ def report_with_totals(spark, sf_dir):
 
 @query(f"SELECT event_id, CAST(row_number() OVER (ORDER BY ph, tid, dur DESC, name, event_id) - 1 AS BIGINT) AS place FROM (SELECT *, CASE WHEN event_id % 2 = 0 THEN 'X' ELSE 'M' END AS ph FROM {sql_events()})")
 def report_sort(spark, sf_dir):
-    e = events(spark, sf_dir).withColumn("ph", F.when(F.col("event_id") % 2 == 0, "X").otherwise("M")).withColumn("longest", -F.col("dur"))
-    return relations.ordinals(e, ["ph", "tid", "longest", "name", "event_id"], "place").select("event_id", "place")
+    e = events(spark, sf_dir).withColumn("ph", F.when(F.col("event_id") % 2 == 0, "X").otherwise("M"))
+    return relations.ordinals(e, [*trace.report_order(e), F.col("event_id")], "place").select("event_id", "place")
 
 
 @query("SELECT o_orderkey AS id, o_orderpriority AS folder, o_totalprice AS duration FROM orders ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey LIMIT 200")

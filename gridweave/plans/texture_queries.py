@@ -54,9 +54,21 @@ def refreshed_files(spark, sf_dir):
     return trace.refreshed(c, c.select("path", (F.col("path") % 25).alias("modified"))).withColumn("modified", F.col("modified").cast("int"))
 
 
-@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey & 192 <> 0 THEN 148 ELSE 255 END AS r FROM lineitem")
+_KINDS = ["FREE", "UNKNOWN", "BUFFER", "IMAGE_OPTIMAL", "IMAGE_LINEAR", "IMAGE_UNKNOWN", "TEXTURE2D"]
+
+
+@query("""SELECT l_orderkey, l_linenumber, c[1] AS r, c[2] AS g, c[3] AS b FROM (SELECT l_orderkey, l_linenumber, CASE
+WHEN k = 'FREE' THEN [220, 220, 220] WHEN k = 'UNKNOWN' THEN [175, 175, 175]
+WHEN v AND k = 'BUFFER' THEN CASE WHEN u & 448 <> 0 THEN [255, 148, 148] WHEN u & 40 <> 0 THEN [255, 187, 121] WHEN u & 20 <> 0 THEN [255, 255, 0] ELSE [255, 255, 165] END
+WHEN v AND k = 'IMAGE_OPTIMAL' THEN CASE WHEN u & 32 <> 0 THEN [246, 128, 255] WHEN u & 208 <> 0 THEN [179, 179, 255] WHEN u & 4 <> 0 THEN [0, 255, 255] ELSE [183, 255, 255] END
+WHEN v AND k = 'IMAGE_LINEAR' THEN [0, 255, 0] WHEN v AND k = 'IMAGE_UNKNOWN' THEN [0, 255, 164]
+WHEN NOT v AND k = 'BUFFER' THEN [255, 255, 165] WHEN NOT v AND k = 'TEXTURE2D' THEN CASE WHEN u & 2 <> 0 THEN [246, 128, 255] WHEN u & 5 <> 0 THEN [179, 179, 255] WHEN u & 8 = 0 THEN [0, 255, 255] ELSE [183, 255, 255] END
+ELSE [0, 0, 0] END AS c FROM (SELECT l_orderkey, l_linenumber, l_partkey & 511 AS u, l_suppkey % 2 = 0 AS v, ['FREE', 'UNKNOWN', 'BUFFER', 'IMAGE_OPTIMAL', 'IMAGE_LINEAR', 'IMAGE_UNKNOWN', 'TEXTURE2D'][l_orderkey % 7 + 1] AS k FROM lineitem))""")
 def rectangle_colors(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", memory.type_color(F.lit("BUFFER"), F.col("l_partkey"))["r"].alias("r"))
+    kind = F.element_at(F.array(*map(F.lit, _KINDS)), (F.col("l_orderkey") % 7 + 1).cast("int"))
+    api = F.when(F.col("l_suppkey") % 2 == 0, "Vulkan").otherwise("Direct3D 12")
+    color = memory.type_color(kind, F.col("l_partkey").bitwiseAND(511), api)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *(color[c].alias(c) for c in "rgb"))
 
 
 @query("SELECT p_partkey, 'encode -f bc7' || CASE WHEN p_size % 2 = 0 THEN ' -srgb' ELSE '' END || ' -i ' || p_name || ' -o ' || p_type AS value FROM part")

@@ -38,11 +38,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Spark deletes a job's shuffle files when the job ends, as the written table takes their place.
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, label: str, pinned: bool = False) -> DataFrame:
-    """Writes df as Parquet in the shared folder and returns a reader of it: lineage ends here. pinned: kept until the session's end."""
+    """Writes df as Parquet in the shared folder and returns a reader of it: lineage ends here, and so do the shuffle files that led to it. pinned: kept until the session's end."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/gridweave/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_TIDY, "false")
+    spark.conf.set(_TIDY, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_TIDY, before)
     tables = None if pinned else _open.get()
     (_session if tables is None else tables).append((spark, path))
     return spark.read.schema(df.schema).parquet(path)

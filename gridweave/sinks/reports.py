@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.strings import js_escape
+from ..operators.relations import ordinals
 from ..sources.containers import write_dds, write_ktx1, write_ktx2
 
 #: Columns of a written event, in order.
@@ -40,9 +41,9 @@ def hand_off(document: Column) -> Column:
 def report_lines(rows: DataFrame, title: str, value: str, name: str, count: str) -> DataFrame:
     """(place, value): lines of a ranked text report, by value, then name; place gives the order, the title is 0."""
     line = F.format_string("%8d ms: %s (%d times, avg %d ms)", F.expr(f"{value} div 1000"), F.col(name), F.col(count), F.expr(f"{value} div 1000 div {count}"))
-    place = F.row_number().over(Window.orderBy(F.desc(value), name))  # reports are limited lists
     head = rows.sparkSession.createDataFrame([(0, f"**** {title}")], "place int, value string")
-    return head.unionByName(rows.select(place.alias("place"), line.alias("value")))
+    placed = ordinals(rows, [F.desc(value), F.col(name)], "place")
+    return head.unionByName(placed.select((F.col("place") + 1).cast("int").alias("place"), line.alias("value")))
 
 
 def write_text(lines: DataFrame, path: str) -> None:
