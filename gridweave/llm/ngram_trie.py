@@ -4,20 +4,20 @@ Model, over words and one end token that also starts each text: p1(w) = (c(w) +
 p2(w | v) = c(vw) / (c(v) + MU2) + MU2 / (c(v) + MU2) * p1(w); p3(w | uv) = c(uvw) / (c(uv) + MU3) + MU3 / (c(uv) + MU3) * p2(w | v). A text's
 first token has no trigram. All shares c / (c + MU) and the trigrams' back-off weights are quantised to 8 bits, never upwards, so probabilities sum to at most 1.
 
-The vocabulary of pairs and triples are the VOCABULARY most frequent training words at most (with all words as frequent as the last, or none of them; 16 bytes
-each are broadcast), numbered by frequency. Other words have their unigram share only, and p2 = p1 after them.
+Every training word has a number: those of its shard of level 0 stand by hash, and shards one after the other. Pairs and triples hold numbers. (Numbers have 32 bits: more than
+MOST_WORDS distinct words are an error.)
 
 Storage: level 0 holds the words' full 64-bit hashes and, as running sums, their counts. A trie holds level 1 contexts u, level 2 pairs uv with
-share and weight, level 3 triples uvw with share, as numbers of the vocabulary. Every level is an Elias-Fano sequence with stored rank and select directories; entries are
+share and weight, level 3 triples uvw with share, as numbers of words. Every level is an Elias-Fano sequence with stored rank and select directories; entries are
 made monotone over all contexts by adding the running maximum of earlier contexts, and an Elias-Fano sequence of pointers parts them. A lookup is a successor search
 in level 1, then in the range of u alone, then in the range of uv alone, on the compressed bits, many lookups at once. A shard's level or trie is one byte string, kept in
 the written answer table and memory-mapped when it is queried.
 
 The model grows with the corpus, so it is dealt into shards by the hash of u, and the texts' n-grams go to the shards rather than the
-model to the texts. Documents are encoded once in batches; a batch sends each distinct word, pair and triple once, with its
-training count, and gets answers back in the order it sent them. The number of messages of a batch depends on the shards alone, which follow the shuffle
+model to the texts. Documents are encoded once in batches; a batch sends each distinct word once, and with the numbers that come back each distinct pair and triple, with
+training counts, and gets answers back in the order it sent them. A text is never split: one longer than BATCH_TOKENS is a batch. The number of messages of a batch depends on the shards alone, which follow the shuffle
 partitions or SHARD_TOKENS. Contexts u with more than 1/HOT of all training tokens (at most
-HOT of them) are dealt by pair uv, so no shard grows with one word; the distinct successors of one pair, once a batch, stay together.
+HOT of them, whose counts are broadcast, as is a number for each shard) are dealt by pair uv, so no shard grows with one word; the distinct successors of one pair, once a batch, stay together.
 
 Words are runs of characters other than ASCII white space, A-Z lower-cased; null texts are empty: one end token. Repeated rows are scored
 and counted one by one; a null id counts as a training row. Without training tokens N = V = 0 and the base is uniform. Words are told apart by 64-bit hashes (10^7
@@ -32,6 +32,7 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -43,8 +44,8 @@ from .wavelet import Plane
 MU2, MU3 = 1500.0, 10.0
 #: Tokens of one batch; tokens of a shard; share of all tokens from which a context is dealt by pair.
 BATCH_TOKENS, SHARD_TOKENS, HOT = 1_300_000, 4_000_000, 2000
-#: Words that pairs and triples are made of, at most.
-VOCABULARY = 1_000_000
+#: Distinct training words that numbers of 32 bits can tell apart, with one for none.
+MOST_WORDS = (1 << 31) - 2
 #: Hash of the end token.
 END = np.uint64(0)
 #: Code c > 0 stands for 2 ** (-(c - 1) / STEP); 0 for nothing.
@@ -204,16 +205,18 @@ class NgramTrie:
         self.first, self.second, self.third, self.shares2, self.weights, self.shares3 = first, second, third, shares2, weights, shares3
 
     @classmethod
-    def build(cls, u, v, w, counts, totals: np.ndarray, mu2: float, mu3: float) -> NgramTrie:
-        """Distinct triples, sorted, with training counts above 0; totals: counts of all words; a w that is not below their number is counted for its pair only."""
+    def build(cls, u, v, w, counts, words: Numbering, mu2: float, mu3: float) -> NgramTrie:
+        """Distinct triples, sorted, with training counts above 0. All of a context's triples are there, but for hot contexts; a w that is no word is counted for its pair only."""
         new = lambda *x: np.flatnonzero(np.concatenate(([True], np.any([a[1:] != a[:-1] for a in x], 0)))) if len(u) else np.empty(0, np.int64)
         pair = new(u, v)
         own = new(u[pair])
         pair_counts = np.add.reduceat(counts, pair) if len(pair) else counts
         per_triple = np.repeat(pair_counts, np.diff(np.append(pair, len(u))))
+        context = words.context_counts(u[pair[own]], np.add.reduceat(pair_counts, own) if len(own) else pair_counts)
+        context = np.repeat(context, np.diff(np.append(own, len(pair))))
         return cls(
             EliasFano.build(u[pair[own]]), Level.build(np.append(own, len(pair)), v[pair]), Level.build(np.append(pair, len(u)), w),
-            quantise(pair_counts / (totals[u[pair]] + mu2)), quantise(mu3 / (pair_counts + mu3)), np.where(w < len(totals), quantise(counts / (per_triple + mu3)), 0).astype(np.uint8),
+            quantise(pair_counts / (context + mu2)), quantise(mu3 / (pair_counts + mu3)), np.where(w < words.none, quantise(counts / (per_triple + mu3)), 0).astype(np.uint8),
         )
 
     def dump(self) -> bytes:
@@ -248,30 +251,23 @@ class NgramTrie:
         return int(self.shares2[pair[0]]), int(self.weights[pair[0]]), int(self.shares3[triple[0]]) if triple[0] >= 0 else 0
 
 
-class Vocabulary:
-    """hashes: sorted; ids: their numbers, by frequency; counts: by number. Numbers below `hot` are dealt by pair."""
+class Numbering:
+    """firsts: the number of each shard's first word, by shard; none: how many words have numbers, which stands for no word; hot, hot_counts: hot words' numbers, ascending, and their counts."""
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, n: int):
-        order = np.lexsort((hashes, -counts))
-        self.counts = counts[order]
-        by_hash = np.argsort(hashes[order])
-        self.hashes, self.ids = hashes[order][by_hash], by_hash
-        self.hot = int((self.counts * HOT > n).sum())
+    def __init__(self, firsts: np.ndarray, none: int, hot: np.ndarray, hot_counts: np.ndarray):
+        self.firsts, self.none, self.hot, self.hot_counts = firsts, none, hot, hot_counts
 
-    def numbers(self, words: np.ndarray) -> np.ndarray:
-        """-1 for words that are not in it."""
-        if not len(self.hashes):
-            return np.full(len(words), -1)
-        at = np.minimum(np.searchsorted(self.hashes, words), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == words, self.ids[at], -1)
+    def hot_places(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place among the hot words, whether it is one)."""
+        if not len(self.hot):
+            return np.zeros(len(numbers), np.int64), np.zeros(len(numbers), bool)
+        at = np.minimum(np.searchsorted(self.hot, numbers), len(self.hot) - 1)
+        return at, self.hot[at] == numbers
 
-
-#: Frequency classes: 16 for each doubling of the count.
-_CLASSES = 16 * 64
-
-
-def frequency_class(counts: np.ndarray) -> np.ndarray:
-    return np.floor(16 * np.log2(np.maximum(counts, 1)) + 1e-9).astype(np.int64)
+    def context_counts(self, numbers: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """The counts of words, where `counts` is right for those that are not hot."""
+        at, hot = self.hot_places(numbers)
+        return np.where(hot, self.hot_counts[at] if len(self.hot) else 0, counts)
 
 
 def quantise(share: np.ndarray) -> np.ndarray:
@@ -351,87 +347,99 @@ def _words_out(bits: int):
     return run
 
 
-#: kind 0: counts of words, 1 and 2: codes of pairs and triples, 9: a stored level or trie (batch -1).
-_ANSWERS = "batch long, kind int, shard long, data binary, v long, n long, classes array<long>"
+#: kind 0: counts and numbers of words, 1 and 2: codes of pairs and triples, 9: a stored level or trie (batch -1).
+_ANSWERS = "batch long, kind int, shard long, data binary, v long, n long"
 
 
 def _answer_table(rows) -> pa.Table:
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-    columns = list(zip(*rows, strict=True)) if rows else [()] * 7
-    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["batch", "kind", "shard", "data", "v", "n", "classes"])
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
+    columns = list(zip(*rows, strict=True)) if rows else [()] * 6
+    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["batch", "kind", "shard", "data", "v", "n"])
 
 
 def _count_words(table: pa.Table) -> pa.Table:
-    """Level 0 of a shard; training counts of its words, looked up there, back to each batch; the shard's totals and sizes of its frequency classes."""
+    """Level 0 of a shard; training counts and places of its words, looked up there, back to each batch; the shard's totals."""
     words = [np.frombuffer(x, "<u8") for x in table["words"].to_pylist()]
     counts = [_expand(x, "<u4") for x in table["counts"].to_pylist()]
     every, place = np.unique(np.concatenate(words), return_inverse=True)
     total = np.bincount(place, np.concatenate(counts), len(every)).astype(np.int64)
     trained = total > 0
     level = EliasFano.build(every[trained]).dump() + EliasFano.build(np.concatenate(([0], np.cumsum(total[trained])))).dump()
-    rows, shard, found = [], table["shard"][0].as_py(), word_counts(_mapped(level), every)
-    at = 0
+    rows, shard = [], table["shard"][0].as_py()
+    at, found = 0, _pairs_of(*word_places(_mapped(level), every))
     for batch, own in zip(table["batch"].to_pylist(), words, strict=True):
-        rows.append((batch, 0, shard, _squeeze(found[place[at : at + len(own)]].astype("<i8")), None, None, None))
+        rows.append((batch, 0, shard, _squeeze(found[place[at : at + len(own)]].T), None, None))
         at += len(own)
-    classes = np.bincount(frequency_class(total[trained]), minlength=_CLASSES)
-    rows.append((-1, 9, shard, level, int(trained.sum()), int(total.sum()), classes.tolist()))
+    rows.append((-1, 9, shard, level, int(trained.sum()), int(total.sum())))
     return _answer_table(rows)
 
 
-def _frequent(least: int):
-    """Words of a stored level 0 whose frequency class is not below `least`, with their counts."""
+def _pairs_of(places: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    return np.stack((places, counts), 1).astype("<i8")
+
+
+def _words_back(rows: list[tuple[int, bytes]], firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers, counts) of a batch's words, from what shards have answered, in order of shards; -1 and 0 for words without training."""
+    numbers, counts = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for shard, data in rows:
+        place, count = _expand(data, "<i8").reshape(2, -1)
+        numbers.append(np.where(place >= 0, place + firsts[shard], -1))
+        counts.append(count)
+    return np.concatenate(numbers), np.concatenate(counts)
+
+
+def _hot_words(least: int):
+    """(place, count) of the words of stored level 0 shards with more than `least` mentions."""
 
     def run(batches):
         for batch in batches:
-            for level in batch.column(0).to_pylist():
-                keys, at = EliasFano.load(level, 0)
-                sums, _ = EliasFano.load(level, at)
-                counts = np.diff(sums.access(np.arange(sums.n))).astype("<i8")
-                keep = np.flatnonzero(frequency_class(counts) >= least) if len(counts) else np.empty(0, np.int64)
-                yield pa.RecordBatch.from_pydict({"words": [keys.access(keep).astype("<u8").tobytes() if len(keep) else b""], "counts": [counts[keep].tobytes()]})
+            for shard, level in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                sums, _ = EliasFano.load(level, EliasFano.load(level, 0)[1])
+                counts = np.diff(sums.access(np.arange(sums.n)).astype(np.int64))
+                places = np.flatnonzero(counts > least)
+                yield pa.RecordBatch.from_pydict({"shard": np.full(len(places), shard), "place": places, "count": counts[places]})
 
     return run
 
 
-def vocabulary(levels: DataFrame, n: int, most: int) -> Vocabulary:
-    """The most frequent words of stored levels (data, classes), at most `most`: whole frequency classes, so which ones does not depend on order."""
-    held_classes = F.filter(F.transform("classes", lambda c, k: F.struct(k.alias("k"), c.alias("c"))), lambda x: x["c"] > 0)
-    sizes = {r["k"]: r["size"] for r in levels.select(F.explode(held_classes).alias("x")).groupBy("x.k").agg(F.sum("x.c").alias("size")).collect()}
-    least, held = _CLASSES, 0
-    while least > 0 and held + sizes.get(least - 1, 0) <= most:
-        least -= 1
-        held += sizes.get(least, 0)
-    rows = levels.select("data").mapInArrow(_frequent(least), "words binary, counts binary").collect()
-    return Vocabulary(np.frombuffer(b"".join(r["words"] for r in rows), "<u8"), np.frombuffer(b"".join(r["counts"] for r in rows), "<i8"), n)
+def numbering(levels: DataFrame, n: int, bits: int) -> Numbering:
+    """From stored levels (shard, data, v): a number for each shard, and at most HOT hot words, come to the driver."""
+    sizes = np.zeros(1 << bits, np.int64)
+    for r in levels.select("shard", "v").collect():
+        sizes[r["shard"]] = r["v"]
+    firsts, none = np.cumsum(sizes) - sizes, int(sizes.sum())
+    if none > MOST_WORDS:
+        raise ValueError(f"{none} distinct words, more than {MOST_WORDS}")
+    rows = levels.select("shard", "data").mapInArrow(_hot_words(n // HOT), "shard long, place long, count long").collect()
+    hot = sorted((int(firsts[r["shard"]]) + r["place"], r["count"]) for r in rows)
+    return Numbering(firsts, none, np.array([a for a, _ in hot], np.int64), np.array([c for _, c in hot], np.int64))
 
 
-def word_counts(level, words: np.ndarray) -> np.ndarray:
-    """Training counts of words (hashes) by level 0: a successor search, then the step of the running sums."""
+def word_places(level, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in level 0 and training counts of words (hashes): a successor search, then the step of the running sums; -1 and 0 for others."""
     keys, at = EliasFano.load(level, 0)
     sums, _ = EliasFano.load(level, at)
     place = keys.find(words)
     out, known = np.zeros(len(words), np.int64), place >= 0
     out[known] = (sums.access(place[known] + 1) - sums.access(place[known])).astype(np.int64)
-    return out
+    return place, out
 
 
 class _Tree:
     """Distinct pairs and triples of a batch in the order in which they are sent, and how its tokens map to them.
 
-    Token i belongs to the triple of the token before it, itself and the one after it; its pair is that triple's first two. Only pairs of two words of
-    the vocabulary are sent; a word outside it, or nothing, as third gives the number after the last, so that pairs count right.
+    Token i belongs to the triple of the token before it, itself and the one after it; its pair is that triple's first two. Only pairs of two training
+    words are sent; another word, or nothing, as third gives the number after the last, so that pairs count right.
     """
 
-    def __init__(self, row: dict, words: Vocabulary, bits: int):
+    def __init__(self, row: dict, numbers: np.ndarray, words: Numbering, bits: int):
         self.lengths, self.train = np.frombuffer(row["lengths"], "<i8"), np.frombuffer(row["train"], bool)
         self.tokens, own = _join32(row["tokens"]).astype(np.int32), np.frombuffer(row["vocabulary"], "<u8")
-        self.starts, size = np.cumsum(self.lengths) - self.lengths, len(words.counts) + 1
+        self.starts, size = np.cumsum(self.lengths) - self.lengths, words.none + 1
         self.before = np.empty_like(self.tokens)
         self.before[1:] = self.tokens[:-1]
         self.before[self.starts] = int(np.searchsorted(own, END))
-        self.known = words.numbers(own)
-        numbers = self.known.astype(np.int32)
+        numbers = numbers.astype(np.int32)
         at = numbers[self.tokens]
         valid = np.flatnonzero((at >= 0) & (numbers[self.before] >= 0)).astype(np.int32)
         after = np.append(at[1:], np.int32(-1))
@@ -450,7 +458,7 @@ class _Tree:
         triple = triple.astype(np.int32)
         counts = np.bincount(triple[np.repeat(self.train, self.lengths)[valid]], minlength=len(triples)).astype(np.int32)
         u, v = keys // size, keys % size
-        hashed, is_hot = mix(u.astype(np.uint64) + np.uint64(1)), u < words.hot
+        hashed, (_, is_hot) = mix(u.astype(np.uint64) + np.uint64(1)), words.hot_places(u)
         shard = _shard_of(np.where(is_hot, mix(hashed ^ v.astype(np.uint64)), hashed), bits)
         del hashed, keys
         order = np.lexsort((v, u, shard, is_hot))
@@ -481,20 +489,26 @@ _MESSAGES = "shard long, batch long, kind int, u binary, v binary, runs binary,
 def _ngrams_out(bits: int, shared):
     kinds = [pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 5]
 
-    def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                rows = [(shard, row["batch"], kind, *rest) for shard, kind, *rest in _Tree(row, shared.value, bits).messages()]
-                for at in range(0, len(rows), 64):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[at : at + 64], strict=True), kinds, strict=True)], [x.split()[0] for x in _MESSAGES.split(", ")])
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = []
+        if len(left):
+            row = left.to_pylist()[0]
+            tree = _Tree(row, _words_back(_by_shard(right), shared.value.firsts)[0], shared.value, bits)
+            rows = [(shard, row["batch"], kind, *rest) for shard, kind, *rest in tree.messages()]
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 8, kinds, strict=True)], [x.split()[0] for x in _MESSAGES.split(", ")])
 
     return run
 
 
+def _by_shard(answers: pa.Table) -> list[tuple[int, bytes]]:
+    answers = answers.filter(pc.equal(answers["kind"], 0)).sort_by("shard")
+    return list(zip(answers["shard"].to_pylist(), answers["data"].to_pylist(), strict=True))
+
+
 def _answer_ngrams(shared, mu2: float, mu3: float):
     def run(table: pa.Table) -> pa.Table:
-        rows, totals = table.select(["batch", "kind", "shard"]).to_pylist(), shared.value.counts
-        size = len(totals) + 1
+        rows, words = table.select(["batch", "kind", "shard"]).to_pylist(), shared.value
+        size = words.none + 1
         column = lambda name: [_join32(x) for x in table[name].to_pylist()]
         u, v = [np.cumsum(x) for x in column("u")], column("v")
         sizes = [len(x) for x in u]
@@ -508,7 +522,7 @@ def _answer_ngrams(shared, mu2: float, mu3: float):
         pu, pv = pair_keys // size, pair_keys % size
         tp, tw = triple_keys // size, triple_keys % size
         seen = np.flatnonzero(counts)
-        dump = NgramTrie.build(pu[tp[seen]], pv[tp[seen]], tw[seen], counts[seen], totals, mu2, mu3).dump()
+        dump = NgramTrie.build(pu[tp[seen]], pv[tp[seen]], tw[seen], counts[seen], words, mu2, mu3).dump()
         trie = NgramTrie.load(_mapped(dump))
         share, weight, third = np.zeros(len(pu), np.uint8), np.ones(len(pu), np.uint8), np.zeros(len(tp), np.uint8)
         at = np.empty(len(pu), np.int64)
@@ -522,10 +536,10 @@ def _answer_ngrams(shared, mu2: float, mu3: float):
             found = trie.third.find(at[tp[k]], tw[k])
             held = found >= 0
             third[k[held]] = trie.shares3[found[held]]
-        out, a, b = [(-1, 9, rows[0]["shard"], dump, None, None, None)], 0, 0
+        out, a, b = [(-1, 9, rows[0]["shard"], dump, None, None)], 0, 0
         for r, m, n in zip(rows, sizes, triple_sizes, strict=True):
             p, t = pair[a : a + m], triple[b : b + n]
-            out.append((r["batch"], r["kind"], r["shard"], _squeeze(np.concatenate((np.array([m], "<u4").view(np.uint8), share[p], weight[p], third[t]))), None, None, None))
+            out.append((r["batch"], r["kind"], r["shard"], _squeeze(np.concatenate((np.array([m], "<u4").view(np.uint8), share[p], weight[p], third[t]))), None, None))
             a, b = a + m, b + n
         return _answer_table(out)
 
@@ -541,7 +555,7 @@ def _score(bits: int, shared, v: int, n: int, mu2: float):
         out = []
         right = right.sort_by([("kind", "ascending"), ("shard", "ascending")])
         kinds, blobs = right["kind"].to_pylist(), right["data"].to_pylist()
-        counts = np.concatenate([np.empty(0, "<i8"), *(_expand(x, "<i8") for k, x in zip(kinds, blobs, strict=True) if k == 0)])
+        numbers, counts = _words_back(_by_shard(right), shared.value.firsts)
         parts: list[list[np.ndarray]] = [[], [], []]
         for k, x in zip(kinds, blobs, strict=True):
             if k:
@@ -550,11 +564,11 @@ def _score(bits: int, shared, v: int, n: int, mu2: float):
                 for part, piece in zip(parts, np.split(data[4:], (m, 2 * m)), strict=True):
                     part.append(piece)
         for row in left.to_pylist():
-            tree = _Tree(row, shared.value, bits)
+            tree = _Tree(row, numbers, shared.value, bits)
             # place -1: a pair or triple that was not sent
             share, weight, third = (SHARES[np.concatenate([*x, np.array([c], np.uint8)])] for x, c in zip(parts, (0, 1, 0), strict=True))
             own = (counts + 0.1) / (n + 0.1 * (v + 1))  # of each word of the batch
-            rest = mu2 / (np.where(tree.known >= 0, counts, 0) + mu2)
+            rest = mu2 / (counts + mu2)
             base = own[tree.tokens]
             p = rest[tree.before]
             p *= base
@@ -578,10 +592,10 @@ def _score(bits: int, shared, v: int, n: int, mu2: float):
 
 
 class Scored:
-    """scores: (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score). words, tries: the stored model, (shard, data); vocabulary: its numbers."""
+    """scores: (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score). words, tries: the stored model, (shard, data); a word's number is its place in its shard's level and numbering.firsts of the shard."""
 
-    def __init__(self, scores: DataFrame, words: DataFrame, tries: DataFrame, vocabulary: Vocabulary):
-        self.scores, self.words, self.tries, self.vocabulary = scores, words, tries, vocabulary
+    def __init__(self, scores: DataFrame, words: DataFrame, tries: DataFrame, numbering: Numbering):
+        self.scores, self.words, self.tries, self.numbering = scores, words, tries, numbering
 
 
 def fit_and_score(docs: DataFrame, train=None, mu2: float = MU2, mu3: float = MU3, id_col: str = "doc_id", text_col: str = "text") -> Scored:
@@ -596,9 +610,10 @@ def fit_and_score(docs: DataFrame, train=None, mu2: float = MU2, mu3: float = MU
     counted = materialise(words.groupBy("shard").applyInArrow(_count_words, _ANSWERS), "words")
     levels = counted.where("batch < 0")
     v, n = levels.agg(F.coalesce(F.sum("v"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    known = vocabulary(levels, n, VOCABULARY)
+    known = numbering(levels, n, bits)
     shared = spark.sparkContext.broadcast(known)
-    sent = encoded.select("batch", "train", "lengths", "tokens", "vocabulary").mapInArrow(_ngrams_out(bits, shared), _MESSAGES)
+    numbered = counted.where("batch >= 0").select("batch", "kind", "shard", "data").groupBy("batch")
+    sent = encoded.select("batch", "train", "lengths", "tokens", "vocabulary").groupBy("batch").cogroup(numbered).applyInArrow(_ngrams_out(bits, shared), _MESSAGES)
     codes = materialise(sent.groupBy("shard").applyInArrow(_answer_ngrams(shared, mu2, mu3), _ANSWERS), "codes")
     answers = counted.where("batch >= 0").unionByName(codes.where("batch >= 0")).select("batch", "kind", "shard", "data")
     found = encoded.drop("counts", "n").groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(

@@ -188,27 +188,16 @@ def floored(x):
     return 2 ** (-math.ceil(-8 * math.log2(x) - 1e-9) / 8) if x else 0
 
 
-@pytest.mark.parametrize("shard,most", [(100, 10**6), (10**6, 40), (10**6, 0)])
-def test_scores_match_brute_force(docs, empty, monkeypatch, shard, most):
+@pytest.mark.parametrize("shard,hot,batch", [(100, 30, 1_300_000), (10**6, 2000, 500), (10**6, 10**9, 1)])
+def test_scores_match_brute_force(docs, empty, monkeypatch, shard, hot, batch):
     monkeypatch.setattr(ngram_trie, "SHARD_TOKENS", shard)
-    monkeypatch.setattr(ngram_trie, "VOCABULARY", most)
-    monkeypatch.setattr(ngram_trie, "HOT", 30)
+    monkeypatch.setattr(ngram_trie, "HOT", hot)
+    monkeypatch.setattr(ngram_trie, "BATCH_TOKENS", batch)
     one, two, three, seqs = brute_model(ROWS)
     n, v, mu2, mu3 = sum(one.values()), len(one), ngram_trie.MU2, ngram_trie.MU3
-    classes = collections.defaultdict(list)
-    for w, c in one.items():
-        classes[math.floor(16 * math.log2(c) + 1e-9)].append(w)
-    inside: set[str] = set()
-    for k in sorted(classes, reverse=True):
-        if len(inside) + len(classes[k]) > most:
-            break
-        inside |= {*classes[k]}
-    assert (len(inside) == len(one)) == (most > 1000)
-    ctx = lambda a: one[a] if a in inside else 0
-    c2 = lambda *x: two[x] if inside.issuperset(x) else 0
-    c3 = lambda *x: three[x] if inside.issuperset(x) else 0
+    c2, c3 = (lambda *x: two[x]), (lambda *x: three[x])
     p1 = lambda w: (one[w] + 0.1) / (n + 0.1 * (v + 1))
-    p2 = lambda a, b: floored(c2(a, b) / (ctx(a) + mu2)) + mu2 / (ctx(a) + mu2) * p1(b)
+    p2 = lambda a, b: floored(c2(a, b) / (one[a] + mu2)) + mu2 / (one[a] + mu2) * p1(b)
     p3 = lambda a, b, c: floored(c3(a, b, c) / (c2(a, b) + mu3)) + floored(mu3 / (c2(a, b) + mu3)) * p2(b, c)
     want = sorted((i is None, i or 0, held, len(s) - 1, sum(one[w] > 0 for w in s[1:]), n, sum(math.log10(p1(w)) for w in s[1:]),
                    math.log10(p2(s[0], s[1])) + sum(math.log10(p3(*x)) for x in zip(s, s[1:], s[2:]))) for i, held, s in seqs)
@@ -220,16 +209,22 @@ def test_scores_match_brute_force(docs, empty, monkeypatch, shard, most):
     # the stored model alone gives the same counts and codes
     lex = ngram_trie.Lexer(ngram_trie.SPACES, lower=True)
     key = lambda w: np.array([ngram_trie.END if w == "</s>" else lex.words([w.encode()])[4][0]], np.uint64)
-    number = lambda w: int(found.vocabulary.numbers(key(w))[0])
-    levels, tries = ([bytes(r["data"]) for r in t.collect()] for t in (found.words, found.tries))
+    levels, tries = ({r["shard"]: bytes(r["data"]) for r in t.collect()} for t in (found.words, found.tries))
+
+    def place(w):
+        """(number, count) of a word by the levels."""
+        hits = [(int(found.numbering.firsts[k] + at[0]), int(c[0])) for k, x in levels.items() for at, c in [ngram_trie.word_places(x, key(w))] if at[0] >= 0]
+        return hits[0] if len(hits) == 1 else (-1, 0)
+
+    number = lambda w: place(w)[0]
     for w in [*list(one)[:60], "absent"]:
-        assert sum(int(ngram_trie.word_counts(x, key(w))[0]) for x in levels) == one[w] and (number(w) >= 0) == (w in inside)
-    loaded = [ngram_trie.NgramTrie.load(ngram_trie._mapped(x)) for x in tries]
-    for a, b, c in [x for x in three if inside.issuperset(x)][:60]:
+        assert place(w)[1] == one[w] and (number(w) >= 0) == (w in one)
+    assert len({number(w) for w in one}) == len(one) == found.numbering.none
+    loaded = [ngram_trie.NgramTrie.load(ngram_trie._mapped(x)) for x in tries.values()]
+    for a, b, c in list(three)[:60]:
         held = [x for x in (t.codes(number(a), number(b), number(c)) for t in loaded) if x[0]]
         assert len(held) == 1 and ngram_trie.SHARES[held[0][2]] == floored(three[a, b, c] / (two[a, b] + mu3)) and ngram_trie.SHARES[held[0][0]] == floored(two[a, b] / (one[a] + mu2))
-    if most > 1000:
-        assert ngram_trie.score(empty).count() == 0
+    assert ngram_trie.score(empty).count() == 0
 
 
 def test_messages_of_a_batch_depend_on_shards_alone(spark, monkeypatch):
