@@ -629,3 +629,23 @@ def score(docs: DataFrame, train=None, mu2: float = MU2, mu3: float = MU3, id_co
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(read_table(spark, sf_dir, "documents"))
+
+
+def base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op2 SQL can express: the counts and the base."""
+    return op2(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 6).alias("base_score"))
+
+
+BASE_SQL = r"""
+WITH table_of AS (
+  SELECT list(v ORDER BY n) AS t FROM (SELECT n, list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) AS r(n))),
+d AS (
+  SELECT doc_id, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ord(substr(doc_id::VARCHAR, i, 1))::BIGINT)), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 10 = 0 AS held_out,
+         list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents, table_of),
+tok AS (SELECT doc_id, held_out, unnest(list_append(w, '')) AS t FROM d),
+c AS (SELECT t, count(*) AS c FROM tok WHERE NOT held_out GROUP BY t),
+n AS (SELECT CAST(sum(c) AS BIGINT) AS n, count(*) AS v FROM c)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(c.c) AS n_known, n.n AS train_tokens, round(sum(log10((coalesce(c.c, 0) + CAST(0.1 AS DOUBLE)) / (n.n + CAST(0.1 AS DOUBLE) * (n.v + 1)))), 6) AS base_score
+FROM tok LEFT JOIN c ON tok.t = c.t, n GROUP BY doc_id, held_out, n.n
+"""

@@ -18,6 +18,9 @@ QUERIES = {
     "op11_merkle_manifest": merkle.op11,
     "op12_spelling_variants": variants.op12,
     "op13_cost_packing": cost_packing.op13,
+    # parts of op2 and op10 that SQL can express
+    "base_scores": ngram_trie.base_scores,
+    "url_rules": url_filter.ruled,
 }
 ORACLES = {
     "op3_near_dedup": near_dedup.SQL,
@@ -27,4 +30,6 @@ ORACLES = {
     "op9_decontamination": decontamination.SQL,
     "op11_merkle_manifest": merkle.SQL,
     "op12_spelling_variants": variants.SQL,
+    "base_scores": ngram_trie.BASE_SQL,
+    "url_rules": url_filter.RULED_SQL,
 }
