@@ -50,6 +50,13 @@ def with_format(rows: DataFrame, column: str = "format") -> DataFrame:
     return named.join(F.broadcast(table.withColumnRenamed("format", column)), column, "left")
 
 
+def format_of_number(rows: DataFrame, column: str, api: str) -> DataFrame:
+    """Adds the format that a number of an API (vulkan, directx or metal) stands for; Invalid for numbers without one."""
+    table = formats(rows.sparkSession).where(F.col(api).isNotNull()).select(F.col(api).alias("__number"), "format")
+    named = rows.join(F.broadcast(table), F.col(column) == F.col("__number"), "left").drop("__number")
+    return named.withColumn("format", F.coalesce("format", F.lit("Invalid")))
+
+
 def level_bytes(width: Column, height: Column) -> Column:
     """Of a row that has the format's columns."""
     return (F.ceil(width / F.col("block_x")) * F.ceil(height / F.col("block_y")) * F.col("block_size")).cast("bigint")

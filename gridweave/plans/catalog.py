@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import trace
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -34,10 +36,8 @@ SELECT event_type AS header, count(*) AS files, CAST(sum(CAST(round(value * 1000
 FROM events GROUP BY event_type
 """)
 def header_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    return e.groupBy(F.col("event_type").alias("header")).agg(
-        F.count("*").alias("files"), F.sum(F.round(F.col("value") * 1000000).cast("bigint")).alias("total_us")
-    )
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("header"), F.round(F.col("value") * 1000000).cast("bigint").alias("dur"))
+    return trace.cost(e, ["header"]).withColumnsRenamed({"us": "total_us", "n": "files"})
 
 
 from . import file_queries, image_queries, more_queries, relation_queries, scale_queries, small_queries, texture_queries, trace_queries  # noqa: E402, F401  they register their queries

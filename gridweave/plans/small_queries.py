@@ -12,6 +12,7 @@ from ..scratch import fresh_path
 from ..streaming import traces
 from .catalog import query, table
 from .image_queries import _C, rgba
+from .more_queries import _MAP, _ROWS, _STARTS, _STATS
 from .trace_queries import events, sql_events
 
 
@@ -40,9 +41,22 @@ def pool_order(spark, sf_dir):
     return memory.block_tracks(rows).drop("kind")
 
 
+@query(_STATS + ", r AS (" + " UNION ALL ".join(f"SELECT tid, 'X' AS ph, '{n}' AS name, CAST({ts} AS BIGINT) AS ts, CAST({d} AS BIGINT) AS dur FROM t" for n, ts, d in _ROWS) + f" UNION ALL SELECT tid, 'M', 'thread_name', NULL, NULL FROM t UNION ALL SELECT tid, 'E', name, ts, dur FROM {sql_events()}) SELECT * FROM r")
+def report_rows(spark, sf_dir):
+    """A report's events with the totals track behind them, row by row."""
+    e = events(spark, sf_dir).withColumn("ph", F.lit("E"))
+    totals = trace.totals_track(trace.build_totals(e, ["tid"], _MAP, _STARTS), ["tid"])
+    return trace.with_totals(e, totals).select("tid", "ph", "name", "ts", "dur")
+
+
 # --- texts
 
 
+@query("SELECT o_orderkey, format('{:,}', CAST(o_orderkey * 12345 AS BIGINT)) AS text FROM orders")
+def number_texts(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", strings.count_text((F.col("o_orderkey") * 12345).cast("bigint")).alias("text"))
+
+
 @query("""SELECT p_partkey, printf('%.1f%%', 100.0 * p_size / 7) AS share, CASE WHEN p_size % 5 = 0 THEN '' ELSE printf('%.3f', (p_size % 5) / CAST(8 AS DOUBLE)) || CASE WHEN p_size % 2 = 0 THEN 'm' ELSE 's' END END AS duration FROM part""")
 def duration_texts(spark, sf_dir):
     size = F.col("p_size")
@@ -97,6 +111,16 @@ def opaque_formats(spark, sf_dir):
     return t.select("image_id", "format", textures.opaque_format(F.col("format"), F.col("has_alpha")).alias("chosen"))
 
 
+@query("""SELECT p_partkey, CASE p_partkey % 200 WHEN 131 THEN 'BC1' WHEN 145 THEN 'BC7' WHEN 146 THEN 'BC7s' WHEN 151 THEN 'ETCrgba' WHEN 37 THEN 'EXPrgba8' WHEN 9 THEN 'EXPr8' WHEN 166 THEN 'ASTC6x6s' ELSE 'other' END AS vulkan,
+CASE p_partkey % 200 WHEN 71 THEN 'BC1' WHEN 98 THEN 'BC7' WHEN 28 THEN 'EXPrgba8' ELSE 'other' END AS directx FROM part""")
+def formats_of_numbers(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 200).cast("int").alias("number"))
+    known = lambda c, names: F.when(F.col(c).isin(names), F.col(c)).otherwise("other").alias(c)
+    found = textures.format_of_number(p, "number", "vulkan").withColumnRenamed("format", "vulkan")
+    found = textures.format_of_number(found, "number", "directx").withColumnRenamed("format", "directx")
+    return found.select("p_partkey", known("vulkan", ["BC1", "BC7", "BC7s", "ETCrgba", "EXPrgba8", "EXPr8", "ASTC6x6s"]), known("directx", ["BC1", "BC7", "EXPrgba8"]))
+
+
 # --- levels and containers
 
 _LEVELS = "(SELECT p_partkey AS image_id, CAST(k AS INTEGER) AS mip, greatest(1, (p_size * 13) >> k) AS w, greatest(1, (p_size * 5) >> k) AS h FROM part, (SELECT unnest(range(0, 16)) AS k) WHERE (greatest(p_size * 13, p_size * 5) >> k) > 0)"
