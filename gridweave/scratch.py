@@ -18,8 +18,9 @@ Tables = list[tuple[SparkSession, str]]
 
 _session: Tables = []
 _stages: list[Tables] = []
-#: The innermost open scope of this thread, and the tables of the stage that a pipeline in this thread has left.
+#: The innermost open scope of this thread, the one around it, and the tables of the stage that a pipeline in this thread has left.
 _open: contextvars.ContextVar[Tables | None] = contextvars.ContextVar("open", default=None)
+_around: contextvars.ContextVar[Tables | None] = contextvars.ContextVar("around", default=None)
 _left: contextvars.ContextVar[Tables | None] = contextvars.ContextVar("left", default=None)
 
 
@@ -42,8 +43,9 @@ def shared_dir(spark: SparkSession) -> str:
 _TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def materialise(df: DataFrame, label: str, pinned: bool = False) -> DataFrame:
-    """Writes df as Parquet in the shared folder and returns a reader of it: lineage ends here, and so do the shuffle files that led to it. pinned: kept until the session's end."""
+def materialise(df: DataFrame, label: str, pinned: bool = False, outer: bool = False) -> DataFrame:
+    """Writes df as Parquet in the shared folder and returns a reader of it: lineage ends here, and so do the shuffle files that led to it. pinned: kept until the session's end;
+    outer: kept when the innermost scope ends, as a table of what is around it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/gridweave/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     before = spark.conf.get(_TIDY, "false")
@@ -52,7 +54,7 @@ def materialise(df: DataFrame, label: str, pinned: bool = False) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(_TIDY, before)
-    tables = None if pinned else _open.get()
+    tables = None if pinned else _around.get() if outer else _open.get()
     (_session if tables is None else tables).append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
@@ -99,11 +101,12 @@ def release_all() -> None:
 def scope():
     """Tables written inside are deleted at the end: for a caller that has used up or written the results by then."""
     tables: Tables = []
-    token = _open.set(tables)
+    around, token = _around.set(_open.get()), _open.set(tables)
     try:
         yield
     finally:
         _open.reset(token)
+        _around.reset(around)
         release(tables)
 
 
