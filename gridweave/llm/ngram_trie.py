@@ -32,13 +32,12 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import SPACES, Lexer, crc_of_id, materialise, mix, read_table, text_bytes
+from ._common import SPACES, Lexer, crc_of_id, materialise, mix, read_table, scope, text_bytes
 from .wavelet import Plane
 
 MU2, MU3 = 1500.0, 10.0
@@ -280,6 +279,8 @@ SHARES = np.concatenate(([0.0], 2.0 ** (-np.arange(255) / STEP)))
 # --- batches --------------------------------------------------------------------------------------
 
 _ENCODED = "batch long, n long, ids binary, missing binary, train binary, lengths binary, tokens binary, vocabulary binary, counts binary"
+#: With what level 0 has answered: the numbers of the batch's words, one more than them, so 0 is for words without training, and their counts.
+_NUMBERED = "batch long, ids binary, missing binary, train binary, lengths binary, tokens binary, numbers binary, counts binary"
 
 
 def _encoder(batch_tokens: int):
@@ -347,7 +348,7 @@ def _words_out(bits: int):
     return run
 
 
-#: kind 0: counts and numbers of words, 1 and 2: codes of pairs and triples, 9: a stored level or trie (batch -1).
+#: kind 0: places and counts of words, 1 and 2: codes of pairs and triples, 9: a stored level or trie (batch -1).
 _ANSWERS = "batch long, kind int, shard long, data binary, v long, n long"
 
 
@@ -378,14 +379,22 @@ def _pairs_of(places: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.stack((places, counts), 1).astype("<i8")
 
 
-def _words_back(rows: list[tuple[int, bytes]], firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(numbers, counts) of a batch's words, from what shards have answered, in order of shards; -1 and 0 for words without training."""
-    numbers, counts = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for shard, data in rows:
-        place, count = _expand(data, "<i8").reshape(2, -1)
-        numbers.append(np.where(place >= 0, place + firsts[shard], -1))
-        counts.append(count)
-    return np.concatenate(numbers), np.concatenate(counts)
+def _numbered(shared):
+    """A batch with the numbers and counts of its words; these stand by hash, so by shard."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        firsts, numbers, counts = shared.value.firsts, [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        right = right.sort_by("shard")
+        for shard, data in zip(right["shard"].to_pylist(), right["data"].to_pylist(), strict=True):
+            place, count = _expand(data, "<i8").reshape(2, -1)
+            numbers.append(np.where(place >= 0, place + firsts[shard] + 1, 0))
+            counts.append(count)
+        kept = left.select([x.split()[0] for x in _NUMBERED.split(", ")[:-2]])
+        for name, data in (("numbers", _split32(np.concatenate(numbers))), ("counts", _squeeze(np.concatenate(counts)))):
+            kept = kept.append_column(name, pa.array([data] * len(kept), pa.binary()))
+        return kept
+
+    return run
 
 
 def _hot_words(least: int):
@@ -432,14 +441,14 @@ class _Tree:
     words are sent; another word, or nothing, as third gives the number after the last, so that pairs count right.
     """
 
-    def __init__(self, row: dict, numbers: np.ndarray, words: Numbering, bits: int):
+    def __init__(self, row: dict, words: Numbering, bits: int):
         self.lengths, self.train = np.frombuffer(row["lengths"], "<i8"), np.frombuffer(row["train"], bool)
-        self.tokens, own = _join32(row["tokens"]).astype(np.int32), np.frombuffer(row["vocabulary"], "<u8")
+        self.tokens = _join32(row["tokens"]).astype(np.int32)
         self.starts, size = np.cumsum(self.lengths) - self.lengths, words.none + 1
         self.before = np.empty_like(self.tokens)
         self.before[1:] = self.tokens[:-1]
-        self.before[self.starts] = int(np.searchsorted(own, END))
-        numbers = numbers.astype(np.int32)
+        self.before[self.starts] = 0  # the end token, whose hash is the least
+        numbers = (_join32(row["numbers"]) - 1).astype(np.int32)
         at = numbers[self.tokens]
         valid = np.flatnonzero((at >= 0) & (numbers[self.before] >= 0)).astype(np.int32)
         after = np.append(at[1:], np.int32(-1))
@@ -489,22 +498,16 @@ _MESSAGES = "shard long, batch long, kind int, u binary, v binary, runs binary,
 def _ngrams_out(bits: int, shared):
     kinds = [pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 5]
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = []
-        if len(left):
-            row = left.to_pylist()[0]
-            tree = _Tree(row, _words_back(_by_shard(right), shared.value.firsts)[0], shared.value, bits)
-            rows = [(shard, row["batch"], kind, *rest) for shard, kind, *rest in tree.messages()]
-        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 8, kinds, strict=True)], [x.split()[0] for x in _MESSAGES.split(", ")])
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                rows = [(shard, row["batch"], kind, *rest) for shard, kind, *rest in _Tree(row, shared.value, bits).messages()]
+                for at in range(0, len(rows), 64):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[at : at + 64], strict=True), kinds, strict=True)], [x.split()[0] for x in _MESSAGES.split(", ")])
 
     return run
 
 
-def _by_shard(answers: pa.Table) -> list[tuple[int, bytes]]:
-    answers = answers.filter(pc.equal(answers["kind"], 0)).sort_by("shard")
-    return list(zip(answers["shard"].to_pylist(), answers["data"].to_pylist(), strict=True))
-
-
 def _answer_ngrams(shared, mu2: float, mu3: float):
     def run(table: pa.Table) -> pa.Table:
         rows, words = table.select(["batch", "kind", "shard"]).to_pylist(), shared.value
@@ -554,17 +557,14 @@ def _score(bits: int, shared, v: int, n: int, mu2: float):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         right = right.sort_by([("kind", "ascending"), ("shard", "ascending")])
-        kinds, blobs = right["kind"].to_pylist(), right["data"].to_pylist()
-        numbers, counts = _words_back(_by_shard(right), shared.value.firsts)
         parts: list[list[np.ndarray]] = [[], [], []]
-        for k, x in zip(kinds, blobs, strict=True):
-            if k:
-                data = _expand(x, np.uint8)
-                m = int(data[:4].view("<u4")[0])
-                for part, piece in zip(parts, np.split(data[4:], (m, 2 * m)), strict=True):
-                    part.append(piece)
+        for x in right["data"].to_pylist():
+            data = _expand(x, np.uint8)
+            m = int(data[:4].view("<u4")[0])
+            for part, piece in zip(parts, np.split(data[4:], (m, 2 * m)), strict=True):
+                part.append(piece)
         for row in left.to_pylist():
-            tree = _Tree(row, numbers, shared.value, bits)
+            tree, counts = _Tree(row, shared.value, bits), _expand(row["counts"], "<i8")
             # place -1: a pair or triple that was not sent
             share, weight, third = (SHARES[np.concatenate([*x, np.array([c], np.uint8)])] for x, c in zip(parts, (0, 1, 0), strict=True))
             own = (counts + 0.1) / (n + 0.1 * (v + 1))  # of each word of the batch
@@ -603,20 +603,23 @@ def fit_and_score(docs: DataFrame, train=None, mu2: float = MU2, mu3: float = MU
     spark = docs.sparkSession
     learns = crc_of_id(F.col(id_col)) % 10 != 0 if train is None else train
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(id_col).isNull().alias("missing"), F.coalesce(learns, F.lit(True)).alias("train"))
-    encoded = materialise(rows.mapInArrow(_encoder(BATCH_TOKENS), _ENCODED), "encoded")
-    size = encoded.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    bits = max(1, (2 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // SHARD_TOKENS) - 1).bit_length())
-    words = encoded.select("batch", "vocabulary", "counts").mapInArrow(_words_out(bits), "shard long, batch long, words binary, counts binary")
-    counted = materialise(words.groupBy("shard").applyInArrow(_count_words, _ANSWERS), "words")
-    levels = counted.where("batch < 0")
-    v, n = levels.agg(F.coalesce(F.sum("v"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    known = numbering(levels, n, bits)
-    shared = spark.sparkContext.broadcast(known)
-    numbered = counted.where("batch >= 0").select("batch", "kind", "shard", "data").groupBy("batch")
-    sent = encoded.select("batch", "train", "lengths", "tokens", "vocabulary").groupBy("batch").cogroup(numbered).applyInArrow(_ngrams_out(bits, shared), _MESSAGES)
+    with scope():  # the texts' hashes and level 0's answers go when each batch has its numbers
+        encoded = materialise(rows.mapInArrow(_encoder(BATCH_TOKENS), _ENCODED), "encoded")
+        size = encoded.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        bits = max(1, (2 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // SHARD_TOKENS) - 1).bit_length())
+        words = encoded.select("batch", "vocabulary", "counts").mapInArrow(_words_out(bits), "shard long, batch long, words binary, counts binary")
+        counted = materialise(words.groupBy("shard").applyInArrow(_count_words, _ANSWERS), "words")
+        levels = materialise(counted.where("batch < 0").select("shard", "data", "v", "n"), "levels", outer=True)
+        v, n = levels.agg(F.coalesce(F.sum("v"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+        known = numbering(levels, n, bits)
+        shared = spark.sparkContext.broadcast(known)
+        answers = counted.where("batch >= 0").select("batch", "shard", "data")
+        batches = encoded.drop("n", "vocabulary", "counts").groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_numbered(shared), _NUMBERED)
+        batches = materialise(batches, "numbered", outer=True)
+    sent = batches.select("batch", "train", "lengths", "tokens", "numbers").mapInArrow(_ngrams_out(bits, shared), _MESSAGES)
     codes = materialise(sent.groupBy("shard").applyInArrow(_answer_ngrams(shared, mu2, mu3), _ANSWERS), "codes")
-    answers = counted.where("batch >= 0").unionByName(codes.where("batch >= 0")).select("batch", "kind", "shard", "data")
-    found = encoded.drop("counts", "n").groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(
+    answers = codes.where("batch >= 0").select("batch", "kind", "shard", "data")
+    found = batches.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(
         _score(bits, shared, v, n, mu2), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     )
     scores = found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

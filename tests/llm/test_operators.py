@@ -1,6 +1,7 @@
 """The training-data operators against brute force, round trips and held-out accuracy, and on hard inputs."""
 
 import collections
+import functools
 import hashlib
 import math
 import os
@@ -188,7 +189,7 @@ def floored(x):
     return 2 ** (-math.ceil(-8 * math.log2(x) - 1e-9) / 8) if x else 0
 
 
-@pytest.mark.parametrize("shard,hot,batch", [(100, 30, 1_300_000), (10**6, 2000, 500), (10**6, 10**9, 1)])
+@pytest.mark.parametrize("shard,hot,batch", [(2000, 30, 1_300_000), (10**6, 2000, 500), (10**6, 10**9, 1)])
 def test_scores_match_brute_force(docs, empty, monkeypatch, shard, hot, batch):
     monkeypatch.setattr(ngram_trie, "SHARD_TOKENS", shard)
     monkeypatch.setattr(ngram_trie, "HOT", hot)
@@ -211,6 +212,7 @@ def test_scores_match_brute_force(docs, empty, monkeypatch, shard, hot, batch):
     key = lambda w: np.array([ngram_trie.END if w == "</s>" else lex.words([w.encode()])[4][0]], np.uint64)
     levels, tries = ({r["shard"]: bytes(r["data"]) for r in t.collect()} for t in (found.words, found.tries))
 
+    @functools.cache
     def place(w):
         """(number, count) of a word by the levels."""
         hits = [(int(found.numbering.firsts[k] + at[0]), int(c[0])) for k, x in levels.items() for at, c in [ngram_trie.word_places(x, key(w))] if at[0] >= 0]
@@ -232,7 +234,7 @@ def test_messages_of_a_batch_depend_on_shards_alone(spark, monkeypatch):
     found = []
     for parts in (3, 30):  # a batch a partition
         written = {}
-        monkeypatch.setattr(ngram_trie, "materialise", lambda df, label, to=written: to.setdefault(label, scratch.materialise(df, label)))
+        monkeypatch.setattr(ngram_trie, "materialise", lambda df, label, to=written, **how: to.setdefault(label, scratch.materialise(df, label, **how)))
         ngram_trie.fit_and_score(rows.repartition(parts))
         sent = written["codes"].where("batch >= 0").groupBy("batch").count().collect()
         found.append((len(sent), max(r["count"] for r in sent)))
