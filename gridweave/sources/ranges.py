@@ -49,28 +49,32 @@ class Structure:
         keep = self.odd == inside
         return self.places[keep], self.steps[keep]
 
-    def array(self, inside: bool, first: bool) -> int | None:
-        """The place of the bracket that opens the array; first: the text begins the document."""
+    def arrays(self, inside: bool, first: bool) -> list[int]:
+        """Places of brackets that may open the array; first: the text begins the document."""
         if first and self.text.lstrip()[:1] == b"[":
-            return self.text.index(b"[")
-        return next((at for quote, at in self.keys if np.searchsorted(self.quotes, quote) % 2 == inside), None)
+            return [self.text.index(b"[")]
+        return [at for quote, at in self.keys if np.searchsorted(self.quotes, quote) % 2 == inside]
+
+
+#: The array is a document of its own or a member of one: how deep its bracket is at most.
+_TOP = 2
 
 
 class Sum:
     """What a range does to the depth, in one of the two cases; depths count from that of its begin."""
 
     def __init__(self):
-        self.depth, self.least, self.target, self.least_after = 0, 0, None, None
+        self.depth, self.least = 0, 0
+        self.targets: list[list[int]] = []  # depth in each array that may be it, and the least depth since
 
     def add(self, s: Structure, inside: bool, first: bool) -> None:
         places, steps = s.outside(inside)
         depths = self.depth + np.cumsum(steps)
-        at = s.array(inside, first) if self.target is None else None
-        if at is not None:
+        for target in self.targets if len(depths) else []:
+            target[1] = min(target[1], int(depths.min()))
+        for at in s.arrays(inside, first):
             k = int(np.searchsorted(places, at))
-            self.target, self.least_after = int(depths[k]), int(depths[k:].min())
-        elif self.target is not None and len(depths):
-            self.least_after = min(self.least_after, int(depths.min()))
+            self.targets.append([int(depths[k]), int(depths[k:].min())])
         if len(depths):
             self.depth, self.least = int(depths[-1]), min(self.least, int(depths.min()))
 
@@ -89,7 +93,7 @@ def _bytes(column) -> list[bytes]:
     return column.cast(pa.binary()).to_pylist()
 
 
-_SUMS = "path string, block long, odd boolean, bytes long, size long, depths array<int>, leasts array<int>, targets array<int>, afters array<int>"
+_SUMS = "path string, block long, odd boolean, bytes long, size long, depths array<int>, leasts array<int>, targets array<array<array<int>>>"
 
 
 def _summed(key: str):
@@ -97,8 +101,8 @@ def _summed(key: str):
         now, sums, odd, size, whole = None, [], False, 0, 0
 
         def row():
-            kinds = [pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), *[pa.list_(pa.int32())] * 4]
-            values = [*now, odd, size, whole, [s.depth for s in sums], [s.least for s in sums], [s.target for s in sums], [s.least_after for s in sums]]
+            kinds = [pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), *[pa.list_(pa.int32())] * 2, pa.list_(pa.list_(pa.list_(pa.int32())))]
+            values = [*now, odd, size, whole, [s.depth for s in sums], [s.least for s in sums], [s.targets for s in sums]]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], [x.split()[0] for x in _SUMS.split(", ")])
 
         for batch in batches:
@@ -130,9 +134,9 @@ def _states(table: pa.Table) -> pa.Table:
     inside, depth, target, closed, total, out = False, 0, None, False, sum(r["bytes"] for r in rows), []
     for r in rows:
         out.append((r["path"], r["block"], inside, depth, target, closed, total))
-        if target is None and r["targets"][inside] is not None:
-            target = depth + r["targets"][inside]
-            closed = depth + r["afters"][inside] < target
+        known = next(((depth + at, depth + least) for at, least in r["targets"][inside] if depth + at <= _TOP), None)
+        if target is None and known:
+            target, closed = known[0], known[1] < known[0]
         elif target is not None and not closed:
             closed = depth + r["leasts"][inside] < target
         depth += r["depths"][inside]
@@ -158,11 +162,11 @@ class Cutter:
             self.depth = int(after[-1])
         self.inside ^= len(s.quotes) % 2 == 1
         if self.target is None:
-            at = s.array(begin, self.first)
+            found = [int(np.searchsorted(places, at)) for at in s.arrays(begin, self.first)]
             self.first &= not text.strip()
-            if at is None:
+            k = next((k for k in found if after[k] <= _TOP), None)
+            if k is None:
                 return []
-            k = int(np.searchsorted(places, at))
             self.target = int(after[k])
             places, steps, after = places[k + 1 :], steps[k + 1 :], after[k + 1 :]
         if self.closed:
@@ -288,7 +292,7 @@ def _range_bytes(spark: SparkSession, size: int | None):
 
 
 def objects(spark: SparkSession, path: str, key: str, schema: str, corrupt: str = "_corrupt_record", range_bytes: int | None = None) -> DataFrame:
-    """(path, ordinal, object, corrupt): the objects of the array `key` of each document under a path, or of documents that are an array themselves, from 0.
+    """(path, ordinal, object, corrupt): the objects of the array `key` of each document under a path, its member at the top, or of documents that are an array themselves, from 0.
 
     schema: fields of the objects, as DDL. An object that does not parse has nulls, and its text in the column `corrupt`. Elements that are no objects are passed over.
     A document whose end is missing gives all objects that are whole, and the begin of the last one as a corrupt one. range_bytes: size of the ranges; the session's own without it.

@@ -483,6 +483,7 @@ def test_ranges_of_large_documents(spark, tmp_path):
     (tmp_path / "bad.json").write_text('{"traceEvents":[{"name":"a","ph":"X"},{"name":"b" "ph"},3,[1,{"name":"deep"}],{"name":"c","ts":"x"},{"name":"d","ph":"M"}]}')
     (tmp_path / "empty.json").write_text("")
     (tmp_path / "none.json").write_text('{"a":1,"b":[{"name":"x"}]}')
+    (tmp_path / "inner.json").write_text('{"meta":{"traceEvents":[{"name":"no"}]},"x":[{"traceEvents":[{"name":"no"}]}],"s":"\\"traceEvents\\":[{}","traceEvents":[' + ",".join(json.dumps(e) for e in made[:300]) + "]}")
     (tmp_path / "late.json").write_text('{"o":[' + ",".join('{"name":"}"}' for _ in range(3000)) + '],"traceEvents":[' + ",".join(json.dumps(e) for e in made[:9]) + "]}")
     for size in (None, 9000):
         got = {}
@@ -490,12 +491,12 @@ def test_ranges_of_large_documents(spark, tmp_path):
             got.setdefault(row["path"].rsplit("/", 1)[1], []).append(row)
         for own in got.values():
             own.sort(key=lambda x: x["event_id"])
-        for name, n in (("a.json", 1200), ("array.json", 50), ("c.json.gz", 1200), ("late.json", 9)):
+        for name, n in (("a.json", 1200), ("array.json", 50), ("c.json.gz", 1200), ("late.json", 9), ("inner.json", 300)):
             assert [(x["event_id"], x["name"], x["args"], x["bad"]) for x in got[name]] == [(k, e["name"], e["args"], None) for k, e in enumerate(made[:n])], (size, name)
         torn = got["torn.json"]
         assert [x["name"] for x in torn[:-1]] == [e["name"] for e in made[: len(torn) - 1]] and torn[-1]["bad"] and len(torn) > 600
         assert [(x["name"], x["bad"] is not None) for x in got["bad.json"]] == [("a", False), (got["bad.json"][1]["name"], True), (got["bad.json"][2]["name"], True), ("d", False)]
-        assert set(got) == {"a.json", "array.json", "c.json.gz", "late.json", "torn.json", "bad.json"}
+        assert set(got) == {"a.json", "array.json", "c.json.gz", "late.json", "inner.json", "torn.json", "bad.json"}
     assert documents.trace_events(spark, str(tmp_path / "bad.json")).count() == 2
 
 
