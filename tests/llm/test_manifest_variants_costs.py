@@ -164,8 +164,8 @@ def test_variants(spark, hot):
     rows = texts()
     got = variants.groups(make(spark, rows).repartition(3), hot=hot).collect()
     want = expected(rows)
-    assert {r["word"]: tuple(r)[1:] for r in got} == want and len(got) == len(want) > 150
-    assert want["laddebac"][1] == "ladderab" and max(x[3] for x in want.values()) > 15
+    assert {r["word"]: tuple(r)[1:] for r in got} == want and len(got) == len(want) > 100
+    assert want["laddebac"][1] == "ladderab" and max(x[3] for x in want.values()) > 12
 
 
 def test_variants_of_nothing(spark):
