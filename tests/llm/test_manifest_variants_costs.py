@@ -156,7 +156,7 @@ def texts():
             line.append(r.choice([w, w.upper(), w.title()]))
         rows.append((r.choice([i, i, None]), r.choice([" ", "1", "日", "\n"]).join(line), None, None, None))
     ladder = " ".join(["ladderab"] * 300 + ["ladderac"] * 25 + ["laddebac"] * 2)
-    return rows + rows[:5] + [(1, None, None, None, None), (2, "", None, None, None), (3, ladder, None, None, None), (4, "x" * 5000 + " " + "short wo", None, None, None)]
+    return rows + rows[:5] + [(1, None, None, None, None), (2, "", None, None, None), (4, ladder, None, None, None), (4, "x" * 5000 + " " + "short wo", None, None, None)]
 
 
 @pytest.mark.parametrize("hot", [2, 40, 4096])
