@@ -225,10 +225,14 @@ def dictionary(nested: DataFrame) -> DataFrame:
 
 
 def chains(paths: DataFrame) -> DataFrame:
-    """(path, chain) of a dictionary: the steps of each path, innermost first. Pointers double over written tables, so rounds grow with the logarithm of the depth."""
-    now = materialise(paths.select("own", F.col("path").alias("up"), F.array("step").alias("chain")), "paths")
-    while now.where("up is not null").limit(1).count():
+    """(path, chain) of a dictionary: the steps of each path, innermost first. Pointers double twice between written tables, so rounds grow with the logarithm of the depth."""
+
+    def doubled(now: DataFrame) -> DataFrame:
         above = now.select(F.col("own").alias("__own"), F.col("up").alias("__up"), F.col("chain").alias("__chain"))
         joined = now.join(above, F.col("up") == F.col("__own"), "left")
-        now = materialise(joined.select("own", F.col("__up").alias("up"), F.concat("chain", F.coalesce("__chain", F.array().cast("array<string>"))).alias("chain")), "paths")
+        return joined.select("own", F.col("__up").alias("up"), F.concat("chain", F.coalesce("__chain", F.array().cast("array<string>"))).alias("chain"))
+
+    now = materialise(paths.select("own", F.col("path").alias("up"), F.array("step").alias("chain")), "paths")
+    while now.where("up is not null").limit(1).count():
+        now = materialise(doubled(doubled(now)), "paths")
     return now.select(F.col("own").alias("path"), "chain")
