@@ -638,3 +638,28 @@ def test_subtrees(spark):
     assert {x["node"]: (x["low"], x["high"], x["all"]) for x in got.collect()} == {k: (min(v), max(v), sum(v)) for k, v in want.items() if v}
     with pytest.raises(ValueError, match="cycle"):
         forest.intervals(spark.createDataFrame([(1, 2), (2, 1), (3, None)], "n int, p int"), "n", "p")
+
+
+def test_codecs_of_many_images_at_once(spark):
+    from gridweave.operators import codecs
+
+    r = np.random.default_rng(5)
+    grids = [r.integers(0, 256, (h, w, 4), dtype=np.uint8) for h, w in ((5, 6), (5, 6), (4, 4), (5, 6), (1, 3))]
+    for name in ("BC1", "BC4", "BC5", "EXPrg8", "EXPrgba8"):
+        assert codecs.encode_all(name, grids) == [codecs.ENCODERS[name](g) for g in grids]
+        parts = [(name, codecs.ENCODERS[name](g), g.shape[1], g.shape[0]) for g in grids]
+        parts[1] = (name, parts[1][1][:-1], *parts[1][2:])
+        for part, got in zip(parts, codecs.decode_all(parts), strict=True):
+            assert isinstance(got, ValueError) if part is parts[1] else (got == codecs.decode(*part)).all()
+
+
+def test_small_textures_share_frames():
+    """A frame for each file took more time than its pixels."""
+    import pandas as pd
+
+    from gridweave.operators import codecs
+
+    files = [containers.write_ktx2("EXPr8", 3, 2, [bytes([k % 256] * 6)]) for k in range(500)]
+    frames = list(codecs._pixels(0)([pd.DataFrame({"path": [*map(str, range(500)), "bad"], "content": [*files, b"no file"]})]))
+    assert len(frames) == 1 and len(frames[0]) == 3001 and frames[0]["error"].notna().sum() == 1
+    assert (frames[0]["r"][:3000] == np.repeat(np.arange(500) % 256, 6)).all() and frames[0]["y"][3000:].isna().all()
