@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..scratch import free_name, materialise, numbered, quoted, quotes, release, scope, shared_dir, stage_tables  # noqa: F401  the operators take them from here
+from ..scratch import batch_bytes, free_name, materialise, numbered, quoted, quotes, release, scope, shared_dir, stage_tables  # noqa: F401  the operators take them from here
 
 #: White space of the contracts: blank, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = b" \t\n\x0b\x0c\r"

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import PLACE, SPACES, Lexer, materialise, mix, numbered, quoted, quotes, read_table, text_bytes, windows
+from ._common import PLACE, SPACES, Lexer, batch_bytes, materialise, mix, numbered, quoted, quotes, read_table, text_bytes, windows
 from .components import components
 from .heavy import lookup
 
@@ -41,6 +41,8 @@ K, SLACK = 64, 0.37
 UNION_K, UNION_SLACK = 256, 0.15
 #: Lists above this length are merged into clusters; classes of a block; set values that a block holds of each class.
 LONG, BLOCK, CUT = 64, 1024, 512
+#: Bytes of a batch of texts or of pairs of sets in a task: sets of long texts take 100 KB and more each, so 10,000 pairs would take a GB.
+BATCH = 8 << 20
 
 
 def shingles(hashes: np.ndarray, size: int = SIZE) -> np.ndarray:
@@ -227,6 +229,11 @@ def _dealt(rest: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SIZE, k: int = K, cut: int | None = CUT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id): one row per document."""
+    with batch_bytes(docs.sparkSession, BATCH):
+        return _near_duplicates(docs, percent, size, k, cut, id_col, text_col)
+
+
+def _near_duplicates(docs: DataFrame, percent: int, size: int, k: int, cut: int | None, id_col: str, text_col: str) -> DataFrame:
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = materialise(texts.mapInArrow(_signer(size, k), "doc_id long, n long, digest binary, sketch array<long>"), "signed")
     classes = signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.max("n").alias("n"), F.first("sketch").alias("sketch"))

@@ -606,3 +606,34 @@ def test_trees_learn(spark):
     model = url_filter.fit(table, trees=4, depth=2)
     scored = url_filter.with_features(table, model).select("block", (model.score() > 0).cast("int").alias("said"))
     assert scored.where("block <> said").count() <= 10
+
+
+def test_batches_of_pairs_are_bounded_by_bytes(spark, monkeypatch):
+    """10,000 pairs of sets of long texts would be a batch of a GB."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from gridweave.llm import near_dedup
+
+    def sizes(percent):
+        def run(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_pydict({"a": pa.array([batch.nbytes], pa.int64()), "b": pa.array([batch.num_rows], pa.int64())})
+
+        return run
+
+    seen = []
+    def kept(df, label, **more):
+        out = original(df, label, **more)
+        if label == "edges" and set(df.columns) == {"a", "b"}:
+            seen.extend(out.collect())
+        return out
+
+    original = near_dedup.materialise
+    monkeypatch.setattr(near_dedup, "_verifier", sizes)
+    monkeypatch.setattr(near_dedup, "BATCH", 1 << 18)
+    monkeypatch.setattr(near_dedup, "materialise", kept)
+    words = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(5000)), lambda k: F.concat(F.lit("w"), k.cast("string"))), " ")
+    docs = spark.range(0, 60, 1, 1).select(F.col("id").alias("doc_id"), F.concat(words, F.lit(" end"), F.col("id").cast("string")).alias("text"))
+    near_dedup.near_duplicates(docs)
+    assert seen and sum(r["b"] for r in seen) >= 59 and max(r["a"] for r in seen) < 1 << 20
