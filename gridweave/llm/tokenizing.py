@@ -22,7 +22,7 @@ import numpy as np
 from tokenizers import Tokenizer
 
 #: Bounds of the caches: entries, not bytes; entries are short (a word and its ids). Pieces have two generations of that size.
-MAX_PIECES, MAX_TOKENS, MAX_LENGTH = 250_000, 150_000, 64
+MAX_PIECES, MAX_TOKENS, MAX_LENGTH = 500_000, 150_000, 64
 
 _ASCII_SPACE = re.compile(r"[ \t\n\x0b\x0c\r]+")
 _ODD_SPACE = re.compile(r"\s\s|^\s|\s$")
@@ -30,6 +30,8 @@ _SINGLE_BLANK = re.compile(r"(?<=\S) (?=\S)")
 #: Latin letters without those whose lower case or normal form is not one character, digits, ASCII marks but "<".
 _LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PLAIN = re.compile(rf"[{_LATIN}0-9!-/:;=>?@\[-`{{-~\n]+")
+#: Marks that are a pre-token of their own behind a word's end.
+_MARKS = tuple(".,;:!?)")
 #: White space, or what Python takes for it, other than blanks and line feeds.
 _RARE_SPACE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 # The pre-token patterns of the two vocabularies, on plain pieces.
@@ -88,6 +90,9 @@ class PieceEncoder:
             if part.isascii() and part.isalpha():  # one pre-token, whose letters are written as themselves
                 coded = self.coded
                 ids = b"".join([coded[x.id] for x in self.model.tokenize(self.blank + part if self.joined else part.lower())])
+            elif part[-1:] in _MARKS and part.isascii() and part[:-1].isalpha():  # a word and a mark are two pre-tokens
+                word = self.pieces.get(part[:-1])
+                ids = (self._known(part[:-1]) if word is None else word) + self._token(part[-1])
             else:
                 ids = self._piece(" " + part if self.joined else part)
         if len(part) <= MAX_LENGTH:
