@@ -3,7 +3,7 @@
 A shard holds the ids of consecutive documents as bit-planes, the most significant first; each plane stably
 parts the sequence of the plane above into zeros, then ones. Each plane has a stored directory: ones before every 4096 bits (32-bit), ones
 since then before every 64 bits (16-bit), for rank; the word that holds every 2048th one, and every 2048th zero, for select.
-Token access, counting and occurrence lookup take a constant number of steps per plane on the packed bits; reading back is access by blocks of positions.
+Token access, counting and occurrence lookup take a constant number of steps per plane on the packed bits; reading back whole shards undoes the parting plane by plane, from the lowest up.
 
 File format, little-endian: b"GWWM2\0", then uint32 planes, uint64 documents, uint64 tokens, uint64 zeros of each
 plane, int64 document ids (the least integer: null), uint64 document ends, then per plane the packed bits (64-bit words) and its four
@@ -153,6 +153,16 @@ class WaveletMatrix:
         for a in range(0, self.n, size):
             yield self.access(np.arange(a, min(a + size, self.n)))
 
+    def sequence(self) -> np.ndarray:
+        """The whole sequence, in order: from the lowest plane up, each plane's bits say which tokens of the plane below come next, the zeros' or the ones'."""
+        out = np.zeros(self.n, np.uint16 if self.planes <= 16 else np.uint32)
+        for plane, (zeros, level) in enumerate(zip(reversed(self.zeros), reversed(self.levels), strict=True)):
+            ones = np.unpackbits(level.words.view(np.uint8), count=self.n, bitorder="little").view(bool)
+            below, out = out, np.empty_like(out)
+            out[~ones] = below[:zeros]
+            out[ones] = below[zeros:] | out.dtype.type(1 << plane)
+        return out.astype(np.uint32)
+
     def _down(self, token: int, lo: int, hi: int) -> tuple[int, int]:
         for k, level in enumerate(self.levels):
             a, b = level.rank([lo, hi]).tolist()
@@ -254,7 +264,7 @@ def _reader(batches):
     for batch in batches:
         for shard, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             doc_ids, ends, matrix = read_shard(content)
-            ids = memoryview(b"".join(x.astype("<u4").tobytes() for x in matrix.blocks()))
+            ids = memoryview(matrix.sequence().astype("<u4").tobytes())
             starts = np.concatenate(([0], ends[:-1])) if len(ends) else ends
             crcs = [zlib.crc32(ids[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
             yield pa.RecordBatch.from_pydict(

@@ -637,3 +637,18 @@ def test_batches_of_pairs_are_bounded_by_bytes(spark, monkeypatch):
     docs = spark.range(0, 60, 1, 1).select(F.col("id").alias("doc_id"), F.concat(words, F.lit(" end"), F.col("id").cast("string")).alias("text"))
     near_dedup.near_duplicates(docs)
     assert seen and sum(r["b"] for r in seen) >= 59 and max(r["a"] for r in seen) < 1 << 20
+
+
+@pytest.mark.parametrize("n,planes", [(0, 3), (1, 1), (65, 17), (4097, 16)])
+def test_wavelet_sequence(n, planes):
+    ids = np.random.default_rng(n).integers(0, 1 << planes, n).astype("<u4")
+    matrix = wavelet.read_shard(wavelet.write_shard(np.array([1]), np.array([n]), ids, planes))[2]
+    assert (matrix.sequence() == ids).all()
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_words_with_a_mark(name):
+    path = public_tokenizers.path(name)
+    text = "Then word, Word. it's! don't) (x; a: e, é, 12, b?! c.) ." * 3
+    encode = tokenizing.PieceEncoder(path)
+    assert np.frombuffer(encode.encode(text), "<u4").tolist() == encode.tokenizer.encode(text, add_special_tokens=False).ids
