@@ -663,3 +663,13 @@ def test_small_textures_share_frames():
     frames = list(codecs._pixels(0)([pd.DataFrame({"path": [*map(str, range(500)), "bad"], "content": [*files, b"no file"]})]))
     assert len(frames) == 1 and len(frames[0]) == 3001 and frames[0]["error"].notna().sum() == 1
     assert (frames[0]["r"][:3000] == np.repeat(np.arange(500) % 256, 6)).all() and frames[0]["y"][3000:].isna().all()
+
+
+def test_documents_hold_several_tracks(spark):
+    """A document for each track made as many files as tracks; the number of documents follows the rows."""
+    from gridweave.plans import file_queries
+
+    rows = spark.range(0, 200_000, 1, 4)
+    n = rows.select(file_queries.shares(rows, "id").alias("p")).distinct().count()
+    assert n == file_queries.FEWEST
+    assert spark.range(1000).select(file_queries.shares(spark.range(30 * file_queries.SHARE), "id").alias("p")).distinct().count() == 30
