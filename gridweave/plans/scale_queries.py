@@ -9,6 +9,7 @@ from ..scratch import fresh_path, materialise
 from ..sinks import committed
 from ..sources import documents, table_functions
 from .catalog import query, table
+from .file_queries import shares
 from .more_queries import _UP, _nodes
 from .trace_queries import _PARENTS, WIDE, events, sql_events
 
@@ -48,14 +49,15 @@ def corrupt_records(spark, sf_dir):
     """Every fifth record of each document lacks a colon; the others are read, and it is told apart."""
     line = F.to_json(F.struct("name", "ts"))
     broken = F.concat(F.lit('{"name" "'), F.col("event_id").cast("string"), F.lit('"}'))
-    e = events(spark, sf_dir).select("event_id", "tid", F.struct("event_id", F.when(F.col("event_id") % 5 == 0, broken).otherwise(line).alias("line")).alias("r"))
+    e = events(spark, sf_dir)
+    e = e.select("event_id", shares(e, "tid").alias("part"), F.struct("event_id", F.when(F.col("event_id") % 5 == 0, broken).otherwise(line).alias("line")).alias("r"))
     lines = F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["line"]), ",")
     path = fresh_path(spark, "broken")
-    e.groupBy("tid").agg(F.concat(F.lit('{"traceEvents":['), lines, F.lit("]}")).alias("value")).write.partitionBy("tid").text(path)
-    found = documents.trace_events(spark, path, corrupt="bad").select(F.regexp_extract("path", "/tid=([0-9]+)/", 1).cast("bigint").alias("tid"), "event_id", "name", F.col("bad").isNotNull().alias("corrupt"))
-    order = e.select("tid", F.col("r.event_id").alias("id"))
-    placed = relations.row_ordinals(order, ["tid"], ["id"], "place").select(F.col("tid").alias("t"), "place", "id")
-    return found.join(placed, (F.col("tid") == F.col("t")) & (F.col("event_id") == F.col("place"))).select(F.col("id").alias("event_id"), "corrupt", F.when(~F.col("corrupt"), F.col("name")).alias("name"))
+    e.groupBy("part").agg(F.concat(F.lit('{"traceEvents":['), lines, F.lit("]}")).alias("value")).write.partitionBy("part").text(path)
+    found = documents.trace_events(spark, path, corrupt="bad").select(F.regexp_extract("path", "/part=([0-9]+)/", 1).cast("bigint").alias("part"), "event_id", "name", F.col("bad").isNotNull().alias("corrupt"))
+    order = e.select("part", F.col("r.event_id").alias("id"))
+    placed = relations.row_ordinals(order, ["part"], ["id"], "place").select(F.col("part").alias("p"), "place", "id")
+    return found.join(placed, (F.col("part") == F.col("p")) & (F.col("event_id") == F.col("place"))).select(F.col("id").alias("event_id"), "corrupt", F.when(~F.col("corrupt"), F.col("name")).alias("name"))
 
 
 @query(f"SELECT tid, CAST(row_number() OVER (PARTITION BY tid ORDER BY event_id) - 1 AS BIGINT) AS place, name, ts, dur FROM {sql_events()}")
