@@ -673,3 +673,24 @@ def test_documents_hold_several_tracks(spark):
     n = rows.select(file_queries.shares(rows, "id").alias("p")).distinct().count()
     assert n == file_queries.FEWEST
     assert spark.range(1000).select(file_queries.shares(spark.range(30 * file_queries.SHARE), "id").alias("p")).distinct().count() == 30
+
+
+def test_small_images_share_batches():
+    """A frame for each image took more time than its pixels."""
+    import pyarrow as pa
+
+    files = [containers.write_png(2, 3, bytes([k] * 24)) for k in range(200)]
+    frames = list(containers._pixels([pa.RecordBatch.from_pydict({"path": [*map(str, range(200)), "bad"], "content": [*files, b"no file"]})]))
+    assert len(frames) == 1 and frames[0].num_rows == 1201 and frames[0].column("error").null_count == 1200
+    assert frames[0].column("r").to_pylist() == [k for k in range(200) for _ in range(6)] + [None]
+
+
+def test_images_over_several_batches(spark):
+    """A null key is an image too; one of more pixels than a batch of rows holds is one file."""
+    big = spark.range(150 * 150).selectExpr("'big' as path", "cast(id div 150 as int) as y", "cast(id % 150 as int) as x")
+    small = spark.createDataFrame([(None, 0, 0), ("a", 1, 1)], "path string, y int, x int")
+    pixels = big.unionByName(small).selectExpr("*", "x as r", "y as g", "7 as b", "255 as a")
+    files = containers.png_files(pixels)
+    sizes = {r["path"]: containers.read_png(bytes(r["content"]))[:2] for r in files.collect()}
+    assert sizes == {"big": (150, 150), None: (1, 1), "a": (2, 2)}
+    assert containers.png_pixels(files).where("path = 'big' and (r <> x or g <> y or b <> 7 or a <> 255)").count() == 0
