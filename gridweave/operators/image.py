@@ -55,24 +55,25 @@ def box_mip(pixels: DataFrame, channels: list[str], key: str = "image_id", integ
 
 
 def _taps(size: str, at: str) -> Column:
-    """Weighted sources of one axis at half size: one, two or three, summing to 1."""
-    half = F.col(at)
-    n = F.col(size)
-    whole = F.array(F.struct(half.alias("p"), F.lit(1.0).alias("w")))
-    even = F.array(*(F.struct((half * 2 + k).alias("p"), F.lit(0.5).alias("w")) for k in (0, 1)))
-    m = F.floor(n / 2).cast("double")
-    weights = [(m - half) / n, m / n, (half + 1) / n]  # overlap of the output cell with each source
-    odd = F.array(*(F.struct((half * 2 + k).alias("p"), w.alias("w")) for k, w in enumerate(weights)))
-    return F.when(n == 1, whole).when(n % 2 == 0, even).otherwise(odd)
+    """Cells of one axis at half size that a source counts in, with its weight there: one, or two for every other source of an odd size. The weights of a cell sum to 1."""
+    n, p = F.col(size), F.col(at)
+    cells = F.floor(n / 2)
+    half, m = F.floor(p / 2), cells.cast("double")
+    cell = lambda o, w: F.struct(o.cast("int").alias("o"), w.cast("double").alias("w"))
+    # overlap of the output cell with each source: the first, the middle and the last of its three
+    odd = F.when(p % 2 == 1, F.array(cell(half, m / n))).otherwise(F.array(cell(half, (m - half) / n), cell(half - 1, half / n)))
+    inside = (p >= 0) & (p < n)
+    found = F.when(n == 1, F.array(cell(half, F.lit(1.0)))).when(n % 2 == 0, F.array(cell(half, F.lit(0.5)))).otherwise(odd)
+    return F.when(inside, F.filter(found, lambda t: (t["o"] >= 0) & (t["o"] < F.greatest(cells, F.lit(1)))))
 
 
 def weighted_mip(pixels: DataFrame, sizes: DataFrame, channels: list[str], key: str = "image_id") -> DataFrame:
-    """Half size, rounded down, of any size: odd sizes weigh three sources by overlap. sizes: (image_id, width, height)."""
-    grid = sizes.select(key, "width", "height", F.explode(F.sequence(F.lit(0), F.greatest(F.expr("height div 2"), F.lit(1)) - 1)).alias("oy"))
-    grid = grid.select("*", F.explode(F.sequence(F.lit(0), F.greatest(F.expr("width div 2"), F.lit(1)) - 1)).alias("ox"))
-    rows = grid.withColumn("ty", F.explode(_taps("height", "oy"))).withColumn("tx", F.explode(_taps("width", "ox")))
-    rows = rows.select(key, "oy", "ox", F.col("ty.p").alias("y"), F.col("tx.p").alias("x"), (F.col("ty.w") * F.col("tx.w")).alias("w"))
-    return rows.join(pixels, [key, "y", "x"]).groupBy(key, F.col("oy").alias("y"), F.col("ox").alias("x")).agg(*(F.sum(F.col(c) * F.col("w")).alias(c) for c in channels))
+    """Half size, rounded down, of any size: odd sizes weigh three sources by overlap. sizes: (image_id, width, height). Each pixel goes to the cells that it counts in, at most four, and cells are summed
+    before they are shuffled, so no task sorts all of its pixels by place."""
+    rows = pixels.select(key, "y", "x", *channels).join(sizes.select(key, "width", "height"), key)
+    rows = rows.withColumn("ty", F.explode(_taps("height", "y"))).withColumn("tx", F.explode(_taps("width", "x")))
+    weight = F.col("ty.w") * F.col("tx.w")
+    return rows.groupBy(key, F.col("ty.o").alias("y"), F.col("tx.o").alias("x")).agg(*(F.sum(F.col(c) * weight).alias(c) for c in channels))
 
 
 def mip_plan(images: DataFrame, most: int = 16) -> DataFrame:

@@ -694,3 +694,28 @@ def test_images_over_several_batches(spark):
     sizes = {r["path"]: containers.read_png(bytes(r["content"]))[:2] for r in files.collect()}
     assert sizes == {"big": (150, 150), None: (1, 1), "a": (2, 2)}
     assert containers.png_pixels(files).where("path = 'big' and (r <> x or g <> y or b <> 7 or a <> 255)").count() == 0
+
+
+def test_odd_mips_join_no_grid(spark):
+    """A grid of nine sources for each cell, joined with the pixels by place, took GBs of a task's memory; cells are summed from the pixels themselves."""
+    r = np.random.default_rng(3)
+    grids = {k: r.integers(0, 256, hw) for k, hw in enumerate([(5, 7), (3, 4), (1, 6), (9, 1), (2, 2)])}
+    pixels = spark.createDataFrame([(k, y, x, int(g[y, x])) for k, g in grids.items() for y in range(g.shape[0]) for x in range(g.shape[1])] + [(0, 5, 0, 99)], "image_id int, y int, x int, r int")
+    sizes = spark.createDataFrame([(k, g.shape[1], g.shape[0]) for k, g in grids.items()], "image_id int, width int, height int")
+
+    def matrix(n):
+        m = n // 2
+        if n == 1:
+            return np.ones((1, 1))
+        out = np.zeros((m, n))
+        for o in range(m):
+            out[o, 2 * o : 2 * o + (2 if n % 2 == 0 else 3)] = 0.5 if n % 2 == 0 else np.array([m - o, m, o + 1]) / n
+        return out
+
+    want = {k: matrix(g.shape[0]) @ g @ matrix(g.shape[1]).T for k, g in grids.items()}
+    found = image.weighted_mip(pixels, sizes, ["r"])
+    got = found.collect()
+    assert len(got) == sum(w.size for w in want.values()) and all(abs(x["r"] - want[x["image_id"]][x["y"], x["x"]]) < 1e-9 for x in got)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    keys = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line]
+    assert "image_id" in keys[0] and " AND " not in keys[0].replace("isnotnull", "")
