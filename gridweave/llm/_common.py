@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +14,13 @@ from ..scratch import batch_bytes, free_name, materialise, numbered, quoted, quo
 #: White space of the contracts: blank, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = b" \t\n\x0b\x0c\r"
 
+def drop_encoders() -> None:
+    """Drops the encoders and caches that tokenizing has left in this worker process, 100 MB and more: Spark hands the process on to tasks of other operators, which would hold them beside their own."""
+    tokenizing = sys.modules.get(f"{__package__}.tokenizing")
+    if tokenizing:
+        tokenizing.encoder.cache_clear()
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

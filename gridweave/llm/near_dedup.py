@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import PLACE, SPACES, Lexer, batch_bytes, materialise, mix, numbered, quoted, quotes, read_table, text_bytes, windows
+from ._common import PLACE, SPACES, Lexer, batch_bytes, drop_encoders, materialise, mix, numbered, quoted, quotes, read_table, text_bytes, windows
 from .components import components
 from .heavy import lookup
 
@@ -61,6 +61,7 @@ def _sets(texts: list[bytes], size: int):
 
 def _signer(size: int, k: int):
     def run(batches):
+        drop_encoders()
         for batch in batches:
             counts, digests, sketches = [], [], []
             for found in _sets(text_bytes(batch.column(1)), size):
@@ -118,6 +119,7 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 def _verifier(percent: int):
     def run(batches):
+        drop_encoders()
         for batch in batches:
             a, b, sa, sb = (batch.column(k) for k in range(4))
             keep = [linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in zip(sa, sb, strict=True)]  # no copies

@@ -46,3 +46,18 @@ def test_stages(spark):
         windows |= {" " + " ".join(w[k : k + 10]) + " " for k in range(max(1, len(w) - 9))}
     assert ids["decontaminate"] == {i for i in ids["near"] if not any(x in split(texts[i]) for x in windows)}
     assert ids["pack"] == ids["decontaminate"]
+
+
+def test_other_operators_drop_the_encoders():
+    """What tokenizing keeps in a worker process is not held beside the work of a later stage's tasks."""
+    from types import SimpleNamespace
+
+    import public_tokenizers
+
+    from gridweave.llm import language, near_dedup, tokenizing
+
+    for run in (language._predictor(SimpleNamespace(value=None), ()), near_dedup._signer(5, 64), near_dedup._verifier(85)):
+        tokenizing.encoder(public_tokenizers.path(corpus_pipeline.TOKENIZER)).encode("some words")
+        assert tokenizing.encoder.cache_info().currsize == 1
+        list(run(iter([])))
+        assert tokenizing.encoder.cache_info().currsize == 0
