@@ -135,7 +135,9 @@ def transpose(m, n: int):
 
 
 def multiply(a, b, n: int):
-    return F.array(*(F.array(*(functools.reduce(lambda x, y: x + y, [_at(a, i, k) * _at(b, k, j) for k in range(n)]) for j in range(n))) for i in range(n)))
+    """Row by row: written out, the product is a method too long for the JVM's compiler, and is interpreted."""
+    row = lambda own: F.array(*(functools.reduce(lambda x, y: x + y, [F.element_at(own, k + 1) * _at(b, k, j) for k in range(n)]) for j in range(n)))
+    return F.transform(F.array(*(F.element_at(a, i + 1) for i in range(n))), row)
 
 
 def apply(m, v, n: int):

@@ -1,7 +1,7 @@
 """Subtrees of a forest by Euler-tour intervals.
 
-The tour enters every node before its children and leaves it after them, so a subtree is a run of consecutive numbers. Tours are found by list ranking: every entering and
-leaving points to what comes next, and pointers double over written tables, so rounds grow with the logarithm of the number of nodes, whatever the depth, and rows are two a node.
+The tour enters every node before its children and all below them, so a subtree is a run of consecutive numbers. A node's number is that of its parent, one more, and the sizes of the
+siblings' subtrees before it: sizes are summed upwards and numbers downwards while pointers to ancestors double over written tables, so rounds grow with the logarithm of the depth, and rows are one a node.
 A value over each subtree is one over a run of numbers, put together from aligned blocks of 1, 2, 4, ... numbers, of which a run has at most two of each size.
 """
 
@@ -13,32 +13,46 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import materialise
-from .relations import ordinals
+from .relations import running_sums
+
+#: Numbers that lie in one task when blocks are summed up: 2 ** NEAR.
+NEAR = 14
 
 
 def intervals(nodes: DataFrame, node: str, parent: str) -> DataFrame:
     """(node, first, last): the number of each node in the tour, siblings in order of their ids, and that of the last one in its subtree. A parent that is not there counts as none. A cycle is an error."""
     rows = nodes.select(F.col(node).alias("node"), F.col(parent).alias("up"))
     known = rows.select(F.col("node").alias("known"))
-    rows = rows.join(known, F.col("up") == F.col("known"), "left").select("node", F.col("known").alias("up"))
-    rows = materialise(ordinals(rows, ["up", "node"], "k"), "numbered")
-    count = rows.count()
-    parents = rows.select(F.col("node").alias("p_node"), F.col("k").alias("pk"))
-    after = rows.select((F.col("k") - 1).alias("s_k"), F.col("up").alias("s_up"))
-    linked = rows.join(parents, F.col("up") == F.col("p_node"), "left").join(after, (F.col("k") == F.col("s_k")) & F.col("up").eqNullSafe(F.col("s_up")), "left")
-    linked = materialise(linked.select("node", "k", "pk", F.when(F.col("s_k").isNotNull(), F.col("k") + 1).alias("next")), "linked")
-    first = linked.where("pk is not null").groupBy(F.col("pk").alias("c_pk")).agg(F.min("k").alias("child"))
-    down = linked.join(first, F.col("k") == F.col("c_pk"), "left").select((2 * F.col("k")).alias("e"), F.coalesce(2 * F.col("child"), 2 * F.col("k") + 1).alias("next"), F.lit(1).cast("bigint").alias("w"))
-    up = linked.select((2 * F.col("k") + 1).alias("e"), F.coalesce(2 * F.col("next"), 2 * F.col("pk") + 1).alias("next"), F.lit(0).cast("bigint").alias("w"))
-    now, rounds = materialise(down.unionByName(up), "tour"), 0
-    while now.where("next is not null").limit(1).count():
-        if rounds > math.log2(2 * count) + 1:
-            raise ValueError("the parent links hold a cycle")
-        to = now.select(F.col("e").alias("t_e"), F.col("next").alias("t_next"), F.col("w").alias("t_w"))
-        now = now.join(to, F.col("next") == F.col("t_e"), "left").select("e", F.col("t_next").alias("next"), (F.col("w") + F.coalesce("t_w", F.lit(0))).alias("w"))
-        now, rounds = materialise(now, "tour"), rounds + 1
-    ranks = now.groupBy(F.expr("e div 2").alias("k")).agg(F.max(F.when(F.col("e") % 2 == 0, count - F.col("w"))).alias("first"), F.max(F.when(F.col("e") % 2 == 1, count - F.col("w") - 1)).alias("last"))
-    return rows.join(ranks, "k").select("node", "first", "last")
+    rows = materialise(rows.join(known, F.col("up") == F.col("known"), "left").select("node", F.col("known").alias("up")), "rows")
+    most = math.log2(max(rows.count(), 1)) + 1  # a chain has no more steps than there are nodes
+
+    def doubled(now: DataFrame, step, label: str) -> DataFrame:
+        """Rounds of step(now, rows of where each points) until no row points anywhere."""
+        rounds = 0
+        while now.where("up is not null").limit(1).count():
+            if rounds > most:
+                raise ValueError("the parent links hold a cycle")
+            now, rounds = materialise(step(now), label), rounds + 1
+        return now
+
+    def upwards(now: DataFrame) -> DataFrame:
+        """The size of a node's subtree as far as twice the steps down: what is at the end of so many steps adds its own."""
+        above = now.where("up is not null").select(F.col("node").alias("a"), F.col("up").alias("a_up"))
+        below = now.where("up is not null").groupBy(F.col("up").alias("b")).agg(F.sum("size").alias("more"))
+        joined = now.join(above, F.col("up") == F.col("a"), "left").join(below, F.col("node") == F.col("b"), "left")
+        return joined.select("node", F.col("a_up").alias("up"), (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"))
+
+    def downwards(now: DataFrame) -> DataFrame:
+        above = now.select(F.col("node").alias("a"), F.col("up").alias("a_up"), F.col("at").alias("a_at"))
+        joined = now.join(above, F.col("up") == F.col("a"), "left")
+        return joined.select("node", F.col("a_up").alias("up"), (F.col("at") + F.coalesce("a_at", F.lit(0))).alias("at"), "size")
+
+    sizes = doubled(rows.withColumn("size", F.lit(1).cast("bigint")), upwards, "sizes").select("node", "size")
+    placed = materialise(rows.join(sizes, "node"), "sizes")
+    placed = running_sums(placed, ["up"], ["node"], "size", "before")
+    begun = placed.select("node", "up", (F.col("before") + F.when(F.col("up").isNull(), 0).otherwise(1)).cast("bigint").alias("at"), "size")
+    tour = doubled(materialise(begun, "tour"), downwards, "tour")
+    return tour.select("node", F.col("at").alias("first"), (F.col("at") + F.col("size") - 1).alias("last"))
 
 
 def over_subtrees(found: DataFrame, values: DataFrame, node: str, totals: dict[str, tuple[str, str]]) -> DataFrame:
@@ -46,6 +60,8 @@ def over_subtrees(found: DataFrame, values: DataFrame, node: str, totals: dict[s
     total = {"min": F.min, "max": F.max, "sum": F.sum}
     placed = found.select("node", "first").join(values.withColumnRenamed(node, "node"), "node")
     levels = max(1, math.ceil(math.log2((found.agg(F.max("first")).first()[0] or 0) + 2)))
+    # consecutive numbers meet before they are summed up for the first time, so what is shuffled then is at most two cells a number
+    placed = placed.repartition(F.expr(f"shiftright(first, {NEAR})"))
     cells = placed.select(F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level"), "first", *{c for _, c in totals.values()})
     cells = cells.groupBy("level", F.expr("shiftright(first, level)").alias("cell")).agg(*(total[f](c).alias(n) for n, (f, c) in totals.items()))
     # at each size, the run's blocks that do not belong to a larger one: at its begin if odd, at its end if the next one is odd
@@ -58,7 +74,8 @@ def over_subtrees(found: DataFrame, values: DataFrame, node: str, totals: dict[s
         here = lambda at, take: F.when((begin < end) & take, F.array(F.struct(k.cast("int").alias("level"), at.alias("cell")))).otherwise(F.array().cast("array<struct<level:int,cell:bigint>>"))
         return F.concat(here(begin, begin % 2 == 1), here(end - 1, end % 2 == 1))
 
-    runs = found.select("node", F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(levels)), blocks))).alias("b")).select("node", "b.level", "b.cell")
+    sizes = F.floor(F.log2(F.col("last") - F.col("first") + 1) + 1e-9).cast("int")  # no block of a run is larger than the run
+    runs = found.select("node", F.explode(F.flatten(F.transform(F.sequence(F.lit(0), sizes), blocks))).alias("b")).select("node", "b.level", "b.cell")
     return runs.join(cells, ["level", "cell"]).groupBy("node").agg(*(total[f](n).alias(n) for n, (f, _) in totals.items()))
 
 
