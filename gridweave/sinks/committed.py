@@ -1,8 +1,8 @@
 """Trace documents of any size, written by many tasks and published at once.
 
 1. Events are range-partitioned by (document, order), and each task writes its documents' lines as members, gzip ones or plain, into a staging folder beside the target. A member is
-   named by its task attempt, so what a lost attempt leaves is never read.
-2. One task for each document copies its members, in order, between the document's head and tail: a gzip file may have any number of members. It holds one block of bytes at a time.
+   named by its task attempt, so what a lost attempt leaves is never read. A document that begins and ends inside a task, so neither its first nor its last one, is whole, and staged at once.
+2. One task for each of the others copies its members, in order, between the document's head and tail: a gzip file may have any number of members. It holds one block of bytes at a time.
 3. Commit moves the staged documents to the target in one rename; abort deletes the staging folder, so a job that fails leaves nothing.
 
 Files are reached through the file system of the path's scheme, as pyarrow knows it, from executors and driver alike.
@@ -26,7 +26,7 @@ from .reports import FIELDS
 HEAD, TAIL, BETWEEN = b'{"traceEvents":[\n', b"\n]}\n", b",\n"
 #: Bytes that a copy holds at once; rows of text that are compressed at once.
 BLOCK = 1 << 20
-_MEMBERS = "name string, first long, member string, lines long"
+_MEMBERS = "name string, first long, member string, begun boolean, lines long"
 
 
 def file_system(uri: str):
@@ -39,13 +39,17 @@ def file_system(uri: str):
 class Member:
     """One task's lines of one document, in a file of its own."""
 
-    def __init__(self, files, path: str, compress: bool):
-        self.out, self.count = files.open_output_stream(path), 0
+    def __init__(self, files, path: str, compress: bool, begun: bool):
+        self.out, self.count, self.begun = files.open_output_stream(path), 0, begun
         self.packer = zlib.compressobj(6, zlib.DEFLATED, 31) if compress else None
+        if begun:
+            self.write(HEAD)
+
+    def write(self, text: bytes) -> None:
+        self.out.write(self.packer.compress(text) if self.packer else text)
 
     def add(self, lines: list[str]) -> None:
-        text = (BETWEEN.decode() if self.count else "") + BETWEEN.decode().join(lines)
-        self.out.write(self.packer.compress(text.encode()) if self.packer else text.encode())
+        self.write(((BETWEEN.decode() if self.count else "") + BETWEEN.decode().join(lines)).encode())
         self.count += len(lines)
 
     def close(self) -> None:
@@ -54,32 +58,45 @@ class Member:
         self.out.close()
 
 
-def _members(folder: str, compress: bool):
+def _members(folder: str, out: str, compress: bool):
+    """Members and whole documents; the latter have no member."""
+
     def run(batches):
         task = TaskContext.get()
         files, base = file_system(folder)
         name, member, where, done = None, None, None, 0
 
-        def row():
+        def ended(more: bool) -> tuple:
+            whole = member.begun and more
+            if whole:
+                member.write(TAIL)
             member.close()
-            return pa.RecordBatch.from_pydict({"name": [name], "first": pa.array([(task.partitionId() << 32) + done], pa.int64()), "member": [where], "lines": pa.array([member.count], pa.int64())})
+            if whole:
+                files.move(f"{base}/{where}", f"{base}/{out}/{name}")  # a second attempt replaces the first one's, which has the same contents
+            return name, (task.partitionId() << 32) + done, None if whole else where, member.begun, member.count
+
+        def rows(found: list[tuple]):
+            kinds = [pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], [x.split()[0] for x in _MEMBERS.split(", ")])
 
         for batch in batches:
             names, lines = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            begin = 0
+            begin, found = 0, []
             for k in range(1, len(names) + 1):
                 if k < len(names) and names[k] == names[begin]:
                     continue
                 if member is None or names[begin] != name:
                     if member is not None:
-                        yield row()
+                        found.append(ended(True))
                         done += 1
                     name, where = names[begin], f"m-{task.partitionId()}-{task.taskAttemptId()}-{done}"
-                    member = Member(files, f"{base}/{where}", compress)
+                    member = Member(files, f"{base}/{where}", compress, done > 0)
                 member.add(lines[begin:k])
                 begin = k
+            if found:
+                yield rows(found)
         if member is not None:
-            yield row()
+            yield rows([ended(False)])
 
     return run
 
@@ -93,7 +110,8 @@ def _documents(folder: str, out: str, compress: bool):
         name, attempt = table["name"][0].as_py(), TaskContext.get().taskAttemptId()
         temporary = f"{base}/d-{attempt}-{uuid.uuid4().hex}"
         with files.open_output_stream(temporary) as to:
-            to.write(pack(HEAD))
+            if not table["begun"][0].as_py():
+                to.write(pack(HEAD))
             for k, member in enumerate(table["member"].to_pylist()):
                 if k:
                     to.write(pack(BETWEEN))
@@ -132,10 +150,10 @@ def write_documents(events: DataFrame, path: str, by: str | None = None, gzip: b
     files.create_dir(f"{staged}/out", recursive=True)
     try:
         lines = events.select(name, *keys, line)
-        members = lines.repartitionByRange(*order).sortWithinPartitions(*order).select("name", "line").mapInArrow(_members(folder, gzip), _MEMBERS)
+        members = lines.repartitionByRange(*order).sortWithinPartitions(*order).select("name", "line").mapInArrow(_members(folder, "out", gzip), _MEMBERS)
         members = materialise(members, "members")
-        written = materialise(members.groupBy("name").applyInArrow(_documents(folder, "out", gzip), "name string, lines long"), "documents")
-        total = written.agg(F.coalesce(F.sum("lines"), F.lit(0))).first()[0]
+        materialise(members.where("member is not null").groupBy("name").applyInArrow(_documents(folder, "out", gzip), "name string, lines long"), "documents")
+        total = members.agg(F.coalesce(F.sum("lines"), F.lit(0))).first()[0]
         if overwrite:
             with contextlib.suppress(FileNotFoundError):
                 files.move(base, f"{staged}/old")
