@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from ..scratch import materialise
 
-#: Rows of a chunk.
-CHUNK = 50_000
+#: Rows of a chunk, and rows of it that a sweep has in hand.
+CHUNK, SLICE = 50_000, 5_000
 
 _OPEN = [("end", pa.int64()), ("id", pa.int64()), ("step", pa.string()), ("marks", pa.list_(pa.bool_())), ("keys", pa.list_(pa.string()))]
 _OPEN_DDL = "array<struct<end:bigint,id:bigint,step:string,marks:array<boolean>,keys:array<string>>>"
@@ -164,28 +164,31 @@ def _swept(shape: Shape):
     def run(batches):
         sweep = Sweep(marks, keys)
         for batch in batches:
-            for blob, inherited in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                table = pa.ipc.open_stream(blob).read_all().combine_chunks()
+            for blob, inherited in zip(batch.column(0), batch.column(1), strict=True):
+                table = pa.ipc.open_stream(blob.as_buffer()).read_all()
                 sweep.start()
-                for x in inherited or []:
+                for x in inherited.as_py() or []:
                     sweep.push(x["end"], x["id"], x["step"], x["marks"], x["keys"])
-                groups, now, out = _groups(table, shape.tracks), None, []
-                columns = [table.column(k).to_pylist() for k in range(shape.id, len(table.columns))]
-                alone = (None, 0, None, None, (None,) * marks, (False,) * keys)
-                for group, number, end, step, *rest in zip(groups, *columns, strict=True):
-                    if group != now:
-                        if now is not None:
-                            sweep.start()
-                        now = group
-                    out.append(sweep.take(end, number, step, rest[:marks], tuple(rest[marks:])) if end is not None else alone)
-                parent, depth, path, own, nearest, shared = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *(table.column(k).combine_chunks() for k in range(shape.kept)), pa.array(parent, pa.int64()), pa.array(depth, pa.int32()), pa.array(path, pa.binary()), pa.array(own, pa.binary()),
-                        table.column(shape.step).combine_chunks(), *(pa.array([x[k] for x in nearest], pa.int64()) for k in range(marks)), *(pa.array([x[k] for x in shared], pa.bool_()) for k in range(keys)),
-                    ],
-                    names=[str(k) for k in range(shape.kept + 5 + marks + keys)],
-                )
+                now = None
+                for at in range(0, len(table), SLICE):  # only so many rows are Python's objects at once
+                    part = table.slice(at, SLICE).combine_chunks()
+                    groups, out = _groups(part, shape.tracks), []
+                    columns = [part.column(k).to_pylist() for k in range(shape.id, len(part.columns))]
+                    alone = (None, 0, None, None, (None,) * marks, (False,) * keys)
+                    for group, number, end, step, *rest in zip(groups, *columns, strict=True):
+                        if group != now:
+                            if now is not None:
+                                sweep.start()
+                            now = group
+                        out.append(sweep.take(end, number, step, rest[:marks], tuple(rest[marks:])) if end is not None else alone)
+                    parent, depth, path, own, nearest, shared = zip(*out, strict=True)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            *(part.column(k).combine_chunks() for k in range(shape.kept)), pa.array(parent, pa.int64()), pa.array(depth, pa.int32()), pa.array(path, pa.binary()), pa.array(own, pa.binary()),
+                            part.column(shape.step).combine_chunks(), *(pa.array([x[k] for x in nearest], pa.int64()) for k in range(marks)), *(pa.array([x[k] for x in shared], pa.bool_()) for k in range(keys)),
+                        ],
+                        names=[str(k) for k in range(shape.kept + 5 + marks + keys)],
+                    )
 
     return run
 
