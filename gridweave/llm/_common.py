@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 
 import numpy as np
@@ -19,6 +20,26 @@ def drop_encoders() -> None:
     tokenizing = sys.modules.get(f"{__package__}.tokenizing")
     if tokenizing:
         tokenizing.encoder.cache_clear()
+    give_back()
+
+
+def give_back() -> None:
+    """Returns memory that this worker process has freed, but that Arrow's pool and the allocator keep (110 and 33 MB after 58,000 texts): a process waits idle for its next task, of whatever stage."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim:
+        trim(0)
+
+
+def tidied(run):
+    """run, a task's function over batches, without what earlier tasks have left in its worker process, and leaving little there itself."""
+
+    def task(batches):
+        drop_encoders()
+        yield from run(batches)
+        give_back()
+
+    return task
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

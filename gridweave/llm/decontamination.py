@@ -25,13 +25,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Lexer, materialise, read_table, text_bytes
+from ._common import Lexer, batch_bytes, materialise, read_table, text_bytes, tidied
 
 WINDOW = 10
 #: Words after which an index shard is closed.
 SHARD_WORDS = 1_500_000
 #: Bytes of item text in one broadcast.
 BLOCK_BYTES = 8 << 20
+#: Bytes of a batch of texts in a task.
+BATCH = 8 << 20
 _SEPARATORS = bytes({*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)} - {*range(0x41, 0x5B)})
 
 
@@ -148,7 +150,9 @@ def _build(batches):
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The stored index: one row per shard."""
-    return materialise(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_build, _INDEX), "postings")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    with batch_bytes(docs.sparkSession, BATCH):
+        return materialise(texts.mapInArrow(tidied(_build), _INDEX), "postings")
 
 
 class Items:
@@ -214,7 +218,7 @@ def _query(block, window: int):
                     "starts": pa.array([a.tolist() for _, a, _ in rows], pa.list_(pa.int32())), "ends": pa.array([b.tolist() for _, _, b in rows], pa.list_(pa.int32())),
                 })
 
-    return run
+    return tidied(run)
 
 
 def _union(batches):

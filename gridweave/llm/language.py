@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import crc_of_id, drop_encoders, quoted, read_table
+from ._common import crc_of_id, quoted, read_table, tidied
 
 UNKNOWN = "und"
 #: Documents of the fit, at most.
@@ -252,7 +252,6 @@ def _predictor(shared, drop: tuple[int, ...]):
     """Columns 1 and 2 are the text and whether it has letters; those in `drop` are not returned."""
 
     def run(batches):
-        drop_encoders()
         model = shared.value
         for batch in batches:
             texts = [t.encode() if ok and t else b"" for t, ok in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
@@ -269,7 +268,7 @@ def _predictor(shared, drop: tuple[int, ...]):
                 i = j
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(batch.columns)) if k not in drop), pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*(n for k, n in enumerate(batch.schema.names) if k not in drop), "lang_pred", "score"])
 
-    return run
+    return tidied(run)
 
 
 def predict(docs: DataFrame, model: ByteGru | None, keep: dict[str, Column], text_col: str = "text", out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import PLACE, SPACES, Lexer, batch_bytes, drop_encoders, materialise, mix, numbered, quoted, quotes, read_table, text_bytes, windows
+from ._common import PLACE, SPACES, Lexer, batch_bytes, materialise, mix, numbered, quoted, quotes, read_table, text_bytes, tidied, windows
 from .components import components
 from .heavy import lookup
 
@@ -61,7 +61,6 @@ def _sets(texts: list[bytes], size: int):
 
 def _signer(size: int, k: int):
     def run(batches):
-        drop_encoders()
         for batch in batches:
             counts, digests, sketches = [], [], []
             for found in _sets(text_bytes(batch.column(1)), size):
@@ -73,7 +72,7 @@ def _signer(size: int, k: int):
             lists = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32), flat)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), lists], ["doc_id", "n", "digest", "sketch"])
 
-    return run
+    return tidied(run)
 
 
 def _digest(found: np.ndarray) -> bytes:
@@ -89,7 +88,7 @@ def _set_writer(size: int):
             own = pa.array([_digest(x) == d for x, d in zip(sets, batch.column(2).to_pylist(), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in sets], pa.binary())], ["class_id", "set"]).filter(own)
 
-    return run
+    return tidied(run)
 
 
 def _overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -119,13 +118,12 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 def _verifier(percent: int):
     def run(batches):
-        drop_encoders()
         for batch in batches:
             a, b, sa, sb = (batch.column(k) for k in range(4))
             keep = [linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in zip(sa, sb, strict=True)]  # no copies
             yield pa.RecordBatch.from_arrays([a, b], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return run
+    return tidied(run)
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -26,13 +26,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import materialise, read_table
+from ._common import batch_bytes, give_back, materialise, read_table
 from .tokenizing import encoder
 
 CAPACITY = 1024
 END_ID = 2
 #: Items that a leaf or one node of a round packs at once, about.
 LEAF, GROUP = 200_000, 100_000
+#: Bytes of a batch of texts in a task: 10,000 texts take 30 MB, and as much again as strings.
+BATCH = 4 << 20
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -81,6 +83,7 @@ def _leaves(tokenizer: str, capacity: int, end_id: int, keep_ids: bool):
         return pa.RecordBatch.from_arrays(columns, names)
 
     def run(batches):
+        give_back()  # what tasks of other operators have left
         encode, rows, blobs = encoder(tokenizer).encode, [], []
         leaf, part = TaskContext.get().partitionId() << 8, 0
         for batch in batches:
@@ -101,6 +104,7 @@ def _leaves(tokenizer: str, capacity: int, end_id: int, keep_ids: bool):
                 rows, blobs, part = [], [], part + 1
         if rows:
             yield flush(leaf + part, rows, blobs)
+        give_back()
 
     return run
 
@@ -135,7 +139,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset[, ids]): one row per piece."""
     schema = _PIECES + (", ids binary" if keep_ids else "")
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    pieces = materialise(chosen.mapInArrow(_leaves(tokenizer, capacity, end_id, keep_ids), schema), "pieces")
+    with batch_bytes(docs.sparkSession, BATCH):
+        pieces = materialise(chosen.mapInArrow(_leaves(tokenizer, capacity, end_id, keep_ids), schema), "pieces")
     open_bins, moves, level = pieces.where("offset = 0").select("bin", "fill"), None, 0
     while True:
         least, count = open_bins.agg(F.min("fill"), F.count("*")).first()

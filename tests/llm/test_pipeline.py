@@ -61,3 +61,40 @@ def test_other_operators_drop_the_encoders():
         assert tokenizing.encoder.cache_info().currsize == 1
         list(run(iter([])))
         assert tokenizing.encoder.cache_info().currsize == 0
+
+
+def test_all_stages_tidy_their_worker():
+    """Tasks of near and decontaminate that come after a pack, or beside an idle worker that has packed, hold none of its caches either."""
+    from types import SimpleNamespace
+
+    import public_tokenizers
+
+    from gridweave.llm import decontamination, near_dedup, tokenizing
+    from gridweave.llm._common import tidied
+
+    for run in (near_dedup._set_writer(5), decontamination._query(SimpleNamespace(value=None), 10), tidied(iter)):
+        tokenizing.encoder(public_tokenizers.path(corpus_pipeline.TOKENIZER)).encode("some words")
+        list(run(iter([])))
+        assert tokenizing.encoder.cache_info().currsize == 0
+
+
+def test_packing_takes_small_batches(spark, monkeypatch):
+    """Long texts reach a packing task a few MB at a time, not 10,000 at once."""
+    from gridweave.llm import packing
+
+    capacity = packing.CAPACITY
+
+    def leaves(*_):
+        def run(batches):
+            import pyarrow as pa
+
+            for k, batch in enumerate(batches):  # a full sequence for each batch, that starts at the batch's size
+                row = {"doc_id": k, "piece": 0, "start": batch.nbytes, "length": capacity, "ids_crc32": 0, "bin": k, "offset": 0, "fill": capacity}
+                yield pa.RecordBatch.from_pylist([row], pa.schema([(n, pa.int32() if n == "piece" else pa.int64()) for n in row]))
+
+        return run
+
+    monkeypatch.setattr(packing, "_leaves", leaves)
+    docs = spark.range(0, 300, 1, 1).selectExpr("id AS doc_id", "repeat('some words ', 9000) AS text")
+    sizes = [r["start"] for r in packing.pack(docs, "").collect()]
+    assert sum(sizes) > 25 << 20 and max(sizes) < 2 * packing.BATCH
