@@ -379,14 +379,19 @@ def _pairs_of(places: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.stack((places, counts), 1).astype("<i8")
 
 
+def _by_shard(answers: pa.Table):
+    """(shard, places, counts) of a batch's words as level 0 has answered; these stand by hash, so by shard."""
+    answers = answers.sort_by("shard")
+    for shard, data in zip(answers["shard"].to_pylist(), answers["data"].to_pylist(), strict=True):
+        yield shard, *_expand(data, "<i8").reshape(2, -1)
+
+
 def _numbered(shared):
-    """A batch with the numbers and counts of its words; these stand by hash, so by shard."""
+    """A batch with the numbers and counts of its words."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         firsts, numbers, counts = shared.value.firsts, [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        right = right.sort_by("shard")
-        for shard, data in zip(right["shard"].to_pylist(), right["data"].to_pylist(), strict=True):
-            place, count = _expand(data, "<i8").reshape(2, -1)
+        for shard, place, count in _by_shard(right):
             numbers.append(np.where(place >= 0, place + firsts[shard] + 1, 0))
             counts.append(count)
         kept = left.select([x.split()[0] for x in _NUMBERED.split(", ")[:-2]])
@@ -434,7 +439,29 @@ def word_places(level, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return place, out
 
 
-class _Tree:
+class _Texts:
+    """Texts of a batch: tokens as places among its distinct words, and where each text starts."""
+
+    def __init__(self, row: dict):
+        self.lengths, self.train = np.frombuffer(row["lengths"], "<i8"), np.frombuffer(row["train"], bool)
+        self.tokens = _join32(row["tokens"]).astype(np.int32)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+
+    def total(self, x: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(x, self.starts)
+
+    def columns(self, row: dict, counts: np.ndarray, own: np.ndarray) -> dict:
+        """The columns that level 0 decides, from the training counts and base probabilities of the batch's words."""
+        ids = pa.array(np.frombuffer(row["ids"], "<i8"), mask=np.frombuffer(row["missing"], bool))
+        known, base = (counts > 0).astype(np.int64), np.log10(own)
+        return {"doc_id": ids, "held_out": ~self.train, "n_tokens": self.lengths, "n_known": self.total(known[self.tokens]), "base_score": self.total(base[self.tokens])}
+
+
+def base_of(counts: np.ndarray, v: int, n: int) -> np.ndarray:
+    return (counts + 0.1) / (n + 0.1 * (v + 1))
+
+
+class _Tree(_Texts):
     """Distinct pairs and triples of a batch in the order in which they are sent, and how its tokens map to them.
 
     Token i belongs to the triple of the token before it, itself and the one after it; its pair is that triple's first two. Only pairs of two training
@@ -442,9 +469,8 @@ class _Tree:
     """
 
     def __init__(self, row: dict, words: Numbering, bits: int):
-        self.lengths, self.train = np.frombuffer(row["lengths"], "<i8"), np.frombuffer(row["train"], bool)
-        self.tokens = _join32(row["tokens"]).astype(np.int32)
-        self.starts, size = np.cumsum(self.lengths) - self.lengths, words.none + 1
+        super().__init__(row)
+        size = words.none + 1
         self.before = np.empty_like(self.tokens)
         self.before[1:] = self.tokens[:-1]
         self.before[self.starts] = 0  # the end token, whose hash is the least
@@ -567,7 +593,7 @@ def _score(bits: int, shared, v: int, n: int, mu2: float):
             tree, counts = _Tree(row, shared.value, bits), _expand(row["counts"], "<i8")
             # place -1: a pair or triple that was not sent
             share, weight, third = (SHARES[np.concatenate([*x, np.array([c], np.uint8)])] for x, c in zip(parts, (0, 1, 0), strict=True))
-            own = (counts + 0.1) / (n + 0.1 * (v + 1))  # of each word of the batch
+            own = base_of(counts, v, n)  # of each word of the batch
             rest = mu2 / (counts + mu2)
             base = own[tree.tokens]
             p = rest[tree.before]
@@ -581,12 +607,21 @@ def _score(bits: int, shared, v: int, n: int, mu2: float):
             w[tree.starts] = 0
             p += w
             del w
-            total = lambda x: np.add.reduceat(x, tree.starts)
-            out.append(pa.table({
-                "doc_id": pa.array(np.frombuffer(row["ids"], "<i8"), mask=np.frombuffer(row["missing"], bool)), "held_out": ~tree.train,
-                "n_tokens": tree.lengths, "n_known": total((counts[tree.tokens] > 0).astype(np.int64)), "base_score": total(np.log10(base)), "score": total(np.log10(p)),
-            }))
-        return pa.concat_tables(out) if out else pa.table({"doc_id": pa.array([], pa.int64()), "held_out": pa.array([], pa.bool_()), "n_tokens": pa.array([], pa.int64()), "n_known": pa.array([], pa.int64()), "base_score": pa.array([], pa.float64()), "score": pa.array([], pa.float64())})
+            out.append(pa.table(tree.columns(row, counts, own) | {"score": tree.total(np.log10(p))}))
+        return pa.concat_tables(out) if out else _NO_SCORES
+
+    return run
+
+
+_BASE = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double"
+_NO_SCORES = pa.table([pa.array([], x) for x in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())], names=[x.split()[0] for x in _BASE.split(", ")] + ["score"])
+
+
+def _base(v: int, n: int):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        counts = np.concatenate([np.empty(0, np.int64), *(x for _, _, x in _by_shard(right))])
+        out = [pa.table(_Texts(row).columns(row, counts, base_of(counts, v, n))) for row in left.to_pylist()]
+        return pa.concat_tables(out) if out else _NO_SCORES.drop_columns("score")
 
     return run
 
@@ -598,30 +633,38 @@ class Scored:
         self.scores, self.words, self.tries, self.numbering = scores, words, tries, numbering
 
 
-def fit_and_score(docs: DataFrame, train=None, mu2: float = MU2, mu3: float = MU3, id_col: str = "doc_id", text_col: str = "text") -> Scored:
-    """train: a condition on docs; by default crc32(id) mod 10 is not 0."""
+def _count(docs: DataFrame, train, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, int, int, int]:
+    """Batches of encoded texts, level 0 and its answers to them, bits of a shard's number, V and N."""
     spark = docs.sparkSession
     learns = crc_of_id(F.col(id_col)) % 10 != 0 if train is None else train
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(id_col).isNull().alias("missing"), F.coalesce(learns, F.lit(True)).alias("train"))
+    encoded = materialise(rows.mapInArrow(_encoder(BATCH_TOKENS), _ENCODED), "encoded")
+    size = encoded.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    bits = max(1, (2 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // SHARD_TOKENS) - 1).bit_length())
+    words = encoded.select("batch", "vocabulary", "counts").mapInArrow(_words_out(bits), "shard long, batch long, words binary, counts binary")
+    counted = materialise(words.groupBy("shard").applyInArrow(_count_words, _ANSWERS), "words")
+    v, n = counted.where("batch < 0").agg(F.coalesce(F.sum("v"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    return encoded, counted, bits, v, n
+
+
+def _answered(encoded: DataFrame, counted: DataFrame, task, schema: str) -> DataFrame:
+    """Batches worked on with level 0's answers to them."""
+    answers = counted.where("batch >= 0").select("batch", "shard", "data")
+    return encoded.drop("n", "vocabulary", "counts").groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(task, schema)
+
+
+def fit_and_score(docs: DataFrame, train=None, mu2: float = MU2, mu3: float = MU3, id_col: str = "doc_id", text_col: str = "text") -> Scored:
+    """train: a condition on docs; by default crc32(id) mod 10 is not 0."""
     with scope():  # the texts' hashes and level 0's answers go when each batch has its numbers
-        encoded = materialise(rows.mapInArrow(_encoder(BATCH_TOKENS), _ENCODED), "encoded")
-        size = encoded.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        bits = max(1, (2 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // SHARD_TOKENS) - 1).bit_length())
-        words = encoded.select("batch", "vocabulary", "counts").mapInArrow(_words_out(bits), "shard long, batch long, words binary, counts binary")
-        counted = materialise(words.groupBy("shard").applyInArrow(_count_words, _ANSWERS), "words")
+        encoded, counted, bits, v, n = _count(docs, train, id_col, text_col)
         levels = materialise(counted.where("batch < 0").select("shard", "data", "v", "n"), "levels", outer=True)
-        v, n = levels.agg(F.coalesce(F.sum("v"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
         known = numbering(levels, n, bits)
-        shared = spark.sparkContext.broadcast(known)
-        answers = counted.where("batch >= 0").select("batch", "shard", "data")
-        batches = encoded.drop("n", "vocabulary", "counts").groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_numbered(shared), _NUMBERED)
-        batches = materialise(batches, "numbered", outer=True)
+        shared = docs.sparkSession.sparkContext.broadcast(known)
+        batches = materialise(_answered(encoded, counted, _numbered(shared), _NUMBERED), "numbered", outer=True)
     sent = batches.select("batch", "train", "lengths", "tokens", "numbers").mapInArrow(_ngrams_out(bits, shared), _MESSAGES)
     codes = materialise(sent.groupBy("shard").applyInArrow(_answer_ngrams(shared, mu2, mu3), _ANSWERS), "codes")
     answers = codes.where("batch >= 0").select("batch", "kind", "shard", "data")
-    found = batches.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(
-        _score(bits, shared, v, n, mu2), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    )
+    found = batches.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_score(bits, shared, v, n, mu2), f"{_BASE}, score double")
     scores = found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
     return Scored(scores, levels.select("shard", "data"), codes.where("batch < 0").select("shard", "data"), known)
 
@@ -630,13 +673,20 @@ def score(docs: DataFrame, train=None, mu2: float = MU2, mu3: float = MU3, id_co
     return fit_and_score(docs, train, mu2, mu3, id_col, text_col).scores
 
 
+def base_score(docs: DataFrame, train=None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The columns of score() but the last: level 0 decides them, so pairs and triples are neither sent nor stored."""
+    encoded, counted, _, v, n = _count(docs, train, id_col, text_col)
+    found = _answered(encoded, counted, _base(v, n), _BASE)
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score")
+
+
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(read_table(spark, sf_dir, "documents"))
 
 
 def base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What of op2 SQL can express: the counts and the base."""
-    return op2(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 6).alias("base_score"))
+    return base_score(read_table(spark, sf_dir, "documents")).withColumn("base_score", F.round("base_score", 6))
 
 
 BASE_SQL = r"""

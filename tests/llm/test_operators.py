@@ -229,6 +229,23 @@ def test_scores_match_brute_force(docs, empty, monkeypatch, shard, hot, batch):
     assert ngram_trie.score(empty).count() == 0
 
 
+def test_base_scores_stop_at_level_0(docs, empty, monkeypatch):
+    """base_scores has the columns of op2 to the last bit, null and repeated ids included, without any pair or triple being dealt."""
+    monkeypatch.setattr(ngram_trie, "read_table", lambda *_: docs)
+    columns = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score"]
+    whole = ngram_trie.op2(docs.sparkSession, "").select(*columns)
+    rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    want, rounded = rows(whole), rows(whole.withColumn("base_score", F.round("base_score", 6)))
+
+    def never(*_):
+        raise AssertionError("n-grams are dealt")
+
+    monkeypatch.setattr(ngram_trie, "_ngrams_out", never)
+    assert rows(ngram_trie.base_score(docs)) == want and len(want) == docs.count()
+    assert rows(ngram_trie.base_scores(docs.sparkSession, "")) == rounded
+    assert ngram_trie.base_score(empty).count() == 0 and ngram_trie.base_score(empty).columns == columns
+
+
 def test_messages_of_a_batch_depend_on_shards_alone(spark, monkeypatch):
     rows = spark.createDataFrame([(i, prose(i, 30)) for i in range(200)], "doc_id bigint, text string")
     found = []
